@@ -9,10 +9,12 @@ import numpy as np
 
 #: Unicode White_Space, which the tokenizers' patterns call white space (Python's own class has four characters more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters (a part of them: the rest only makes longer pieces) before an ASCII sign other than the apostrophe, where both patterns cut too.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?=[!-&(-/:-@\\[-`{-~])"
 #: Spaces and what follows up to the next space: a byte-level pattern always cuts before white space that follows a visible character.
-WITH_SPACES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WITH_SPACES = re.compile(f"[{SPACE}]*{LETTERS}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: For tokenizers that drop white space.
-NO_SPACES = re.compile(f"[^{SPACE}]+")
+NO_SPACES = re.compile(f"{LETTERS}|[^{SPACE}]+")
 
 
 class WordCache(dict):
