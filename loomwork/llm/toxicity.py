@@ -155,8 +155,11 @@ class Classifier:
             if x is not None:
                 np.add.at(counts[:, self.langs.index(x)], t[:, 0], 1)
         self.word_logs = np.log(counts / counts.sum(0)).astype(np.float32)
-        rows, first = np.concatenate([*texts, np.zeros((0, 3), np.uint32)]), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        score, guess = self.logits(rows, first), self.guess(rows, first)
+        score, guess = np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
+        for at in range(0, len(texts), 128):  # a part at a time: all responses at once would fill the driver
+            part = texts[at : at + 128]
+            rows, first = np.concatenate(part), np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
+            score[at : at + 128], guess[at : at + 128] = self.logits(rows, first), self.guess(rows, first)
         both = held if min((y[held] == 1).sum(), (y[held] == 0).sum()) >= least else np.concatenate([train, held])
         everyone = _cut(score[both], y[both])
         cuts = []
