@@ -115,14 +115,14 @@ def authoritative_replace(published: DataFrame, shard: DataFrame, owned: DataFra
     """Rows of owned companies come from the shard; without a list of owners all of them do."""
     if owned is None:
         return shard
-    return published.join(F.broadcast(owned.select("company").distinct()), "company", "left_anti").unionByName(shard.select(published.columns))
+    return published.join(F.broadcast(owned.select("company").distinct()), "company", "left_anti").select(published.columns).unionByName(shard.select(published.columns))
 
 
 def merge_shards(published: DataFrame, shards: DataFrame) -> DataFrame:
     """Many shards at once (column seq): the last shard that names a company owns it."""
     owner = shards.groupBy("company").agg(F.max("seq").alias("seq"))
     last = shards.join(owner, ["company", "seq"], "left_semi")
-    return published.join(owner, "company", "left_anti").unionByName(last.select(published.columns))
+    return published.join(owner, "company", "left_anti").select(published.columns).unionByName(last.select(published.columns))
 
 
 def configured_only(df: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def one(spark, column):
 def test_clean_html_decodes_before_stripping(spark):
     assert one(spark, text.clean_html(F.lit("&lt;b&gt;a&lt;/b&gt;  b&amp;c"))) == "a b&c"
     assert one(spark, text.clean_html(F.lit(None).cast("string"))) == ""
-    assert one(spark, text.cut_words(F.lit("one two three"), 8)) == "one…"
+    assert one(spark, text.cut_words(F.lit("one two three"), 8)) == "one two…"
 
 
 def test_titles_and_years(spark):
