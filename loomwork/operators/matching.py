@@ -33,14 +33,16 @@ def domain_score(focus: Column, category: Column, neighbours=NEIGHBOURS) -> Colu
 def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (), broadcast_rows: int = 10_000) -> DataFrame:
     """A row per profile and posting that share a skill, with all scores.
 
-    Candidates are an equi-join on exploded skills. Profiles are broadcast only up to a counted number of rows.
+    Candidates are an equi-join on exploded skills; of the skills that a pair shares only the first makes a row, so nothing is
+    made distinct or joined again. Profiles are broadcast only up to a counted number of rows. Postings are dealt out by id
+    first, since the work is in the pairs and not in the bytes read.
     """
     small = profiles.count() <= broadcast_rows
-    p = profiles.select("profile_id", F.col("skills").alias("own"), "projects", "focus", "years")
-    wanted = p.select("profile_id", F.explode("own").alias("s"))
-    pairs = postings.select("id", F.explode("skills").alias("s")).join(F.broadcast(wanted) if small else wanted, "s").select("profile_id", "id").distinct()
-    j = pairs.join(F.broadcast(p) if small else p, "profile_id").join(postings, "id")
-    j = j.withColumn("matched", F.array_intersect("skills", "own")).withColumn("missing", F.array_except("skills", "own"))
+    p = profiles.select("profile_id", F.col("skills").alias("own"), "projects", "focus", "years", F.explode(F.array_distinct("skills")).alias("_s"))
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.repartition(parts, "id") if small else postings
+    j = dealt.select("*", F.explode(F.array_distinct("skills")).alias("_s")).join(F.broadcast(p) if small else p, "_s")
+    j = j.withColumn("matched", F.array_intersect("skills", "own")).where(F.get("matched", F.lit(0)) == F.col("_s")).drop("_s").withColumn("missing", F.array_except("skills", "own"))
     names, project = projects_score(F.col("projects"), F.col("skills"))
     asked = F.array_intersect("skills", F.array(*[F.lit(t) for t in tools])) if tools else F.expr("cast(array() as array<string>)")
     tool = F.when(F.size(asked) == 0, 60).otherwise(F.bround(100 * F.size(F.array_intersect(asked, "own")) / F.greatest(F.size(asked), F.lit(1)), 0)).cast("int")
@@ -54,9 +56,19 @@ def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (),
     return j.withColumn("apply_priority", F.when(F.col("priority_x100") >= 7200, "High").when(F.col("priority_x100") >= 5200, "Medium").otherwise("Low")).withColumn("defensibility", F.when((F.size("matched") >= 3) & (F.size("backing") > 0), "strong").when(F.size("matched") >= 1, "partial").otherwise("weak"))
 
 
-def top_matches(m: DataFrame, k: int = 5) -> DataFrame:
+#: What a score takes from a posting.
+SCORED = ("skills", "role_category", "new_grad_fit", "experienced_fit", "eligibility_risk")
+
+
+def top_matches(profiles: DataFrame, postings: DataFrame, k: int = 5, tools: tuple[str, ...] = (), scored: tuple[str, ...] = SCORED) -> DataFrame:
+    """The k best postings of each profile: by match, then priority, then least id.
+
+    Postings alike in all that a score takes from them tie everywhere, so of each such class only the k least ids are scored.
+    """
+    alike = W.partitionBy(*scored).orderBy("id")
+    few = postings.select("id", *scored).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
     w = W.partitionBy("profile_id").orderBy(F.desc("resume_match"), F.desc("priority_x100"), "id")
-    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return match(profiles, few, tools).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def triage(missing: DataFrame, equivalences: DataFrame, strengths: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ SELECT d.doc_id AS id, s.s_name AS company, substr('SABC', CAST(s.s_suppkey % 4
   coalesce(e.first_ts, {AS_OF} - INTERVAL '30' DAY) AS first_seen, coalesce(e.last_ts, {AS_OF} - INTERVAL '30' DAY) AS last_seen,
   CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE coalesce(e.first_ts, {AS_OF} - INTERVAL '30' DAY) - CAST(d.doc_id % 10 AS INT) * INTERVAL '1' DAY END AS posted_date,
   CASE WHEN d.doc_id % 10 = 0 THEN 'high' WHEN d.doc_id % 10 < 4 THEN 'medium' ELSE 'low' END AS eligibility_risk
-FROM documents d CROSS JOIN (SELECT count(*) AS n FROM supplier) cs CROSS JOIN (SELECT count(*) AS n FROM part) cp
-JOIN supplier s ON s.s_suppkey = d.doc_id % cs.n JOIN part p ON p.p_partkey = d.doc_id % cp.n
+FROM (SELECT *, doc_id % (SELECT count(*) FROM supplier) AS sk, doc_id % (SELECT count(*) FROM part) AS pk FROM documents) d
+JOIN supplier s ON s.s_suppkey = d.sk JOIN part p ON p.p_partkey = d.pk
 JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
 LEFT JOIN (SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS first_ts, CAST(max(ts) AS TIMESTAMP) AS last_ts FROM events GROUP BY user_id) e ON e.user_id = d.doc_id % 150
 """

@@ -560,8 +560,15 @@ r AS (SELECT *, CAST(round_even((55 * overlap + 45 * fit) / 100.0, 0) AS INT) AS
 """
 
 
+TOOLS = ("the", "und", "les")
+
+
 def matched(spark, d):
-    return matching.match(profiles(spark, d), with_skills(lens(spark, d)).drop("body"), tools=("the", "und", "les"))
+    return matching.match(profiles(spark, d), with_skills(lens(spark, d)).drop("body"), tools=TOOLS)
+
+
+def best(spark, d):
+    return matching.top_matches(profiles(spark, d), with_skills(lens(spark, d)), tools=TOOLS)
 
 
 @query("h01_h08_match", duck(H_SQL + "SELECT profile_id, count(*) AS n, CAST(sum(sk) AS BIGINT) AS skills_score, CAST(sum(pj) AS BIGINT) AS project_score, CAST(sum(dm) AS BIGINT) AS domain_score, CAST(sum(tl) AS BIGINT) AS tool_score, CAST(sum(resume_match) AS BIGINT) AS resume_match, CAST(sum(priority_x100) AS BIGINT) AS priority, count(*) FILTER (priority_x100 >= 7200) AS high FROM r GROUP BY 1"))
@@ -571,17 +578,17 @@ def h01(spark, d):
 
 @query("h11_top_matches", duck(H_SQL + "SELECT profile_id, id, resume_match, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5"))
 def h11(spark, d):
-    return matching.top_matches(matched(spark, d)).select("profile_id", "id", "resume_match", "place")
+    return best(spark, d).select("profile_id", "id", "resume_match", "place")
 
 
 @query("h10_why")
 def h10(spark, d):
-    return matching.why(matching.top_matches(matched(spark, d))).select("profile_id", "id", "why")
+    return matching.why(best(spark, d)).select("profile_id", "id", "why")
 
 
 @query("h15_missing_keywords")
 def h15(spark, d):
-    return matching.top_matches(matched(spark, d)).select("profile_id", "id", matching.missing_keywords(F.col("missing"), F.col("skills")).alias("keywords"))
+    return best(spark, d).select("profile_id", "id", matching.missing_keywords(F.col("missing"), F.col("skills")).alias("keywords"))
 
 
 @query("h09_triage", duck(H_SQL + ", miss AS (SELECT profile_id, id, unnest(list_filter(skills, lambda x: NOT list_contains(own, x))) AS skill, own FROM r) SELECT profile_id, id, skill, CASE WHEN skill = 'the' AND list_contains(own, 'and') THEN 'Reword Only' WHEN skill IN ('the', 'und') AND (list_contains(own, 'nicht') OR list_contains(own, 'that')) THEN 'Learn First' ELSE 'Do Not Add' END AS tier FROM miss"))
