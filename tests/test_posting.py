@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomwork.functions import identity, places, text
-from loomwork.operators import lifecycle
+from loomwork.operators import lifecycle, matching
 from loomwork.plans import registry
 
 
@@ -55,6 +55,18 @@ def test_plans_have_no_cartesian_and_prune_columns(spark):
     assert "CartesianProduct" not in plan and "text" not in plan.split("Physical Plan")[-1].split("ReadSchema")[1][:120]
 
 
+def test_the_lens_has_no_nested_loops(spark):
+    for name in ("e15_keyword", "f03_group_roles", "h11_top_matches"):
+        assert "NestedLoop" not in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_only_the_first_shared_skill_makes_a_pair(spark):
+    profiles = spark.createDataFrame([(1, ["a", "b"], [("p", ["a"])], "LARGE", 1.0), (2, [], [], None, 1.0)], "profile_id long, skills array<string>, projects array<struct<name:string,skills:array<string>>>, focus string, years double")
+    postings = spark.createDataFrame([(i, s, "LARGE", 50, 50, "low") for i, s in ((1, ["b", "a", "c"]), (2, ["c"]), (3, ["b", "a", "c"]), (4, []))], "id long, skills array<string>, role_category string, new_grad_fit int, experienced_fit int, eligibility_risk string")
+    assert sorted((r.profile_id, r.id, tuple(r.matched), tuple(r.missing)) for r in matching.match(profiles, postings).collect()) == [(1, 1, ("b", "a"), ("c",)), (1, 3, ("b", "a"), ("c",))]
+    assert [(r.profile_id, r.id, r.place) for r in matching.top_matches(profiles, postings, 1).collect()] == [(1, 1, 1)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.ORACLES) <= set(__spark_entry__.queries())
