@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_key, normalize_title
+from ..functions import classify, places
+from ..functions.text import norm_key, normalize_title, remote_status, years_required
 
 
 def keep_newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -52,6 +53,25 @@ def upsert(stored: DataFrame, incoming: DataFrame, as_of: Column, longer_by: int
     )
 
 
+def insert_new(incoming: DataFrame, matches: DataFrame, verdict: Column) -> DataFrame:
+    """Incoming rows without a stored match and relevant by their body, with everything that is derived from title, place and body.
+
+    A place of which nothing is known is read from the url's slug instead, where there is one.
+    """
+    new = incoming.join(matches.select("in_id").distinct(), "in_id", "left_anti").withColumn("_v", verdict).where("_v.relevant")
+    known = places.parse_location(F.col("location"), F.col("body"))["confidence"] > 0
+    new = new.withColumn("location", F.when(known, F.col("location")).otherwise(F.coalesce(places.location_from_url(F.col("apply_url")), F.col("location"))))
+    years = years_required(F.col("body"))["min"]
+    new = new.withColumns({"_l": places.parse_location(F.col("location"), F.col("body")), "_s": classify.seniority(F.col("title"), years), "remote_status": remote_status(F.col("location"), F.col("body")), "role_category": classify.role_category(F.col("_v")), "experience_level": classify.experience_level(F.col("title"), F.col("body")), "eligibility_risk": classify.eligibility(F.col("body"))["risk"]})
+    return new.select(*incoming.columns, F.col("_l.is_usa").alias("is_usa"), F.col("_l.state").alias("state"), F.col("_l.confidence").alias("location_confidence"), F.col("_s.level").alias("level"), "remote_status", "role_category", "experience_level", "eligibility_risk")
+
+
+def publishable(outcomes: DataFrame) -> DataFrame:
+    """(run, planned, succeeded, publish) of outcomes (company, run, ok): a run in which companies were planned and none succeeded is not published."""
+    by = outcomes.groupBy("run").agg(F.count("*").alias("planned"), F.count_if("ok").alias("succeeded"))
+    return by.withColumn("publish", F.col("succeeded") > 0)
+
+
 def reconcile_removals(stored: DataFrame, seen: DataFrame, as_of: Column, threshold: int = 2) -> DataFrame:
     """Rows not seen, of companies seen at all, miss once more; at the threshold they are removed."""
     ran = F.broadcast(seen.select("company").distinct()).withColumn("_ran", F.lit(True))

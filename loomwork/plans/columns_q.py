@@ -210,6 +210,37 @@ def c05(spark, d):
     return lens(spark, d).select("id", C.best_category(F.col("body"), TONGUES).alias("category"))
 
 
+@query("b20_foreign_code", duck("SELECT id, CASE id % 5 WHEN 0 THEN 'CAN' WHEN 1 THEN 'CAN' WHEN 2 THEN 'IND' ELSE '' END AS code FROM lens"))
+def b20(spark, d):
+    k = F.col("id") % 5
+    loc = F.when(k == 0, F.concat(F.lit("CAN - "), "location")).when(k == 1, F.concat("location", F.lit(", ON"))).when(k == 2, F.concat(F.lit("ind \u2013 "), "location")).when(k == 3, F.concat(F.lit("XYZ - "), "location")).otherwise(F.concat("location", F.lit(", CA")))
+    return lens(spark, d).select("id", P.foreign_code(loc).alias("code"))
+
+
+@query("b21_false_friends", duck("SELECT id, CASE WHEN id % 2 = 0 THEN location || ',  mexico ' ELSE location END AS masked FROM lens"))
+def b21(spark, d):
+    loc = F.when(F.col("id") % 4 == 0, F.concat("location", F.lit(", Baja California Sur"))).when(F.col("id") % 2 == 0, F.concat("location", F.lit(", BAJA CALIFORNIA"))).otherwise(F.col("location"))
+    return lens(spark, d).select("id", P.mask_false_friends(loc).alias("masked"))
+
+
+@query("c06_role_category", duck(r"""
+, t AS (SELECT id, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(steel|iron|copper)($|[^a-z0-9])') THEN 'Metal' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(ring)($|[^a-z0-9])') THEN 'Ring' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(large|medium)($|[^a-z0-9])') THEN 'Bulk' END AS cat, regexp_matches(lower(title), '(^|[^a-z0-9])(promo)($|[^a-z0-9])') AS out FROM lens)
+SELECT id, CASE WHEN cat IS NULL AND out THEN 'Software / Compiler' WHEN cat IS NULL THEN 'Out of Scope' ELSE cat END AS role FROM t"""))
+def c06(spark, d):
+    v = C.verdict(F.col("title"), F.col("body"), RULES, (("software", ("promo",)),), ("widget", "bolt"))
+    return lens(spark, d).select("id", v.alias("v")).select("id", C.role_category(F.col("v")).alias("role"))
+
+
+LEVEL_TEXTS = ("new grad welcome", "0-2 years", "entry-level post", "a senior post", "6+ years", "nothing said", "2 years")
+
+
+@query("c11_experience_level", duck("SELECT id, CASE WHEN id % 11 = 0 THEN 'Unknown' ELSE CASE id % 7 WHEN 0 THEN 'New Grad' WHEN 1 THEN '0-3 Years' WHEN 2 THEN 'Entry Level' WHEN 3 THEN 'Senior' WHEN 4 THEN 'Mid Level' ELSE 'Unknown' END END AS level FROM lens"))
+def c11(spark, d):
+    body = F.element_at(F.array(*[F.lit(x) for x in LEVEL_TEXTS]), (F.col("id") % 7 + 1).cast("int"))
+    title = F.concat("title", F.when(F.col("id") % 11 == 0, " Intern").otherwise(""))
+    return lens(spark, d).select("id", C.experience_level(title, body).alias("level"))
+
+
 @query("c07_role_flags", duck("SELECT id, " + ", ".join(f"lang = '{k[:2].lower()}' OR {HITS[k]} >= 3 AS {k.lower()}" for k, _ in TONGUES) + " FROM lens"))
 def c07(spark, d):
     own = F.create_map(*[F.lit(x) for k, _ in TONGUES for x in (k[:2].lower(), k)])

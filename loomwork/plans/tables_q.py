@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import identity, places
+from ..functions import classify, identity, places
 from ..functions import text as X
 from ..operators import alerts, audits, filters, lifecycle, marts, matching, ranking
 from ..sources import corpus, html, payloads
@@ -126,6 +126,76 @@ def a25(spark, d):
     return payloads.detail_worklist(df.select("id", "company", "job_id", F.col("is_senior").alias("maybe"), (~F.col("is_usa")).alias("foreign")), known, 5).select("id", F.col("place").cast("long").alias("place"))
 
 
+FIELD = '<dt class="iCIMS_JobHeaderField">{}</dt><dd class="iCIMS_JobHeaderData"> {} </dd>'
+
+
+def cell(label, value):
+    before, after = FIELD.format(label, "\0").split("\0")
+    return F.concat(F.lit(before), value, F.lit(after))
+
+
+@query("a16_header_fields", duck("SELECT id, CASE id % 3 WHEN 0 THEN 'Irvine, CA, United States' WHEN 1 THEN location || ', ' || state || ', United States' ELSE location || ', ' || state END AS place FROM lens"))
+def a16(spark, d):
+    k = F.col("id") % 3
+    card = F.when(k == 0, F.concat(cell("Job Locations", F.lit("<b>US-CA-Irvine</b>")), cell("City", F.col("location")))).when(k == 1, F.concat(cell("City", F.col("location")), cell("State", F.col("state")), cell("City", F.lit("Other")))).otherwise(F.concat(cell("Country", F.col("state")), cell("CITY", F.col("location")), cell("State", F.lit(""))))
+    place = places.header_location(html.header_fields(F.col("card")))
+    return lens(spark, d).select("id", card.alias("card")).select("id", html.decoded(place).alias("place"))
+
+
+@query("a17_table_rows", duck("SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, 'https://x.example.com/job/a/' || id || '/' AS apply_url, 'Nation, ' || state || ', United States' AS location, CAST(CAST(first_seen AS DATE) AS TIMESTAMP) AS posted_date FROM lens WHERE id % 7 <> 0"))
+def a17(spark, d):
+    href, cls = F.concat(F.lit('href="/job/a/'), F.col("id").cast("string"), F.lit('/"')), F.lit('class="jobTitle-link"')
+    link = F.when(F.col("id") % 7 == 0, F.lit("<a>")).when(F.col("id") % 2 == 0, F.concat(F.lit("<a "), href, F.lit(" "), cls, F.lit(">"))).otherwise(F.concat(F.lit("<a "), cls, F.lit(" "), href, F.lit(">")))
+    day = F.when(F.col("id") % 3 == 0, F.date_format("first_seen", "MMM d, yyyy")).otherwise(F.date_format("first_seen", "MM/dd/yyyy"))
+    row = F.concat(F.lit('<tr class="data-row">'), link, "title", F.lit('</a><span class="jobLocation"> NATION, '), "state", F.lit(', US, 92618 </span><span class="jobDate visible">'), day, F.lit("</span></tr>"))
+    rows = lens(spark, d).select("company", F.floor(F.col("id") / 1000).alias("page"), row.alias("row"))
+    pages = rows.groupBy("company", "page").agg(F.array_join(F.collect_list("row"), "\n").alias("html"))
+    pages = pages.select(F.concat_ws("/", "company", "page").alias("page_id"), "html", F.lit("https://x.example.com").alias("base"))
+    return html.table_rows(pages, "html", "base").drop("page_id")
+
+
+@query("a26_known_ids", duck("SELECT DISTINCT company, role_category AS job_id FROM lens WHERE coalesce(body, '') <> '' AND id % 3 = 0"))
+def a26(spark, d):
+    return payloads.known_ids(lens(spark, d).select("company", F.col("role_category").alias("job_id"), F.when(F.col("id") % 3 == 0, F.col("body")).alias("body")))
+
+
+@query("a28_read_tsv", "SELECT p_name AS name, p_type AS kind, CAST(p_partkey AS BIGINT) AS k FROM part")
+def a28(spark, d):
+    line = F.concat_ws("\t", F.concat(F.lit("  "), "p_name", F.lit(" ")), F.concat(F.lit(" "), "p_type"), F.col("p_partkey").cast("string"))
+    path = corpus.scratch(spark) + "/parts"
+    read(spark, d, "part").select(F.explode(F.array(line, F.lit("# a note"), F.lit(""))).alias("value")).write.text(path)
+    return corpus.read_tsv(spark, path, "name string, kind string, k long")
+
+
+CORPUS = {"live": "id long, company string, posted_date timestamp", "state": "id long, last_seen timestamp", "bodies": "id long, body string, chunk int", "details": "id long"}
+
+
+def published(spark, d):
+    """The lens written as a corpus and read back; `details` was never written."""
+    df, path = lens(spark, d), corpus.scratch(spark)
+    corpus.write_corpus(df.where("id % 3 <> 0").select("id", "company", "posted_date"), df.select("id", "last_seen"), df.select("id", "body"), path)
+    return corpus.read_corpus(spark, path, CORPUS)
+
+
+@query("a30_read_corpus", duck("SELECT 'live' AS part, count(*) AS n, sum(id)::BIGINT AS ids FROM lens WHERE id % 3 <> 0 UNION ALL SELECT 'state', count(*), sum(id)::BIGINT FROM lens UNION ALL SELECT 'details', 0, 0"))
+def a30(spark, d):
+    t = published(spark, d)
+    one = lambda k: t[k].agg(F.lit(k).alias("part"), F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"))
+    return one("live").unionByName(one("state")).unionByName(one("details"))
+
+
+@query("a31_published_bodies", duck("SELECT id, CAST(id % 16 AS INT) AS chunk, body FROM lens WHERE id % 3 <> 0"))
+def a31(spark, d):
+    return published(spark, d)["bodies"].select("id", "chunk", "body")
+
+
+@query("a32_export_csv", duck(r"SELECT 'k' || id AS key, title, regexp_replace(body, '[\r\n]+', ' ', 'g') AS notes, posted_date AS saved_at, CASE WHEN id % 2 = 0 THEN first_seen END AS applied_at FROM lens WHERE id % 3 = 1"))
+def a32(spark, d):
+    df, path = lens(spark, d).where("id % 3 = 1"), corpus.scratch(spark) + "/tracked"
+    corpus.export_csv(df.select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "title", F.col("body").alias("notes"), F.col("posted_date").alias("saved_at"), F.when(F.col("id") % 2 == 0, F.col("first_seen")).alias("applied_at")), path)
+    return spark.read.csv(path, header=True, quote='"', escape='"', schema="key string, title string, notes string, saved_at timestamp, applied_at timestamp")
+
+
 @query("a27_rejudge", duck("SELECT id FROM lens WHERE id % 3 = 0 OR is_entry"))
 def a27(spark, d):
     df = lens(spark, d).withColumn("job_id", F.col("id").cast("string"))
@@ -169,6 +239,15 @@ def d02(spark, d):
     return lifecycle.upsert(stored_rows(df), shard_rows(df), clock()).select("key", "last_seen", "action", F.length("body").alias("body_length"))
 
 
+@query("d03_insert_new", duck("SELECT id, CASE WHEN id % 4 < 2 THEN 'Austin, TX' ELSE location || ', CA' END AS location, CASE WHEN id % 4 < 2 THEN 'TX' ELSE 'CA' END AS state, true AS is_usa, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(ring)($|[^a-z0-9])') THEN 'Ring' ELSE 'Bulk' END AS role_category, CASE WHEN is_senior THEN 'Senior' WHEN id % 10 >= 8 THEN 'Principal' WHEN id % 10 >= 5 THEN 'Senior' WHEN id % 10 >= 3 THEN 'Mid' ELSE 'Entry Level' END AS level FROM lens WHERE id % 3 = 1 AND id % 2 = 1 AND regexp_matches(lower(title), '(^|[^a-z0-9])(ring|large|medium)($|[^a-z0-9])')"))
+def d03(spark, d):
+    df = lens(spark, d).withColumns({"in_id": F.col("id").cast("string"), "title": F.concat(F.when(F.col("is_senior"), "Senior ").otherwise(""), "title"), "body": F.concat(F.lit("Needs "), (F.col("id") % 10).cast("string"), F.lit("+ years of experience"))})
+    inc = df.where("id % 3 = 1").select("id", "in_id", "company", F.col("in_id").alias("job_id"), F.when(F.col("id") % 4 < 2, F.lit("https://x.example.com/job/Austin--TX/apply")).otherwise(F.lit("https://x.example.com/")).alias("apply_url"), "title", F.when(F.col("id") % 4 < 2, F.lit("2 Locations")).otherwise(F.concat("location", F.lit(", CA"))).alias("location"), "body")
+    old = df.where("id % 2 = 0").select(F.col("in_id").alias("key"), "company", F.col("in_id").alias("job_id"), F.lit("").alias("apply_url"), F.lit("").alias("title"), "location")
+    v = classify.verdict(F.col("title"), F.col("body"), (("Ring", ("ring",)), ("Bulk", ("large", "medium"))), (), ("nobody",))
+    return lifecycle.insert_new(inc, lifecycle.match_existing(inc, old), v).select("id", "location", "state", "is_usa", "role_category", "level")
+
+
 @query("d04_reconcile_removals", duck(D_VIEWS + ", m AS (SELECT s.key, CASE WHEN s.company IN (SELECT company FROM shard) AND s.key NOT IN (SELECT key FROM shard) THEN s.id % 2 + 1 END AS m, s.id % 2 AS old FROM stored s) SELECT key, CAST(coalesce(m, old) AS INT) AS missed, CASE WHEN m >= 2 THEN 'removed' WHEN m IS NOT NULL THEN 'possibly_removed' ELSE 'active' END AS status FROM m"))
 def d04(spark, d):
     df = lens(spark, d)
@@ -196,6 +275,13 @@ def d05(spark, d):
     return lifecycle.company_health(outcomes(spark, d))
 
 
+@query("d17_publishable", f"WITH o AS ({OUTCOMES}) SELECT run, count(*) AS planned, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE ok) > 0 AS publish FROM o GROUP BY run")
+def d17(spark, d):
+    return lifecycle.publishable(outcomes(spark, d))
+
+
+
+
 def runs(spark, d):
     return read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("timestamp")).alias("finished_at"), F.col("o_orderpriority").alias("engine"))
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import chunk_of
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share (where that is unset, a local temporary one); it goes with the session's JVM."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomwork-scratch"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     df = spark.read.csv(path, sep="\t", comment="#", schema=schema)
     return df.select(*[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]).where(F.coalesce(df.columns[0], F.lit("")) != "")
@@ -42,4 +55,4 @@ def read_corpus(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict
 def export_csv(tracked: DataFrame, path: str) -> None:
     """Applied first, then saved, newest first; line ends to spaces."""
     flat = [F.regexp_replace(c, r"[\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in tracked.dtypes]
-    tracked.select(*flat).orderBy(F.desc_nulls_last("applied_at"), F.desc_nulls_last("saved_at"), "key").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    tracked.select(*flat).orderBy(F.desc_nulls_last("applied_at"), F.desc_nulls_last("saved_at"), "key").write.mode("overwrite").csv(path, header=True, quote='"', escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -26,6 +26,28 @@ def labelled_fields(html: Column, label: str = r"<dt[^>]*>([^<]*)</dt>\s*<dd[^>]
     return F.map_from_entries(F.transform(first, lambda p: F.struct(F.trim(p["k"]), F.trim(p["v"]))))
 
 
+def header_fields(html: Column) -> Column:
+    """Map of label in lower case to value of header fields marked as such; empty values do not count, of equal labels the first does. Entities stay: `decoded` what is read from it."""
+    field = r'(?is)<dt[^>]*class="[^"]*JobHeaderField[^"]*"[^>]*>(.*?)</dt>\s*<dd[^>]*class="[^"]*JobHeaderData[^"]*"[^>]*>(.*?)</dd>'
+    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(field), 1).alias("k"), F.regexp_extract_all(html, F.lit(field), 2).alias("v"))
+    pairs = F.filter(F.transform(pairs, lambda p: F.struct(F.lower(strip_tags(p["k"])).alias("k"), strip_tags(p["v"]).alias("v"))), lambda p: p["v"] != "")
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def table_rows(pages: DataFrame, html: str, base: str) -> DataFrame:
+    """Result tables: job_id, job_title, apply_url, location, posted_date of each row with a title link (its attributes in either order), the first per page and id."""
+    from ..functions.places import shouting_location
+    from ..operators.lifecycle import keep_newest
+
+    link = r'<a\b(?=[^>]*class="jobTitle-link")'
+    rows = extract_cards(pages, html, r'(?is)<tr class="data-row"[^>]*>.*?</tr>', {"href": rf'(?is){link}[^>]*href="(/job/[^"]*?/\d+/)"', "job_title": rf"(?is){link}[^>]*>(.*?)</a>", "place": r'(?is)<span class="jobLocation">\s*(.*?)\s*</span>', "date": r'(?is)<span class="jobDate[^"]*">\s*(.*?)\s*</span>'})
+    day = F.coalesce(*[F.try_to_timestamp("date", F.lit(f)) for f in ("MMM d, yyyy", "M/d/yyyy", "d MMM yyyy", "yyyy-MM-dd")])
+    rows = rows.where("href <> ''").withColumn("job_id", F.regexp_extract("href", r"/(\d+)/$", 1))
+    out = keep_newest(rows, ["page_id", "job_id"], F.asc("pos"))
+    return out.select("page_id", "job_id", decoded(F.col("job_title")).alias("job_title"), F.concat(F.col(base), decoded(F.col("href"))).alias("apply_url"), shouting_location(decoded(F.col("place"))).alias("location"), day.alias("posted_date"))
+
+
 def extract_detail(html: Column, body: str = r"(?s)<article[^>]*>(.*?)</article>") -> Column:
     """Struct of body (container, else meta description), title and date posted."""
     meta = F.regexp_extract(html, r'<meta\s+name="description"\s+content="([^"]*)"', 1)

@@ -3,9 +3,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from loomwork.functions import identity, places, text
+from loomwork.functions import classify, identity, places, text
 from loomwork.operators import lifecycle, matching
 from loomwork.plans import registry
+from loomwork.sources import html
 
 
 def one(spark, column):
@@ -70,3 +71,29 @@ def test_only_the_first_shared_skill_makes_a_pair(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.ORACLES) <= set(__spark_entry__.queries())
+
+
+def test_foreign_places(spark):
+    for loc, code in (("CAN - Burlington, ON", "CAN"), ("Burlington, on ", "CAN"), ("MEX-Aguascalientes", "MEX"), ("San Jose, CA", ""), ("XYZ - Town", ""), (None, "")):
+        assert one(spark, places.foreign_code(F.lit(loc))) == code, loc
+    got = one(spark, places.parse_location(F.lit("CAN - Burlington, ON"), F.lit("")))
+    assert (got.is_usa, got.country) == (False, "CAN")
+    assert one(spark, places.mask_false_friends(F.lit("Mexicali, BAJA California Sur, X"))) == "Mexicali,  mexico , X"
+
+
+def test_experience_levels(spark):
+    for title, body, want in (("Engineering Intern", "new grad", "Unknown"), ("Engineer", "recent graduate", "New Grad"), ("Engineer", "0 to 2 years", "0-3 Years"), ("Engineer I", None, "Entry Level"), ("Engineer III", "", "Senior"), ("Engineer", "10+ years", "Mid Level"), (None, None, "Unknown")):
+        assert one(spark, classify.experience_level(F.lit(title), F.lit(body))) == want, title
+
+
+def test_header_fields_and_rows(spark):
+    page = '<dt class="JobHeaderField">City</dt> <dd class="JobHeaderData"><b>Erie</b></dd><dt class="JobHeaderField">State</dt><dd class="JobHeaderData">PA</dd>'
+    assert one(spark, places.header_location(html.header_fields(F.lit(page)))) == "Erie, PA, United States"
+    table = '<tr class="data-row"><a class="jobTitle-link" href="/job/x/7/">R&amp;D</a><span class="jobLocation"> ERIE, PA, US, 16501 </span><span class="jobDate">1/31/2024</span></tr>'
+    rows = html.table_rows(spark.createDataFrame([(1, table + table + '<tr class="data-row">none</tr>', "https://h")], "page_id long, html string, base string"), "html", "base").collect()
+    assert [(r.job_id, r.job_title, r.apply_url, r.location, r.posted_date) for r in rows] == [("7", "R&D", "https://h/job/x/7/", "Erie, PA, United States", dt.datetime(2024, 1, 31))]
+
+
+def test_a_run_without_success_is_not_published(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("a", 2, False)], "company string, run int, ok boolean")
+    assert {r.run: (r.planned, r.succeeded, r.publish) for r in lifecycle.publishable(rows).collect()} == {1: (2, 1, True), 2: (1, 0, False)}
