@@ -71,7 +71,9 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
 
 def candidates(x: np.ndarray, y: np.ndarray, least: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of x, row of y) that no comparison dropped; with `same`, only i < j."""
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(y):
+        return left[0], right[0]
     rows = max(1, (1 << 22) // (len(y) * STEP))
     for at in range(0, len(x), rows):
         part = x[at : at + rows]
