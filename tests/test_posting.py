@@ -97,3 +97,10 @@ def test_header_fields_and_rows(spark):
 def test_a_run_without_success_is_not_published(spark):
     rows = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("a", 2, False)], "company string, run int, ok boolean")
     assert {r.run: (r.planned, r.succeeded, r.publish) for r in lifecycle.publishable(rows).collect()} == {1: (2, 1, True), 2: (1, 0, False)}
+
+
+def test_term_hits_are_whole_words_in_list_order(spark):
+    terms = ("load flow", "rf", "c++", "plc", " grid ")
+    for body, want in (("PLC and RF: load flow", ["load flow", "rf", "plc"]), ("surf grids, load  flow", []), ("c++/grid", ["c++", " grid "]), ("", []), (None, [])):
+        assert one(spark, classify.term_hits(F.lit(body).cast("string"), terms)) == want, body
+    assert one(spark, classify.term_hits(F.lit("plc rf plc"), ("rf", "plc"))) == ["rf", "plc"]
