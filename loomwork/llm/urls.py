@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_dir, stored
+
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", "has_fragment", "suffix_rate", "site_rate")
 
 
@@ -69,12 +71,28 @@ def lexical(d: DataFrame) -> DataFrame:
     )
 
 
+def with_rate(d: DataFrame, key: str, rate: float, prior: float, most: int, folder: str) -> DataFrame:
+    """d(ruled) with `<key>_rate`: the smoothed block rate of all labelled rows of the row's key, the overall `rate` where none is labelled.
+
+    The `most` keys with the most rows are broadcast with their rates, so no other key has more than one row in `most`;
+    those meet their rates in a shuffle join, in which the rows of broadcast keys are spread by a key that no host has.
+    """
+    stats = d.groupBy(key).agg(F.count("*").alias("rows"), F.count("ruled").alias("n"), F.count_if(F.col("ruled") == "block").alias("b"))
+    stats = stored(stats.select(key, "rows", "n", ((F.col("b") + prior * rate) / (F.col("n") + prior)).alias("_r")), folder, key)
+    hot = stats.orderBy(F.desc("rows"), key).limit(most).select(key, F.col("_r").alias("_hot"))
+    rest = stats.where("n > 0").join(F.broadcast(hot), key, "left_anti").select(F.col(key).alias("_k"), F.col("_r").alias("_rest"))
+    d = d.join(F.broadcast(hot), key, "left")
+    spread = F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    d = d.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread)).join(rest, "_k", "left")
+    return d.withColumn(f"{key}_rate", F.coalesce("_hot", "_rest", F.lit(rate))).drop("_k", "_hot", "_rest")
+
+
 def judge(pages: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url", sample_rows: int = 20_000, max_suffixes: int = 2_000, prior: float = 20.0, trees: int = 20, depth: int = 4) -> DataFrame:
     """Per row: page_id, host, path, rule (null where none fits), verdict, score (block probability by the trees).
 
     The URLs that rules decide are the labelled ones; at most about `sample_rows` of them, chosen by a hash of the URL,
     train the trees. Suffix statistics are smoothed block rates over all labelled URLs of the last label and of the last
-    two labels of a host, kept for the `max_suffixes` most frequent of each, so what is broadcast is bounded; others get
+    two labels of a host; the rates of the `max_suffixes` most frequent of each are broadcast, the others joined; one without labels gets
     the overall rate. With labels of one kind only, the verdict is that one (allow if there are none). Null and
     malformed URLs have an empty host and path and are judged by the trees; repeated rows and null ids are kept.
     """
@@ -94,10 +112,9 @@ def judge(pages: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url:
         constant = "block" if n and blocked else "allow"
         return d.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(constant)).alias("verdict"), F.lit(1.0 if constant == "block" else 0.0).alias("score"))
     rate = blocked / n
+    folder = shared_dir(pages.sparkSession)
     for key in ("suffix", "site"):
-        stats = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("y").alias("b")).orderBy(F.desc("n"), key).limit(max_suffixes)
-        stats = stats.select(key, ((F.col("b") + prior * rate) / (F.col("n") + prior)).alias(f"{key}_rate"))
-        d = d.join(F.broadcast(stats), key, "left").fillna({f"{key}_rate": rate})
+        d = with_rate(d, key, rate, prior, max_suffixes, folder)
     scale = 1 << 20
     d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d)
     train = d.where("ruled is not null").where(F.pmod(F.xxhash64("url"), F.lit(scale)) < min(scale, round(scale * sample_rows / n))).select("features", (F.col("ruled") == "block").cast("double").alias("label"))

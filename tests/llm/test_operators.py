@@ -139,3 +139,11 @@ def test_counts_of_odd_texts_equal_the_library(spark):
     got = [r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()]
     assert got == [len(model.encode(t)) for t in texts]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_every_labelled_site_keeps_its_own_rate(spark):
+    rules = [urls.Rule(f"aa{i}.com", "/x/", "block" if i % 2 else "allow") for i in range(8)]
+    rows = [(1000 * i + j, f"http://w.aa{i}.com/{'y' if j >= 40 else 'x'}/{j}") for i in range(8) for j in range(10, 50)]
+    for most in (1, 3, 2000):
+        got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, max_suffixes=most).where("rule is null").collect()
+        assert {(r.page_id, r.verdict) for r in got} == {(p, "block" if p // 1000 % 2 else "allow") for p, u in rows if "/y/" in u}, most
