@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier trained in numpy: hashed word embeddings, filters of several widths, max pooling.
 
 A word's vector is the sum of three rows of one table, found by hashes of the word and of its first 4 and 5 bytes, so
-that inflected forms share. Decision thresholds are calibrated for each language on labelled rows kept out of training;
+that inflected forms share. Decision thresholds are calibrated for each language on all labelled rows kept out of training;
 the language is guessed from the text's words (naive Bayes over the same hashes), never read from a column.
 """
 
@@ -20,6 +20,10 @@ from . import bytes_np as B
 
 BUCKETS, DIMENSION, FILTERS, WIDTHS, PADS = 1 << 17, 12, 8, (1, 2, 3), 3
 HELD_OUT = (5, 0)
+#: Scores are grouped in bins of this width of the logit; each keeps its least and largest score.
+BIN = 1 / 1024
+#: Up to so many labels are broadcast to the texts; beyond, all texts are scored and their scores meet the labels.
+BROADCAST_LABELS = 1_000_000
 
 
 def words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,42 +151,113 @@ class Classifier:
             out.append(1 / (1 + np.exp(-np.clip(self.logits(rows, first) - self.thresholds[self.guess(rows, first)], -30, 30).astype(np.float64))))
         return np.concatenate(out) if out else np.zeros(0)
 
+    def set_words(self, langs: list[str], counts: np.ndarray) -> None:
+        """Word frequencies of each language from counts (BUCKETS, languages)."""
+        self.langs, counts = langs, counts + 0.1
+        self.word_logs = np.log(counts / counts.sum(0)).astype(np.float32)
+
+    def set_thresholds(self, own: np.ndarray, guess: np.ndarray, least_score: np.ndarray, largest_score: np.ndarray, ones: np.ndarray, zeros: np.ndarray, least: int = 15) -> None:
+        """Thresholds from groups of rows of like scores, with rows of label 1 and 0: those not trained on (`own`) by language, all of them together where a language has fewer than `least` of a label."""
+
+        def cut(m: np.ndarray) -> float:
+            return _cut(least_score[m], largest_score[m], ones[m], zeros[m])
+
+        def enough(m: np.ndarray) -> bool:
+            return min(ones[m].sum(), zeros[m].sum()) >= least
+
+        everyone = cut(own if enough(own) else np.ones(len(own), bool))
+        by = [own & (guess == k) for k in range(len(self.langs))]
+        self.thresholds = np.array([*(cut(m) if enough(m) else everyone for m in by), everyone], np.float32)
+
     def calibrate(self, texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], train: np.ndarray, held: np.ndarray, least: int = 15) -> None:
-        """Word frequencies of each language from all rows given; thresholds from the held rows, all of them together where a language has fewer than `least` of a label."""
-        self.langs = sorted({x for x in langs if x is not None})
-        counts = np.full((BUCKETS, max(1, len(self.langs))), 0.1)
+        """Word frequencies and thresholds from rows in memory: frequencies from all given, thresholds from the held ones."""
+        names = sorted({x for x in langs if x is not None})
+        counts = np.zeros((BUCKETS, max(1, len(names))))
         for t, x in zip(texts, langs, strict=True):
             if x is not None:
-                np.add.at(counts[:, self.langs.index(x)], t[:, 0], 1)
-        self.word_logs = np.log(counts / counts.sum(0)).astype(np.float32)
+                np.add.at(counts[:, names.index(x)], t[:, 0], 1)
+        self.set_words(names, counts)
         score, guess = np.zeros(len(texts), np.float32), np.zeros(len(texts), np.int64)
         for at in range(0, len(texts), 128):  # a part at a time: all responses at once would fill the driver
             part = texts[at : at + 128]
             rows, first = np.concatenate(part), np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
             score[at : at + 128], guess[at : at + 128] = self.logits(rows, first), self.guess(rows, first)
-        both = held if min((y[held] == 1).sum(), (y[held] == 0).sum()) >= least else np.concatenate([train, held])
-        everyone = _cut(score[both], y[both])
-        cuts = []
-        for k in range(len(self.langs)):
-            own = held[guess[held] == k]
-            cuts.append(_cut(score[own], y[own]) if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= least else everyone)
-        self.thresholds = np.array([*cuts, everyone], np.float32)
-
-
-def _cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The logit between the two labels with the best balanced accuracy, midway through the widest such gap; 0 if a label is missing."""
-    if not (y == 1).any() or not (y == 0).any():
+        used = np.concatenate([train, held])
+        self.set_thresholds(np.isin(used, held), guess[used], score[used], score[used], (y[used] == 1).astype(int), (y[used] == 0).astype(int), least)
+
+
+def _cut(lo: np.ndarray, hi: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """The logit between the two labels with the best balanced accuracy, midway through the widest such gap; 0 if a label is missing.
+
+    Given are groups of rows within a bin: their least and largest logit and how many have label 1 and 0.
+    """
+    if not ones.sum() or not zeros.sum():
         return 0.0
-    order = np.argsort(score)
-    s, t = score[order], y[order]
-    lost = np.concatenate([[0], np.cumsum(t == 1)]) / (t == 1).sum()
-    kept = np.concatenate([[0], np.cumsum(t == 0)]) / (t == 0).sum()
+    bins, at = np.unique(np.floor(np.asarray(lo, np.float64) / BIN), return_inverse=True)
+    least, largest = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
+    np.minimum.at(least, at, lo)
+    np.maximum.at(largest, at, hi)
+    lost = np.concatenate([[0], np.cumsum(np.bincount(at, ones))]) / ones.sum()
+    kept = np.concatenate([[0], np.cumsum(np.bincount(at, zeros))]) / zeros.sum()
     value = kept - lost
     good = np.flatnonzero(value[1:-1] >= value.max() - 1e-9) + 1
     if not len(good):
-        return float(s.mean())
-    i = good[np.argmax(s[good] - s[good - 1])]
-    return float((s[i] + s[i - 1]) / 2)
+        return float(((lo + hi) / 2 * (ones + zeros)).sum() / (ones + zeros).sum())
+    i = good[np.argmax(least[good] - largest[good - 1])]
+    return float((least[i] + largest[i - 1]) / 2)
+
+
+def _word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, words of each table row and language) over all rows of docs(lang, text) with a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+
+        def out(lang: str) -> pa.RecordBatch:
+            n = found.pop(lang)
+            at = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
+
+        for b in batches:
+            code = b.column(0).dictionary_encode()
+            names, code, done = code.dictionary.to_pylist(), code.indices.to_numpy(), 0
+            for rows, first in words(b.column(1)):
+                of = np.repeat(code[done : done + len(first) - 1], np.diff(first))
+                done += len(first) - 1
+                for k in np.unique(of):
+                    if names[k] not in found and len(found) >= 64:
+                        yield out(next(iter(found)))
+                    np.add(found.setdefault(names[k], np.zeros(BUCKETS, np.int64)), np.bincount(rows[of == k, 0], minlength=BUCKETS), out=found[names[k]])
+        for lang in list(found):
+            yield out(lang)
+
+    got = docs.where("lang is not null").select("lang", "text").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(got["lang"].unique().to_pylist())
+    counts = np.zeros((BUCKETS, max(1, len(names))))
+    if names:
+        counts[got["bucket"].to_numpy(), pc.index_in(got["lang"], pa.array(names)).to_numpy()] = got["n"].to_numpy()
+    return names, counts
+
+
+def _score_groups(docs: DataFrame, labels: DataFrame, fitted: DataFrame, n_labels: int, model: Classifier) -> pa.Table:
+    """own (not fitted to), guess, lo, hi, ones, zeros of each bin of logits of all rows of docs(doc_id, text) with labels(doc_id, y)."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = held.value
+            parts = [(c.guess(rows, first), c.logits(rows, first)) for rows, first in words(b.column(0))]
+            guess, logit = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(guess, pa.int32()), pa.array(logit, pa.float32()), *b.columns[1:]], ["guess", "logit", *b.schema.names[1:]])
+
+    kind = f"guess int, logit float, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    if n_labels <= BROADCAST_LABELS:
+        scored = docs.join(F.broadcast(labels), "doc_id").select("text", "doc_id", "y").mapInArrow(run, f"{kind}, y int")
+    else:
+        scored = docs.select("text", "doc_id").mapInArrow(run, kind).join(labels, "doc_id")
+    scored = scored.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "doc_id", "left")
+    groups = scored.groupBy(F.col("fitted").isNull().alias("own"), "guess", F.floor(F.col("logit").cast("double") / BIN).alias("bin"))
+    return groups.agg(F.min("logit").alias("lo"), F.max("logit").alias("hi"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")).drop("bin").toArrow()
 
 
 def _fold(doc_id: str, modulus: int):
@@ -192,8 +267,10 @@ def _fold(doc_id: str, modulus: int):
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic", toxic_rows: int = 2000, other_rows: int = 3000, passes: int = 8, held_out: tuple[int, int] = HELD_OUT) -> Classifier:
     """Fits to labelled rows outside the held-out fold: at most about `toxic_rows` with label 1 and `other_rows` with label 0, chosen by a hash of doc_id.
 
-    A fifth of them calibrates the thresholds. A document labelled more than once counts with its largest label; null
-    labels are left out. With no rows of a label the scores are those of a constant.
+    A fifth of them is not fitted to. The thresholds are calibrated on it and on all other labelled rows outside the
+    held-out fold; the word frequencies that tell the language are counted over all rows outside that fold. A document
+    labelled more than once counts with its largest label; null labels are left out. With no rows of a label the scores
+    are those of a constant.
     """
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(_fold("doc_id", held_out[0]) != held_out[1])
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
@@ -220,7 +297,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     else:
         out.weights[:] = 0
         out.bias[:] = 3 if (y == 1).any() else -3
-    out.calibrate(texts, y, got["lang"].to_pylist(), np.flatnonzero(~held), np.flatnonzero(held))
+    learnable = d.where(_fold("doc_id", held_out[0]) != held_out[1])
+    out.set_words(*_word_counts(learnable))
+    fitted = docs.sparkSession.createDataFrame(got.filter(pa.array(~held)).select(["doc_id"])).select(F.col("doc_id").cast(d.schema["doc_id"].dataType)).distinct()
+    groups = _score_groups(learnable.select("doc_id", "text"), own.groupBy("doc_id").agg(F.max("y").alias("y")), fitted, sum(counts.values()), out)
+    out.set_thresholds(*(groups[c].to_numpy() for c in ("own", "guess", "lo", "hi", "ones", "zeros")))
     return out
 
 

@@ -147,3 +147,30 @@ def test_every_labelled_site_keeps_its_own_rate(spark):
     for most in (1, 3, 2000):
         got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, max_suffixes=most).where("rule is null").collect()
         assert {(r.page_id, r.verdict) for r in got} == {(p, "block" if p // 1000 % 2 else "allow") for p, u in rows if "/y/" in u}, most
+
+
+def test_thresholds_and_languages_come_from_all_labelled_rows(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    word = {"en": [f"en{i}" for i in range(200)], "xx": [f"xx{i}" for i in range(200)]}
+    docs, labels = [], []
+    for i in range(3000):
+        lang = "xx" if i % 25 < 2 else "en"
+        toxic = int(r.integers(0, 2))
+        docs.append((i, " ".join([*r.choice(word[lang], 20), *(["vile"] if toxic else [])]), lang))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    real = toxicity.Classifier.set_thresholds
+    monkeypatch.setattr(toxicity.Classifier, "set_thresholds", lambda self, own, guess, lo, hi, ones, zeros, least=15: (seen.append((own, guess, ones, zeros)), real(self, own, guess, lo, hi, ones, zeros, least))[1])
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    want = {(x.lang, x.toxic): x.n for x in docs.join(labels, "doc_id").where(fold).groupBy("lang", "toxic").agg(F.count("*").alias("n")).collect()}
+    models = []
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", most)
+        models.append(toxicity.train(docs, labels, toxic_rows=60, other_rows=60, passes=1))
+        own, guess, ones, zeros = seen[-1]
+        assert models[-1].langs == ["en", "xx"] and not own.all() and sum(ones[~own]) + sum(zeros[~own]) <= 120
+        assert {(x, y): int(n[guess == k].sum()) for k, x in enumerate(("en", "xx")) for y, n in ((0, zeros), (1, ones))} == want
+        assert min(ones[own & (guess == 1)].sum(), zeros[own & (guess == 1)].sum()) >= 15  # few of the sample, many of the labels
+    assert np.allclose(models[0].thresholds, models[1].thresholds, atol=1e-3)
+    assert len(np.unique((models[0].word_logs[:, 1] > models[0].word_logs[:, 1].min()).nonzero()[0])) >= 195
