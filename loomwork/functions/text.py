@@ -106,7 +106,7 @@ def years_required(c: Column) -> Column:
 
 def remote_status(location: Column, body: Column) -> Column:
     where = F.lower(F.coalesce(location, F.lit("")))
-    text = F.concat_ws(" ", where, F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 500)))
+    text = F.concat_ws(" ", where, F.lower(F.coalesce(body, F.lit(""))))
     return F.when(F.contains(text, F.lit("hybrid")), "Hybrid").when(F.contains(text, F.lit("remote")), "Remote").when(where == "", "Unknown").otherwise("Onsite")
 
 

@@ -104,3 +104,9 @@ def test_term_hits_are_whole_words_in_list_order(spark):
     for body, want in (("PLC and RF: load flow", ["load flow", "rf", "plc"]), ("surf grids, load  flow", []), ("c++/grid", ["c++", " grid "]), ("", []), (None, [])):
         assert one(spark, classify.term_hits(F.lit(body).cast("string"), terms)) == want, body
     assert one(spark, classify.term_hits(F.lit("plc rf plc"), ("rf", "plc"))) == ["rf", "plc"]
+
+
+def test_work_mode_reads_the_whole_body(spark):
+    late = "x" * 5000
+    for place, body, want in (("Erie, PA", late + " Hybrid", "Hybrid"), ("", late + " remote", "Remote"), ("", "remote " + late + " hybrid", "Hybrid"), ("Erie, PA", late, "Onsite"), ("", None, "Unknown")):
+        assert one(spark, text.remote_status(F.lit(place), F.lit(body).cast("string"))) == want, (place, want)
