@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
+from .shared import sampled
 
 WINDOW, HIDDEN, LANES = 128, 8, 2048
 HELD_OUT = (4, 2)
@@ -195,21 +197,20 @@ def _fold(doc_id, modulus: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 600, windows_per_row: int = 3, passes: int = 14, held_out: tuple[int, int] = HELD_OUT) -> Network | None:
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 600, windows_per_row: int = 3, max_langs: int = 100, passes: int = 14, held_out: tuple[int, int] = HELD_OUT) -> Network | None:
     """Fits the network to text and non-null lang of the rows outside the held-out fold; None where there are none.
 
-    It sees at most `rows_per_lang` rows of each language, chosen by a hash of doc_id, and `windows_per_row` windows of each.
+    It sees at most about `rows_per_lang` rows of each language, chosen by a hash of doc_id, and `windows_per_row` windows
+    of each. It learns the `max_langs` languages with the most rows (a column with more values than that is not clean).
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     d = d.where("lang is not null and text is not null and doc_id is not null").where(_fold("doc_id", held_out[0]) != held_out[1])
-    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}  # a row per language
+    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return None
-    scale = 1 << 20
-    share = F.lit(0)
-    for k, n in counts.items():
-        share = F.when(F.col("lang") == k, min(scale, round(1.2 * scale * rows_per_lang / n) + 1)).otherwise(share)
-    some = d.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(scale)) < share)
+    key = F.xxhash64("doc_id", F.lit("lang"))
+    shares = [(k, sampled(key, round(1.2 * rows_per_lang) + 1, n)) for k, n in sorted(counts.items())]
+    some = d.where(reduce(lambda a, b: a | b, [(F.col("lang") == k) & hit for k, hit in shares]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests, local mode), under a local temporary one.
+    """A new folder under spark.checkpoint.dir; in local mode, where that is unset, under a local temporary one.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends. On a cluster the setting is required: a machine's own temporary folder
+    would scatter the data.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomwork-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/loomwork-shared"
     out = f"{base.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -30,6 +36,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def sampled(key: Column, wanted: int, total: int) -> Column:
+    """Whether a row is one of about `wanted` of `total` rows: its 64-bit hash `key` lies below that share of all values."""
+    if wanted >= total:
+        return F.lit(True)
+    return key < F.lit(int(Fraction(wanted, total) * (1 << 64)) - (1 << 63))
+
+
 def connected_components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) longs; the component is its least node.
 
