@@ -1,24 +1,31 @@
 """Benchmark decontamination by winnowing (Schleimer, Wilkerson and Aiken 2003).
 
 Of every `window` successive k-gram hashes the least is kept as a fingerprint, on both sides. With k + window - 1 = n,
-any shared run of n words has at least one fingerprint in common; each common fingerprint is extended to both sides word
-by word, and runs of n words or more are the occurrences. So no shared run of n words is missed and none is invented.
+any shared run of n words has at least one fingerprint in common; each common fingerprint is extended to both sides, and
+runs of n words or more are the occurrences. So no shared run of n words is missed; that none is invented rests on words
+being compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytes_np as B
+from .shared import shared_dir, stored
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("spans", SPANS)])
+FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("spans", SPANS)]
+#: Bits of the table that tells most k-grams and windows without a partner before any shuffle (16 MB).
+FILTER_BITS = 27
+#: No key has more rows in one task of a join than this share of all rows on its side.
+HOT_SHARE = 1000
 
 
 def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,87 +132,138 @@ class Index:
                 yield n, int(f.sum()), items[t], runs.tolist()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, k: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
+_indexes: dict[str, Index] = {}
+
+
+def _index(token: str, ids: list[int], texts: list[str], n: int, k: int) -> Index:
+    """The index of one call of decontaminate, built once in each worker process."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = Index(ids, texts, n, k)
+    return _indexes[token]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, k: int = 5, broadcast_bytes: int = 32 << 20, keep: list[str] = ()) -> DataFrame:
     """Words of each document that lie inside an occurrence of `n` successive words of a benchmark item.
 
-    An item of fewer words, but not none, is one window. Returns a row per document row: doc_id, n_words, n_hit,
-    item_ids (sorted), spans (hit runs as word numbers). The benchmark's size is measured: up to `broadcast_bytes` its
-    index goes to every task and documents are not shuffled; beyond, fingerprints are joined by shuffle, and candidate
-    pairs are extended exactly (there doc_id must be unique: rows that share one are merged).
-    Null and empty texts have no words; items with a null id are left out; equal items all count; an empty benchmark
-    hits nothing; other columns are ignored.
+    An item of fewer words, but not none, is one window. Returns a row per document row: doc_id (as it is), n_words,
+    n_hit, item_ids (sorted), spans (hit runs as word numbers); columns in `keep` go along, `text` under its name and any
+    other `c` as `_c`. The benchmark's size is measured: up to `broadcast_bytes` its index goes to every worker and
+    documents are not shuffled; beyond, fingerprints and windows meet by shuffle. Both ways give the same rows: each row's
+    result depends on its text alone, so null and repeated ids are kept.
+    Null and empty texts have no words; item ids are integers (else Spark's cast fails), items with a null id are left
+    out; equal items all count; an empty benchmark hits nothing; an empty table gives no rows.
     """
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    names = [c for c in keep if c not in ("doc_id", "text")]
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"_{c}") for c in names])
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    more = [*(["text"] if "text" in keep else []), *[f"_{c}" for c in names]]
     if size > broadcast_bytes:
-        return _by_shuffle(d, items, n, k)
+        return _by_shuffle(d, items, n, k, more)
     rows = items.collect()
-    held = d.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+    held, token = d.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows])), uuid.uuid4().hex
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*held.value, n, k)
+        index = _index(token, *held.value, n, k)
         for b in batches:
-            yield _batch(b.column(0), index.rows(b.column(1)))
+            names = b.schema.names
+            found = _columns(index.rows(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *found, *[b.column(names.index(c)) for c in more]], ["doc_id", *[f.name for f in FOUND], *more])
 
-    return d.mapInArrow(mark, RESULT)
+    return d.mapInArrow(mark, T.StructType([d.schema["doc_id"], *FOUND, *[d.schema[c] for c in more]]))
 
 
-def _batch(ids: pa.Array, rows: Iterator[tuple]) -> pa.RecordBatch:
+def _columns(rows: Iterator[tuple]) -> list[pa.Array]:
     rows = list(rows)
     spans = [[{"start": a, "end": e} for a, e in r[3]] for r in rows]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64())), pa.array(spans, kind)], ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+    return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64())), pa.array(spans, kind)]
 
 
-def _by_shuffle(d: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
-    lengths = {r[0] for r in items.mapInArrow(_counts, "n long").where(f"n > 0 and n < {n}").distinct().collect()}  # at most n - 1 values
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, h, first in word_hashes(b.column(1)):
-                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                words = np.diff(first)
-                for m in (k, *sorted(lengths)):
-                    g = B.windows(h, m)
-                    inside = text[: len(g)] == text[m - 1 :] if len(g) else np.zeros(0, np.bool_)
-                    keep = winnow(g, n - k + 1) & inside if m == k else inside
-                    p = np.flatnonzero(keep)
-                    tag = np.full(len(p), m if m != k else 0, np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + text[p])), pa.array(g[p].view(np.int64)), pa.array(tag), pa.array(words[text[p]])], ["id", "h", "m", "n_words"])
-                    if m == k and k in lengths:
-                        p = np.flatnonzero(inside)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + text[p])), pa.array(g[p].view(np.int64)), pa.array(np.full(len(p), m, np.int32)), pa.array(words[text[p]])], ["id", "h", "m", "n_words"])
-
-    kind = "id long, h long, m int, n_words long"
-    theirs = items.mapInArrow(prints, kind).where(f"(m = 0 and n_words >= {n}) or (m = n_words)").select("h", "m", F.col("id").alias("item_id")).distinct()
-    ours = d.mapInArrow(prints, kind).select("h", "m", F.col("id").alias("doc_id")).distinct()
-    pairs = ours.join(theirs, ["h", "m"]).select("doc_id", "item_id").distinct()
-    both = pairs.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").join(d, "doc_id").select("doc_id", "text", "item_id", "item_text")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                index = Index([b.column(2)[i].as_py()], [b.column(3)[i].as_py()], n, k)
-                yield _batch(b.column(0).slice(i, 1), index.rows(b.column(1).slice(i, 1)))
-
-    # the union of the runs of a document, in word order: a run opens where no earlier one reaches
-    runs = both.mapInArrow(extend, RESULT).where("n_hit > 0")
-    found = runs.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
-    joined = F.aggregate("s", F.expr("cast(array() as array<struct<start:int,end:int>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    found = found.select("doc_id", "item_ids", joined.alias("spans"))
-    counts = d.mapInArrow(_doc_counts, "doc_id long, n_words long")
-    out = counts.groupBy("doc_id").agg(F.max("n_words").alias("n_words")).join(found, "doc_id", "left")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return out.select("doc_id", "n_words", F.coalesce(hit, F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"))
+def _item_hashes(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each item its windows (m words, hash w) and, with m = 0, its fingerprints."""
+    for b in batches:
+        for row, h, first in word_hashes(b.column(1)):
+            for i in range(len(first) - 1):
+                w = h[first[i] : first[i + 1]]
+                m = min(n, len(w))
+                found = [(m, B.windows(w, m))] if m else []
+                if m == n:
+                    g = B.windows(w, k)
+                    found.append((0, g[winnow(g, n - k + 1)]))
+                for m, w in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b.column(0)[row + i].as_py(), np.int64)), pa.array(np.full(len(w), m, np.int32)), pa.array(w.view(np.int64))], ["item_id", "m", "w"])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _doc_counts(batches):
-        yield b.select(["n_words"]).rename_columns(["n"])
+def _candidates(batches: Iterator[pa.RecordBatch], table: np.ndarray, lengths: list[int], n: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each text: windows of n words around fingerprints that may be the benchmark's, and windows as long as short items."""
 
+    def may(h: np.ndarray) -> np.ndarray:
+        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = [np.diff(first) for _, _, first in word_hashes(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], ["doc_id", "n_words"])
+        for row, h, first in word_hashes(b.column(1)):
+            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            for m in (n, *lengths):
+                if len(h) < m:
+                    continue
+                w = B.windows(h, m)
+                at = np.ones(len(w), np.bool_)
+                if m == n:
+                    g = B.windows(h, k)
+                    p = np.flatnonzero(winnow(g, n - k + 1) & may(g) & (text[: len(g)] == text[k - 1 :]))
+                    around = (p[:, None] - np.arange(n - k + 1)[None, :]).reshape(-1)
+                    at = np.zeros(len(w), np.bool_)
+                    at[around[(around >= 0) & (around < len(w))]] = True
+                p = np.flatnonzero(at & (text[: len(w)] == text[m - 1 :]))
+                p = p[may(w[p])]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + text[p])), pa.array(np.full(len(p), m, np.int32)), pa.array((p - first[text[p]]).astype(np.int32)), pa.array(w[p].view(np.int64))], ["key", "m", "start", "w"])
+
+
+def _join_hot(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left(key, m, w, ...) joined with right(m, w, ...): rows of values w that are common on the left are spread over several copies of the right rows."""
+    counts = left.groupBy("w").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    per = max(10_000, -(-total // HOT_SHARE))
+    hot = F.broadcast(counts.where(F.col("n") > per).select("w", F.ceil(F.col("n") / per).cast("int").alias("parts")))  # at most HOT_SHARE values
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, "w", "left").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).drop("parts")
+    right = right.join(hot, "w", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["m", "w", "part"], how).drop("part")
+
+
+def _by_shuffle(d: DataFrame, items: DataFrame, n: int, k: int, more: list[str]) -> DataFrame:
+    """The rows of decontaminate for a benchmark of any size.
+
+    A fixed-size bit table of the benchmark's fingerprints and windows is broadcast; a document fingerprint that it may
+    hold is extended to the windows of n words around it, and those meet the benchmark's windows in a join that emits one
+    row per place, however many items share it. Texts are known by their SHA-256 and never move.
+    """
+    folder = shared_dir(d.sparkSession)
+    theirs = stored(items.mapInArrow(lambda it: _item_hashes(it, n, k), "item_id long, m int, w long").distinct(), folder, "items")
+    lengths = sorted(r[0] for r in theirs.where(f"m between 1 and {n - 1}").select("m").distinct().collect())  # at most n - 1 values
+    slot = F.shiftrightunsigned("w", 64 - FILTER_BITS)
+    words = theirs.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[words["i"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    held = d.sparkSession.sparkContext.broadcast(table)
+    key = F.unhex(F.sha2("text", 256))
+    ours = d.select(key.alias("key"), "text").where("text is not null").mapInArrow(lambda it: _candidates(it, held.value, lengths, n, k), "key binary, m int, start int, w long")
+    ours = stored(ours.distinct(), folder, "candidates")
+    windows = theirs.where("m > 0")
+    hits = stored(_join_hot(ours, windows.select("m", "w").distinct(), "left_semi"), folder, "hits")
+    reach = hits.groupBy("key", "start").agg(F.max(F.col("start") + F.col("m")).alias("end"))
+    order = Window.partitionBy("key").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = reach.withColumn("opens", (before.isNull() | (F.col("start") > before)).cast("int")).withColumn("run", F.sum("opens").over(order))
+    runs = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = _join_hot(hits.select("key", "m", "w").distinct(), windows, "inner").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    copies = 16  # rows with equal texts are dealt over so many tasks
+    found = spans.join(named, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    out = d.select("doc_id", key.alias("key"), words.alias("n_words"), *more, F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int").alias("part")).join(found, ["key", "part"], "left")
+    none = {f.name: F.expr(f"cast(array() as {f.dataType.simpleString()})") for f in FOUND[2:]} | {"n_hit": F.lit(0)}
+    return out.select("doc_id", "n_words", *[F.coalesce(c, none[c]).alias(c) for c in ("n_hit", "item_ids", "spans")], *more)
