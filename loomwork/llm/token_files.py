@@ -1,9 +1,11 @@
 """Token ids in Arrow stream files of fixed-size-list batches, for zero-copy random access to equal-length sequences.
 
 A file holds the documents of one range of doc_id, in ascending order, as one run of ids cut into rows of `length`:
-`ids` fixed_size_list<uint16 or uint32>[length] and `mask` fixed_size_list<bool>[length], false only for the padding of
-the last row. All batches but the last have the same number of rows, so row r lies in batch r // rows, and mapping the
-file gives its ids without a copy. Beside it an index (`.index`, the same format) has doc_id, start, n_tokens by document.
+`ids` fixed_size_list<uint16 or uint32>[length] and `mask` fixed_size_list<uint8>[length], 0 only for the padding of the
+last row (whole bytes, as packed bits can't be read without a copy). All batches but the last have the same number of
+rows and bytes, so row r lies in batch r // rows at a known place of the file: a mapped file gives ids and masks without a
+copy, and a remote one is read a batch at a time. Beside it an index (`.index`, a stream too) has doc_id, start and
+n_tokens by document.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class Writer:
@@ -37,14 +39,19 @@ class Writer:
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.length, self.rows, self.kind = name, length, rows, np.uint32 if wide else np.uint16
         self.temporary = f"{self.folder}/_{name}-{np.random.SeedSequence().entropy:x}"
-        self.out = self.fs.open_output_stream(self.temporary)
-        self.stream = pa.ipc.new_stream(self.out, schema(length, wide))
+        self.out, self.index_out = self.fs.open_output_stream(self.temporary), self.fs.open_output_stream(self.temporary + ".index")
+        self.stream, self.index_stream = pa.ipc.new_stream(self.out, schema(length, wide)), pa.ipc.new_stream(self.index_out, INDEX)
         self.held: list[np.ndarray] = []
-        self.n_held = self.total = 0
-        self.index: list[tuple[int, int, int]] = []
+        self.n_held = self.total = self.docs = 0
+        self.index: list[tuple[int, int, int]] = []  # not yet written
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"token id {int(ids.max())} does not fit {np.dtype(self.kind).name}: write wide files")
         self.index.append((doc_id, self.total, len(ids)))
+        self.docs += 1
+        if len(self.index) >= 65536:
+            self._index()
         self.total += len(ids)
         self.held.append(ids.astype(self.kind))
         self.n_held += len(ids)
@@ -56,46 +63,58 @@ class Writer:
             self.held, self.n_held = [flat[whole:]], self.n_held - whole
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = np.arange(len(flat)) < real
-        self.stream.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], ["ids", "mask"]))
+        mask = (np.arange(len(flat)) < real).astype(np.uint8)
+        self.stream.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)], ["ids", "mask"]))
+
+    def _index(self) -> None:
+        if self.index:
+            self.index_stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self.index, strict=True)], schema=INDEX))
+            self.index = []
 
     def close(self) -> str:
         if self.n_held:
             flat = np.concatenate(self.held)
             self._batch(np.concatenate([flat, np.zeros(-len(flat) % self.length, self.kind)]), len(flat))
-        self.stream.close()
-        self.out.close()
+        self._index()
+        for x in (self.stream, self.out, self.index_stream, self.index_out):
+            x.close()
         final = f"{self.folder}/{self.name}.arrow"
-        with self.fs.open_output_stream(self.temporary + ".index") as out, pa.ipc.new_stream(out, INDEX) as s:
-            for at in range(0, len(self.index), 65536):
-                part = list(zip(*self.index[at : at + 65536], strict=True))
-                s.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], schema=INDEX))
         self.fs.move(self.temporary + ".index", final + ".index")
         self.fs.move(self.temporary, final)
         return final
 
 
 class Reader:
-    """Random access to the sequences and the documents of one file."""
+    """Random access to the sequences and the documents of one file; of a remote file only the last batch read is held."""
 
     def __init__(self, folder: str, name: str):
         self.fs, at = pafs.FileSystem.from_uri(folder)
-        path = f"{at}/{name}.arrow"
-        self.source = pa.memory_map(path) if isinstance(self.fs, pafs.LocalFileSystem) else self.fs.open_input_file(path)
-        self.batches = list(pa.ipc.open_stream(self.source))  # of a mapped file: headers only
-        self.rows = self.batches[0].num_rows if self.batches else 1
-        self.length = self.batches[0].schema.field(0).type.list_size if self.batches else 1
-        with self.fs.open_input_file(path + ".index") as f:
-            self.index = pa.ipc.open_stream(f).read_all()
-
-    def _flat(self, batch: int) -> np.ndarray:
-        return self.batches[batch].column(0).flatten().to_numpy()
+        self.path = f"{at}/{name}.arrow"
+        self.source = pa.memory_map(self.path) if isinstance(self.fs, pafs.LocalFileSystem) else self.fs.open_input_file(self.path)
+        self.schema = pa.ipc.read_schema(self.source)
+        self.first = self.step = self.source.tell()  # where batches begin; then how many bytes each has
+        self.length, self.rows, self.last = self.schema.field(0).type.list_size, 1, (-1, None)
+        head = self._batch(0)
+        if head is not None:
+            self.rows, self.step = head.num_rows, self.source.tell() - self.first
+
+    def _batch(self, i: int) -> pa.RecordBatch | None:
+        if self.last[0] != i:
+            self.source.seek(self.first + i * self.step)
+            try:
+                self.last = (i, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema))
+            except EOFError:  # a file without batches
+                return None
+        return self.last[1]
+
+    def _flat(self, batch: int, column: int = 0) -> np.ndarray:
+        return self._batch(batch).column(column).flatten().to_numpy()
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row; the ids are a view of the file."""
+        """Ids and mask of one row, both views of a mapped file."""
         b, r = divmod(row, self.rows)
-        mask = self.batches[b].column(1).flatten().slice(r * self.length, self.length).to_numpy(zero_copy_only=False)
-        return self._flat(b)[r * self.length : (r + 1) * self.length], mask
+        part = slice(r * self.length, (r + 1) * self.length)
+        return self._flat(b)[part], self._flat(b, 1)[part].view(np.bool_)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from `start` on; a view of the file unless they cross batches."""
@@ -109,21 +128,33 @@ class Reader:
 
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc_id, start in this file, ids) of each document."""
-        for batch in self.index.to_batches():
-            for d, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield d, s, self.ids(s, n)
+        with self.fs.open_input_file(self.path + ".index") as f:
+            for batch in pa.ipc.open_stream(f):
+                for d, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield d, s, self.ids(s, n)
+
 
+def n_files(d: DataFrame, file_bytes: int) -> int:
+    """Files for the texts of d: as many as the cluster has cores while they stay small, and none of over about file_bytes of text."""
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, min(d.sparkSession.sparkContext.defaultParallelism, size >> 22), -(-size // file_bytes))
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, length: int = 1024, files: int | None = None, wide: bool = False) -> list[tuple[str, int, int]]:
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, length: int = 1024, files: int | None = None, file_bytes: int = 256 << 20, wide: bool | None = None) -> list[tuple[str, int, int]]:
     """Encodes every whole text, appends end_id, and writes files in ascending doc_id order to the shared folder.
 
     Returns (name, documents, ids) of each file, in order: the manifest, a row per file. Rows are dealt by ranges of
-    doc_id, so no file depends on another. Null texts are empty (only the end id); rows with a null id come first;
-    repeated ids follow each other by text; `wide` writes 32-bit ids, for vocabularies over 65,536.
+    doc_id, so no file depends on another; their number comes from the bytes of all texts, about `file_bytes` each. Null
+    texts are empty (only the end id); ids are integers (else Spark's cast fails), rows with a null one come first, and
+    repeated ones follow each other by text, in one file. `wide` writes 32-bit ids; by default the vocabulary decides, and
+    an id that does not fit is an error.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spark = d.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wide is None:
+        from tokenizers import Tokenizer
+
+        wide = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1, end_id) > np.iinfo(np.uint16).max
+    n = files or n_files(d, file_bytes)
     dealt = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, *, doc_
                 w.add(i, np.frombuffer(ids + end, "<u4"))
         if w:
             w.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"part-{part:06d}"]), pa.array([len(w.index)]), pa.array([w.total])], ["part", "name", "docs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"part-{part:06d}"]), pa.array([w.docs]), pa.array([w.total])], ["part", "name", "docs", "ids"])
 
     rows = dealt.mapInArrow(write, "part long, name string, docs long, ids long").collect()  # a row per file
     return [(r.name, r.docs, r.ids) for r in sorted(rows, key=lambda r: r.part)]
