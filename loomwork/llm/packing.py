@@ -6,22 +6,28 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_ids import WITH_SPACES, cached
 
+OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
 
 def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score: str = "norm") -> np.ndarray:
     """The bin of each row of sizes (items x dimensions), every bin within capacity in every dimension.
 
     Items come in descending order of weighted size. Each goes to the open bin, among those with room in every
     dimension, that leaves the least weighted squared norm of what remains ("norm"), or that has the largest weighted
-    dot product of item and remaining room ("dot"); ties to the older bin; without such a bin a new one opens.
+    dot product of item and remaining room ("dot"); ties to the older bin; without such a bin a new one opens. An item
+    that no empty bin could hold is an error.
     """
     x = sizes / capacity
+    if (x > 1 + 1e-12).any():
+        i = int(np.flatnonzero((x > 1 + 1e-12).any(1))[0])
+        raise ValueError(f"item {i} of sizes {sizes[i].tolist()} exceeds a capacity of {np.asarray(capacity).tolist()}")
     order = np.lexsort((np.arange(len(x)), -(x * weights).sum(1)))
     room = np.empty((len(x), x.shape[1]))
     number = np.empty(len(x), np.int64)  # of each open bin
@@ -71,25 +77,31 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id
 def pack(parts: DataFrame, *, capacity: int = 1024, max_docs: int = 1024, max_attention: float | None = None, weights: tuple = (1.0, 0.001, 0.001), score: str = "norm", groups: int = 1) -> DataFrame:
     """parts with (sequence_id, offset): every sequence within capacity tokens, max_docs pieces and max_attention (sum of squared lengths; default capacity squared, which never binds).
 
-    Pieces are dealt by hash into `groups`, each packed in one task; sequences of a group are `group * 2**32 + number`.
-    Equal rows are packed each for itself.
+    Pieces are dealt in turn into `groups` of equal size whatever their ids are, each packed by one task; sequences of
+    a group are `group * 2**32 + number`. Equal rows are packed each for itself. A piece that alone exceeds a capacity
+    is an error, also where it would fill a sequence alone.
     """
     most = float(capacity) ** 2 if max_attention is None else max_attention
+    limits = np.array([capacity, max_docs, most], np.float64)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], na_position="last", ignore_index=True)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).to_pandas().sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], na_position="last", ignore_index=True)
         n = rows["length"].to_numpy(np.float64)
+        sizes = np.stack([n, np.ones(len(n)), n**2], 1)
         out = np.empty(len(rows), np.int64)
-        part = np.flatnonzero(n < capacity)
-        out[part] = best_fit(np.stack([n[part], np.ones(len(part)), n[part] ** 2], 1), np.array([capacity, max_docs, most], np.float64), np.array(weights), score)
-        full = np.flatnonzero(n >= capacity)  # fills a sequence alone
-        out[full] = (out[part].max() + 1 if len(part) else 0) + np.arange(len(full))
-        rows["sequence_id"] = (rows["grp"].to_numpy(np.int64) << 32) + out
+        full = n >= capacity  # fills a sequence alone
+        out[~full] = best_fit(sizes[~full], limits, np.array(weights), score)
+        if full.any():
+            best_fit(sizes[np.flatnonzero(full)[:1]], limits, np.array(weights))  # raises where even one can't be held
+        out[full] = (out[~full].max() + 1 if not full.all() else 0) + np.arange(full.sum())
+        rows["sequence_id"] = (np.int64(TaskContext.get().partitionId()) << 32) + out
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        yield from pa.Table.from_pandas(rows, schema=OUT, preserve_index=False).to_batches(max_chunksize=65536)
 
-    grp = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
-    return parts.withColumn("grp", grp).groupBy("grp").applyInPandas(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return parts.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups).mapInArrow(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, group_rows: int = 8192, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -97,7 +109,8 @@ def packed(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id
 
     Returns a row per piece: doc_id, piece (from 0), start, length, ids_crc32, sequence_id, offset (gapless from 0).
     Null and empty texts are one piece of end_id alone; repeated rows and null ids are packed as they are; an empty
-    table gives no rows; other columns are ignored. Only piece numbers are shuffled, never ids or texts.
+    table gives no rows; other columns are ignored. Only piece numbers are shuffled, never ids or texts. Other capacities
+    (max_docs, max_attention) go to `pack`; a document that alone exceeds one of them is an error.
     """
     n = docs.count()
     return pack(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, doc_id=doc_id, text=text), capacity=capacity, groups=max(1, round(n / group_rows)), **options)
