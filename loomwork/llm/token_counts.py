@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sampled
+
 PRE_TOKEN = re.compile(" [^ ]+")
 ODD = re.compile(" +[^ ]*")
 _models: dict[str, object] = {}
@@ -64,8 +66,6 @@ def frequent_pre_tokens(texts: DataFrame, path: str, most: int, sample_rows: int
 
     Only speed depends on this sample: what it lacks goes to tier two. Each task sends its own most frequent ones.
     """
-    share = min(1.0, sample_rows / max(rows, 1))
-
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
@@ -77,7 +77,8 @@ def frequent_pre_tokens(texts: DataFrame, path: str, most: int, sample_rows: int
         m = model(path)
         yield pa.RecordBatch.from_arrays([pa.array([" " + w for _, w in best], pa.string()), pa.array([c for c, _ in best], pa.int64()), pa.array([len(x) for x in m.encode([w for _, w in best])], pa.int32())], ["w", "c", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").coalesce(8)
+    # the filter runs in every task of the scan; only the few rows that pass move
+    some = texts.where(sampled(F.xxhash64("doc_id", "text"), sample_rows, rows)).select("text").repartition(8)
     got: Counter = Counter()
     size: dict[str, int] = {}
     for r in some.mapInArrow(top, "w string, c long, n int").toLocalIterator():  # at most 8 tasks x most rows
