@@ -13,13 +13,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
+from .shared import sampled
 
 BUCKETS, DIMENSION, FILTERS, WIDTHS, PADS = 1 << 17, 12, 8, (1, 2, 3), 3
 HELD_OUT = (5, 0)
+#: Words that pass the filters at once.
+BLOCK = 1 << 16
 #: Scores are grouped in bins of this width of the logit; each keeps its least and largest score.
 BIN = 1 / 1024
 #: Up to so many labels are broadcast to the texts; beyond, all texts are scored and their scores meet the labels.
@@ -65,9 +68,9 @@ class Classifier:
         x[at] = v
         return x, first[:-1] + PADS * np.arange(len(n)), at
 
-    def _pooled(self, x: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(texts, widths * FILTERS): the largest response over all places of a text; and the responses."""
-        edges = np.stack([starts, starts + n + 1], 1).reshape(-1)
+    def _pooled(self, x: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(texts, widths * FILTERS): the largest response over that many places of each text; and the responses."""
+        edges = np.stack([starts, starts + places], 1).reshape(-1)
         out, all_ = [], []
         for w, f, b in zip(WIDTHS, self.filters, self.shift, strict=True):
             y = x @ f[:DIMENSION]
@@ -79,17 +82,36 @@ class Classifier:
         return np.concatenate(out, 1), all_
 
     def logits(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A logit for each text; a long text goes through block by block, with the words that a filter sees beyond its block."""
         if len(first) < 2:
             return np.zeros(0, np.float32)
-        x, starts, _ = self._padded(rows, first)
-        best, _ = self._pooled(x, starts, np.diff(first))
+        n = np.diff(first)
+        best = np.empty((len(n), len(self.weights)), np.float32)
+        # runs of texts of at most BLOCK words in all, and longer texts alone
+        cuts, size = [0], 0
+        for i, m in enumerate(n.tolist()):
+            if size and size + m > BLOCK:
+                cuts.append(i)
+                size = 0
+            size += m
+        for i, j in zip(cuts, [*cuts[1:], len(n)], strict=True):
+            part = rows[first[i] : first[j]]
+            if j == i + 1 and n[i] > BLOCK:
+                best[i] = -np.inf
+                for at in range(0, n[i] + 1, BLOCK):
+                    piece = part[at : at + BLOCK + PADS]
+                    x, starts, _ = self._padded(piece, np.array([0, len(piece)]))
+                    best[i] = np.maximum(best[i], self._pooled(x, starts, np.array([min(BLOCK, n[i] + 1 - at)]))[0][0])
+            else:
+                x, starts, _ = self._padded(part, first[i : j + 1] - first[i])
+                best[i:j] = self._pooled(x, starts, n[i:j] + 1)[0]
         return np.maximum(best, 0) @ self.weights + self.bias
 
     def gradients(self, rows: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, list[np.ndarray]]:
         """Weighted cross-entropy, the table rows that it depends on, and the gradients by these and by the other parameters."""
         n = np.diff(first)
         x, starts, at = self._padded(rows, first)
-        best, all_ = self._pooled(x, starts, n)
+        best, all_ = self._pooled(x, starts, n + 1)
         hidden = np.maximum(best, 0)
         p = 1 / (1 + np.exp(-np.clip(hidden @ self.weights + self.bias, -30, 30)))
         loss = -float((weight * np.where(y == 1, np.log(p + 1e-9), np.log(1 - p + 1e-9))).sum() / weight.sum())
@@ -264,19 +286,21 @@ def _fold(doc_id: str, modulus: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic", toxic_rows: int = 2000, other_rows: int = 3000, passes: int = 8, held_out: tuple[int, int] = HELD_OUT) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic", toxic_rows: int = 2000, other_rows: int = 3000, sample_bytes: int = 16 << 20, passes: int = 8, held_out: tuple[int, int] = HELD_OUT) -> Classifier:
     """Fits to labelled rows outside the held-out fold: at most about `toxic_rows` with label 1 and `other_rows` with label 0, chosen by a hash of doc_id.
 
-    A fifth of them is not fitted to. The thresholds are calibrated on it and on all other labelled rows outside the
-    held-out fold; the word frequencies that tell the language are counted over all rows outside that fold. A document
-    labelled more than once counts with its largest label; null labels are left out. With no rows of a label the scores
-    are those of a constant.
+    Of each label the fit takes whole texts of at most `sample_bytes` in all, none of over a sixteenth of it, so the
+    driver's memory is bounded whatever the texts are. A fifth of the sample is not fitted to. The thresholds are
+    calibrated on it and on all other labelled rows outside the held-out fold; the word frequencies that tell the
+    language are counted over all rows outside that fold. Small samples are passed over more often, up to 40 times (about
+    20,000 texts in all), larger ones `passes` times. A document labelled more than once counts with its largest label;
+    null labels are left out. With no rows of a label the scores are those of a constant.
     """
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(_fold("doc_id", held_out[0]) != held_out[1])
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-    scale = 1 << 20
-    share = {k: min(scale, round(scale * n / max(1, counts.get(k, 0)))) for k, n in ((1, toxic_rows), (0, other_rows))}
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(scale)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).groupBy("doc_id").agg(F.max("y").alias("y"))
+    key = F.xxhash64("doc_id", F.lit("toxic"))
+    hit = F.when(F.col("y") == 1, sampled(key, toxic_rows, counts.get(1, 0))).otherwise(sampled(key, other_rows, counts.get(0, 0)))
+    chosen = own.where(hit).groupBy("doc_id").agg(F.max("y").alias("y"))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
 
     def to_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +309,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "lang", "rows"])
 
     kind = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, y int, lang string, rows binary"
-    # at most a little over toxic_rows + other_rows ids: always small enough to broadcast, and to collect with their words
-    got = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "lang", "text").mapInArrow(to_rows, kind).toArrow().sort_by("doc_id")
+    # at most a little over toxic_rows + other_rows ids: always small enough to broadcast; their lengths decide who is
+    # fitted to. Rows that repeat an id count once, with the least text.
+    size = F.coalesce(F.octet_length(F.min("text")), F.lit(0)).cast("long")
+    sizes = d.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(size.alias("size")).where(F.col("size") <= sample_bytes >> 4)
+    room = F.sum("size").over(Window.partitionBy("y").orderBy(key, "size").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("room", room).where(F.col("room") <= sample_bytes).select("doc_id", "y")
+    one = d.join(F.broadcast(fits), "doc_id").groupBy("doc_id", "y").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
+    got = one.select("doc_id", "y", "lang", "text").mapInArrow(to_rows, kind).toArrow().sort_by("doc_id")
     texts = [np.frombuffer(r, np.uint32).reshape(-1, 3) for r in got["rows"].to_pylist()]
     y = np.array(got["y"].to_pylist(), np.int64)
     out = Classifier.new()
