@@ -207,6 +207,17 @@ def test_pipeline_stages_take_effect(spark, documents):
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
 
 
+def test_pipeline_runs_its_stages_one_after_the_other(spark, documents):
+    """run() packs exactly what the stages, applied by hand, leave."""
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, TINY)
+    left = {r.doc_id for r in docs.collect()}
+    got = corpus_pipeline.run(spark, TINY)
+    assert {r.doc_id for r in got.collect()} == left and 0 < len(left) < len(documents)
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").isEmpty()
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     """Null, empty and repeated rows, null ids, extra columns and an empty table pass every stage."""
     rows = [(1, None, "en", "a", 0, "x"), (2, "", None, None, 0, None), (3, "some plain words here", "en", "a", 21, "x"), (3, "some plain words here", "en", "a", 21, "x"), (None, "other words of no id", "en", "b", 20, "x"), (4, "12 34 !?", "en", "b", 8, "x")]
