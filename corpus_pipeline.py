@@ -19,31 +19,45 @@ def _columns(scored: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    Null and empty texts are scored like texts without words; repeated rows and null ids are judged each for itself.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(toxicity.score(docs, model, keep=docs.columns).where("predicted = 0"), docs)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a clear language, go."""
+    """Documents without letters, or without a clear language, go: null and empty texts with them.
+
+    Repeated rows and null ids are judged each for itself; a table without any language loses all rows.
+    """
     net = language.train(docs)
     return _columns(language.identify(docs, net, keep=docs.columns).where(F.col("lang_pred") != "und").where(F.col("score") >= LEAST_LANGUAGE), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays.
+
+    Null, empty and wordless texts are no one's duplicates and stay, as do rows with a null id; rows that repeat an id
+    are one document, compared by its least text, and stay or go together.
+    """
     classes = near_duplicates.near_duplicates(docs)
     return docs.join(classes.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts stay; each row is judged by its own text, so repeated and null ids need no care. No row is joined
+    or moved while the benchmark fits in the operator's broadcast.
+    """
+    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return _columns(marked.where("n_hit = 0"), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of at most 1024 tokens."""
+    """What is left, packed into sequences of at most 1024 tokens; null and empty texts are an end id alone, repeated rows are packed each for itself."""
     return packing.packed(docs, _path("byte_bpe_50k.json"))
 
 
@@ -53,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to the shared folder and read again."""
+    """All stages over `documents`; each is written to the shared folder and read again. An empty table gives an empty result."""
     folder = shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
