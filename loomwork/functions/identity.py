@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import norm_key
 
-#: Query parameters that only track, compared in lower case.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "ref", "referrer", "source", "trk")
+# fixed values: query parameters that only track, compared in lower case
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "ref", "source", "referral", "gh_src", "lever-source", "lever-origin")
 #: Hosts of posting boards: their name says nothing about the company.
 BOARD_HOSTS = ("greenhouse.io", "lever.co", "ashbyhq.com", "myworkdayjobs.com", "smartrecruiters.com", "icims.com", "jobvite.com", "eightfold.ai")
 
@@ -30,10 +30,10 @@ def chunk_of(c: Column, n: int = 16) -> Column:
 
 
 def dup_group(company: Column, title: Column, body: Column) -> Column:
-    """12 hex digits over company, title and the letters of the first 700 characters of the body; an empty body signs as empty."""
-    letters = F.regexp_replace(F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 700)), "[^a-z]+", "")
-    sign = F.when(letters == "", "").otherwise(F.substring(F.sha1(letters), 1, 10))
-    return F.substring(F.sha1(F.concat_ws("|", F.coalesce(company, F.lit("")), F.coalesce(title, F.lit("")), sign)), 1, 12)
+    """12 hex digits over company (any case, outer blanks gone), title and 700 characters of the body's words of letters a-z; a body without any signs as empty."""
+    letters = F.trim(F.regexp_replace(F.lower(F.coalesce(body, F.lit(""))), "[^a-z]+", " "))
+    sign = F.when(letters == "", "").otherwise(F.substring(F.sha1(F.substring(letters, 1, 700)), 1, 10))
+    return F.substring(F.sha1(F.concat_ws("|", F.lower(F.trim(F.coalesce(company, F.lit("")))), F.trim(F.coalesce(title, F.lit(""))), sign)), 1, 12)
 
 
 def host(url: Column) -> Column:

@@ -41,11 +41,17 @@ def snippet(c: Column, n: int = 300) -> Column:
     return cut_words(clean_html(c, 500), n)
 
 
+# fixed values: notes that a normalised title loses, at its end and in brackets
+END_NOTES = ("remote", "hybrid", "onsite", "new grad", "entry level", "entry-level")
+BRACKET_NOTES = ("remote", "hybrid", "new grad", "entry level", "entry-level")
+
+
 def normalize_title(c: Column) -> Column:
-    """Lower case, blanks collapsed, without a trailing work-mode or level note and without bracketed work modes."""
+    """Lower case, blanks collapsed, without a last note after a dash, comma or bar, and without brackets that begin with a note."""
     c = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    c = F.regexp_replace(c, r"\s*[-,|]\s*(remote|hybrid|onsite|new grad|entry.level)\s*$", "")
-    return F.trim(F.regexp_replace(c, r"\s*\((remote|hybrid|onsite)[^)]*\)", ""))
+    c = F.regexp_replace(c, rf"[-,|] ?(?:{'|'.join(END_NOTES)})\s*$", "")
+    c = F.regexp_replace(c, rf" ?\((?:{'|'.join(BRACKET_NOTES)})[^)]*\)", "")
+    return F.trim(F.regexp_replace(c, " +", " "))
 
 
 def norm_key(c: Column) -> Column:
@@ -95,17 +101,18 @@ def clean_job_title(title: Column, location: Column) -> Column:
 
 
 def years_required(c: Column) -> Column:
-    """Struct of min and max years: a range, then `N+ years`, then `N years of experience`."""
+    """Struct of min and max years: `N to M years` (or a dash), else `N+ years` (no max), else `N years of experience` (both N); else null."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    lo, hi = (F.regexp_extract(t, r"(\d{1,2})\s*[-–to]+\s*(\d{1,2})\s*\+?\s*(?:years|yrs)", g) for g in (1, 2))
-    plus = F.regexp_extract(t, r"(\d{1,2})\s*\+\s*(?:years|yrs)", 1)
-    plain = F.regexp_extract(t, r"(\d{1,2})\s*(?:years|yrs)(?:\s+of)?\s+experience", 1)
-    least = F.when(lo != "", lo).when(plus != "", plus).when(plain != "", plain)
-    return F.struct(least.cast("int").alias("min"), F.when(lo != "", hi).cast("int").alias("max"))
+    number = r"(\d+)\s*"
+    found = lambda rest, g: F.regexp_extract(t, number + rest, g)
+    span, plus, exact = rf"(?:-|–|to)\s*{number}years?", r"\+\s*years?", r"years?\s*(?:of\s+)?experience"
+    lo, hi, least, n = found(span, 1), found(span, 2), found(plus, 1), found(exact, 1)
+    year = lambda x: F.substring(x, 1, 9).cast("int")
+    return F.struct(F.when(lo != "", year(lo)).when(least != "", year(least)).when(n != "", year(n)).alias("min"), F.when(lo != "", year(hi)).when((least == "") & (n != ""), year(n)).alias("max"))
 
 
 def remote_status(location: Column, body: Column) -> Column:
-    where = F.lower(F.coalesce(location, F.lit("")))
+    where = F.lower(F.trim(F.coalesce(location, F.lit(""))))
     text = F.concat_ws(" ", where, F.lower(F.coalesce(body, F.lit(""))))
     return F.when(F.contains(text, F.lit("hybrid")), "Hybrid").when(F.contains(text, F.lit("remote")), "Remote").when(where == "", "Unknown").otherwise("Onsite")
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import classify, places
-from ..functions.text import norm_key, normalize_title, remote_status, years_required
+from ..functions import classify, places, titles
+from ..functions.text import norm_key, normalize_title, remote_status, sane_posted, years_required
 
 
 def keep_newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -36,23 +36,58 @@ def match_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, as_of: Column, longer_by: int = 50) -> DataFrame:
-    """Full outer merge by key: a hit is seen now, active and not missed; a body longer by more than `longer_by` replaces the old one; a missing posted date is filled."""
+    """Full outer merge by key: a hit is seen now, active and not missed.
+
+    A body longer by more than `longer_by` replaces the old one; a posted date is filled where it is missing, and an
+    insane stored one (in the future, or over five years old) gives way to the incoming one, be that null; a url that
+    comes in replaces the stored one. Without a hit a row stays as it is.
+    """
     s, i = stored.alias("s"), incoming.alias("i")
-    hit = F.col("i.key").isNotNull()
+    hit, new = F.col("i.key").isNotNull(), F.col("s.key").isNull()
     longer = F.length(F.coalesce("i.body", F.lit(""))) > F.length(F.coalesce("s.body", F.lit(""))) + longer_by
+    sick = F.col("s.posted_date").isNull() | sane_posted(F.col("s.posted_date"), as_of).isNull()
     return s.join(i, F.col("s.key") == F.col("i.key"), "full").select(
         F.coalesce("s.key", "i.key").alias("key"),
         F.coalesce("s.company", "i.company").alias("company"),
-        F.when(F.col("s.key").isNull() | longer, F.col("i.body")).otherwise(F.col("s.body")).alias("body"),
-        F.coalesce("s.posted_date", "i.posted_date").alias("posted_date"),
+        F.when(new | longer, F.col("i.body")).otherwise(F.col("s.body")).alias("body"),
+        F.when(hit & sick, F.col("i.posted_date")).otherwise(F.col("s.posted_date")).alias("posted_date"),
+        F.coalesce(F.nullif(F.col("i.apply_url"), F.lit("")), F.col("s.apply_url")).alias("apply_url"),
         F.coalesce("s.first_seen", as_of).alias("first_seen"),
         F.when(hit, as_of).otherwise(F.col("s.last_seen")).alias("last_seen"),
         F.when(hit, "active").otherwise(F.col("s.status")).alias("status"),
         F.when(hit, 0).otherwise(F.col("s.missed")).alias("missed"),
-        F.when(F.col("s.key").isNull(), "inserted").when(hit & longer, "replaced").when(hit, "refreshed").otherwise("kept").alias("action"),
+        F.when(new, "inserted").when(hit & longer, "replaced").when(hit, "refreshed").otherwise("kept").alias("action"),
     )
 
 
+#: What `enrich` derives from title, body and priority.
+DERIVED = ("role_category", "level", "level_confidence", "is_entry_level", "is_senior", "years_min", "years_max", "friendly", "new_grad_fit", "experienced_fit", "eligibility_risk")
+
+
+def enrich(df: DataFrame, verdict: Column | None = None) -> DataFrame:
+    """df(title, body, priority, ...) with DERIVED, from the title and the whole body; columns of these names are replaced."""
+    v = titles.verdict(F.col("title"), F.col("body")) if verdict is None else verdict
+    kept = [c for c in df.columns if c not in (*DERIVED, "_v")]
+    d = df.select(*kept, v.alias("_v"), classify.seniority(F.col("title"), F.col("body")).alias("_s"), years_required(F.col("body")).alias("_y"), classify.eligibility(F.col("body"))["risk"].alias("eligibility_risk"))
+    d = d.withColumns({"level": F.col("_s.level"), "level_confidence": F.col("_s.confidence"), "is_entry_level": F.col("_s.level").isin(*classify.ENTRY_LEVELS), "is_senior": F.col("_s.level").isin(*classify.SENIOR_LEVELS), "years_min": F.col("_y.min"), "years_max": F.col("_y.max"), "role_category": titles.role_category(F.col("_v"))})
+    d = d.withColumn("friendly", classify.candidate_friendly(F.col("_v"), F.col("title"), F.col("years_min"), F.col("priority")))
+    fit = classify.new_grad_fit(F.col("level"), F.col("years_min"), F.col("is_senior"), F.col("is_entry_level"), F.col("friendly"), F.col("title"), F.col("body"))
+    return d.withColumns({"new_grad_fit": fit, "experienced_fit": classify.experienced_fit(F.col("level"), F.col("years_min"), F.col("is_senior"))}).select(*kept, *DERIVED)
+
+
+def reclassify(stored: DataFrame, verdict: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with everything derived again, report): total, changed (another role category) and dropped (of these, now out of scope or software).
+
+    A row without a body keeps its stored eligibility risk. Nothing is joined: old and new stand side by side.
+    """
+    old = {c: f"_old_{c}" for c in ("role_category", "eligibility_risk")}
+    d = enrich(stored.withColumnsRenamed(old), verdict)
+    d = d.withColumn("eligibility_risk", F.when(F.coalesce("body", F.lit("")) == "", F.col("_old_eligibility_risk")).otherwise(F.col("eligibility_risk")))
+    changed = ~F.col("role_category").eqNullSafe(F.col("_old_role_category"))
+    report = d.agg(F.count("*").alias("total"), F.count_if(changed).alias("changed"), F.count_if(changed & F.col("role_category").isin(titles.OUTSIDE, titles.SOFTWARE)).alias("dropped"))
+    return d.drop(*old.values()), report
+
+
 def insert_new(incoming: DataFrame, matches: DataFrame, verdict: Column) -> DataFrame:
     """Incoming rows without a stored match and relevant by their body, with everything that is derived from title, place and body.
 
@@ -61,9 +96,9 @@ def insert_new(incoming: DataFrame, matches: DataFrame, verdict: Column) -> Data
     new = incoming.join(matches.select("in_id").distinct(), "in_id", "left_anti").withColumn("_v", verdict).where("_v.relevant")
     known = places.parse_location(F.col("location"), F.col("body"))["confidence"] > 0
     new = new.withColumn("location", F.when(known, F.col("location")).otherwise(F.coalesce(places.location_from_url(F.col("apply_url")), F.col("location"))))
-    years = years_required(F.col("body"))["min"]
-    new = new.withColumns({"_l": places.parse_location(F.col("location"), F.col("body")), "_s": classify.seniority(F.col("title"), years), "remote_status": remote_status(F.col("location"), F.col("body")), "role_category": classify.role_category(F.col("_v")), "experience_level": classify.experience_level(F.col("title"), F.col("body")), "eligibility_risk": classify.eligibility(F.col("body"))["risk"]})
-    return new.select(*incoming.columns, F.col("_l.is_usa").alias("is_usa"), F.col("_l.state").alias("state"), F.col("_l.confidence").alias("location_confidence"), F.col("_s.level").alias("level"), "remote_status", "role_category", "experience_level", "eligibility_risk")
+    new = enrich(new.withColumn("priority", F.col("priority") if "priority" in incoming.columns else F.lit(None).cast("string")), F.col("_v"))
+    new = new.withColumns({"_l": places.parse_location(F.col("location"), F.col("body")), "remote_status": remote_status(F.col("location"), F.col("body")), "experience_level": classify.experience_level(F.col("title"), F.col("body"))})
+    return new.select(*[c for c in incoming.columns if c not in DERIVED], F.col("_l.is_usa").alias("is_usa"), F.col("_l.state").alias("state"), F.col("_l.confidence").alias("location_confidence"), "remote_status", "experience_level", *DERIVED)
 
 
 def publishable(outcomes: DataFrame) -> DataFrame:
@@ -74,7 +109,7 @@ def publishable(outcomes: DataFrame) -> DataFrame:
 
 def reconcile_removals(stored: DataFrame, seen: DataFrame, as_of: Column, threshold: int = 2) -> DataFrame:
     """Rows not seen, of companies seen at all, miss once more; at the threshold they are removed."""
-    ran = F.broadcast(seen.select("company").distinct()).withColumn("_ran", F.lit(True))
+    ran = seen.select("company").distinct().withColumn("_ran", F.lit(True))
     here = seen.select("key").distinct().withColumn("_seen", F.lit(True))
     j = stored.join(ran, "company", "left").join(here, "key", "left")
     missed = F.when(F.col("_ran") & F.col("_seen").isNull() & F.col("status").isin("active", "possibly_removed"), F.col("missed") + 1)
@@ -135,7 +170,7 @@ def authoritative_replace(published: DataFrame, shard: DataFrame, owned: DataFra
     """Rows of owned companies come from the shard; without a list of owners all of them do."""
     if owned is None:
         return shard
-    return published.join(F.broadcast(owned.select("company").distinct()), "company", "left_anti").select(published.columns).unionByName(shard.select(published.columns))
+    return published.join(owned.select("company").distinct(), "company", "left_anti").select(published.columns).unionByName(shard.select(published.columns))
 
 
 def merge_shards(published: DataFrame, shards: DataFrame) -> DataFrame:
@@ -146,7 +181,7 @@ def merge_shards(published: DataFrame, shards: DataFrame) -> DataFrame:
 
 
 def configured_only(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(catalog.select("company").distinct()), "company", "left_semi")
+    return df.join(catalog.select("company").distinct(), "company", "left_semi")
 
 
 def retire_stale(live: DataFrame, as_of: Column, days: int = 21) -> tuple[DataFrame, DataFrame]:

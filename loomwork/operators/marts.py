@@ -69,7 +69,10 @@ def pipeline_health(runs: DataFrame, cadence: DataFrame, as_of: Column) -> DataF
 
 
 def attention(health: DataFrame) -> DataFrame:
-    return health.where("quarantined or stalled").orderBy(F.desc("error_count"), F.desc("empty_streak"), "company")
+    """health rows that want a look, with kind and place: quarantined or stalled ones first, then those with errors; the worst first. A row per company at most."""
+    kind = F.when(F.col("quarantined") | F.col("stalled"), "attention").when(F.col("error_count") > 0, "erroring")
+    worst = W.orderBy("kind", F.desc("error_count"), F.desc("empty_streak"), "company")
+    return health.withColumn("kind", kind).where("kind is not null").withColumn("place", F.row_number().over(worst)).orderBy("place")
 
 
 def sector_summary(entries: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (),
     j = j.withColumn("resume_match", F.bround((55 * F.col("overlap") + 45 * F.col("level_fit")) / 100, 0).cast("int"))
     penalty = F.when(F.col("eligibility_risk") == "high", 12).when(F.col("eligibility_risk") == "medium", 5).otherwise(0)
     j = j.withColumn("priority_x100", 55 * F.col("level_fit") + 45 * F.col("overlap") - 100 * penalty)
-    return j.withColumn("apply_priority", F.when(F.col("priority_x100") >= 7200, "High").when(F.col("priority_x100") >= 5200, "Medium").otherwise("Low")).withColumn("defensibility", F.when((F.size("matched") >= 3) & (F.size("backing") > 0), "strong").when(F.size("matched") >= 1, "partial").otherwise("weak"))
+    return j.withColumn("apply_priority", F.when(F.col("priority_x100") >= 7200, "High").when(F.col("priority_x100") >= 5200, "Medium").otherwise("Low")).withColumn("defensibility", F.bround((55 * F.col("overlap") + 2250 * F.least(F.size("backing"), F.lit(2))) / 100, 0).cast("int"))
 
 
 #: What a score takes from a posting.
@@ -72,14 +72,19 @@ def top_matches(profiles: DataFrame, postings: DataFrame, k: int = 5, tools: tup
 
 
 def triage(missing: DataFrame, equivalences: DataFrame, strengths: DataFrame) -> DataFrame:
-    """missing(profile_id, id, skill) -> tier: Reword Only (an equal skill is known), Safe to Add (a project shows it), Learn First (its area is known), Do Not Add."""
-    e = F.broadcast(equivalences)
-    known = strengths.select("profile_id", F.col("skill").alias("_k"))
-    same = missing.join(e, "skill").join(known, "profile_id").where(F.array_contains("equal", F.col("_k"))).select("profile_id", "id", "skill").distinct().withColumn("_same", F.lit(True))
-    area = missing.join(e, "skill").join(known, "profile_id").where(F.array_contains("area", F.col("_k"))).select("profile_id", "id", "skill").distinct().withColumn("_area", F.lit(True))
-    shown = strengths.where("in_project").select("profile_id", "skill").distinct().withColumn("_shown", F.lit(True))
-    j = missing.join(same, ["profile_id", "id", "skill"], "left").join(area, ["profile_id", "id", "skill"], "left").join(shown, ["profile_id", "skill"], "left")
-    return j.select("profile_id", "id", "skill", F.when(F.col("_shown"), "Safe to Add").when(F.col("_same"), "Reword Only").when(F.col("_area"), "Learn First").otherwise("Do Not Add").alias("tier"))
+    """missing(profile_id, id, skill) -> tier: Safe to Add (a project shows it), Reword Only (an equal skill is known), Learn First (its area is known), Do Not Add.
+
+    A profile's missing skills are judged once, not once for each posting, by equi-joins on (profile, skill): the equal
+    and the near skills are exploded first, so nothing meets that is not named.
+    """
+    wanted = missing.select("profile_id", "skill").distinct()
+    near = equivalences.select("skill", F.explode("equal").alias("_k"), F.lit(2).alias("_w")).unionByName(equivalences.select("skill", F.explode("area").alias("_k"), F.lit(1).alias("_w")))
+    known = strengths.groupBy("profile_id", F.col("skill").alias("_k")).agg(F.max("in_project").alias("shown"))
+    by = wanted.join(near, "skill").join(known, ["profile_id", "_k"]).groupBy("profile_id", "skill").agg(F.max("_w").alias("_w"))
+    shown = known.where("shown").select("profile_id", F.col("_k").alias("skill"), F.lit(True).alias("_shown"))
+    tier = F.when(F.col("_shown"), "Safe to Add").when(F.col("_w") == 2, "Reword Only").when(F.col("_w") == 1, "Learn First").otherwise("Do Not Add")
+    judged = wanted.join(by, ["profile_id", "skill"], "left").join(shown, ["profile_id", "skill"], "left").select("profile_id", "skill", tier.alias("tier"))
+    return missing.join(judged, ["profile_id", "skill"]).select("profile_id", "id", "skill", "tier")
 
 
 def why(m: DataFrame) -> DataFrame:

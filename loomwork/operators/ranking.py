@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_title
+
 SORTS = {"match_score": "match_score", "new_grad_fit": "new_grad_fit", "first_seen": "first_seen", "posted": "posted_date", "company": "company", "title": "title", "location": "location", "priority": "priority"}
 
 
 def keyword_rank(q: str) -> Column:
-    """100 title equals, 92 title begins, 88 company equals, 75 title holds, 60 company holds, 55 category, 40 place, else 10."""
-    q = q.lower()
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    has = lambda c: F.contains(low(c), F.lit(q))
-    return F.when(low("title") == q, 100).when(F.startswith(low("title"), F.lit(q)), 92).when(low("company") == q, 88).when(has("title"), 75).when(has("company"), 60).when(has("role_category"), 55).when(has("location"), 40).otherwise(10)
+    """How well a row answers a search, in tiers: 100 phrase in the title, 92 in the normalised title, 88 in the company, 75 all words in the title, 60 phrase in a keyword, 55 in the category, 40 any word in the title, else 10.
+
+    In any case; blanks of the search collapsed. Rows have title, company, role_category and keywords (an array).
+    """
+    words = q.lower().split()
+    phrase = " ".join(words)
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    has = lambda c, x: F.contains(low(c), F.lit(x))
+    title = F.col("title")
+    out = F.when(has(title, phrase), 100).when(has(normalize_title(title), phrase), 92).when(has(F.col("company"), phrase), 88)
+    if len(words) > 1:
+        out = out.when(reduce(lambda a, b: a & b, [has(title, w) for w in words]), 75)
+    out = out.when(F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: has(k, phrase)), 60).when(has(F.col("role_category"), phrase), 55)
+    if words:
+        out = out.when(reduce(lambda a, b: a | b, [has(title, w) for w in words]), 40)
+    return out.otherwise(10)
 
 
 def order_keys(sort_by: str = "match_score", descending: bool = True, q: str | None = None) -> list[Column]:
@@ -25,16 +40,16 @@ def order_keys(sort_by: str = "match_score", descending: bool = True, q: str | N
 
 
 def group_roles(df: DataFrame, order: list[Column], scope: DataFrame | None = None) -> DataFrame:
-    """The best row of each (company, title) in any case, with group_count: rows of df, or of `scope` where given."""
+    """The best row of each (company, title) in any case, with group_count: rows of df, or of `scope` where given.
+
+    The row number alone lets Spark cut each group before the shuffle, and counts are added up before theirs; a count
+    over the same window would move and sort every row.
+    """
     keys = [F.lower("company").alias("_c"), F.lower("title").alias("_t")]
-    w = W.partitionBy("_c", "_t")
-    out = df.select("*", *keys)
-    if scope is None:
-        out = out.withColumn("group_count", F.count("*").over(w))
-    out = out.withColumn("_rn", F.row_number().over(w.orderBy(*order))).where("_rn = 1").drop("_rn")
-    if scope is not None:
-        out = out.join(scope.select(*keys).groupBy("_c", "_t").agg(F.count("*").alias("group_count")), ["_c", "_t"], "left")
-    return out.drop("_c", "_t")
+    best = df.select("*", *keys).withColumn("_rn", F.row_number().over(W.partitionBy("_c", "_t").orderBy(*order))).where("_rn = 1").drop("_rn")
+    counts = (df if scope is None else scope).select(*keys).groupBy("_c", "_t").agg(F.count("*").alias("group_count"))
+    same = [F.col("_c").eqNullSafe(F.col("_kc")), F.col("_t").eqNullSafe(F.col("_kt"))]
+    return best.join(counts.withColumnsRenamed({"_c": "_kc", "_t": "_kt"}), same, "left").drop("_c", "_t", "_kc", "_kt")
 
 
 def group_canonical(df: DataFrame, order: list[Column], group: Column) -> DataFrame:
@@ -56,32 +71,81 @@ def envelope(df: DataFrame, number: int, size: int) -> DataFrame:
 
 
 def siblings(df: DataFrame, most: int = 50) -> DataFrame:
-    """(id, other): other rows of the same company and title, by place."""
-    a, b = df.select("id", "company", "title"), df.select(F.col("id").alias("other"), "company", "title", "location")
-    j = a.join(b, ["company", "title"]).where("id <> other")
-    return j.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("location", "other"))).where(F.col("n") <= most).select("id", "other", "n")
+    """(id, other, n): other rows of the same company and title by place, at most `most`.
+
+    Each group is ranked once; a row takes the group's first ones without itself, so a group costs its size times `most`.
+    """
+    rank = F.row_number().over(W.partitionBy("company", "title").orderBy("location", "id"))
+    ranked = df.select("id", "company", "title", "location").withColumn("_r", rank)
+    first = ranked.where(F.col("_r") <= most + 1).select("company", "title", F.col("id").alias("other"), F.col("_r").alias("n"))
+    lists = first.groupBy("company", "title").agg(F.array_sort(F.collect_list(F.struct("n", "other"))).alias("_l"))  # at most `most` + 1
+    mine = ranked.join(lists, ["company", "title"]).withColumn("_l", F.slice(F.filter("_l", lambda x: x["n"] != F.col("_r")), 1, most))
+    return mine.select("id", F.posexplode("_l").alias("_p", "x")).select("id", F.col("x.other").alias("other"), (F.col("_p") + 1).alias("n"))
+
+
+#: What a likeness score takes from a posting, beside its company.
+LIKE = ("role_category", "level", "is_senior", "priority", "skills")
 
 
 def similar(df: DataFrame, k: int = 6) -> DataFrame:
-    """(id, other, score, n) by shared skills and category: 4 same category, 1 other company, up to 4 shared skills.
+    """(id, other, score, n): the k postings most like each one, among those of its category or company.
 
-    Candidates come from one equi-join on (category, skill), so nothing meets that shares neither; the pair count is bounded by skill postings.
+    Score: 4 same category (if known), 2 same level, 1 same seniority, 1 same tier, up to 4 shared skills, 1 for another
+    company; ties by new_grad_fit, then least id; of a company's postings of one title only the best counts.
+    Postings alike in all that the score takes tie everywhere, so classes of like postings meet, not postings: of a
+    class a list of its best is enough, in which no company has more than k + 1. Rows without a class partner have none.
     """
-    ex = df.select("id", "company", "title", "role_category", "new_grad_fit", F.explode("skills").alias("skill"))
-    a, b = ex.select("id", "company", "role_category", "skill"), ex.select(F.col("id").alias("other"), F.col("company").alias("oc"), F.col("title").alias("ot"), "new_grad_fit", "role_category", "skill")
-    pairs = a.join(b, ["role_category", "skill"]).where("id <> other").groupBy("id", "company", "other", "oc", "ot", "new_grad_fit").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("score", (F.lit(4) + F.least(F.col("shared"), F.lit(4)) + (F.col("company") != F.col("oc")).cast("int")).cast("int"))
+    d = df.select("id", "company", "title", "new_grad_fit", *LIKE[:-1], F.array_sort(F.array_distinct(F.coalesce("skills", F.array().cast("array<string>")))).alias("skills"))
+    d = d.withColumn("cls", F.xxhash64(*LIKE[:-1], F.to_json("skills")))
+    best = [F.desc("new_grad_fit"), F.asc("id")]
+    number = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*best))
+    once = d.withColumn("_r", number("cls", "company", "title")).where("_r = 1")
+    few = once.withColumn("_r", number("cls", "company")).where(F.col("_r") <= k + 1).drop("_r")
+    wide = few.withColumn("_r", number("cls")).where(F.col("_r") <= 2 * (k + 1)).drop("_r")
+
+    def cells(*keys: str) -> tuple[DataFrame, DataFrame]:
+        a = d.select("cls", *keys, *[F.col(c).alias(f"_{c}") for c in LIKE]).dropDuplicates(["cls", *keys])
+        return a, a.withColumnsRenamed({"cls": "other_cls", **{f"_{c}": f"o_{c}" for c in LIKE}})
+
+    same = lambda c: F.col(f"_{c}").eqNullSafe(F.col(f"o_{c}")).cast("int")
+    known = (F.coalesce("_role_category", F.lit("Unknown")) != "Unknown").cast("int")
+    shared = F.least(F.size(F.array_intersect("_skills", "o_skills")), F.lit(4))
+    score = (4 * same("role_category") * known + 2 * same("level") + same("is_senior") + same("priority") + shared).cast("int")
+
+    # of other companies: classes of one category; of the own company: its classes
+    a, b = cells()
+    pairs = a.join(b, F.col("_role_category") == F.col("o_role_category")).select("cls", "other_cls", (score + 1).alias("score"))
     order = [F.desc("score"), F.desc("new_grad_fit"), F.asc("other")]
-    once = scored.withColumn("_r", F.row_number().over(W.partitionBy("id", F.lower("oc"), F.lower("ot")).orderBy(*order))).where("_r = 1")
-    return once.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("n") <= k).select("id", "other", "score", "n")
+    cut = lambda rows, most, *keys: rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
+    item = [F.col("id").alias("other"), F.col("company").alias("oc"), F.col("title").alias("ot"), "new_grad_fit"]
+    abroad = pairs.join(wide.select(F.col("cls").alias("other_cls"), *item), "other_cls").drop("other_cls")
+    abroad = cut(cut(abroad, k + 1, "cls", "oc"), 2 * (k + 1), "cls")
+    a, b = cells("company")
+    pairs = a.join(b, "company").select("company", "cls", "other_cls", score.alias("score"))
+    home = pairs.join(few.select(F.col("cls").alias("other_cls"), F.col("company"), *item), ["company", "other_cls"]).drop("other_cls")
+    home = cut(home, k + 1 + k, "company", "cls")
+    mine = d.select("id", "cls", "company")
+    rows = mine.join(abroad, "cls").where("not (company <=> oc)").drop("company").unionByName(mine.join(home, ["cls", "company"]).drop("company"))
+    rows = rows.where("id <> other").withColumn("_r", F.row_number().over(W.partitionBy("id", "oc", "ot").orderBy(*order))).where("_r = 1")
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("n") <= k).select("id", "other", "score", "n")
 
 
 def similar_by_skills(df: DataFrame, k: int = 6) -> DataFrame:
-    """(id, other, score, n): shared skills plus two for the same category."""
-    ex = df.select("id", "role_category", F.explode("skills").alias("skill"))
-    pairs = ex.join(ex.select(F.col("id").alias("other"), F.col("role_category").alias("oc"), "skill"), "skill").where("id <> other").groupBy("id", "other", "role_category", "oc").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("score", (F.col("shared") + 2 * (F.col("role_category") == F.col("oc")).cast("int")).cast("int"))
-    return scored.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))).where(F.col("n") <= k).select("id", "other", "score", "n")
+    """(id, other, score, n): the k postings with the most shared skills, two points more for the same category; those with neither have no score.
+
+    Classes of equal category and skills meet, not postings, and each class gives its k + 1 least ids.
+    """
+    d = df.select("id", "role_category", F.array_sort(F.array_distinct(F.coalesce("skills", F.array().cast("array<string>")))).alias("skills")).withColumn("cls", F.xxhash64("role_category", F.to_json("skills")))
+    least = d.withColumn("_r", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("_r") <= k + 1).select(F.col("cls").alias("other_cls"), F.col("id").alias("other"))
+    a = d.select("cls", "role_category", "skills").dropDuplicates(["cls"])
+    b = a.withColumnsRenamed({"cls": "other_cls", "role_category": "oc", "skills": "os"})
+    by_skill = a.select("cls", F.explode("skills").alias("s")).join(b.select("other_cls", F.explode("os").alias("s")), "s").groupBy("cls", "other_cls").agg(F.count("*").alias("score"))
+    by_category = a.select("cls", "role_category").join(b.select("other_cls", F.col("oc").alias("role_category")), "role_category").select("cls", "other_cls", F.lit(2).cast("long").alias("score"))
+    pairs = by_skill.unionByName(by_category).groupBy("cls", "other_cls").agg(F.sum("score").cast("int").alias("score"))
+    order = [F.desc("score"), F.asc("other")]
+    lists = pairs.join(least, "other_cls").withColumn("_r", F.row_number().over(W.partitionBy("cls").orderBy(*order))).where(F.col("_r") <= k + 1)
+    rows = d.select("id", "cls").join(lists.select("cls", "other", "score"), "cls").where("id <> other")
+    return rows.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("n") <= k).select("id", "other", "score", "n")
 
 
 def suggest(df: DataFrame, q: str, limits=(("company", 3), ("title", 8), ("role_category", 3))) -> DataFrame:
@@ -108,5 +172,6 @@ def rank_matches(df: DataFrame, sort: str) -> DataFrame:
 
 
 def directory_order(df: DataFrame) -> DataFrame:
-    """Companies by sector, hiring first, tier, viewable, name."""
-    return df.orderBy("sector", (F.col("viewable") > 0).desc(), F.instr(F.lit("SABC"), F.col("priority")), F.desc("viewable"), "company")
+    """Companies with their place in the directory: by sector, hiring first, tier, viewable, name. A directory has a row per company, so one sort ranks it."""
+    keys = [F.col("sector"), (F.col("viewable") > 0).desc(), F.instr(F.lit("SABC"), F.col("priority")), F.desc("viewable"), F.col("company")]
+    return df.withColumn("place", F.row_number().over(W.orderBy(*keys))).orderBy("place")

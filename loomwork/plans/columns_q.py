@@ -6,14 +6,14 @@ from ..functions import classify as C
 from ..functions import identity as I
 from ..functions import places as P
 from ..functions import text as X
+from ..functions import titles as T
 from .lens import duck, lens, read, with_skills
 from .registry import query
+from .rules_q import profile_texts
 
 
 def as_of():
     return F.expr("TIMESTAMP '2024-01-31 00:00:00'")
-def noisy():
-    return F.concat(F.col("title"), F.lit(" - Remote"))
 
 
 @query("b01_clean_html")
@@ -31,11 +31,6 @@ def b03(spark, d):
     return read(spark, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("stripped"))
 
 
-@query("b04_normalize_title", duck("SELECT id, lower(title) AS norm_title, lower(part_name) AS norm_bracket FROM lens"))
-def b04(spark, d):
-    return lens(spark, d).select("id", X.normalize_title(noisy()).alias("norm_title"), X.normalize_title(F.concat("part_name", F.lit(" (Remote, US)"))).alias("norm_bracket"))
-
-
 @query("b05_norm_key", duck(r"SELECT id, regexp_replace(lower(trim('  ' || company || '   X ')), '\s+', ' ', 'g') AS norm FROM lens"))
 def b05(spark, d):
     return lens(spark, d).select("id", X.norm_key(F.concat(F.lit("  "), "company", F.lit("   X "))).alias("norm"))
@@ -46,20 +41,10 @@ def b06(spark, d):
     return lens(spark, d).select("id", X.norm_company(F.concat(F.lit("The "), "company", F.lit(" Holdings, Inc."))).alias("norm"))
 
 
-@query("b07_identity", duck(r"""
-, k AS (SELECT id, substr(sha256(lower(company) || '|' || CAST(id AS VARCHAR)), 1, 16) AS key,
-  substr(sha1(company || '|' || lower(title) || '|' || CASE WHEN l = '' THEN '' ELSE substr(sha1(l), 1, 10) END), 1, 12) AS dup_group
-  FROM (SELECT *, regexp_replace(lower(substr(coalesce(body, ''), 1, 700)), '[^a-z]+', '', 'g') AS l FROM lens))
-SELECT id, key, dup_group, CAST('0x' || substr(key, 1, 13) AS BIGINT) AS stable_id, CAST(CAST('0x' || substr(key, 1, 13) AS BIGINT) % 16 AS INT) AS chunk FROM k"""))
-def b07(spark, d):
-    df = lens(spark, d).select("id", I.fingerprint(F.col("company"), F.col("title"), F.col("location"), F.col("id").cast("string"), F.lit("")).alias("key"), I.dup_group(F.col("company"), F.lower("title"), F.col("body")).alias("dup_group"))
-    return df.select("*", I.stable_id(F.col("key")).alias("stable_id")).select("*", I.chunk_of(F.col("stable_id")).alias("chunk"))
-
-
 @query("b08_strip_tracking", """
 WITH q AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '\\?([^#]*)', 1) AS qs, regexp_extract(url, '(#.*)$', 1) AS frag FROM pages),
 p AS (SELECT *, list_filter(string_split(qs, '&'), lambda x: x <> '') AS parts FROM q),
-k AS (SELECT *, list_filter(parts, lambda x: NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','msclkid','mc_cid','mc_eid','ref','referrer','source','trk'], lower(string_split(x, '=')[1]))) AS kept FROM p)
+k AS (SELECT *, list_filter(parts, lambda x: NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','msclkid','ref','source','referral','gh_src','lever-source','lever-origin'], lower(string_split(x, '=')[1]))) AS kept FROM p)
 SELECT page_id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || frag AS clean, CAST(len(parts) - len(kept) AS INT) AS removed FROM k""".replace("\\\\", "\\"))
 def b08(spark, d):
     return read(spark, d, "pages").select("page_id", I.strip_tracking(F.col("url")).alias("s")).select("page_id", F.col("s.url").alias("clean"), "s.removed")
@@ -70,12 +55,6 @@ def b09(spark, d):
     return read(spark, d, "pages").select("page_id", I.apply_url(F.col("url"), F.lit("https://example.org/")).alias("a")).select("page_id", "a.status")
 
 
-@query("b10_fallback_url", duck("SELECT id, 'https://example.org/' || CAST(s_suppkey AS VARCHAR) AS url FROM lens JOIN supplier ON s_name = company"))
-def b10(spark, d):
-    table = read(spark, d, "supplier").select(X.norm_key(F.col("s_name")).alias("k"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("url"))
-    return lens(spark, d).select("id", X.norm_key(F.col("company")).alias("k")).join(table, "k").select("id", "url")
-
-
 @query("b11_location_from_url", duck("SELECT id, CASE WHEN id % 2 = 0 THEN replace(replace(location, '_', ' '), '-', ' ') || ', ' || state END AS place FROM lens"))
 def b11(spark, d):
     slug = F.when(F.col("id") % 2 == 0, F.concat(F.regexp_replace("location", "_", "-"), F.lit("--"), "state")).otherwise(F.lit("R-12345"))
@@ -112,19 +91,6 @@ def b16(spark, d):
     return lens(spark, d).select("id", X.freshness(F.col("posted_date"), F.lit(True), F.col("first_seen"), as_of()).alias("f")).select("id", "f.exact", "f.days", "f.is_new", "f.label")
 
 
-@query("b17_years_required", duck("SELECT id, CAST(id % 9 + 1 AS INT) AS min_years, CASE WHEN id % 3 = 0 THEN CAST(id % 9 + 3 AS INT) END AS max_years FROM lens"))
-def b17(spark, d):
-    n = F.col("id") % 9 + 1
-    text = F.when(F.col("id") % 3 == 0, F.concat(n.cast("string"), F.lit(" - "), (n + 2).cast("string"), F.lit(" years"))).when(F.col("id") % 3 == 1, F.concat(n.cast("string"), F.lit("+ years"))).otherwise(F.concat(n.cast("string"), F.lit(" years of experience")))
-    return lens(spark, d).select("id", X.years_required(F.concat_ws(" ", F.lit("Needs"), text)).alias("y")).select("id", F.col("y.min").alias("min_years"), F.col("y.max").alias("max_years"))
-
-
-@query("b18_remote_status", duck("SELECT id, CASE WHEN id % 3 = 0 THEN 'Remote' WHEN id % 3 = 1 THEN 'Hybrid' ELSE 'Onsite' END AS remote FROM lens"))
-def b18(spark, d):
-    place = F.concat("location", F.when(F.col("id") % 3 == 0, " (Remote)").when(F.col("id") % 3 == 1, " hybrid").otherwise(""))
-    return lens(spark, d).select("id", X.remote_status(place, F.lit("")).alias("remote"))
-
-
 def place():
     return F.concat_ws(", ", F.when(F.col("id") % 4 == 0, F.concat(F.col("location"), F.lit(", CA"))).when(F.col("id") % 4 == 1, F.lit("Texas")).when(F.col("id") % 4 == 2, F.lit("Munich, Germany")).otherwise(F.col("location")))
 
@@ -181,25 +147,6 @@ def c01(spark, d):
     return lens(spark, d).select("id", F.array_join(C.term_hits(F.col("body"), ("the", "and", "der", "les", "los")), ",").alias("hits"))
 
 
-#: Title rules over the part names and types, as a classifier over this data.
-RULES = (("Metal", ("steel", "iron", "copper")), ("Ring", ("ring",)), ("Bulk", ("large", "medium")))
-OUT = (("sale", ("promo",)),)
-
-
-@query("c02_classify", duck(r"""
-, t AS (SELECT id, coalesce(body, '') AS body, regexp_matches(lower(title), '(^|[^a-z0-9])(promo)($|[^a-z0-9])') AS out,
-  CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(steel|iron|copper)($|[^a-z0-9])') THEN 'Metal' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(ring)($|[^a-z0-9])') THEN 'Ring' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(large|medium)($|[^a-z0-9])') THEN 'Bulk' END AS cat,
-  regexp_matches(lower(title), '(^|[^a-z0-9])(widget|bolt)($|[^a-z0-9])') AS noun FROM lens)
-SELECT id, cat IS NOT NULL AS relevant, cat AS category, CASE WHEN out AND cat IS NULL THEN 'excluded: sale' WHEN cat IS NOT NULL THEN 'title' WHEN NOT noun THEN 'no engineering noun' WHEN trim(body) = '' THEN 'ambiguous' ELSE 'body says otherwise' END AS reason FROM t"""))
-def c02(spark, d):
-    return lens(spark, d).select("id", C.verdict(F.col("title"), F.col("body"), RULES, OUT, ("widget", "bolt")).alias("v")).select("id", "v.relevant", "v.category", "v.reason")
-
-
-@query("c03_title_category", duck("SELECT id, CASE WHEN contains(lower(title), 'economy') THEN 'Cheap' WHEN contains(lower(title), 'large') OR contains(lower(title), 'medium') THEN 'Big' END AS category FROM lens"))
-def c03(spark, d):
-    return lens(spark, d).select("id", C.first_rule(F.col("title"), (("Cheap", ("economy",)), ("Big", ("large", "medium")))).alias("category"))
-
-
 @query("c04_body_gate", duck(f"SELECT id, {HITS['English']} >= 3 AS enough FROM lens"))
 def c04(spark, d):
     return lens(spark, d).select("id", (F.size(C.term_hits(F.col("body"), TONGUES[0][1])) >= 3).alias("enough"))
@@ -223,14 +170,6 @@ def b21(spark, d):
     return lens(spark, d).select("id", P.mask_false_friends(loc).alias("masked"))
 
 
-@query("c06_role_category", duck(r"""
-, t AS (SELECT id, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(steel|iron|copper)($|[^a-z0-9])') THEN 'Metal' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(ring)($|[^a-z0-9])') THEN 'Ring' WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(large|medium)($|[^a-z0-9])') THEN 'Bulk' END AS cat, regexp_matches(lower(title), '(^|[^a-z0-9])(promo)($|[^a-z0-9])') AS out FROM lens)
-SELECT id, CASE WHEN cat IS NULL AND out THEN 'Software / Compiler' WHEN cat IS NULL THEN 'Out of Scope' ELSE cat END AS role FROM t"""))
-def c06(spark, d):
-    v = C.verdict(F.col("title"), F.col("body"), RULES, (("software", ("promo",)),), ("widget", "bolt"))
-    return lens(spark, d).select("id", v.alias("v")).select("id", C.role_category(F.col("v")).alias("role"))
-
-
 LEVEL_TEXTS = ("new grad welcome", "0-2 years", "entry-level post", "a senior post", "6+ years", "nothing said", "2 years")
 
 
@@ -244,8 +183,9 @@ def c11(spark, d):
 @query("c07_role_flags", duck("SELECT id, " + ", ".join(f"lang = '{k[:2].lower()}' OR {HITS[k]} >= 3 AS {k.lower()}" for k, _ in TONGUES) + " FROM lens"))
 def c07(spark, d):
     own = F.create_map(*[F.lit(x) for k, _ in TONGUES for x in (k[:2].lower(), k)])
-    m = lens(spark, d).select("id", C.role_flags(F.element_at(own, F.col("lang")), F.col("body"), TONGUES).alias("m"))
-    return m.select("id", *[F.coalesce(F.element_at("m", k.lower()), F.lit(False)).alias(k.lower()) for k, _ in TONGUES])
+    v = F.struct(F.lit(True).alias("relevant"), F.coalesce(F.element_at(own, F.col("lang")), F.lit("")).alias("category"))
+    m = lens(spark, d).select("id", T.role_flags(v, F.col("body"), TONGUES).alias("m"))
+    return m.select("id", *[F.array_contains("m", k).alias(k.lower()) for k, _ in TONGUES])
 
 
 @query("c08_labels", duck(r"SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(coalesce(body, '')), '[0-9]{4}') THEN 'Number' END, CASE WHEN regexp_matches(lower(coalesce(body, '')), '@') THEN 'Mail' END, CASE WHEN regexp_matches(lower(coalesce(body, '')), 'licen[sc]e') THEN 'Licence' END], lambda x: x IS NOT NULL), ',') AS tags FROM lens"))
@@ -258,34 +198,8 @@ def c09(spark, d):
     return lens(spark, d).select("id", C.eligibility(F.col("body"), (("high", "mail", "@"), ("medium", "number", "[0-9]{4}"))).alias("e")).select("id", "e.risk")
 
 
-@query("c10_sponsor", duck("SELECT id, CASE WHEN s_suppkey % 3 = 0 THEN true WHEN s_suppkey % 3 = 1 THEN false END AS sponsors, s_suppkey % 3 = 0 AND eligibility_risk = 'low' AS accessible FROM lens JOIN supplier ON s_name = company"))
-def c10(spark, d):
-    table = read(spark, d, "supplier").where("s_suppkey % 3 < 2").select(X.norm_company(F.col("s_name")).alias("k"), (F.col("s_suppkey") % 3 == 0).alias("sponsors"))
-    j = lens(spark, d).withColumn("k", X.norm_company(F.concat("company", F.lit(", LLC")))).join(table, "k", "left")
-    return j.select("id", "sponsors", (F.coalesce("sponsors", F.lit(False)) & ~F.col("eligibility_risk").isin("high", "medium")).alias("accessible"))
-
-
 def years():
     return (F.col("id") % 10).cast("int")
-def leveled():
-    return F.concat(F.when(F.col("id") % 5 == 0, "Senior ").when(F.col("id") % 5 == 1, "Junior ").otherwise(""), F.col("title"))
-LEVEL_SQL = "CASE WHEN id % 5 = 0 THEN 'Senior' WHEN id % 5 = 1 THEN 'Entry Level' WHEN id % 10 >= 8 THEN 'Principal' WHEN id % 10 >= 5 THEN 'Senior' WHEN id % 10 >= 3 THEN 'Mid' ELSE 'Entry Level' END"
-
-
-@query("c12_seniority", duck(f"SELECT id, {LEVEL_SQL} AS level, CAST(CASE WHEN id % 5 = 0 THEN 90 WHEN id % 5 = 1 THEN 85 WHEN id % 10 >= 8 THEN 68 WHEN id % 10 >= 5 THEN 74 WHEN id % 10 >= 3 THEN 70 ELSE 66 END AS INT) AS confidence FROM lens"))
-def c12(spark, d):
-    return lens(spark, d).select("id", C.seniority(leveled(), years()).alias("s")).select("id", "s.level", "s.confidence")
-
-
-@query("c13_level_flags", duck(f"SELECT id, {LEVEL_SQL} IN ('New Grad', 'Entry Level') AS is_entry_level, {LEVEL_SQL} IN ('Senior', 'Staff', 'Principal', 'Lead', 'Manager') AS is_senior_level FROM lens"))
-def c13(spark, d):
-    level = C.seniority(leveled(), years())["level"]
-    return lens(spark, d).select("id", level.isin("New Grad", "Entry Level").alias("is_entry_level"), level.isin("Senior", "Staff", "Principal", "Lead", "Manager").alias("is_senior_level"))
-
-
-@query("c14_candidate_friendly", duck("SELECT id, NOT is_senior AND id % 10 < 4 AND priority IN ('S', 'A') AS friendly FROM lens"))
-def c14(spark, d):
-    return lens(spark, d).select("id", (~F.col("is_senior") & (years() < 4) & F.col("priority").isin("S", "A")).alias("friendly"))
 
 
 SCORE_SQL = "greatest(0, least(100, CASE WHEN is_usa THEN 35 ELSE 25 END + CASE WHEN h >= 4 THEN 20 WHEN h >= 1 THEN 10 ELSE 0 END + CASE WHEN is_entry THEN 20 ELSE 0 END + CASE WHEN priority IN ('S', 'A') THEN 10 ELSE 0 END + CASE WHEN posted_date IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN platform = 'src0' THEN 5 ELSE 0 END - CASE WHEN is_senior THEN 35 ELSE 0 END - CASE WHEN id % 10 >= 5 THEN 30 ELSE 0 END))"
@@ -311,18 +225,6 @@ def c17(spark, d):
     return scored(spark, d).select("id", C.relevance_reason(F.col("m.breakdown")).alias("reason"))
 
 
-@query("c18_new_grad_fit", duck("SELECT id, CAST(CASE WHEN cap <= 55 AND NOT is_senior AND id % 7 = 0 THEN 75 ELSE cap END AS INT) AS fit FROM (SELECT *, least(CASE WHEN id % 3 = 0 THEN 100 WHEN id % 3 = 1 THEN 85 ELSE 45 END, CASE WHEN id % 10 >= 5 THEN 50 WHEN id % 10 = 4 THEN 60 WHEN id % 10 = 3 THEN 70 WHEN id % 10 = 2 THEN 82 WHEN id % 10 = 1 THEN 90 ELSE 100 END, CASE WHEN is_senior THEN 55 ELSE 100 END) AS cap FROM lens)"))
-def c18(spark, d):
-    level = F.when(F.col("id") % 3 == 0, "New Grad").when(F.col("id") % 3 == 1, "Associate").otherwise("Lead")
-    return lens(spark, d).select("id", C.new_grad_fit(level, years(), F.col("is_senior"), F.col("id") % 7 == 0).alias("fit"))
-
-
-@query("c19_experienced_fit", duck("SELECT id, CAST(greatest(CASE WHEN id % 3 = 0 THEN 40 WHEN id % 3 = 1 THEN 55 ELSE 70 END, CASE WHEN id % 10 >= 5 THEN 92 WHEN id % 10 >= 3 THEN 82 ELSE 0 END, CASE WHEN is_senior THEN 88 ELSE 0 END) AS INT) AS fit FROM lens"))
-def c19(spark, d):
-    level = F.when(F.col("id") % 3 == 0, "New Grad").when(F.col("id") % 3 == 1, "Associate").otherwise("Lead")
-    return lens(spark, d).select("id", C.experienced_fit(level, years(), F.col("is_senior")).alias("fit"))
-
-
 @query("c20_fit_label", duck("SELECT id, CASE WHEN new_grad_fit >= 90 THEN 'Apply now' WHEN new_grad_fit >= 75 THEN 'Strong fit' WHEN new_grad_fit >= 60 THEN 'Possible' WHEN new_grad_fit >= 46 THEN 'Stretch' ELSE 'Skip' END AS label FROM lens"))
 def c20(spark, d):
     return lens(spark, d).select("id", C.bands(F.col("new_grad_fit"), C.FIT_BANDS).alias("label"))
@@ -338,37 +240,9 @@ def c22(spark, d):
     return lens(spark, d).select("id", C.data_quality(F.col("body"), F.when(F.col("is_usa"), 0.9).otherwise(0.5), F.col("posted_date"), F.lit(True)).alias("quality"), C.classification_confidence(F.lit(True), F.col("id") % 100, F.col("body")).alias("confidence"))
 
 
-@query("c23_extract_skills", duck("SELECT id, array_to_string(skills, ',') AS skills FROM skilled"))
-def c23(spark, d):
-    return with_skills(lens(spark, d)).select("id", F.array_join("skills", ",").alias("skills"))
-
-
-@query("c24_reclassify", duck("SELECT count(*) AS total, count(*) FILTER (WHERE new_grad_fit <> match_score) AS changed, count(*) FILTER (WHERE match_score < 50 AND new_grad_fit >= 50) AS dropped FROM lens"))
-def c24(spark, d):
-    a, b = F.col("new_grad_fit"), F.col("match_score")
-    return lens(spark, d).agg(F.count("*").alias("total"), F.count_if(~a.eqNullSafe(b)).alias("changed"), F.count_if((b < 50) & (a >= 50)).alias("dropped"))
-
-
 USERS = "SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS body FROM conversations WHERE role = 'user' GROUP BY conv_id"
 
 
-def profile_texts(spark, d):
-    t = read(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
-    return t.select("conv_id", F.array_join("t.text", " ").alias("body"))
-
-
-@query("c25_profile_skills", f"WITH u AS ({USERS}) SELECT conv_id, array_to_string(list_sort(list_filter(['the', 'and', 'that', 'with', 'der', 'und', 'nicht'], lambda t: regexp_matches(lower(body), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))), ',') AS all_skills FROM u")
-def c25(spark, d):
-    p = profile_texts(spark, d)
-    return p.select("conv_id", F.array_join(F.array_sort(F.array_distinct(F.concat(C.term_hits(F.col("body"), TONGUES[0][1]), C.term_hits(F.col("body"), TONGUES[1][1])))), ",").alias("all_skills"))
-
-
-@query("c26_profile_fields", rf"WITH u AS ({USERS}) SELECT conv_id, trim(string_split(body, chr(10))[1]) AS name_line, CAST(len(list_filter(string_split(body, chr(10)), lambda l: length(trim(l)) BETWEEN 6 AND 160)) AS INT) AS project_lines FROM u")
-def c26(spark, d):
-    lines = F.split("body", "\n")
-    return profile_texts(spark, d).select("conv_id", F.trim(lines[0]).alias("name_line"), F.size(F.filter(lines, lambda x: F.length(F.trim(x)).between(6, 160))).alias("project_lines"))
-
-
 SUB = {k: "(" + " + ".join(f"CAST(contains(lower(body), '{t}') AS INT)" for t in terms) + ")" for k, terms in TONGUES}
 
 

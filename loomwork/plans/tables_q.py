@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, identity, places
+from ..functions import identity, places, titles
 from ..functions import text as X
 from ..operators import alerts, audits, filters, lifecycle, marts, matching, ranking
 from ..sources import corpus, html, payloads
 from .lens import SKILLS, duck, lens, read, with_skills
+from .posed import expected, posed
 from .registry import query
 
 CLOCK = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -226,26 +227,43 @@ shard AS (SELECT 'k' || id AS key, id, company, body, posted_date, first_seen, {
 """
 
 
-@query("d01_match_existing", duck("SELECT 'i' || id AS in_id, 'k' || id AS key, CAST(CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS INT) AS tier FROM lens WHERE id % 3 = 0"))
+@query("d01_match_existing", duck("SELECT 'i' || id AS in_id, 'k' || CASE WHEN id % 4 = 3 THEN (SELECT min(CAST(o.id AS VARCHAR)) FROM lens o WHERE o.company = l.company AND o.title = l.title AND o.location = l.location) ELSE CAST(id AS VARCHAR) END AS key, CAST(least(id % 4, 3) AS INT) AS tier FROM lens l WHERE id % 3 = 0 AND id % 4 <> 0"))
 def d01(spark, d):
+    """By job id, by url, by title and place; a quarter matches nothing."""
     df = lens(spark, d).withColumn("apply_url", F.concat(F.lit("https://x/"), F.col("id").cast("string")))
-    inc = df.where("id % 3 = 0").select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("in_id"), "company", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("job_id"), "apply_url", F.lit("").alias("title"), "location")
+    k = F.col("id") % 4
+    inc = df.where("id % 3 = 0").select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("in_id"), F.concat(F.lit(" "), F.upper("company")).alias("company"), F.when(k == 1, F.col("id").cast("string")).alias("job_id"), F.when(k <= 2, F.when(k > 0, F.col("apply_url")).otherwise("https://y/")).alias("apply_url"), F.when(k == 0, "").otherwise(F.concat("title", F.lit(" (Remote)"))).alias("title"), "location")
     return lifecycle.match_existing(inc, df.select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), "company", F.col("id").cast("string").alias("job_id"), "apply_url", "title", "location"))
 
 
-@query("d02_upsert", duck(D_VIEWS + f"SELECT coalesce(s.key, i.key) AS key, CASE WHEN i.key IS NOT NULL THEN {CLOCK} ELSE s.last_seen END AS last_seen, CASE WHEN s.key IS NULL THEN 'inserted' WHEN i.key IS NOT NULL AND length(coalesce(i.body, '')) > length(coalesce(s.body, '')) + 50 THEN 'replaced' WHEN i.key IS NOT NULL THEN 'refreshed' ELSE 'kept' END AS action, length(CASE WHEN s.key IS NULL OR length(coalesce(i.body, '')) > length(coalesce(s.body, '')) + 50 THEN i.body ELSE s.body END)::INT AS body_length FROM stored s FULL JOIN shard i ON s.key = i.key"))
+@query("d02_upsert", duck(D_VIEWS + f"""
+, s AS (SELECT *, CASE WHEN id % 7 = 0 THEN {CLOCK} + INTERVAL '9' DAY WHEN id % 7 = 1 THEN NULL ELSE posted_date END AS p, 'https://old/' || id AS u FROM stored),
+i AS (SELECT *, CASE WHEN id % 2 = 0 THEN posted_date END AS p, CASE WHEN id % 4 = 0 THEN '' ELSE 'https://new/' || id END AS u FROM shard)
+SELECT coalesce(s.key, i.key) AS key, CASE WHEN i.key IS NOT NULL THEN {CLOCK} ELSE s.last_seen END AS last_seen,
+  CASE WHEN i.key IS NOT NULL AND (s.p IS NULL OR s.p > {CLOCK} OR s.p < {CLOCK} - INTERVAL '1825' DAY) THEN i.p ELSE s.p END AS posted_date, CASE WHEN coalesce(i.u, '') <> '' THEN i.u ELSE s.u END AS apply_url,
+  CASE WHEN s.key IS NULL THEN 'inserted' WHEN i.key IS NOT NULL AND length(coalesce(i.body, '')) > length(coalesce(s.body, '')) + 50 THEN 'replaced' WHEN i.key IS NOT NULL THEN 'refreshed' ELSE 'kept' END AS action,
+  length(CASE WHEN s.key IS NULL OR length(coalesce(i.body, '')) > length(coalesce(s.body, '')) + 50 THEN i.body ELSE s.body END)::INT AS body_length FROM s FULL JOIN i ON s.key = i.key"""))
 def d02(spark, d):
-    df = lens(spark, d)
-    return lifecycle.upsert(stored_rows(df), shard_rows(df), clock()).select("key", "last_seen", "action", F.length("body").alias("body_length"))
+    df, n = lens(spark, d), F.substring("key", 2, 20).cast("long")
+    s = stored_rows(df).withColumns({"posted_date": F.when(n % 7 == 0, clock() + F.expr("interval 9 days")).when(n % 7 != 1, F.col("posted_date")), "apply_url": F.concat(F.lit("https://old/"), n.cast("string"))})
+    i = shard_rows(df).withColumns({"posted_date": F.when(n % 2 == 0, F.col("posted_date")), "apply_url": F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("https://new/"), n.cast("string")))})
+    return lifecycle.upsert(s, i, clock()).select("key", "last_seen", "posted_date", "apply_url", "action", F.length("body").alias("body_length"))
+
+
+# title, role category, level, and whether its body lets it in
+ENTERING = [("Senior Substation Engineer", "Power Systems", "Senior"), ("PLC Engineer", "Controls & Automation", "Unknown"), ("Software Engineer", None, None), ("Junior RF Engineer", "RF & Communications", "Junior"), ("Substation Electrician", None, None)]
 
 
-@query("d03_insert_new", duck("SELECT id, CASE WHEN id % 4 < 2 THEN 'Austin, TX' ELSE location || ', CA' END AS location, CASE WHEN id % 4 < 2 THEN 'TX' ELSE 'CA' END AS state, true AS is_usa, CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9])(ring)($|[^a-z0-9])') THEN 'Ring' ELSE 'Bulk' END AS role_category, CASE WHEN is_senior THEN 'Senior' WHEN id % 10 >= 8 THEN 'Principal' WHEN id % 10 >= 5 THEN 'Senior' WHEN id % 10 >= 3 THEN 'Mid' ELSE 'Entry Level' END AS level FROM lens WHERE id % 3 = 1 AND id % 2 = 1 AND regexp_matches(lower(title), '(^|[^a-z0-9])(ring|large|medium)($|[^a-z0-9])')"))
+@query("d03_insert_new", expected("role, lvl", [(r[1], r[2]) for r in ENTERING], "id, CASE WHEN id % 4 < 2 THEN 'Austin, TX' ELSE location || ', CA' END AS location, CASE WHEN id % 4 < 2 THEN 'TX' ELSE 'CA' END AS state, true AS is_usa, CASE WHEN id % 4 = 2 THEN 'Remote' WHEN id % 4 = 0 THEN 'Hybrid' ELSE 'Onsite' END AS remote_status, role AS role_category, CASE WHEN lvl = 'Unknown' THEN CASE WHEN id % 10 >= 8 THEN 'Principal' WHEN id % 10 >= 5 THEN 'Senior' WHEN id % 10 >= 3 THEN 'Mid-Level' ELSE 'Entry Level' END ELSE lvl END AS level, CAST(id % 10 AS INT) AS years_min") + " WHERE id % 3 = 1 AND id % 7 <> 0 AND role IS NOT NULL")
 def d03(spark, d):
-    df = lens(spark, d).withColumns({"in_id": F.col("id").cast("string"), "title": F.concat(F.when(F.col("is_senior"), "Senior ").otherwise(""), "title"), "body": F.concat(F.lit("Needs "), (F.col("id") % 10).cast("string"), F.lit("+ years of experience"))})
+    """Levels from titles, years and work modes from whole bodies, which end with them."""
+    df = posed(lens(spark, d), written=[r[0] for r in ENTERING])
+    said = F.concat(F.lit(". Needs "), (F.col("id") % 10).cast("string"), F.lit("+ years"), F.when(F.col("id") % 4 == 2, ", remote").when(F.col("id") % 4 == 0, ", hybrid").otherwise(""))
+    df = df.withColumns({"in_id": F.col("id").cast("string"), "title": F.concat_ws(" ", "written", "part_name"), "body": F.concat(F.coalesce("body", F.lit("")), said)})
     inc = df.where("id % 3 = 1").select("id", "in_id", "company", F.col("in_id").alias("job_id"), F.when(F.col("id") % 4 < 2, F.lit("https://x.example.com/job/Austin--TX/apply")).otherwise(F.lit("https://x.example.com/")).alias("apply_url"), "title", F.when(F.col("id") % 4 < 2, F.lit("2 Locations")).otherwise(F.concat("location", F.lit(", CA"))).alias("location"), "body")
-    old = df.where("id % 2 = 0").select(F.col("in_id").alias("key"), "company", F.col("in_id").alias("job_id"), F.lit("").alias("apply_url"), F.lit("").alias("title"), "location")
-    v = classify.verdict(F.col("title"), F.col("body"), (("Ring", ("ring",)), ("Bulk", ("large", "medium"))), (), ("nobody",))
-    return lifecycle.insert_new(inc, lifecycle.match_existing(inc, old), v).select("id", "location", "state", "is_usa", "role_category", "level")
+    old = df.where("id % 7 = 0").select(F.col("in_id").alias("key"), "company", F.col("in_id").alias("job_id"), F.lit("").alias("apply_url"), F.lit("").alias("title"), "location")
+    out = lifecycle.insert_new(inc, lifecycle.match_existing(inc, old), titles.verdict(F.col("title"), F.col("body")))
+    return out.select("id", "location", "state", "is_usa", "remote_status", "role_category", "level", "years_min")
 
 
 @query("d04_reconcile_removals", duck(D_VIEWS + ", m AS (SELECT s.key, CASE WHEN s.company IN (SELECT company FROM shard) AND s.key NOT IN (SELECT key FROM shard) THEN s.id % 2 + 1 END AS m, s.id % 2 AS old FROM stored s) SELECT key, CAST(coalesce(m, old) AS INT) AS missed, CASE WHEN m >= 2 THEN 'removed' WHEN m IS NOT NULL THEN 'possibly_removed' ELSE 'active' END AS status FROM m"))
@@ -469,12 +487,22 @@ def e24(spark, d):
 
 # F: ranking
 
-RANK = "CASE WHEN lower(title) = 'ring' THEN 100 WHEN starts_with(lower(title), 'red') THEN 92 WHEN lower(company) = 'red' THEN 88 WHEN contains(lower(title), 'red') THEN 75 WHEN contains(lower(company), 'red') THEN 60 WHEN contains(lower(role_category), 'red') THEN 55 WHEN contains(lower(location), 'red') THEN 40 ELSE 10 END"
+SEARCHES = ("ring promo", "promo ring", "Large", "SUPPLIER", "und")
+RANK_SQL = """
+, p AS (SELECT id, company, role_category, skills, CASE id % 3 WHEN 0 THEN title WHEN 1 THEN part_name ELSE replace(part_name, ' ', '  ') END AS t FROM skilled),
+q AS (SELECT p.*, q, lower(t) AS l, regexp_replace(lower(t), ' +', ' ', 'g') AS n, string_split(q, ' ') AS w FROM p, (VALUES ('ring promo'), ('promo ring'), ('large'), ('supplier'), ('und')) s(q))
+SELECT id, q, CAST(CASE WHEN contains(l, q) THEN 100 WHEN contains(n, q) THEN 92 WHEN contains(lower(company), q) THEN 88
+  WHEN len(w) > 1 AND len(list_filter(w, lambda x: NOT contains(l, x))) = 0 THEN 75 WHEN len(list_filter(skills, lambda k: contains(k, q))) > 0 THEN 60
+  WHEN contains(lower(role_category), q) THEN 55 WHEN len(list_filter(w, lambda x: contains(l, x))) > 0 THEN 40 ELSE 10 END AS INT) AS tier FROM q"""
 
 
-@query("f01_keyword_rank", duck(f"SELECT id, CAST({RANK} AS INT) AS tier FROM lens"))
+@query("f01_keyword_rank", duck(RANK_SQL))
 def f01(spark, d):
-    return lens(spark, d).select("id", ranking.keyword_rank("red").alias("tier"))
+    k = F.col("id") % 3
+    title = F.when(k == 0, F.col("title")).when(k == 1, F.col("part_name")).otherwise(F.replace("part_name", F.lit(" "), F.lit("  ")))
+    df = with_skills(lens(spark, d)).withColumns({"title": title, "keywords": F.col("skills")})
+    tiers = F.array(*[F.struct(F.lit(q.lower()).alias("q"), ranking.keyword_rank(q).alias("tier")) for q in SEARCHES])
+    return df.select("id", F.explode(tiers).alias("x")).select("id", "x.*")
 
 
 @query("f02_sort_page", duck("SELECT id FROM lens ORDER BY posted_date DESC NULLS LAST, match_score DESC, first_seen DESC, id LIMIT 100"))
@@ -513,15 +541,21 @@ def f07(spark, d):
     return ranking.siblings(lens(spark, d).withColumn("title", F.col("role_category")))
 
 
-SAME = ", x AS (SELECT id, company, part_name, title, role_category, new_grad_fit, unnest(skills) AS skill FROM skilled WHERE id % 4 = 0)"
+LIKE_SQL = """
+, p AS (SELECT a.id, b.id AS other, b.company AS oc, b.title AS ot, b.new_grad_fit AS f,
+  CAST(CASE WHEN a.role_category = b.role_category THEN 4 ELSE 0 END + CASE WHEN a.lang IS NOT DISTINCT FROM b.lang THEN 2 ELSE 0 END + CASE WHEN a.is_senior = b.is_senior THEN 1 ELSE 0 END
+    + CASE WHEN a.priority = b.priority THEN 1 ELSE 0 END + least(4, len(list_intersect(a.skills, b.skills))) + CASE WHEN a.company <> b.company THEN 1 ELSE 0 END AS INT) AS score
+  FROM skilled a JOIN skilled b ON a.id <> b.id AND (a.role_category = b.role_category OR a.company = b.company)),
+o AS (SELECT *, row_number() OVER (PARTITION BY id, oc, ot ORDER BY score DESC, f DESC, other) AS r FROM p)
+SELECT id, other, score, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, f DESC, other) AS n FROM o WHERE r = 1) WHERE n <= 6"""
 
 
-@query("f08_similar", duck(SAME + ", p AS (SELECT a.id, a.company, b.id AS other, b.company AS oc, b.title AS ot, b.new_grad_fit AS f, count(*) AS shared FROM x a JOIN x b ON a.role_category = b.role_category AND a.skill = b.skill AND a.company || a.part_name <> '' AND a.id <> b.id GROUP BY ALL), s AS (SELECT *, CAST(4 + least(shared, 4) + CASE WHEN company <> oc THEN 1 ELSE 0 END AS INT) AS score FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY id, lower(oc), lower(ot) ORDER BY score DESC, f DESC, other) AS r FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, f DESC, other) AS n FROM o WHERE r = 1) SELECT id, other, score, CAST(n AS INT) AS n FROM n WHERE n <= 6").replace(" WHERE id % 4 = 0", ""))
+@query("f08_similar", duck(LIKE_SQL))
 def f08(spark, d):
-    return ranking.similar(with_skills(lens(spark, d)))
+    return ranking.similar(with_skills(lens(spark, d)).withColumn("level", F.col("lang")))
 
 
-@query("f09_similar_skills", duck(SAME.replace(" WHERE id % 4 = 0", "") + ", p AS (SELECT a.id, b.id AS other, CAST(count(*) + 2 * CASE WHEN any_value(a.role_category) = any_value(b.role_category) THEN 1 ELSE 0 END AS INT) AS score FROM x a JOIN x b ON a.skill = b.skill AND a.id <> b.id GROUP BY a.id, b.id) SELECT id, other, score, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM p) WHERE n <= 6"))
+@query("f09_similar_skills", duck(", p AS (SELECT a.id, b.id AS other, CAST(len(list_intersect(a.skills, b.skills)) + CASE WHEN a.role_category = b.role_category THEN 2 ELSE 0 END AS INT) AS score FROM skilled a JOIN skilled b ON a.id <> b.id) SELECT id, other, score, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM p WHERE score > 0) WHERE n <= 6"))
 def f09(spark, d):
     return ranking.similar_by_skills(with_skills(lens(spark, d)))
 
@@ -536,9 +570,10 @@ def f10(spark, d):
     return ranking.suggest(lens(spark, d), "re")
 
 
-@query("f12_directory_order", duck("SELECT company, n FROM (SELECT company, count(*) AS n FROM lens WHERE is_usa GROUP BY 1)"))
+@query("f12_directory_order", duck("SELECT sector, company, CAST(row_number() OVER (ORDER BY sector, n > 0 DESC, strpos('SABC', priority), n DESC, company) AS INT) AS place FROM (SELECT state AS sector, company, priority, count(*) FILTER (is_senior) AS n FROM lens GROUP BY ALL)"))
 def f12(spark, d):
-    return ranking.directory_order(lens(spark, d).where("is_usa").groupBy("company", "priority", F.col("state").alias("sector")).agg(F.count("*").alias("viewable"))).select("company", F.col("viewable").alias("n"))
+    by = lens(spark, d).groupBy("company", "priority", F.col("state").alias("sector")).agg(F.count_if("is_senior").alias("viewable"))
+    return ranking.directory_order(by).select("sector", "company", "place")
 
 
 @query("f13_newest", "SELECT o_orderkey AS run_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -600,9 +635,9 @@ def g09(spark, d):
     return marts.pipeline_health(r, r.select("engine").distinct().withColumn("hours", F.lit(4000)), F.expr("TIMESTAMP '2002-01-01'"))
 
 
-@query("g10_attention", HEALTH + " SELECT company FROM h WHERE e >= 2 OR z >= 2")
+@query("g10_attention", HEALTH + " SELECT company, kind, CAST(row_number() OVER (ORDER BY kind, e DESC, z DESC, company) AS INT) AS place FROM (SELECT *, CASE WHEN e >= 3 OR z >= 3 THEN 'attention' ELSE 'erroring' END AS kind FROM h WHERE e >= 3 OR z >= 3 OR e > 0)")
 def g10(spark, d):
-    return marts.attention(lifecycle.company_health(outcomes(spark, d), 2, 2)).select("company")
+    return marts.attention(lifecycle.company_health(outcomes(spark, d), 3, 3)).select("company", "kind", "place")
 
 
 @query("g11_sector_summary", duck(f", t AS ({TALLY}) SELECT n_name AS sector, count(*) AS companies, count(*) FILTER (coalesce(viewable, 0) > 0) AS hiring, CAST(sum(coalesce(usa, 0)) AS BIGINT) AS us_roles FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN t ON company = s_name GROUP BY 1"))
@@ -630,19 +665,21 @@ def profiles(spark, d):
     t = with_skills(read(spark, d, "conversations").where("role = 'user'").select("conv_id", F.coalesce("text", F.lit("")).alias("body")))
     p = t.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("skills")))).alias("skills"))
     focus = F.element_at(F.array(*[F.lit(x) for x in ("LARGE", "MEDIUM", "SMALL", "ECONOMY", "General")]), (F.col("conv_id") % 5 + 1).cast("int"))
-    one = F.struct(F.lit("first").alias("name"), F.slice("skills", 1, 2).alias("skills"))
-    return p.where(F.size("skills") > 0).select(F.col("conv_id").alias("profile_id"), "skills", F.array(one).alias("projects"), focus.alias("focus"), (F.col("conv_id") % 6).cast("double").alias("years"))
+    made = [F.struct(F.lit(name).alias("name"), F.slice("skills", at, 1).alias("skills")) for at, name in enumerate(("first", "second", "third"), 1)]
+    projects = F.slice(F.filter(F.array(*made), lambda x: F.size(x["skills"]) > 0), 1, (F.col("conv_id") % 4).cast("int"))
+    return p.where(F.size("skills") > 0).select(F.col("conv_id").alias("profile_id"), "skills", projects.alias("projects"), focus.alias("focus"), (F.col("conv_id") % 6).cast("double").alias("years"))
 
 
 H_SQL = f"""
 , u AS (SELECT conv_id, {", ".join(f"max(CASE WHEN contains(' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g') || ' ', ' {s} ') THEN 1 ELSE 0 END) AS h{i}" for i, s in enumerate(SKILLS))} FROM conversations WHERE role = 'user' GROUP BY conv_id),
 pr AS (SELECT conv_id AS profile_id, list_sort(list_filter([{", ".join(f"CASE WHEN h{i} = 1 THEN '{s}' END" for i, s in enumerate(SKILLS))}], lambda x: x IS NOT NULL)) AS own, ['LARGE', 'MEDIUM', 'SMALL', 'ECONOMY', 'General'][conv_id % 5 + 1] AS focus, conv_id % 6 AS years FROM u),
 j AS (SELECT p.*, s.id, s.skills, s.role_category, s.new_grad_fit, s.experienced_fit, s.eligibility_risk, s.is_usa, s.is_senior, len(list_intersect(s.skills, p.own)) AS m, len(s.skills) AS n FROM pr p JOIN skilled s ON len(list_intersect(s.skills, p.own)) > 0),
-k AS (SELECT *, CAST(round_even(100 * (0.5 * m / n + 0.5 * least(1.0, m / 8.0)), 0) AS INT) AS sk, CASE WHEN len(list_intersect(own[1:2], skills)) > 0 THEN 70 ELSE 40 END AS pj,
+k AS (SELECT *, CAST(round_even(100 * (0.5 * m / n + 0.5 * least(1.0, m / 8.0)), 0) AS INT) AS sk, len(list_intersect(own[1:least(3, profile_id % 4)], skills)) AS backs,
+  [40, 70, 90, 100][backs + 1] AS pj,
   CASE WHEN focus = role_category THEN 100 WHEN (focus, role_category) IN (('LARGE', 'MEDIUM'), ('MEDIUM', 'LARGE'), ('SMALL', 'ECONOMY'), ('ECONOMY', 'SMALL')) THEN 85 WHEN focus = 'General' THEN 70 ELSE 55 END AS dm,
   CASE WHEN len(list_intersect(skills, ['the', 'und', 'les'])) = 0 THEN 60 ELSE CAST(round_even(100 * CAST(len(list_intersect(list_intersect(skills, ['the', 'und', 'les']), own)) AS DOUBLE) / len(list_intersect(skills, ['the', 'und', 'les'])), 0) AS INT) END AS tl FROM j),
 o AS (SELECT *, CAST(round_even((50 * sk + 20 * pj + 20 * dm + 10 * tl) / 100.0, 0) AS INT) AS overlap, CASE WHEN years < 3 THEN new_grad_fit ELSE experienced_fit END AS fit FROM k),
-r AS (SELECT *, CAST(round_even((55 * overlap + 45 * fit) / 100.0, 0) AS INT) AS resume_match, CAST(55 * fit + 45 * overlap - 100 * CASE eligibility_risk WHEN 'high' THEN 12 WHEN 'medium' THEN 5 ELSE 0 END AS INT) AS priority_x100 FROM o)
+r AS (SELECT *, CAST(round_even((55 * overlap + 45 * fit) / 100.0, 0) AS INT) AS resume_match, CAST(55 * fit + 45 * overlap - 100 * CASE eligibility_risk WHEN 'high' THEN 12 WHEN 'medium' THEN 5 ELSE 0 END AS INT) AS priority_x100, CAST(round_even((55 * overlap + 2250 * least(2, backs)) / 100.0, 0) AS INT) AS defensibility FROM o)
 """
 
 
@@ -657,31 +694,37 @@ def best(spark, d):
     return matching.top_matches(profiles(spark, d), with_skills(lens(spark, d)), tools=TOOLS)
 
 
-@query("h01_h08_match", duck(H_SQL + "SELECT profile_id, count(*) AS n, CAST(sum(sk) AS BIGINT) AS skills_score, CAST(sum(pj) AS BIGINT) AS project_score, CAST(sum(dm) AS BIGINT) AS domain_score, CAST(sum(tl) AS BIGINT) AS tool_score, CAST(sum(resume_match) AS BIGINT) AS resume_match, CAST(sum(priority_x100) AS BIGINT) AS priority, count(*) FILTER (priority_x100 >= 7200) AS high FROM r GROUP BY 1"))
+@query("h01_h08_match", duck(H_SQL + "SELECT profile_id, count(*) AS n, CAST(sum(sk) AS BIGINT) AS skills_score, CAST(sum(pj) AS BIGINT) AS project_score, CAST(sum(dm) AS BIGINT) AS domain_score, CAST(sum(tl) AS BIGINT) AS tool_score, CAST(sum(resume_match) AS BIGINT) AS resume_match, CAST(sum(priority_x100) AS BIGINT) AS priority, count(*) FILTER (priority_x100 >= 7200) AS high, count(*) FILTER (priority_x100 BETWEEN 5200 AND 7199) AS medium, CAST(sum(defensibility) AS BIGINT) AS defensibility FROM r GROUP BY 1"))
 def h01(spark, d):
-    return matched(spark, d).groupBy("profile_id").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("skills_score", "project_score", "domain_score", "tool_score", "resume_match")], F.sum("priority_x100").cast("long").alias("priority"), F.count_if(F.col("apply_priority") == "High").alias("high"))
+    return matched(spark, d).groupBy("profile_id").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("skills_score", "project_score", "domain_score", "tool_score", "resume_match")], F.sum("priority_x100").cast("long").alias("priority"), F.count_if(F.col("apply_priority") == "High").alias("high"), F.count_if(F.col("apply_priority") == "Medium").alias("medium"), F.sum("defensibility").cast("long").alias("defensibility"))
+
+
+TOP_SQL = H_SQL + ", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5)"
 
 
-@query("h11_top_matches", duck(H_SQL + "SELECT profile_id, id, resume_match, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5"))
+@query("h11_top_matches", duck(TOP_SQL + "SELECT profile_id, id, resume_match, CAST(place AS INT) AS place FROM b"))
 def h11(spark, d):
     return best(spark, d).select("profile_id", "id", "resume_match", "place")
 
 
-@query("h10_why")
+@query("h10_why", duck(TOP_SQL + """
+, c AS (SELECT *, list_filter(skills, lambda x: list_contains(own, x)) AS hit, list_filter(['first', 'second', 'third'][1:least(3, profile_id % 4)], lambda x, i: list_contains(skills, own[i])) AS named FROM b)
+SELECT profile_id, id, array_to_string(list_filter([CASE WHEN len(hit) > 0 THEN 'Shares ' || array_to_string(hit[1:4], ', ') END, CASE WHEN len(named) > 0 THEN 'Backed by ' || array_to_string(named[1:2], ', ') END,
+  CASE WHEN dm >= 85 THEN 'Close to your field' END, CASE WHEN fit >= 75 THEN 'Fits your level' END], lambda x: x IS NOT NULL), '; ') AS why FROM c"""))
 def h10(spark, d):
-    return matching.why(best(spark, d)).select("profile_id", "id", "why")
+    return matching.why(best(spark, d)).select("profile_id", "id", F.array_join("why", "; ").alias("why"))
 
 
-@query("h15_missing_keywords")
+@query("h15_missing_keywords", duck(TOP_SQL + ", c AS (SELECT profile_id, id, skills, list_filter(skills, lambda x: NOT list_contains(own, x)) AS gone FROM b) SELECT profile_id, id, array_to_string((CASE WHEN len(gone) > 0 THEN gone ELSE skills END)[1:6], ',') AS keywords FROM c"))
 def h15(spark, d):
-    return best(spark, d).select("profile_id", "id", matching.missing_keywords(F.col("missing"), F.col("skills")).alias("keywords"))
+    return best(spark, d).select("profile_id", "id", F.array_join(matching.missing_keywords(F.col("missing"), F.col("skills")), ",").alias("keywords"))
 
 
-@query("h09_triage", duck(H_SQL + ", miss AS (SELECT profile_id, id, unnest(list_filter(skills, lambda x: NOT list_contains(own, x))) AS skill, own FROM r) SELECT profile_id, id, skill, CASE WHEN skill = 'the' AND list_contains(own, 'and') THEN 'Reword Only' WHEN skill IN ('the', 'und') AND (list_contains(own, 'nicht') OR list_contains(own, 'that')) THEN 'Learn First' ELSE 'Do Not Add' END AS tier FROM miss"))
+@query("h09_triage", duck(H_SQL + ", miss AS (SELECT profile_id, id, unnest(list_filter(skills, lambda x: NOT list_contains(own, x))) AS skill, own FROM r) SELECT profile_id, id, skill, CASE WHEN skill = 'por' THEN 'Safe to Add' WHEN skill = 'the' AND list_contains(own, 'and') THEN 'Reword Only' WHEN skill IN ('the', 'und') AND (list_contains(own, 'nicht') OR list_contains(own, 'that')) THEN 'Learn First' ELSE 'Do Not Add' END AS tier FROM miss"))
 def h09(spark, d):
     m = matched(spark, d).select("profile_id", "id", F.explode("missing").alias("skill"))
     rows = read(spark, d, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "the").otherwise("und").alias("skill"), F.when(F.col("r_regionkey") == 0, F.array(F.lit("and"))).otherwise(F.expr("cast(array() as array<string>)")).alias("equal"), F.array(F.lit("nicht"), F.lit("that")).alias("area"))
-    return matching.triage(m, rows, profiles(spark, d).select("profile_id", F.explode("skills").alias("skill"), F.lit(False).alias("in_project")))
+    return matching.triage(m, rows, profiles(spark, d).select("profile_id", F.explode(F.concat(F.transform("skills", lambda x: F.struct(x.alias("skill"), F.lit(False).alias("in_project"))), F.array(F.struct(F.lit("por").alias("skill"), F.lit(True).alias("in_project"))))).alias("x")).select("profile_id", "x.*"))
 
 
 @query("f11_rank_matches", duck(H_SQL + "SELECT profile_id, id, CAST(place AS INT) AS place FROM (SELECT r.profile_id, r.id, row_number() OVER (PARTITION BY r.profile_id ORDER BY r.priority_x100 DESC NULLS LAST, l.match_score DESC, r.id) AS place FROM r JOIN lens l ON l.id = r.id) WHERE place <= 3"))
