@@ -29,8 +29,8 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score
         i = int(np.flatnonzero((x > 1 + 1e-12).any(1))[0])
         raise ValueError(f"item {i} of sizes {sizes[i].tolist()} exceeds a capacity of {np.asarray(capacity).tolist()}")
     order = np.lexsort((np.arange(len(x)), -(x * weights).sum(1)))
-    room = np.empty((len(x), x.shape[1]))
-    number = np.empty(len(x), np.int64)  # of each open bin
+    room = np.empty((x.shape[1], len(x)))  # of each open bin, by dimension
+    number = np.empty(len(x), np.int64)
     out = np.empty(len(x), np.int64)
     least = np.minimum.accumulate(x[order][::-1], 0)[::-1]  # the least size still to come, by dimension
     n_open = n_bins = 0
@@ -38,19 +38,21 @@ def best_fit(sizes: np.ndarray, capacity: np.ndarray, weights: np.ndarray, score
     for step, i in enumerate(order):
         item = x[i]
         if step % 256 == 0 and n_open:  # bins that nothing can enter any more are closed
-            keep = np.flatnonzero((room[:n_open] >= least[step] - eps).all(1))
-            room[: len(keep)], number[: len(keep)] = room[keep], number[keep]
+            keep = np.flatnonzero((room[:, :n_open] >= least[step][:, None] - eps).all(0))
+            room[:, : len(keep)], number[: len(keep)] = room[:, keep], number[keep]
             n_open = len(keep)
-        left = room[:n_open] - item
-        fits = np.flatnonzero((left >= -eps).all(1))
+        fits = np.flatnonzero(room[0, :n_open] >= item[0] - eps)
+        for k in range(1, len(item)):  # the other dimensions only of the bins that are left
+            fits = fits[room[k, fits] >= item[k] - eps]
         if len(fits):
-            value = (left[fits] ** 2 * weights).sum(1) if score == "norm" else -(room[fits] * item * weights).sum(1)
+            there = room[:, fits]
+            value = weights @ (there - item[:, None]) ** 2 if score == "norm" else -((weights * item) @ there)
             b = fits[np.argmin(value)]
         else:
             b = n_open
-            room[b], number[b] = 1.0, n_bins
+            room[:, b], number[b] = 1.0, n_bins
             n_open, n_bins = n_open + 1, n_bins + 1
-        room[b] -= item
+        room[:, b] -= item
         out[i] = number[b]
     return out
 

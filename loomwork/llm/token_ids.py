@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 #: Unicode White_Space, which the tokenizers' patterns call white space (Python's own class has four characters more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters (a part of them: the rest only makes longer pieces) before an ASCII sign other than the apostrophe, where both patterns cut too.
@@ -17,6 +17,14 @@ WITH_SPACES = re.compile(f"[{SPACE}]*{LETTERS}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 NO_SPACES = re.compile(f"{LETTERS}|[^{SPACE}]+")
 
 
+def ids_as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordCache(dict):
     """Piece -> its ids as little-endian unsigned 32-bit bytes; bounded, and emptied when full."""
 
@@ -27,7 +35,7 @@ class WordCache(dict):
         self.tokenizer, self.cut, self.most, self.longest = Tokenizer.from_file(path), cut, most, longest
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        out = ids_as_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
