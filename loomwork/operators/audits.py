@@ -32,7 +32,7 @@ def diagnose(df: DataFrame) -> DataFrame:
 
 def audit_catalog(catalog: DataFrame, known: DataFrame) -> DataFrame:
     """catalog(company, url, slug): rows without slug, whose url and slug disagree, or of unknown companies."""
-    j = catalog.join(F.broadcast(known.select("company").distinct().withColumn("_k", F.lit(True))), "company", "left")
+    j = catalog.join(known.select("company").distinct().withColumn("_k", F.lit(True)), "company", "left")
     return audit(j, {"has slug": (F.lit(True), F.coalesce("slug", F.lit("")) == ""), "slug in url": (F.col("slug").isNotNull(), ~F.contains(F.lower("url"), F.lower("slug"))), "known company": (F.lit(True), F.col("_k").isNull())})
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ARRAYS = ("keywords", "skills")
 HIDDEN = ("Software / Compiler", "Unknown", "Other EE", "Out of Scope")
 
 
@@ -18,7 +19,7 @@ class Filters:
     priority: str | None = None
     role_category: str | None = None
     experience_level: str | None = None
-    level_filter: str | None = None
+    level_filter: str | tuple[str, ...] | None = None
     remote: str | None = None
     min_score: int | None = None
     usa_only: bool = False
@@ -40,14 +41,23 @@ def _low(c: str) -> Column:
     return F.lower(F.coalesce(F.col(c), F.lit("")))
 
 
-def keyword(q: str, fields=("title", "company", "location", "role_category"), words=("body",), mode: str = "strict") -> Column:
-    """Every token in some field: a substring of the short fields, a whole word (strict) or substring of the long ones."""
+# fixed value: the signs that count as blanks where whole words are searched
+SIGNS = ",.;:()/[]{}-|\n\r\t\"'*•·"
+#: Where a search looks: substrings of short fields (arrays joined), whole words of long ones. Columns that a table lacks are left out by naming others.
+SHORT, LONG = ("title", "company", "role_category", "experience_level", "state", "location", "platform", "keywords"), ("body", "snippet")
+
+
+def keyword(q: str, short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG, mode: str = "strict") -> Column:
+    """Every token in some field: a substring of the short fields, a whole word (strict) or substring of the long ones. Tokens may hold signs such as + and #."""
+    def text(c: str) -> Column:
+        return F.lower(F.coalesce(F.array_join(c, " ") if c in ARRAYS else F.col(c), F.lit("")))
+
     out = F.lit(True)
     for token in q.lower().split():
-        hits = [F.contains(_low(f), F.lit(token)) for f in fields]
-        for f in words:
-            text = F.concat(F.lit(" "), F.regexp_replace(_low(f), "[^a-z0-9]+", " "), F.lit(" ")) if mode == "strict" else _low(f)
-            hits.append(F.contains(text, F.lit(f" {token} " if mode == "strict" else token)))
+        hits = [F.contains(text(f), F.lit(token)) for f in short]
+        for f in long:
+            whole = F.concat(F.lit(" "), F.translate(text(f), SIGNS, " " * len(SIGNS)), F.lit(" ")) if mode == "strict" else text(f)
+            hits.append(F.contains(whole, F.lit(f" {token} " if mode == "strict" else token)))
         out = out & reduce(lambda a, b: a | b, hits)
     return out
 
@@ -61,13 +71,15 @@ def predicate(f: Filters, as_of: Column, mode: str = "strict") -> Column:
     out += [F.contains(_low(c), F.lit(v.lower())) for c, v in (("experience_level", f.experience_level), ("remote_status", f.remote)) if v]
     if f.priority:
         out.append(F.col("priority") == f.priority)
-    if f.level_filter:
-        out.append({"entry": F.col("is_entry"), "senior": F.col("is_senior")}.get(f.level_filter, _low("experience_level") == f.level_filter.lower()))
+    levels = [f.level_filter] if isinstance(f.level_filter, str) else list(f.level_filter or ())
+    if levels:
+        flags = {"entry": F.col("is_entry"), "senior": F.col("is_senior")}
+        out.append(reduce(lambda a, b: a | b, [flags.get(x.lower(), _low("experience_level") == x.lower()) for x in levels]))
     if f.min_score is not None:
         out.append(F.col("new_grad_fit") >= f.min_score)
     if f.usa_only:
         out.append((F.col("is_usa") | (F.col("confidence") == 0)) if f.include_unknown else F.col("is_usa"))
-    if f.include_senior is False or (f.include_senior is None and mode == "strict" and not f.keyword and f.level_filter != "senior"):
+    if f.include_senior is False or (f.include_senior is None and mode == "strict" and not f.keyword and "senior" not in [x.lower() for x in levels]):
         out.append(~F.col("is_senior"))
     if f.seen_within_hours:
         out.append(F.col("first_seen") >= as_of - F.make_dt_interval(F.lit(0), F.lit(f.seen_within_hours)))
@@ -75,7 +87,7 @@ def predicate(f: Filters, as_of: Column, mode: str = "strict") -> Column:
         out.append(F.coalesce("posted_date", "first_seen") >= as_of - F.make_dt_interval(F.lit(0), F.lit(f.posted_within_hours)))
     if f.keyword:
         out.append(keyword(f.keyword, mode=mode))
-    out += [F.array_contains("skills", s) for s in f.skills]
+    out += [F.contains(F.lower(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), ", ")), F.lit(s.lower())) | F.contains(_low("snippet"), F.lit(s.lower())) for s in f.skills]
     if f.view:
         out.append({"entry_level": F.col("is_entry"), "best": F.col("new_grad_fit") >= 65, "all_usa": F.col("is_usa"), "adjacent": F.col("role_category").isin("Adjacent / Backup")}[f.view])
     if f.hide_software:

@@ -7,11 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def facets(df: DataFrame, most_states: int = 15) -> DataFrame:
-    """(facet, value, n): category, tier, platform and state counts (states: the top ones) and the total, by one GROUPING SETS."""
-    g = df.groupingSets([["role_category"], ["priority"], ["platform"], ["state"], []], "role_category", "priority", "platform", "state").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+def facets(df: DataFrame, as_of: Column, most_states: int = 15) -> DataFrame:
+    """(facet, value, n): category, tier, platform and state counts (states: the top ones), the total, and the counts of entry or friendly, friendly, senior, remote and new (a day, by effective date) rows, by one GROUPING SETS."""
+    c = F.count_if
+    new = F.coalesce("posted_date", "first_seen") >= as_of - F.make_dt_interval(F.lit(1))
+    more = {"entry": F.col("is_entry") | F.col("friendly"), "friendly": F.col("friendly"), "senior": F.col("is_senior"), "remote": F.contains(F.lower("remote_status"), F.lit("remote")), "new_day": new}
+    g = df.groupingSets([["role_category"], ["priority"], ["platform"], ["state"], []], "role_category", "priority", "platform", "state").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *[c(x).alias(k) for k, x in more.items()])
     kind = F.when(F.col("g") == 7, "role_category").when(F.col("g") == 11, "priority").when(F.col("g") == 13, "platform").when(F.col("g") == 14, "state").otherwise("total")
-    rows = g.select(kind.alias("facet"), F.coalesce("role_category", "priority", "platform", "state", F.lit("all")).alias("value"), "n")
+    row = lambda facet, value, n: F.struct(facet.alias("facet"), value.alias("value"), n.alias("n"))
+    one = row(kind, F.coalesce("role_category", "priority", "platform", "state", F.lit("all")), F.col("n"))
+    every = F.array(one, *[row(F.lit(k), F.lit("all"), F.col(k)) for k in more])
+    rows = g.select(F.explode(F.when(F.col("g") == 15, every).otherwise(F.array(one))).alias("r")).select("r.*")
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))).where((F.col("facet") != "state") | (F.col("_r") <= most_states)).drop("_r")
 
 

@@ -93,15 +93,17 @@ def similar(df: DataFrame, k: int = 6) -> DataFrame:
     Score: 4 same category (if known), 2 same level, 1 same seniority, 1 same tier, up to 4 shared skills, 1 for another
     company; ties by new_grad_fit, then least id; of a company's postings of one title only the best counts.
     Postings alike in all that the score takes tie everywhere, so classes of like postings meet, not postings: of a
-    class a list of its best is enough, in which no company has more than k + 1. Rows without a class partner have none.
+    class a list of its best is enough, in which no company has more than k + 1 titles.
     """
     d = df.select("id", "company", "title", "new_grad_fit", *LIKE[:-1], F.array_sort(F.array_distinct(F.coalesce("skills", F.array().cast("array<string>")))).alias("skills"))
     d = d.withColumn("cls", F.xxhash64(*LIKE[:-1], F.to_json("skills")))
     best = [F.desc("new_grad_fit"), F.asc("id")]
     number = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*best))
-    once = d.withColumn("_r", number("cls", "company", "title")).where("_r = 1")
-    few = once.withColumn("_r", number("cls", "company")).where(F.col("_r") <= k + 1).drop("_r")
-    wide = few.withColumn("_r", number("cls")).where(F.col("_r") <= 2 * (k + 1)).drop("_r")
+    # of a company's postings of one title the best counts, or the next one for the best itself
+    ranked = d.withColumn("_t", number("cls", "company", "title")).where(F.col("_t") <= 2)
+    near = ranked.withColumn("_r", number("cls", "company")).where(F.col("_r") <= 2 * (k + 1))
+    wide = ranked.where(F.col("_t") == 1).withColumn("_r", number("cls", "company")).where(F.col("_r") <= k + 1)
+    wide = wide.withColumn("_r", number("cls")).where(F.col("_r") <= 2 * (k + 1))
 
     def cells(*keys: str) -> tuple[DataFrame, DataFrame]:
         a = d.select("cls", *keys, *[F.col(c).alias(f"_{c}") for c in LIKE]).dropDuplicates(["cls", *keys])
@@ -119,11 +121,11 @@ def similar(df: DataFrame, k: int = 6) -> DataFrame:
     cut = lambda rows, most, *keys: rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
     item = [F.col("id").alias("other"), F.col("company").alias("oc"), F.col("title").alias("ot"), "new_grad_fit"]
     abroad = pairs.join(wide.select(F.col("cls").alias("other_cls"), *item), "other_cls").drop("other_cls")
-    abroad = cut(cut(abroad, k + 1, "cls", "oc"), 2 * (k + 1), "cls")
+    abroad = cut(cut(cut(abroad, 1, "cls", "oc", "ot"), k + 1, "cls", "oc"), 2 * (k + 1), "cls")
     a, b = cells("company")
     pairs = a.join(b, "company").select("company", "cls", "other_cls", score.alias("score"))
-    home = pairs.join(few.select(F.col("cls").alias("other_cls"), F.col("company"), *item), ["company", "other_cls"]).drop("other_cls")
-    home = cut(home, k + 1 + k, "company", "cls")
+    home = pairs.join(near.select(F.col("cls").alias("other_cls"), F.col("company"), *item), ["company", "other_cls"]).drop("other_cls")
+    home = cut(cut(home, 2, "company", "cls", "ot"), 2 * (k + 1), "company", "cls")
     mine = d.select("id", "cls", "company")
     rows = mine.join(abroad, "cls").where("not (company <=> oc)").drop("company").unionByName(mine.join(home, ["cls", "company"]).drop("company"))
     rows = rows.where("id <> other").withColumn("_r", F.row_number().over(W.partitionBy("id", "oc", "ot").orderBy(*order))).where("_r = 1")

@@ -259,7 +259,7 @@ def d03(spark, d):
     """Levels from titles, years and work modes from whole bodies, which end with them."""
     df = posed(lens(spark, d), written=[r[0] for r in ENTERING])
     said = F.concat(F.lit(". Needs "), (F.col("id") % 10).cast("string"), F.lit("+ years"), F.when(F.col("id") % 4 == 2, ", remote").when(F.col("id") % 4 == 0, ", hybrid").otherwise(""))
-    df = df.withColumns({"in_id": F.col("id").cast("string"), "title": F.concat_ws(" ", "written", "part_name"), "body": F.concat(F.coalesce("body", F.lit("")), said)})
+    df = df.withColumns({"in_id": F.col("id").cast("string"), "title": F.concat_ws(" ", "written", "part_name"), "body": F.concat(F.repeat(F.lit("Plain words of no place. "), F.lit(21)), F.coalesce("body", F.lit("")), said)})
     inc = df.where("id % 3 = 1").select("id", "in_id", "company", F.col("in_id").alias("job_id"), F.when(F.col("id") % 4 < 2, F.lit("https://x.example.com/job/Austin--TX/apply")).otherwise(F.lit("https://x.example.com/")).alias("apply_url"), "title", F.when(F.col("id") % 4 < 2, F.lit("2 Locations")).otherwise(F.concat("location", F.lit(", CA"))).alias("location"), "body")
     old = df.where("id % 7 = 0").select(F.col("in_id").alias("key"), "company", F.col("in_id").alias("job_id"), F.lit("").alias("apply_url"), F.lit("").alias("title"), "location")
     out = lifecycle.insert_new(inc, lifecycle.match_existing(inc, old), titles.verdict(F.col("title"), F.col("body")))
@@ -426,16 +426,30 @@ def d24(spark, d):
 # E: filters, each a saved search over the lens
 
 
+#: The end of some bodies, for searches of words with signs.
+SAYS = "coalesce(body, '') || CASE WHEN id % 9 = 0 THEN ' (C++)' WHEN id % 9 = 1 THEN ' c++x' ELSE '' END"
+
+
+def searched(token, whole=True):
+    """DuckDB: a token in some field of the lens."""
+    short = ("title", "company", "role_category", "CASE WHEN is_senior THEN 'Senior' WHEN is_entry THEN 'Entry Level' ELSE 'Mid' END", "state", "location", "platform", "array_to_string(skills[1:3], ' ')")
+    hits = [f"contains(lower({c}), '{token}')" for c in short]
+    for c in (SAYS, "substr(coalesce(body, ''), 1, 300)"):
+        hits.append(f"contains(' ' || regexp_replace(lower({c}), '[,.;:()/\\[\\]{{}}|\\n\\r\\t\"''*•·-]', ' ', 'g') || ' ', ' {token} ')" if whole else f"contains(lower({c}), '{token}')")
+    return "(" + " OR ".join(hits) + ")"
+
+
 def filtered(name, f, where, mode="strict"):
     @query(name, duck(f"SELECT id FROM skilled WHERE {where}"))
     def run(spark, d):
-        df = with_skills(lens(spark, d)).withColumns({"status": F.lit("active"), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
+        df = with_skills(lens(spark, d)).withColumns({"status": F.when(F.col("id") % 6 == 5, "removed").otherwise("active"), "keywords": F.slice("skills", 1, 3), "snippet": F.substring(F.coalesce("body", F.lit("")), 1, 300), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
+        df = df.withColumns({"body": F.concat(F.coalesce("body", F.lit("")), F.when(F.col("id") % 9 == 0, " (C++)").when(F.col("id") % 9 == 1, " c++x").otherwise("")), "role_category": F.when(F.lit(f.hide_software) & (F.col("role_category") == "PROMO"), "Software / Compiler").otherwise(F.col("role_category"))})
         return df.where(filters.predicate(f, clock(), mode)).select("id")
 
 
 Q = filters.Filters
 for _name, _f, _where, *_mode in (
-    ("e01_status", Q(status="active", include_senior=True), "true"),
+    ("e01_status", Q(status="active", include_senior=True), "id % 6 <> 5"),
     ("e02_company", Q(company="Supplier#000000001", include_senior=True), "company = 'Supplier#000000001'"),
     ("e02_company_contains", Q(company="#00000000", include_senior=True), "contains(company, '#00000000')", "contains"),
     ("e04_priority", Q(priority="S", include_senior=True), "priority = 'S'"),
@@ -443,20 +457,22 @@ for _name, _f, _where, *_mode in (
     ("e06_experience", Q(experience_level="entry", include_senior=True), "is_entry AND NOT is_senior"),
     ("e07_level_senior", Q(level_filter="senior"), "is_senior"),
     ("e07_level_label", Q(level_filter="Mid"), "NOT is_senior AND NOT is_entry"),
+    ("e07_level_list", Q(level_filter=("Entry Level", "senior")), "is_senior OR is_entry"),
     ("e08_remote", Q(remote="src1", include_senior=True), "contains(platform, 'src1')"),
     ("e09_min_score", Q(min_score=60, include_senior=True), "new_grad_fit >= 60"),
     ("e10_usa_only", Q(usa_only=True, include_senior=True), "is_usa"),
     ("e10_usa_unknown", Q(usa_only=True, include_unknown=True, include_senior=True), "is_usa OR id % 5 = 0"),
     ("e11_senior_gate", Q(), "NOT is_senior"),
-    ("e11_senior_contains", Q(), "true", "contains"),
+    ("e11_senior_contains", Q(include_senior=False, priority="S"), "NOT is_senior AND priority = 'S'", "contains"),
     ("e12_state", Q(state="asia", include_senior=True), "state = 'ASIA'"),
     ("e13_seen_within", Q(seen_within_hours=24 * 29, include_senior=True), f"first_seen >= {CLOCK} - INTERVAL '29' DAY"),
     ("e14_posted_within", Q(posted_within_hours=24 * 33, include_senior=True), f"coalesce(posted_date, first_seen) >= {CLOCK} - INTERVAL '33' DAY"),
-    ("e15_keyword", Q(keyword="ring the"), "(contains(lower(title), 'ring') OR contains(lower(company), 'ring') OR contains(lower(location), 'ring') OR contains(lower(role_category), 'ring') OR regexp_matches(lower(coalesce(body, '')), '(^|[^a-z0-9])ring($|[^a-z0-9])')) AND (contains(lower(title), 'the') OR contains(lower(company), 'the') OR contains(lower(location), 'the') OR contains(lower(role_category), 'the') OR regexp_matches(lower(coalesce(body, '')), '(^|[^a-z0-9])the($|[^a-z0-9])'))"),
-    ("e15_keyword_contains", Q(keyword="rin"), "contains(lower(title), 'rin') OR contains(lower(company), 'rin') OR contains(lower(location), 'rin') OR contains(lower(role_category), 'rin') OR contains(lower(coalesce(body, '')), 'rin')", "contains"),
-    ("e16_skills", Q(skills=("the", "with"), include_senior=True), "list_contains(skills, 'the') AND list_contains(skills, 'with')"),
+    ("e15_keyword", Q(keyword="ring the"), f"{searched('ring')} AND {searched('the')}"),
+    ("e15_keyword_signs", Q(keyword="c++"), searched("c++")),
+    ("e15_keyword_contains", Q(keyword="rin"), searched("rin", False), "contains"),
+    ("e16_skills", Q(skills=("the", "with"), include_senior=True), " AND ".join(f"(list_contains(skills[1:3], '{k}') OR contains(lower(substr(coalesce(body, ''), 1, 300)), '{k}'))" for k in ("the", "with"))),
     ("e17_view_best", Q(view="best", include_senior=True), "new_grad_fit >= 65"),
-    ("e18_hide_software", Q(hide_software=True, include_senior=True), "role_category <> 'Software / Compiler'"),
+    ("e18_hide_software", Q(hide_software=True, include_senior=True), "role_category <> 'PROMO'"),
     ("e19_hidden", Q(hidden=("SMALL", "PROMO"), include_senior=True), "role_category NOT IN ('SMALL', 'PROMO')"),
     ("e20_role_flag", Q(role_flag="large", include_senior=True), "role_category = 'LARGE'"),
     ("e21_h1b", Q(h1b_only=True, include_senior=True), "id % 3 = 0 AND eligibility_risk = 'low'"),
@@ -584,9 +600,10 @@ def f13(spark, d):
 # G: marts
 
 
-@query("g01_facets", duck("SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM (SELECT 'role_category' AS facet, role_category AS value, count(*) AS n FROM lens GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'platform', platform, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM lens)) WHERE facet <> 'state' OR r <= 15"))
+@query("g01_facets", duck("SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM (SELECT 'role_category' AS facet, role_category AS value, count(*) AS n FROM lens GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'platform', platform, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM lens GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM lens UNION ALL SELECT unnest(['entry', 'friendly', 'senior', 'remote', 'new_day']), 'all', unnest([count(*) FILTER (is_entry OR priority = 'S'), count(*) FILTER (priority = 'S'), count(*) FILTER (is_senior), count(*) FILTER (contains(platform, '1')), count(*) FILTER (coalesce(posted_date, first_seen) >= TIMESTAMP '2024-01-30 00:00:00')]) FROM lens)) WHERE facet <> 'state' OR r <= 15"))
 def g01(spark, d):
-    return marts.facets(lens(spark, d))
+    df = lens(spark, d).withColumns({"friendly": F.col("priority") == "S", "remote_status": F.when(F.contains("platform", F.lit("1")), "Remote").otherwise("Onsite")})
+    return marts.facets(df, clock())
 
 
 @query("g02_dashboard", duck(f"SELECT count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (is_entry) AS entry, count(*) FILTER (is_senior) AS senior, count(*) FILTER (is_usa AND is_entry) AS usa_entry, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY) AS new_day, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '7' DAY) AS new_week, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '30' DAY) AS new_month, count(*) FILTER (match_score >= 75) AS strong, count(*) FILTER (new_grad_fit >= 65) AS best, count(posted_date) AS dated, count(*) FILTER (eligibility_risk = 'high') AS high_risk, count(*) FILTER (priority = 'S') AS tier_s, count(DISTINCT company) AS companies FROM lens"))
@@ -806,10 +823,10 @@ def j04(spark, d):
     return audits.audit_catalog(s.select("company", url.alias("url"), slug.alias("slug")), s)
 
 
-@query("j05_reconcile", duck("SELECT count(*) AS total, count(*) AS summed, true AS ok FROM lens"))
+@query("j05_reconcile", duck("SELECT count(*) AS total, count(*) FILTER (WHERE company NOT LIKE '%7') AS summed, count(*) FILTER (WHERE company LIKE '%7') = 0 AS ok FROM lens"))
 def j05(spark, d):
     df = lens(spark, d)
-    return audits.reconcile_counts(df, marts.company_stats(df, clock()), "company", "total")
+    return audits.reconcile_counts(df, marts.company_stats(df.where("company not like '%7'"), clock()), "company", "total")
 
 
 @query("b09_identity_of_pages", "SELECT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")

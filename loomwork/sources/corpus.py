@@ -12,8 +12,12 @@ from ..functions.identity import chunk_of
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share (where that is unset, a local temporary one); it goes with the session's JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomwork-scratch"
+    """A new folder under spark.checkpoint.dir, which driver and executors share; in local mode, where that is unset, a local temporary one. It goes with the session's JVM."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/loomwork-scratch"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
@@ -31,15 +35,19 @@ def build_catalog(candidates: DataFrame, connections: DataFrame) -> DataFrame:
     orphans = connections.join(candidates, "company", "left_anti").limit(5).collect()
     if orphans:
         raise ValueError(f"connections without a company: {[r.company for r in orphans]}")
-    j = candidates.join(F.broadcast(connections), "company", "left")
+    j = candidates.join(connections, "company", "left")
     return j.select(*[F.col(c) for c in candidates.columns], F.coalesce("platform", F.lit("generic")).alias("platform"), "slug", F.col("platform").isNotNull().alias("enabled"))
 
 
-def write_corpus(live: DataFrame, state: DataFrame, bodies: DataFrame, path: str) -> None:
-    """live and state as Parquet, bodies of live ids only, partitioned by id chunk."""
+def write_corpus(live: DataFrame, state: DataFrame, bodies: DataFrame, path: str, file_bytes: int = 256 << 20) -> None:
+    """live and state as Parquet, bodies of live ids only, partitioned by id chunk; a chunk has as many files, and tasks, as its bytes ask for."""
     live.write.mode("overwrite").parquet(f"{path}/live")
     state.write.mode("overwrite").parquet(f"{path}/state")
-    bodies.join(live.select("id"), "id", "left_semi").withColumn("chunk", chunk_of(F.col("id"))).repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/bodies")
+    kept = bodies.join(live.select("id"), "id", "left_semi").withColumn("chunk", chunk_of(F.col("id")))
+    size = kept.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    parts = max(1, -(-size // (16 * file_bytes)))
+    salt = F.pmod(F.xxhash64("id"), F.lit(parts))
+    kept.repartition(16 * parts, F.col("chunk"), salt).write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/bodies")
 
 
 def read_corpus(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,47 @@ def labelled_fields(html: Column, label: str = r"<dt[^>]*>([^<]*)</dt>\s*<dd[^>]
     return F.map_from_entries(F.transform(first, lambda p: F.struct(F.trim(p["k"]), F.trim(p["v"]))))
 
 
-def header_fields(html: Column) -> Column:
+def has_class(name: str) -> str:
+    """A look-ahead, set after a tag's name, for a class that holds `name`, wherever the attribute stands."""
+    return rf'(?=[^>]*\sclass\s*=\s*"[^"]*{name})'
+
+
+def element(tag: str, name: str) -> str:
+    """Pattern of an element of a class, with its content as the group; flags stand in front of the whole pattern."""
+    return rf"<{tag}\b{has_class(name)}[^>]*>(.*?)</{tag}>"
+
+
+@dataclass(frozen=True)
+class Markup:
+    """Class names of the pages that are read."""
+
+    # fixed values: the classes of labelled header fields and of result tables
+    label: str = "JobHeaderField"
+    value: str = "JobHeaderData"
+    row: str = "data-row"
+    link: str = "jobTitle-link"
+    place: str = "jobLocation"
+    date: str = "jobDate"
+
+
+def header_fields(html: Column, m: Markup = Markup()) -> Column:
     """Map of label in lower case to value of header fields marked as such; empty values do not count, of equal labels the first does. Entities stay: `decoded` what is read from it."""
-    field = r'(?is)<dt[^>]*class="[^"]*JobHeaderField[^"]*"[^>]*>(.*?)</dt>\s*<dd[^>]*class="[^"]*JobHeaderData[^"]*"[^>]*>(.*?)</dd>'
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(field), 1).alias("k"), F.regexp_extract_all(html, F.lit(field), 2).alias("v"))
+    pair = F.lit(f"(?is){element('dt', m.label)}\\s*{element('dd', m.value)}")
+    pairs = F.arrays_zip(F.regexp_extract_all(html, pair, 1).alias("k"), F.regexp_extract_all(html, pair, 2).alias("v"))
     pairs = F.filter(F.transform(pairs, lambda p: F.struct(F.lower(strip_tags(p["k"])).alias("k"), strip_tags(p["v"]).alias("v"))), lambda p: p["v"] != "")
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
     return F.map_from_entries(first)
 
 
-def table_rows(pages: DataFrame, html: str, base: str) -> DataFrame:
-    """Result tables: job_id, job_title, apply_url, location, posted_date of each row with a title link (its attributes in either order), the first per page and id."""
+def table_rows(pages: DataFrame, html: str, base: str, m: Markup = Markup()) -> DataFrame:
+    """Result tables: job_id, job_title, apply_url, location, posted_date of each row whose title links to a numbered posting, the first per page and id."""
     from ..functions.places import shouting_location
     from ..operators.lifecycle import keep_newest
 
-    link = r'<a\b(?=[^>]*class="jobTitle-link")'
-    rows = extract_cards(pages, html, r'(?is)<tr class="data-row"[^>]*>.*?</tr>', {"href": rf'(?is){link}[^>]*href="(/job/[^"]*?/\d+/)"', "job_title": rf"(?is){link}[^>]*>(.*?)</a>", "place": r'(?is)<span class="jobLocation">\s*(.*?)\s*</span>', "date": r'(?is)<span class="jobDate[^"]*">\s*(.*?)\s*</span>'})
+    fields = {"href": rf'(?is)<a\b{has_class(m.link)}[^>]*\shref="([^"]*)"', "job_title": f"(?is){element('a', m.link)}", "place": f"(?is){element('span', m.place)}", "date": f"(?is){element('span', m.date)}"}
+    rows = extract_cards(pages, html, f"(?is){element('tr', m.row)}", fields)
     day = F.coalesce(*[F.try_to_timestamp("date", F.lit(f)) for f in ("MMM d, yyyy", "M/d/yyyy", "d MMM yyyy", "yyyy-MM-dd")])
-    rows = rows.where("href <> ''").withColumn("job_id", F.regexp_extract("href", r"/(\d+)/$", 1))
+    rows = rows.withColumn("job_id", F.regexp_extract("href", r"^/job/.*/(\d+)/$", 1)).where("job_id <> ''")
     out = keep_newest(rows, ["page_id", "job_id"], F.asc("pos"))
     return out.select("page_id", "job_id", decoded(F.col("job_title")).alias("job_title"), F.concat(F.col(base), decoded(F.col("href"))).alias("apply_url"), shouting_location(decoded(F.col("place"))).alias("location"), day.alias("posted_date"))
 

@@ -110,3 +110,74 @@ def test_work_mode_reads_the_whole_body(spark):
     late = "x" * 5000
     for place, body, want in (("Erie, PA", late + " Hybrid", "Hybrid"), ("", late + " remote", "Remote"), ("", "remote " + late + " hybrid", "Hybrid"), ("Erie, PA", late, "Onsite"), ("", None, "Unknown")):
         assert one(spark, text.remote_status(F.lit(place), F.lit(body).cast("string"))) == want, (place, want)
+
+
+def test_a_stream_of_observations_folds_into_the_published_table(spark, tmp_path):
+    """Two landed batches: seen rows are active, unseen ones of a company that ran move towards removal, others stay."""
+    from loomwork.streaming import ingest
+
+    at = lambda day: dt.datetime(2024, 1, day)
+    schema = "key string, company string, last_seen timestamp"
+    table = [spark.createDataFrame([("a", "X", at(1), "active", 1, None), ("b", "X", at(1), "active", 0, None), ("c", "Y", at(1), "active", 0, None)], schema + ", status string, missed int, removed_at timestamp")]
+    epochs = []
+
+    def publish(df, epoch):
+        out = f"{tmp_path}/v{len(epochs)}"
+        df.write.parquet(out)
+        epochs.append(epoch)
+        table[0] = spark.read.parquet(out)
+
+    for n, rows in enumerate(([("b", "X", at(2)), ("d", "X", at(2))], [("a", "X", at(3)), ("a", "X", at(3))]), 1):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
+        ingest.run(spark, f"{tmp_path}/landing", schema, lambda: table[0], publish, f"{tmp_path}/checkpoint").awaitTermination()
+        got = {r.key: (r.status, r.missed) for r in table[0].collect()}
+        if n == 1:
+            assert got == {"a": ("removed", 2), "b": ("active", 0), "c": ("active", 0), "d": ("active", 0)}
+    assert got == {"a": ("active", 0), "b": ("possibly_removed", 1), "c": ("active", 0), "d": ("possibly_removed", 1)} and len(epochs) == 2
+
+
+def test_profiles_and_titles_of_null_texts_are_empty(spark):
+    from loomwork.functions import skills, titles
+
+    none = F.lit(None).cast("string")
+    p = one(spark, skills.parse_profile(none))
+    assert (p.name, p.degree, p.field, p.grad_date, p.years, p.projects, p.skills.all_skills, p.role_focus) == ("", "", "", "", 0.0, [], [], skills.GENERAL)
+    v = one(spark, titles.verdict(none, none))
+    assert (v.relevant, v.category, v.reason, v.needs_description) == (False, "Out of Scope", "no title", False)
+    assert one(spark, skills.extract_skills(none)) == []
+
+
+def test_names_find_fallback_urls_whole_then_first_word_then_anywhere(spark):
+    from loomwork.operators import lookups
+
+    table = spark.createDataFrame([(1, "Acme", "a"), (2, "silicon", "s"), (3, "con", "c"), (4, "Acme Power", "p")], "ord long, name string, url string")
+    names = spark.createDataFrame([(n,) for n in ("ACME power", "Acme Tools", "Big Silicon", "Falcon", "Nobody", "", None)], "company string")
+    assert {r.company: r.fallback_url for r in lookups.fallback_url(names, table).collect()} == {"ACME power": "p", "Acme Tools": "a", "Big Silicon": "s", "Falcon": "c", "Nobody": "", "": "", None: ""}
+
+
+def test_rare_matches_of_similar_postings(spark):
+    """Against all pairs: ties, hot companies, postings alike in all but the id, and postings without skills."""
+    import random
+
+    from loomwork.operators import ranking
+
+    r = random.Random(3)
+    rows = [(i, r.choice("AAAAAAB"), r.choice(["t1", "t2", "t3"]), r.choice(["x", "y", "Unknown"]), r.choice(["e", None]), r.random() < 0.3, r.choice("SA"), r.choice([[], ["p"], ["p", "q"], None]), r.randrange(3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, company string, title string, role_category string, level string, is_senior boolean, priority string, skills array<string>, new_grad_fit int")
+    want = {}
+    for a in rows:
+        scored = []
+        for b in rows:
+            if a[0] != b[0] and (a[3] == b[3] or a[1] == b[1]):
+                s = 4 * (a[3] == b[3] != "Unknown") + 2 * (a[4] == b[4]) + (a[5] == b[5]) + (a[6] == b[6]) + len({*(a[7] or ())} & {*(b[7] or ())}) + (a[1] != b[1])
+                scored.append((-s, -b[8], b[0], b[1], b[2]))
+        best, seen = [], set()
+        for s, _, other, c, t in sorted(scored):
+            if (c, t) not in seen:
+                seen.add((c, t))
+                best.append((other, -s))
+        want[a[0]] = best[:6]
+    got = {}
+    for x in ranking.similar(df).orderBy("id", "n").collect():
+        got.setdefault(x.id, []).append((x.other, x.score))
+    assert got == want
