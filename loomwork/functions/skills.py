@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import best_category, body_words, hits_in, low, once
+from .classify import best_category, body_words, found_of, low, once
 from .titles import BODIES
 
 #: This package's own dictionary: family -> canonical skill -> phrases that name it, matched as whole words.
@@ -44,14 +44,19 @@ END_HEADERS = ("experience", "work experience", "education", "skills", "certific
 GENERAL = "Electrical Engineering (general)"
 
 
-def named(x: Column, dictionary: dict[str, tuple[str, ...]]) -> Column:
-    """The names of the dictionary of which x (from body_words) has a phrase, in its order."""
-    return F.array_compact(F.array(*[F.when(F.size(hits_in(x, terms)) > 0, F.lit(k)) for k, terms in dictionary.items()]))
+def named(found: Column, dictionary: dict[str, tuple[str, ...]]) -> Column:
+    """The names of the dictionary of which a phrase is among the found ones, in its order."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(found, F.array(*map(F.lit, terms))), F.lit(k)) for k, terms in dictionary.items()]))
+
+
+def phrases(*dictionaries: dict[str, tuple[str, ...]]) -> list[tuple[str, ...]]:
+    return [terms for d in dictionaries for terms in d.values()]
 
 
 def extract_skills(text: Column, families=FAMILIES) -> Column:
     """The canonical skills of a text, family by family in dictionary order; the text is cut into words once. Null has none."""
-    return once(body_words(text), lambda x: F.concat(*[named(x, d) for d in families.values()]))
+    found = once(body_words(text), lambda x: found_of(x, phrases(*families.values())))
+    return once(found, lambda f: F.concat(*[named(f, d) for d in families.values()]))
 
 
 def projects(text: Column, most: int = 12) -> Column:
@@ -80,7 +85,7 @@ def parse_profile(text: Column, families=FAMILIES) -> Column:
     Nothing is guessed: what is not found is empty (years 0). A null text gives empty fields.
     """
     t = low(text)
-    degree = F.coalesce(*[F.when(F.size(hits_in(body_words(text), terms)) > 0, F.lit(k)) for k, terms in DEGREES], F.lit(""))
+    degree = once(once(body_words(text), lambda x: found_of(x, [terms for _, terms in DEGREES])), lambda f: F.coalesce(F.get(named(f, dict(DEGREES)), F.lit(0)), F.lit("")))
     found = lambda pattern, g: F.regexp_extract(t, pattern, g)
     field = F.upper(found(rf"(?<![a-z0-9])({'|'.join(FIELDS)})(?![a-z0-9])", 1))
     date = rf"(?:((?:{'|'.join(MONTHS)})[a-z]*)\.?\s+)?(20[23][0-9])(?![0-9])"
@@ -92,6 +97,6 @@ def parse_profile(text: Column, families=FAMILIES) -> Column:
         own = {k: named(x, d) for k, d in families.items()}
         return F.struct(*[v.alias(k) for k, v in own.items()], named(x, LICENCES).alias("licences"), named(x, SIGNALS).alias("signals"), F.array_sort(F.array_distinct(F.concat(*own.values()))).alias("all_skills"))
 
-    s = once(body_words(text), skilled)
+    s = once(once(body_words(text), lambda x: found_of(x, phrases(*families.values(), LICENCES, SIGNALS))), skilled)
     focus = F.coalesce(best_category(text, BODIES, 2, whole=False), F.lit(GENERAL))
     return F.struct(F.coalesce(F.get(person, F.lit(0)), F.lit("")).alias("name"), degree.alias("degree"), field.alias("field"), grad.alias("grad_date"), years.alias("years"), projects(text).alias("projects"), s.alias("skills"), focus.alias("role_focus"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import best_of, body_words, first_rule, has_term, hits_in, low, once
+from .classify import best_of, body_words, first_rule, found_of, has_term, hits_in, low, once
 
 # fixed values: the names of the categories
 POWER, RENEWABLE, INDUSTRIAL = "Power Systems", "Renewable Energy", "Industrial & Plant"
@@ -166,7 +166,7 @@ def role_category(v: Column) -> Column:
 
 def role_flags(v: Column, body: Column, vocabulary=BODIES, least: int = 3) -> Column:
     """Array of the categories that a posting touches: that of its verdict, if relevant, and any of which the body has `least` terms."""
-    def touched(x: Column) -> Column:
-        return F.array_compact(F.array(*[F.when((v["relevant"] & (v["category"] == k)) | (F.size(hits_in(x, terms)) >= least), F.lit(k)) for k, terms in vocabulary]))
+    def touched(found: Column) -> Column:
+        return F.array_compact(F.array(*[F.when((v["relevant"] & (v["category"] == k)) | (F.size(F.array_intersect(found, F.array(*map(F.lit, terms)))) >= least), F.lit(k)) for k, terms in vocabulary]))
 
-    return once(body_words(body), touched)
+    return once(once(body_words(body), lambda x: found_of(x, [terms for _, terms in vocabulary])), touched)
