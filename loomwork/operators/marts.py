@@ -29,6 +29,7 @@ def dashboard(df: DataFrame, as_of: Column) -> DataFrame:
         F.count("*").alias("total"), c("is_usa").alias("usa"), c("is_entry").alias("entry"), c("is_senior").alias("senior"), c(F.col("is_usa") & F.col("is_entry")).alias("usa_entry"),
         c(day(1)).alias("new_day"), c(day(7)).alias("new_week"), c(day(30)).alias("new_month"), c(F.col("match_score") >= 75).alias("strong"), c(F.col("new_grad_fit") >= 65).alias("best"),
         c(F.col("posted_date").isNotNull()).alias("dated"), c(F.col("eligibility_risk") == "high").alias("high_risk"), c(F.col("priority") == "S").alias("tier_s"), F.count_distinct("company").alias("companies"),
+        c(~F.col("is_usa")).alias("non_usa"), c(F.col("role_category") == "Software / Compiler").alias("software"),
     )
 
 
@@ -67,11 +68,14 @@ def skill_gaps_simple(df: DataFrame, known: DataFrame, n: int = 12) -> DataFrame
 
 
 def pipeline_health(runs: DataFrame, cadence: DataFrame, as_of: Column) -> DataFrame:
-    """Per engine: the last good run and whether its age is within two (ok) or four (stale) cadences."""
+    """Per engine: the last good run, whether its age is within two (ok) or four (stale) cadences, and overall the worst state of all."""
     good = runs.where("finished and companies > 0").groupBy("engine").agg(F.max("started_at").alias("last_good"))
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("last_good")) / 3600
     j = cadence.join(good, "engine", "left")
-    return j.select("engine", "last_good", F.when(F.col("last_good").isNull(), "down").when(age <= 2 * F.col("hours"), "ok").when(age <= 4 * F.col("hours"), "stale").otherwise("down").alias("status"))
+    state = F.when(F.col("last_good").isNull(), "down").when(age <= 2 * F.col("hours"), "ok").when(age <= 4 * F.col("hours"), "stale").otherwise("down")
+    every = W.partitionBy()  # a row per engine
+    worst = F.when(F.max(F.col("status") == "down").over(every), "down").when(F.max(F.col("status") == "stale").over(every), "stale").otherwise("ok")
+    return j.select("engine", "last_good", state.alias("status")).withColumn("overall", worst)
 
 
 def attention(health: DataFrame) -> DataFrame:
@@ -86,12 +90,13 @@ def sector_summary(entries: DataFrame) -> DataFrame:
 
 
 def board_yield(df: DataFrame, samples: int = 6) -> DataFrame:
-    """Per company: listed, kept, kept in the US, counts by category, and the first titles."""
-    by = df.groupBy("company", "role_category").agg(F.count("*").alias("n"), F.count_if("is_usa").alias("us"))
-    cats = by.groupBy("company").agg(F.sum("n").alias("listed"), F.sum("us").alias("us_keep"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role_category", "n")))).alias("categories"))
+    """Per company: listed, kept in the US, undecided (column maybe), counts by category, and the first titles."""
+    by = df.groupBy("company", "role_category").agg(F.count("*").alias("n"), F.count_if("is_usa").alias("us"), F.count_if("maybe").alias("m"))
+    cats = by.groupBy("company").agg(F.sum("n").alias("listed"), F.sum("us").alias("us_keep"), F.sum("m").alias("maybe"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role_category", "n")))).alias("categories"))
     first = df.select("company", "title").distinct().withColumn("_r", F.row_number().over(W.partitionBy("company").orderBy("title"))).where(F.col("_r") <= samples).groupBy("company").agg(F.array_sort(F.collect_list("title")).alias("samples"))
     return cats.join(first, "company")
 
 
 def run_totals(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("run").agg(F.count_distinct("company").alias("companies"), F.sum("found").alias("found"), F.count_if("error").alias("errors"))
+    """Per run: companies, postings found, new and removed, and errors."""
+    return outcomes.groupBy("run").agg(F.count_distinct("company").alias("companies"), *[F.sum(c).alias(c) for c in ("found", "new", "removed")], F.count_if("error").alias("errors"))

@@ -606,9 +606,10 @@ def g01(spark, d):
     return marts.facets(df, clock())
 
 
-@query("g02_dashboard", duck(f"SELECT count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (is_entry) AS entry, count(*) FILTER (is_senior) AS senior, count(*) FILTER (is_usa AND is_entry) AS usa_entry, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY) AS new_day, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '7' DAY) AS new_week, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '30' DAY) AS new_month, count(*) FILTER (match_score >= 75) AS strong, count(*) FILTER (new_grad_fit >= 65) AS best, count(posted_date) AS dated, count(*) FILTER (eligibility_risk = 'high') AS high_risk, count(*) FILTER (priority = 'S') AS tier_s, count(DISTINCT company) AS companies FROM lens"))
+@query("g02_dashboard", duck(f"SELECT count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (is_entry) AS entry, count(*) FILTER (is_senior) AS senior, count(*) FILTER (is_usa AND is_entry) AS usa_entry, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY) AS new_day, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '7' DAY) AS new_week, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '30' DAY) AS new_month, count(*) FILTER (match_score >= 75) AS strong, count(*) FILTER (new_grad_fit >= 65) AS best, count(posted_date) AS dated, count(*) FILTER (eligibility_risk = 'high') AS high_risk, count(*) FILTER (priority = 'S') AS tier_s, count(DISTINCT company) AS companies, count(*) FILTER (NOT is_usa) AS non_usa, count(*) FILTER (role_category = 'PROMO') AS software FROM lens"))
 def g02(spark, d):
-    return marts.dashboard(lens(spark, d), clock())
+    kind = F.when(F.col("role_category") == "PROMO", "Software / Compiler").otherwise(F.col("role_category"))
+    return marts.dashboard(lens(spark, d).withColumn("role_category", kind), clock())
 
 
 @query("g03_company_stats", duck(f"SELECT company, count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (is_entry) AS entry, count(*) FILTER (match_score > 0) AS relevant, count(*) FILTER (is_usa AND NOT is_senior) AS viewable, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY) AS new_today, avg(match_score) AS avg_score FROM lens GROUP BY 1"))
@@ -646,10 +647,19 @@ def g08(spark, d):
     return marts.skill_gaps_simple(df, df.select(F.explode(F.array(F.lit("the"), F.lit("and"))).alias("skill")).distinct())
 
 
-@query("g09_pipeline_health", "SELECT o_orderpriority AS engine, CAST(max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS TIMESTAMP) AS last_good, CASE WHEN max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') IS NULL THEN 'down' WHEN epoch(TIMESTAMP '2002-01-01' - max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P')) <= 2 * 3600 * 4000 THEN 'ok' ELSE 'stale' END AS status FROM orders GROUP BY 1")
+G09_SQL = """
+WITH g AS (SELECT o_orderpriority AS engine, max(o_orderdate) FILTER (WHERE o_orderstatus <> 'P') AS good FROM orders GROUP BY 1),
+c AS (SELECT engine, CAST(good AS TIMESTAMP) AS last_good, CASE substr(engine, 1, 1) WHEN '1' THEN 4000 WHEN '2' THEN 1500 ELSE 100 + 9900 * (ascii(engine) % 2) END AS hours, epoch(TIMESTAMP '1999-01-01' - good) / 3600 AS age FROM g),
+s AS (SELECT engine, last_good, CASE WHEN last_good IS NULL OR age > 4 * hours THEN 'down' WHEN age > 2 * hours THEN 'stale' ELSE 'ok' END AS status FROM c)
+SELECT *, CASE WHEN (SELECT count(*) FROM s WHERE status = 'down') > 0 THEN 'down' WHEN (SELECT count(*) FROM s WHERE status = 'stale') > 0 THEN 'stale' ELSE 'ok' END AS overall FROM s"""
+
+
+@query("g09_pipeline_health", G09_SQL)
 def g09(spark, d):
     r = runs(spark, d).select("engine", "started_at", F.col("finished_at").isNotNull().alias("finished"), F.lit(1).alias("companies"))
-    return marts.pipeline_health(r, r.select("engine").distinct().withColumn("hours", F.lit(4000)), F.expr("TIMESTAMP '2002-01-01'"))
+    first = F.substring("engine", 1, 1)
+    hours = F.when(first == "1", 4000).when(first == "2", 1500).otherwise(100 + 9900 * (F.ascii("engine") % 2))
+    return marts.pipeline_health(r, r.select("engine").distinct().withColumn("hours", hours), F.expr("TIMESTAMP '1999-01-01'"))
 
 
 @query("g10_attention", HEALTH + " SELECT company, kind, CAST(row_number() OVER (ORDER BY kind, e DESC, z DESC, company) AS INT) AS place FROM (SELECT *, CASE WHEN e >= 3 OR z >= 3 THEN 'attention' ELSE 'erroring' END AS kind FROM h WHERE e >= 3 OR z >= 3 OR e > 0)")
@@ -664,15 +674,15 @@ def g11(spark, d):
     return marts.sector_summary(marts.company_entries(s, tallies(spark, d), none))
 
 
-@query("g12_board_yield", duck("SELECT company, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(us) AS BIGINT) AS us_keep, string_agg(role_category || '=' || n, ',' ORDER BY role_category) AS categories FROM (SELECT company, role_category, count(*) AS n, count(*) FILTER (is_usa) AS us FROM lens GROUP BY ALL) GROUP BY company"))
+@query("g12_board_yield", duck("SELECT company, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(us) AS BIGINT) AS us_keep, CAST(sum(m) AS BIGINT) AS maybe, string_agg(role_category || '=' || n, ',' ORDER BY role_category) AS categories FROM (SELECT company, role_category, count(*) AS n, count(*) FILTER (is_usa) AS us, count(*) FILTER (NOT is_entry AND NOT is_senior) AS m FROM lens GROUP BY ALL) GROUP BY company"))
 def g12(spark, d):
-    m = marts.board_yield(lens(spark, d))
-    return m.select("company", "listed", "us_keep", F.array_join(F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("categories"))
+    m = marts.board_yield(lens(spark, d).withColumn("maybe", ~F.col("is_entry") & ~F.col("is_senior")))
+    return m.select("company", "listed", "us_keep", "maybe", F.array_join(F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("categories"))
 
 
-@query("g13_run_totals", "SELECT CAST(ts AS DATE) AS run, count(DISTINCT user_id) AS companies, count(*) AS found, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+@query("g13_run_totals", "SELECT CAST(ts AS DATE) AS run, count(DISTINCT user_id) AS companies, count(*) AS found, count(*) FILTER (event_type = 'signup') AS new, count(*) FILTER (event_type = 'purchase') AS removed, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def g13(spark, d):
-    return marts.run_totals(read(spark, d, "events").select(F.to_date("ts").alias("run"), F.col("user_id").alias("company"), F.lit(1).alias("found"), (F.col("event_type") == "error").alias("error")))
+    return marts.run_totals(read(spark, d, "events").select(F.to_date("ts").alias("run"), F.col("user_id").alias("company"), F.lit(1).alias("found"), *[(F.col("event_type") == e).cast("long").alias(k) for k, e in (("new", "signup"), ("removed", "purchase"))], (F.col("event_type") == "error").alias("error")))
 
 
 # H: a profile per conversation (skills of its user turns) against all postings
