@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 def watchlist_hits(watchlists: DataFrame, postings: DataFrame, most: int = 5_000) -> DataFrame:
     """watchlists(watch_id, role_category, state, priority, min_score, usa_only, since) x postings; null filters match all.
 
+    Further filters where watchlists has them: level (equal), company, remote, keyword (each held in any case; a keyword by
+    title, company or category) and include_senior (false hides senior postings).
+
     A theta join with the searches on the broadcast side, in blocks of about `most` searches, so a broadcast is bounded.
     """
     blocks = -(-watchlists.count() // most)
@@ -26,6 +29,15 @@ def _hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
     ok = F.lit(True)
     for c in ("role_category", "state", "priority"):
         ok = ok & (F.col(f"w.{c}").isNull() | (F.col(f"w.{c}") == F.col(f"p.{c}")))
+    held = {"company": ("company",), "remote": ("remote_status",), "keyword": ("title", "company", "role_category")}
+    for c, fields in held.items():
+        if c in watchlists.columns:
+            hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(f"p.{f}"), F.lit(""))), F.lower(f"w.{c}")) for f in fields])
+            ok = ok & (F.col(f"w.{c}").isNull() | hit)
+    if "level" in watchlists.columns:
+        ok = ok & (F.col("w.level").isNull() | F.col("w.level").eqNullSafe(F.col("p.level")))
+    if "include_senior" in watchlists.columns:
+        ok = ok & (F.coalesce("w.include_senior", F.lit(True)) | ~F.col("p.is_senior"))
     ok = ok & (F.col("p.new_grad_fit") >= F.coalesce("w.min_score", F.lit(0))) & (~F.coalesce("w.usa_only", F.lit(False)) | F.col("p.is_usa"))
     return p.join(w, ok).select("w.watch_id", "p.id", "p.title", "p.company", "p.first_seen", (F.col("p.first_seen") >= F.col("w.since")).alias("is_new"))
 

@@ -770,30 +770,36 @@ def g07(spark, d):
 def watchlists(spark, d):
     kinds = F.array(*[F.lit(x) for x in ("LARGE", "MEDIUM", "SMALL", "ECONOMY", "PROMO", "STANDARD")])
     k = F.col("s_suppkey")
-    return read(spark, d, "supplier").select(k.alias("watch_id"), F.when(k % 2 == 0, F.element_at(kinds, (k % 6 + 1).cast("int"))).alias("role_category"), F.when(k % 3 == 0, F.lit("ASIA")).alias("state"), F.when(k % 5 == 0, F.lit("S")).alias("priority"), (k % 100).cast("int").alias("min_score"), (k % 7 == 0).alias("usa_only"), F.expr("TIMESTAMP '2024-01-01 12:00:00'").alias("since"))
+    return read(spark, d, "supplier").select(k.alias("watch_id"), F.when(k % 2 == 0, F.element_at(kinds, (k % 6 + 1).cast("int"))).alias("role_category"), F.when(k % 3 == 0, F.lit("ASIA")).alias("state"), F.when(k % 5 == 0, F.lit("S")).alias("priority"), (k % 100).cast("int").alias("min_score"), (k % 7 == 0).alias("usa_only"), F.expr("TIMESTAMP '2024-01-01 12:00:00'").alias("since"), F.when(k % 11 == 1, "R#00000000").alias("company"), F.when(k % 13 == 2, "SRC1").alias("remote"), F.when(k % 17 == 3, "Ring").alias("keyword"), F.when(k % 19 == 4, "en").alias("level"), (k % 4 != 1).alias("include_senior"))
+
+
+def searched_postings(spark, d):
+    return lens(spark, d).withColumns({"remote_status": F.col("platform"), "level": F.col("lang")})
 
 
 W_SQL = """
-, w AS (SELECT s_suppkey AS watch_id, CASE WHEN s_suppkey % 2 = 0 THEN ['LARGE', 'MEDIUM', 'SMALL', 'ECONOMY', 'PROMO', 'STANDARD'][s_suppkey % 6 + 1] END AS c, CASE WHEN s_suppkey % 3 = 0 THEN 'ASIA' END AS s, CASE WHEN s_suppkey % 5 = 0 THEN 'S' END AS p, s_suppkey % 100 AS m, s_suppkey % 7 = 0 AS usa FROM supplier),
-h AS (SELECT w.watch_id, l.*, l.first_seen >= TIMESTAMP '2024-01-01 12:00:00' AS is_new FROM w JOIN lens l ON (c IS NULL OR c = role_category) AND (s IS NULL OR s = state) AND (p IS NULL OR p = priority) AND new_grad_fit >= m AND (NOT usa OR is_usa)),
+, w AS (SELECT s_suppkey AS watch_id, CASE WHEN s_suppkey % 2 = 0 THEN ['LARGE', 'MEDIUM', 'SMALL', 'ECONOMY', 'PROMO', 'STANDARD'][s_suppkey % 6 + 1] END AS c, CASE WHEN s_suppkey % 3 = 0 THEN 'ASIA' END AS s, CASE WHEN s_suppkey % 5 = 0 THEN 'S' END AS p, s_suppkey % 100 AS m, s_suppkey % 7 = 0 AS usa, s_suppkey AS k FROM supplier),
+h AS (SELECT w.watch_id, l.*, l.first_seen >= TIMESTAMP '2024-01-01 12:00:00' AS is_new FROM w JOIN lens l ON (c IS NULL OR c = role_category) AND (s IS NULL OR s = state) AND (p IS NULL OR p = priority) AND new_grad_fit >= m AND (NOT usa OR is_usa)
+  AND (k % 11 <> 1 OR contains(lower(company), 'r#00000000')) AND (k % 13 <> 2 OR contains(lower(platform), 'src1')) AND (k % 17 <> 3 OR contains(lower(title || ' ' || company || ' ' || role_category), 'ring'))
+  AND (k % 19 <> 4 OR coalesce(lang = 'en', false)) AND (k % 4 <> 1 OR NOT is_senior)),
 n AS (SELECT w.watch_id, count(h.id) AS total, count(h.id) FILTER (is_new) AS new FROM w LEFT JOIN h ON h.watch_id = w.watch_id GROUP BY 1)
 """
 
 
 @query("i01_watchlist_counts", duck(W_SQL + "SELECT watch_id, total, new FROM n"))
 def i01(spark, d):
-    return alerts.watchlist_counts(watchlists(spark, d), lens(spark, d))
+    return alerts.watchlist_counts(watchlists(spark, d), searched_postings(spark, d))
 
 
 @query("i02_watchlist_delta", duck(W_SQL + "SELECT watch_id, total, greatest(0, total - watch_id % 50) AS delta FROM n"))
 def i02(spark, d):
     w = watchlists(spark, d)
-    return alerts.watchlist_delta(alerts.watchlist_counts(w, lens(spark, d)), w.select("watch_id", (F.col("watch_id") % 50).alias("last_count")))
+    return alerts.watchlist_delta(alerts.watchlist_counts(w, searched_postings(spark, d)), w.select("watch_id", (F.col("watch_id") % 50).alias("last_count")))
 
 
 @query("i03_watchlist_alerts", duck(W_SQL + "SELECT watch_id, count(*) AS new, count(*) || ' new, latest: ' || arg_max(title, struct_pack(a := first_seen, b := id)) || ' at ' || arg_max(company, struct_pack(a := first_seen, b := id)) AS message FROM h WHERE is_new GROUP BY 1"))
 def i03(spark, d):
-    return alerts.watchlist_alerts(watchlists(spark, d), lens(spark, d), clock())[0]
+    return alerts.watchlist_alerts(watchlists(spark, d), searched_postings(spark, d), clock())[0]
 
 
 @query("i04_digest", duck(f", t AS (SELECT 'apply_today' AS segment, 8 AS most, * FROM lens WHERE new_grad_fit >= 80 AND NOT is_senior UNION ALL SELECT 'top_tier', 8, * FROM lens WHERE priority = 'S' UNION ALL SELECT 'matches', 8, * FROM lens WHERE match_score >= 50 UNION ALL SELECT 'risk', 6, * FROM lens WHERE eligibility_risk = 'high' UNION ALL SELECT 'new_week', 8, * FROM lens WHERE first_seen >= {CLOCK} - INTERVAL '7' DAY UNION ALL SELECT 'entry', 8, * FROM lens WHERE is_entry) SELECT segment, CAST(place AS INT) AS place, id FROM (SELECT segment, most, id, row_number() OVER (PARTITION BY segment ORDER BY match_score DESC, first_seen DESC, id) AS place FROM t) WHERE place <= most"))
