@@ -78,7 +78,14 @@ def a15(spark, d):
     return html.extract_cards(read(spark, d, "pages").select("page_id", "html"), "html", r"<p>[^<]*</p>", {"t": r"<p>([^<]*)</p>"}).groupBy("page_id").agg(F.count("*").alias("n"), F.min("t").alias("least"))
 
 
-@query("a18_segments")
+STRIP = r"trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+A18_SQL = f"""
+WITH s AS (SELECT page_id, string_split(html, '<a href=') AS p FROM pages),
+u AS (SELECT page_id, i, '<a href=' || p[i] AS part FROM (SELECT page_id, p, unnest(range(2, len(p) + 1)) AS i FROM s))
+SELECT page_id, CAST(i - 2 AS INT) AS pos, {STRIP.format("regexp_extract(part, '<a href=\"([^\"]*)\"', 1)")} AS href, {STRIP.format("regexp_extract(part, '>([^<]*)</a>', 1)")} AS text FROM u"""
+
+
+@query("a18_segments", A18_SQL)
 def a18(spark, d):
     return html.segments(read(spark, d, "pages").select("page_id", "html"), "html", r"<a href=", {"href": r'<a href="([^"]*)"', "text": r">([^<]*)</a>"})
 
