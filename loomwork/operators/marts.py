@@ -57,10 +57,10 @@ def corpus_counts(df: DataFrame) -> DataFrame:
 
 
 def skill_gaps(matches: DataFrame, min_match: int = 45, n: int = 15) -> DataFrame:
-    """The skills most often missing in the pool of matches; with the pool's size."""
+    """The skills most often missing in the pool of matches (weight, resume_match, missing); with the pool's size."""
     pool = matches.where(F.col("resume_match") >= min_match)
-    top = pool.select(F.explode("missing").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(n)
-    return top.crossJoin(F.broadcast(pool.agg(F.count("*").alias("pool"))))
+    top = pool.select("weight", F.explode("missing").alias("skill")).groupBy("skill").agg(F.sum("weight").alias("n")).where("n > 0").orderBy(F.desc("n"), "skill").limit(n)
+    return top.crossJoin(F.broadcast(pool.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("pool"))))
 
 
 def skill_gaps_simple(df: DataFrame, known: DataFrame, n: int = 12) -> DataFrame:

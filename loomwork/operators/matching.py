@@ -30,22 +30,20 @@ def domain_score(focus: Column, category: Column, neighbours=NEIGHBOURS) -> Colu
     return F.when(focus.isNull() | category.isNull(), 60).when(focus == category, 100).when(near, 85).when(focus == "General", 70).otherwise(55)
 
 
-def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (), broadcast_rows: int = 10_000) -> DataFrame:
-    """A row per profile and posting that share a skill, with all scores.
+def no_skills() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
-    Candidates are an equi-join on exploded skills; of the skills that a pair shares only the first makes a row, so nothing is
-    made distinct or joined again. Profiles are broadcast only up to a counted number of rows. Postings are dealt out by id
-    first, since the work is in the pairs and not in the bytes read.
-    """
-    small = profiles.count() <= broadcast_rows
-    p = profiles.select("profile_id", F.col("skills").alias("own"), "projects", "focus", "years", F.explode(F.array_distinct("skills")).alias("_s"))
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "id") if small else postings
-    j = dealt.select("*", F.explode(F.array_distinct("skills")).alias("_s")).join(F.broadcast(p) if small else p, "_s")
-    j = j.withColumn("matched", F.array_intersect("skills", "own")).where(F.get("matched", F.lit(0)) == F.col("_s")).drop("_s").withColumn("missing", F.array_except("skills", "own"))
+
+def no_projects() -> Column:
+    return F.expr("cast(array() as array<struct<name: string, skills: array<string>>>)")
+
+
+def _scores(j: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """All scores of pairs that have a posting's columns, a profile's `own`, `projects`, `focus`, `years`, and `matched`."""
     names, project = projects_score(F.col("projects"), F.col("skills"))
-    asked = F.array_intersect("skills", F.array(*[F.lit(t) for t in tools])) if tools else F.expr("cast(array() as array<string>)")
+    asked = F.array_intersect("skills", F.array(*[F.lit(t) for t in tools])) if tools else no_skills()
     tool = F.when(F.size(asked) == 0, 60).otherwise(F.bround(100 * F.size(F.array_intersect(asked, "own")) / F.greatest(F.size(asked), F.lit(1)), 0)).cast("int")
+    j = j.withColumn("missing", F.array_except("skills", "own"))
     j = j.select("*", names.alias("backing"), skills_score(F.col("matched"), F.col("skills")).alias("skills_score"), project.alias("project_score"), domain_score(F.col("focus"), F.col("role_category")).alias("domain_score"), tool.alias("tool_score"))
     # scores are whole numbers, so weights in hundredths give exact halves
     j = j.withColumn("overlap_x100", 50 * F.col("skills_score") + 20 * F.col("project_score") + 20 * F.col("domain_score") + 10 * F.col("tool_score"))
@@ -56,19 +54,83 @@ def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (),
     return j.withColumn("apply_priority", F.when(F.col("priority_x100") >= 7200, "High").when(F.col("priority_x100") >= 5200, "Medium").otherwise("Low")).withColumn("defensibility", F.bround((55 * F.col("overlap") + 2250 * F.least(F.size("backing"), F.lit(2))) / 100, 0).cast("int"))
 
 
+def _owners(profiles: DataFrame) -> DataFrame:
+    """Profiles with null lists as empty ones, and `_all`: their skills and those of their projects."""
+    own, projects = F.coalesce("skills", no_skills()), F.coalesce("projects", no_projects())
+    known = F.array_union(own, F.flatten(F.transform(projects, lambda p: F.coalesce(p["skills"], no_skills()))))
+    return profiles.select("profile_id", own.alias("own"), projects.alias("projects"), "focus", "years", known.alias("_all"))
+
+
+def match(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (), broadcast_rows: int = 10_000) -> DataFrame:
+    """A row per profile and posting that share a skill (the profile's own or one of its projects'), with all scores.
+
+    Candidates are an equi-join on exploded skills; of the skills that a pair shares only the first makes a row, so nothing is
+    made distinct or joined again. Profiles are broadcast only up to a counted number of rows. Postings are dealt out by id
+    first, since the work is in the pairs and not in the bytes read.
+    """
+    small = profiles.count() <= broadcast_rows
+    p = _owners(profiles).select("*", F.explode("_all").alias("_s"))
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.repartition(parts, "id") if small else postings
+    j = dealt.select("*", F.explode(F.array_distinct("skills")).alias("_s")).join(F.broadcast(p) if small else p, "_s")
+    j = j.where(F.get(F.array_intersect("skills", "_all"), F.lit(0)) == F.col("_s")).drop("_s", "_all").withColumn("matched", F.array_intersect("skills", "own"))
+    return _scores(j, tools)
+
+
 #: What a score takes from a posting.
 SCORED = ("skills", "role_category", "new_grad_fit", "experienced_fit", "eligibility_risk")
 
 
-def top_matches(profiles: DataFrame, postings: DataFrame, k: int = 5, tools: tuple[str, ...] = (), scored: tuple[str, ...] = SCORED) -> DataFrame:
-    """The k best postings of each profile: by match, then priority, then least id.
+def _kinds(profiles: DataFrame) -> DataFrame:
+    """Profiles by what a score takes from them where nothing is shared: the focus, and whether they are new graduates."""
+    return profiles.withColumn("_new", F.coalesce(F.col("years") < 3, F.lit(False)))
+
+
+def _unshared(kinds: DataFrame, postings: DataFrame, tools: tuple[str, ...], broadcast_rows: int) -> DataFrame:
+    """Each posting as every kind of profile scores it that shares nothing with it; kinds has a row per (focus, _new)."""
+    small = kinds.count() <= broadcast_rows
+    k = kinds.withColumn("years", F.when(F.col("_new"), 0.0).otherwise(3.0))
+    both = postings.withColumn("_new", F.explode(F.array(F.lit(True), F.lit(False))))
+    empty = both.join(F.broadcast(k) if small else k, "_new").withColumns({"own": no_skills(), "projects": no_projects(), "matched": no_skills()})
+    return _scores(empty, tools)
 
-    Postings alike in all that a score takes from them tie everywhere, so of each such class only the k least ids are scored.
+
+def top_matches(profiles: DataFrame, postings: DataFrame, k: int = 5, tools: tuple[str, ...] = (), scored: tuple[str, ...] = SCORED, order: tuple[str, ...] = ("resume_match", "priority_x100"), broadcast_rows: int = 10_000) -> DataFrame:
+    """The k best of all postings for each profile: by the columns of `order`, greatest first and nulls last, then least id.
+
+    `order` names scores (which a shared skill never lowers) or columns of the postings. Postings alike in all that counts
+    tie everywhere, so of each such class only the k least ids are scored. Pairs that share a skill meet by it. For the rest
+    the score depends on the profile's kind alone, and what shares nothing with a profile and is not among the k best of its
+    kind is behind those k: so they are all that a profile needs beside its sharing pairs. Null skills are none.
+    """
+    best = [F.col(c).desc_nulls_last() for c in order]
+    like = (*scored, *[c for c in order if c in postings.columns and c not in scored])
+    few = postings.select("id", *like).withColumn("skills", F.coalesce("skills", no_skills()))
+    few = few.withColumn("_n", F.row_number().over(W.partitionBy(*like).orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    kinds = _kinds(profiles).select("focus", "_new").distinct()
+    rest = _unshared(kinds, few, tools, broadcast_rows)
+    rest = rest.withColumn("_n", F.row_number().over(W.partitionBy("focus", "_new").orderBy(*best, "id"))).where(F.col("_n") <= k)
+    rest = rest.select("id", *like, F.col("focus").alias("_focus"), F.col("_new").alias("_as_new"))
+    p = _kinds(_owners(profiles))
+    other = p.join(rest, F.col("focus").eqNullSafe(F.col("_focus")) & (F.col("_new") == F.col("_as_new"))).where(F.size(F.array_intersect("skills", "_all")) == 0)
+    other = _scores(other.withColumn("matched", no_skills()).drop("_focus", "_as_new", "_new", "_all"), tools)
+    w = W.partitionBy("profile_id").orderBy(*best, "id")
+    return match(profiles, few, tools, broadcast_rows).unionByName(other).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def weighted_matches(profiles: DataFrame, postings: DataFrame, tools: tuple[str, ...] = (), scored: tuple[str, ...] = SCORED, broadcast_rows: int = 10_000) -> DataFrame:
+    """(weight, resume_match, missing) whose weighted counts are those of all pairs of a profile and a posting.
+
+    Classes of like postings are scored for every kind of profile as if nothing were shared, weighted by how many of both there
+    are; each sharing class and profile then counts with its own scores, and against what it would score without sharing.
     """
-    alike = W.partitionBy(*scored).orderBy("id")
-    few = postings.select("id", *scored).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
-    w = W.partitionBy("profile_id").orderBy(F.desc("resume_match"), F.desc("priority_x100"), "id")
-    return match(profiles, few, tools).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    like = postings.withColumn("skills", F.coalesce("skills", no_skills())).groupBy(*scored).agg(F.count("*").alias("_c"), F.min("id").alias("id"))
+    kinds = _kinds(profiles).groupBy("focus", "_new").agg(F.count("*").alias("_p"))
+    out = [F.col("resume_match"), F.col("missing")]
+    every = _unshared(kinds, like, tools, broadcast_rows).select((F.col("_c") * F.col("_p")).alias("weight"), *out)
+    pairs = match(profiles, like, tools, broadcast_rows)
+    bare = pairs.select("id", *scored, "_c", "focus", "years").withColumns({"own": no_skills(), "projects": no_projects(), "matched": no_skills()})
+    return every.unionByName(pairs.select(F.col("_c").alias("weight"), *out)).unionByName(_scores(bare, tools).select((-F.col("_c")).alias("weight"), *out))
 
 
 def triage(missing: DataFrame, equivalences: DataFrame, strengths: DataFrame) -> DataFrame:

@@ -701,14 +701,16 @@ def profiles(spark, d):
     focus = F.element_at(F.array(*[F.lit(x) for x in ("LARGE", "MEDIUM", "SMALL", "ECONOMY", "General")]), (F.col("conv_id") % 5 + 1).cast("int"))
     made = [F.struct(F.lit(name).alias("name"), F.slice("skills", at, 1).alias("skills")) for at, name in enumerate(("first", "second", "third"), 1)]
     projects = F.slice(F.filter(F.array(*made), lambda x: F.size(x["skills"]) > 0), 1, (F.col("conv_id") % 4).cast("int"))
-    return p.where(F.size("skills") > 0).select(F.col("conv_id").alias("profile_id"), "skills", projects.alias("projects"), focus.alias("focus"), (F.col("conv_id") % 6).cast("double").alias("years"))
+    return p.select(F.col("conv_id").alias("profile_id"), "skills", projects.alias("projects"), focus.alias("focus"), (F.col("conv_id") % 6).cast("double").alias("years"))
 
 
-H_SQL = f"""
+def pairs_sql(which: str) -> str:
+    """All scores of the pairs of a profile and a posting for which `which` holds."""
+    return f"""
 , u AS (SELECT conv_id, {", ".join(f"max(CASE WHEN contains(' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g') || ' ', ' {s} ') THEN 1 ELSE 0 END) AS h{i}" for i, s in enumerate(SKILLS))} FROM conversations WHERE role = 'user' GROUP BY conv_id),
 pr AS (SELECT conv_id AS profile_id, list_sort(list_filter([{", ".join(f"CASE WHEN h{i} = 1 THEN '{s}' END" for i, s in enumerate(SKILLS))}], lambda x: x IS NOT NULL)) AS own, ['LARGE', 'MEDIUM', 'SMALL', 'ECONOMY', 'General'][conv_id % 5 + 1] AS focus, conv_id % 6 AS years FROM u),
-j AS (SELECT p.*, s.id, s.skills, s.role_category, s.new_grad_fit, s.experienced_fit, s.eligibility_risk, s.is_usa, s.is_senior, len(list_intersect(s.skills, p.own)) AS m, len(s.skills) AS n FROM pr p JOIN skilled s ON len(list_intersect(s.skills, p.own)) > 0),
-k AS (SELECT *, CAST(round_even(100 * (0.5 * m / n + 0.5 * least(1.0, m / 8.0)), 0) AS INT) AS sk, len(list_intersect(own[1:least(3, profile_id % 4)], skills)) AS backs,
+j AS (SELECT p.*, s.id, s.skills, s.role_category, s.new_grad_fit, s.experienced_fit, s.eligibility_risk, s.is_usa, s.is_senior, len(list_intersect(s.skills, p.own)) AS m, len(s.skills) AS n FROM pr p JOIN skilled s ON {which}),
+k AS (SELECT *, CASE WHEN n = 0 THEN 45 ELSE CAST(round_even(100 * (0.5 * m / n + 0.5 * least(1.0, m / 8.0)), 0) AS INT) END AS sk, len(list_intersect(own[1:least(3, profile_id % 4)], skills)) AS backs,
   [40, 70, 90, 100][backs + 1] AS pj,
   CASE WHEN focus = role_category THEN 100 WHEN (focus, role_category) IN (('LARGE', 'MEDIUM'), ('MEDIUM', 'LARGE'), ('SMALL', 'ECONOMY'), ('ECONOMY', 'SMALL')) THEN 85 WHEN focus = 'General' THEN 70 ELSE 55 END AS dm,
   CASE WHEN len(list_intersect(skills, ['the', 'und', 'les'])) = 0 THEN 60 ELSE CAST(round_even(100 * CAST(len(list_intersect(list_intersect(skills, ['the', 'und', 'les']), own)) AS DOUBLE) / len(list_intersect(skills, ['the', 'und', 'les'])), 0) AS INT) END AS tl FROM j),
@@ -717,6 +719,10 @@ r AS (SELECT *, CAST(round_even((55 * overlap + 45 * fit) / 100.0, 0) AS INT) AS
 """
 
 
+#: Pairs that share a skill, and all pairs.
+H_SQL, ALL_SQL = pairs_sql("len(list_intersect(s.skills, p.own)) > 0"), pairs_sql("true")
+
+
 TOOLS = ("the", "und", "les")
 
 
@@ -733,7 +739,7 @@ def h01(spark, d):
     return matched(spark, d).groupBy("profile_id").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("skills_score", "project_score", "domain_score", "tool_score", "resume_match")], F.sum("priority_x100").cast("long").alias("priority"), F.count_if(F.col("apply_priority") == "High").alias("high"), F.count_if(F.col("apply_priority") == "Medium").alias("medium"), F.sum("defensibility").cast("long").alias("defensibility"))
 
 
-TOP_SQL = H_SQL + ", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5)"
+TOP_SQL = ALL_SQL + ", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5)"
 
 
 @query("h11_top_matches", duck(TOP_SQL + "SELECT profile_id, id, resume_match, CAST(place AS INT) AS place FROM b"))
@@ -761,14 +767,16 @@ def h09(spark, d):
     return matching.triage(m, rows, profiles(spark, d).select("profile_id", F.explode(F.concat(F.transform("skills", lambda x: F.struct(x.alias("skill"), F.lit(False).alias("in_project"))), F.array(F.struct(F.lit("por").alias("skill"), F.lit(True).alias("in_project"))))).alias("x")).select("profile_id", "x.*"))
 
 
-@query("f11_rank_matches", duck(H_SQL + "SELECT profile_id, id, CAST(place AS INT) AS place FROM (SELECT r.profile_id, r.id, row_number() OVER (PARTITION BY r.profile_id ORDER BY r.priority_x100 DESC NULLS LAST, l.match_score DESC, r.id) AS place FROM r JOIN lens l ON l.id = r.id) WHERE place <= 3"))
+@query("f11_rank_matches", duck(ALL_SQL + "SELECT profile_id, id, CAST(place AS INT) AS place FROM (SELECT r.profile_id, r.id, row_number() OVER (PARTITION BY r.profile_id ORDER BY r.priority_x100 DESC NULLS LAST, l.match_score DESC, r.id) AS place FROM r JOIN lens l ON l.id = r.id) WHERE place <= 3"))
 def f11(spark, d):
-    return ranking.rank_matches(matched(spark, d), "apply_priority").where("place <= 3").select("profile_id", "id", "place")
+    top = matching.top_matches(profiles(spark, d), with_skills(lens(spark, d)), 3, TOOLS, order=("priority_x100", "match_score"))
+    return ranking.rank_matches(top, "apply_priority").select("profile_id", "id", "place")
 
 
-@query("g07_skill_gaps", duck(H_SQL + ", pool AS (SELECT * FROM r WHERE resume_match >= 45 AND is_usa AND NOT is_senior) SELECT skill, count(*) AS n, (SELECT count(*) FROM pool) AS pool FROM (SELECT unnest(list_filter(skills, lambda x: NOT list_contains(own, x))) AS skill FROM pool) GROUP BY 1 ORDER BY n DESC, skill LIMIT 15"))
+@query("g07_skill_gaps", duck(ALL_SQL + ", pool AS (SELECT * FROM r WHERE resume_match >= 45 AND is_usa AND NOT is_senior) SELECT skill, count(*) AS n, (SELECT count(*) FROM pool) AS pool FROM (SELECT unnest(list_filter(skills, lambda x: NOT list_contains(own, x))) AS skill FROM pool) GROUP BY 1 ORDER BY n DESC, skill LIMIT 15"))
 def g07(spark, d):
-    return marts.skill_gaps(matched(spark, d).where("is_usa and not is_senior"))
+    pool = with_skills(lens(spark, d)).where("is_usa and not is_senior")
+    return marts.skill_gaps(matching.weighted_matches(profiles(spark, d), pool, TOOLS))
 
 
 # I: a saved search per supplier

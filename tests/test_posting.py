@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -65,7 +66,35 @@ def test_only_the_first_shared_skill_makes_a_pair(spark):
     profiles = spark.createDataFrame([(1, ["a", "b"], [("p", ["a"])], "LARGE", 1.0), (2, [], [], None, 1.0)], "profile_id long, skills array<string>, projects array<struct<name:string,skills:array<string>>>, focus string, years double")
     postings = spark.createDataFrame([(i, s, "LARGE", 50, 50, "low") for i, s in ((1, ["b", "a", "c"]), (2, ["c"]), (3, ["b", "a", "c"]), (4, []))], "id long, skills array<string>, role_category string, new_grad_fit int, experienced_fit int, eligibility_risk string")
     assert sorted((r.profile_id, r.id, tuple(r.matched), tuple(r.missing)) for r in matching.match(profiles, postings).collect()) == [(1, 1, ("b", "a"), ("c",)), (1, 3, ("b", "a"), ("c",))]
-    assert [(r.profile_id, r.id, r.place) for r in matching.top_matches(profiles, postings, 1).collect()] == [(1, 1, 1)]
+    # nothing is asked for in posting 4, which is worth more than a skill that is missing
+    assert sorted((r.profile_id, r.id, r.place) for r in matching.top_matches(profiles, postings, 1).collect()) == [(1, 1, 1), (2, 4, 1)]
+
+
+def test_matches_without_all_pairs_equal_all_pairs(spark):
+    rng = random.Random(5)
+
+    def some(most, odd=0.1):
+        return None if rng.random() < odd else rng.sample("abcdef", rng.randint(0, most))
+
+    field = ["LARGE", "MEDIUM", "SMALL", "General", None]
+    people = [(i, some(3), None if i == 3 else [(n, some(2)) for n in "pq"[: rng.randint(0, 2)]], rng.choice(field), rng.choice([1.0, 5.0, None])) for i in range(25)]
+    jobs = [(i, some(4), rng.choice(field), rng.choice([0, 40, 100, None]), rng.choice([0, 70, 100]), rng.choice(["high", "medium", "low", None]), rng.choice([1, 2, None])) for i in range(150)]
+    profiles = spark.createDataFrame(people, "profile_id long, skills array<string>, projects array<struct<name:string,skills:array<string>>>, focus string, years double")
+    postings = spark.createDataFrame(jobs, "id long, skills array<string>, role_category string, new_grad_fit int, experienced_fit int, eligibility_risk string, match_score int")
+    owners, wanted = matching._owners(profiles), postings.withColumn("skills", F.coalesce("skills", matching.no_skills()))
+    pairs = matching._scores(wanted.crossJoin(owners).withColumn("matched", F.array_intersect("skills", "own")), ("a", "b")).cache()
+    least = -(10**9)
+    for k, order in ((1, ("resume_match", "priority_x100")), (4, ("resume_match", "priority_x100")), (3, ("priority_x100", "match_score"))):
+        by: dict[int, list] = {}
+        for r in pairs.select("profile_id", "id", *order).collect():
+            by.setdefault(r.profile_id, []).append((*[-(least if r[c] is None else r[c]) for c in order], r.id))
+        want = sorted((p, x[-1], n) for p, rows in by.items() for n, x in enumerate(sorted(rows)[:k], 1))
+        got = sorted((r.profile_id, r.id, r.place) for r in matching.top_matches(profiles, postings, k, ("a", "b"), order=order).collect())
+        assert got == want, order
+    want = pairs.where("resume_match >= 45").select(F.explode("missing").alias("s")).groupBy("s").count().collect()
+    got = matching.weighted_matches(profiles, postings, ("a", "b")).where("resume_match >= 45").select("weight", F.explode("missing").alias("s")).groupBy("s").agg(F.sum("weight").alias("n")).where("n > 0").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert matching.top_matches(profiles.limit(0), postings).count() == matching.top_matches(profiles, postings.limit(0)).count() == 0
 
 
 def test_entry(spark):
