@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -6,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, decontaminate, language, near_duplicates, packing, quality, token_counts, token_files, toxicity, urls
+from loomwork.llm import chat, decontaminate, language, near_duplicates, packing, quality, token_counts, token_files, token_ids, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, _c string"
 
@@ -130,6 +132,17 @@ def test_every_capacity_binds_in_packed_sequences(spark):
         assert len(groups) == 4 and max(groups.values()) <= 104
 
 
+
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", token_ids.NO_SPACES), ("byte_bpe_50k.json", token_ids.WITH_SPACES)])
+def test_words_that_go_to_the_model_at_once_get_the_ids_of_the_library(name, cut):
+    cache = token_ids.WordCache(public_tokenizers.path(name), re.compile(cut.pattern + "|(?!)"))  # as in a worker, where the pattern is another object
+    assert cache.table
+    dice, signs = random.Random(5), "aAzZ\u00e9\u00c9\u00c0\u00ff\u00df'., -\n\t0\u0301\u0130\u017f\u00b5\u00aa\u00d7\u4e2d<|"
+    texts = ["", " a", "a", "\u00c9t\u00e9 d'Or", "x<|endoftext|> y"] + ["".join(dice.choices(signs, k=dice.randint(1, 24))) for _ in range(5000)]
+    for t, ids in zip(texts, cache.encode(texts), strict=True):
+        assert ids == token_ids.ids_as_bytes(cache.tokenizer.encode(t, add_special_tokens=False).ids), t
+
+
 def test_ids_that_need_four_bytes(spark, tmp_path):
     w = token_files.Writer(f"file://{tmp_path}", "a", 4, wide=False)
     with pytest.raises(ValueError, match="does not fit"):
