@@ -1,11 +1,12 @@
 """Token ids in Arrow stream files of fixed-size-list batches, for zero-copy random access to equal-length sequences.
 
 A file holds the documents of one range of doc_id, in ascending order, as one run of ids cut into rows of `length`:
-`ids` fixed_size_list<uint16 or uint32>[length] and `mask` fixed_size_list<uint8>[length], 0 only for the padding of the
-last row (whole bytes, as packed bits can't be read without a copy). All batches but the last have the same number of
-rows and bytes, so row r lies in batch r // rows at a known place of the file: a mapped file gives ids and masks without a
-copy, and a remote one is read a batch at a time. Beside it an index (`.index`, a stream too) has doc_id, start and
-n_tokens by document.
+`ids` fixed_size_list<uint16 or uint32>[length] and `mask`, the number of the row's mask. All batches but the last have
+the same number of rows and bytes, so row r lies in batch r // rows at a known place of the file. Two more streams lie
+beside it: `.masks` has each different mask once, as fixed_size_list<uint8>[length] (whole bytes, as packed bits can't be
+read without a copy): the one of full rows and, where the last row is padded, the one that is 0 for its padding; `.index`
+has doc_id, start and n_tokens by document. Mapped files give ids and masks without a copy, and of a remote one a batch is
+read at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.int32())])
 
 
 class Writer:
@@ -41,6 +42,7 @@ class Writer:
         self.temporary = f"{self.folder}/_{name}-{np.random.SeedSequence().entropy:x}"
         self.out, self.index_out = self.fs.open_output_stream(self.temporary), self.fs.open_output_stream(self.temporary + ".index")
         self.stream, self.index_stream = pa.ipc.new_stream(self.out, schema(length, wide)), pa.ipc.new_stream(self.index_out, INDEX)
+        self.masks = [np.ones(length, np.uint8)]
         self.held: list[np.ndarray] = []
         self.n_held = self.total = self.docs = 0
         self.index: list[tuple[int, int, int]] = []  # not yet written
@@ -63,8 +65,16 @@ class Writer:
             self.held, self.n_held = [flat[whole:]], self.n_held - whole
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(flat)) < real).astype(np.uint8)
-        self.stream.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)], ["ids", "mask"]))
+        mask = np.zeros(len(flat) // self.length, np.int32)
+        if real < len(flat):
+            mask[-1] = len(self.masks)
+            self.masks.append((np.arange(len(flat) - self.length, len(flat)) < real).astype(np.uint8))
+        self.stream.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length), pa.array(mask)], ["ids", "mask"]))
+
+    def _write_masks(self) -> None:
+        masks = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(self.masks)), self.length)], ["mask"])
+        with self.fs.open_output_stream(self.temporary + ".masks") as out, pa.ipc.new_stream(out, masks.schema) as stream:
+            stream.write_batch(masks)
 
     def _index(self) -> None:
         if self.index:
@@ -76,10 +86,12 @@ class Writer:
             flat = np.concatenate(self.held)
             self._batch(np.concatenate([flat, np.zeros(-len(flat) % self.length, self.kind)]), len(flat))
         self._index()
+        self._write_masks()
         for x in (self.stream, self.out, self.index_stream, self.index_out):
             x.close()
         final = f"{self.folder}/{self.name}.arrow"
-        self.fs.move(self.temporary + ".index", final + ".index")
+        for beside in (".masks", ".index"):
+            self.fs.move(self.temporary + beside, final + beside)
         self.fs.move(self.temporary, final)
         return final
 
@@ -90,13 +102,18 @@ class Reader:
     def __init__(self, folder: str, name: str):
         self.fs, at = pafs.FileSystem.from_uri(folder)
         self.path = f"{at}/{name}.arrow"
-        self.source = pa.memory_map(self.path) if isinstance(self.fs, pafs.LocalFileSystem) else self.fs.open_input_file(self.path)
+        self.source = self._open(self.path)
         self.schema = pa.ipc.read_schema(self.source)
         self.first = self.step = self.source.tell()  # where batches begin; then how many bytes each has
         self.length, self.rows, self.last = self.schema.field(0).type.list_size, 1, (-1, None)
         head = self._batch(0)
         if head is not None:
             self.rows, self.step = head.num_rows, self.source.tell() - self.first
+        with pa.ipc.open_stream(self._open(self.path + ".masks")) as masks:
+            self.masks = masks.read_next_batch().column(0).flatten().to_numpy().view(np.bool_).reshape(-1, self.length)
+
+    def _open(self, path: str) -> pa.NativeFile:
+        return pa.memory_map(path) if isinstance(self.fs, pafs.LocalFileSystem) else self.fs.open_input_file(path)
 
     def _batch(self, i: int) -> pa.RecordBatch | None:
         if self.last[0] != i:
@@ -107,14 +124,14 @@ class Reader:
                 return None
         return self.last[1]
 
-    def _flat(self, batch: int, column: int = 0) -> np.ndarray:
-        return self._batch(batch).column(column).flatten().to_numpy()
+    def _flat(self, batch: int) -> np.ndarray:
+        return self._batch(batch).column(0).flatten().to_numpy()
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row, both views of a mapped file."""
+        """Ids and mask of one row, both views of mapped files."""
         b, r = divmod(row, self.rows)
-        part = slice(r * self.length, (r + 1) * self.length)
-        return self._flat(b)[part], self._flat(b, 1)[part].view(np.bool_)
+        mask = self._batch(b).column(1).to_numpy()[r]
+        return self._flat(b)[r * self.length : (r + 1) * self.length], self.masks[mask]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from `start` on; a view of the file unless they cross batches."""
