@@ -30,10 +30,20 @@ def diagnose(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if("is_usa").alias("usa"), F.count_if(F.col("posted_date").isNull()).alias("undated"), F.count_if(F.col("is_senior") & (F.col("new_grad_fit") >= 60)).alias("senior_leaks"), F.count_if(F.col("new_grad_fit") < 60).alias("low_fit"))
 
 
-def audit_catalog(catalog: DataFrame, known: DataFrame) -> DataFrame:
-    """catalog(company, url, slug): rows without slug, whose url and slug disagree, or of unknown companies."""
-    j = catalog.join(known.select("company").distinct().withColumn("_k", F.lit(True)), "company", "left")
-    return audit(j, {"has slug": (F.lit(True), F.coalesce("slug", F.lit("")) == ""), "slug in url": (F.col("slug").isNotNull(), ~F.contains(F.lower("url"), F.lower("slug"))), "known company": (F.lit(True), F.col("_k").isNull())})
+def audit_catalog(catalog: DataFrame, classified: DataFrame, foreign: DataFrame) -> DataFrame:
+    """catalog(company, platform, url, slug, enabled): enabled rows without a slug, whose slug is another owner's board, or
+    whose slug and the board in their url have nothing in common; and companies without a classification.
+
+    foreign(platform, slug) names boards known to be someone else's. Slug and url agree where one begins with the other,
+    in any case and without what follows a dot.
+    """
+    plain = lambda c: F.split_part(F.lower(c), F.lit("."), F.lit(1))
+    others = foreign.select(F.lower("platform").alias("_platform"), F.lower("slug").alias("_slug")).distinct().withColumn("_other", F.lit(True))
+    j = catalog.join(classified.select("company").distinct().withColumn("_k", F.lit(True)), "company", "left")
+    j = j.join(others, (F.lower("platform") == F.col("_platform")) & (F.lower("slug") == F.col("_slug")), "left")
+    has, board, slug = F.coalesce("slug", F.lit("")) != "", plain(F.regexp_extract(F.coalesce("url", F.lit("")), "://[^/]+/([A-Za-z0-9_.-]+)", 1)), plain(F.col("slug"))
+    on = F.coalesce("enabled", F.lit(True))
+    return audit(j, {"has slug": (on, ~has), "own board": (on & has, F.col("_other").isNotNull()), "slug agrees with url": (on & has & (board != ""), ~(F.startswith(board, slug) | F.startswith(slug, board))), "classified": (F.lit(True), F.col("_k").isNull())})
 
 
 def reconcile_counts(df: DataFrame, parts: DataFrame, key: str, n: str) -> DataFrame:

@@ -237,6 +237,15 @@ def rescore_report(old: DataFrame, new: DataFrame, key: str, score: str, cuts=(9
     return rows.groupBy("band").agg(F.sum("before").cast("long").alias("before"), F.sum("after").cast("long").alias("after"))
 
 
+def flag_report(old: DataFrame, new: DataFrame, key: str, flags: list[str]) -> DataFrame:
+    """Per boolean column: rows that have it before and after, and how many lost and gained it. Null is false."""
+    has = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(False))
+    counts = lambda c: {"before": has("o", c), "after": has("n", c), "lost": has("o", c) & ~has("n", c), "gained": ~has("o", c) & has("n", c)}
+    sums = old.alias("o").join(new.alias("n"), key, "full").agg(*[F.count_if(x).alias(f"{c}_{k}") for c in flags for k, x in counts(c).items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("flag"), *[F.col(f"{c}_{k}").alias(k) for k in counts(c)]) for c in flags])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def overlay_marks(df: DataFrame, marks: DataFrame) -> DataFrame:
     return df.join(marks.select("key", F.col("status").alias("_mark"), "notes"), "key", "left").withColumn("application_status", F.coalesce("_mark", F.lit("none"))).drop("_mark")
 

@@ -34,7 +34,7 @@ SENT = {
 }
 IDS = {"greenhouse": "a02", "lever": "a03", "ashby": "a04", "smartrecruiters": "a08", "eightfold": "a09", "phenom": "a10", "amazon": "a14", "generic": "a01"}
 MORE = {
-    "workday": ("a05", "jobPostings", "named_struct('title', title, 'externalPath', concat('/job/', id), 'locationsText', location)", "SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, location, '/job/' || id AS apply_url, CAST(NULL AS TIMESTAMP) AS posted_date FROM lens"),
+    "workday": ("a05", "jobPostings", "named_struct('title', title, 'externalPath', concat('/job/', id), 'locationsText', if(id % 2 = 0, '', location), 'primaryLocation', location, 'postedOn', concat('Posted ', id % 20, ' Days Ago'))", "SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, location, '/job/' || id AS apply_url, TIMESTAMP '2024-01-31' - CAST(id % 20 AS INT) * INTERVAL '1' DAY AS posted_date FROM lens"),
     "jibe": ("a11", "jobs", f"named_struct('data', named_struct('slug', cast(id as string), 'title', title, 'city', location, 'country', state, 'job_url', {URL}, 'posted_date', {DAY}))", "SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, location || ', ' || state AS location, 'https://x.example.com/job/' || id AS apply_url, CAST(CAST(first_seen AS DATE) AS TIMESTAMP) AS posted_date FROM lens"),
     "oracle": ("a12", "items", None, "SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, location, '/job/' || id AS apply_url, CAST(CAST(first_seen AS DATE) AS TIMESTAMP) AS posted_date FROM lens"),
     "jobs2web": ("a13", "jobs", f"named_struct('id', cast(id as string), 'title', title, 'urltitle', 'a-b', 'location', location, 'date', concat({DAY}, ' [UTC]'))", "SELECT CAST(id AS VARCHAR) AS job_id, title AS job_title, location, '/job/a-b/' || id AS apply_url, CAST(CAST(first_seen AS DATE) AS TIMESTAMP) AS posted_date FROM lens"),
@@ -54,7 +54,8 @@ def register_payloads():
         @query(name, sql)
         def run(spark, d):
             raw = landed(lens(spark, d), platform, key, item)
-            return payloads.normalise_payloads(raw).select("job_id", "job_title", "location", "apply_url", "posted_date")
+            raw = raw.unionAll(raw) if platform == "workday" else raw  # a list that was read twice
+            return payloads.normalise_payloads(raw, clock()).select("job_id", "job_title", "location", "apply_url", "posted_date")
 
     for platform, (key, item) in SENT.items():
         add(f"{IDS[platform]}_{platform}", platform, key, item, FLAT)
@@ -73,6 +74,19 @@ def a06(spark, d):
     return payloads.enrich_details(listed, details).select("job_id", "location", "body")
 
 
+@query("a08_section_details", duck("""
+SELECT CAST(id AS VARCHAR) AS job_id, CASE WHEN id % 4 = 0 THEN 'https://own/' || id ELSE 'https://jobs.smartrecruiters.com/' || platform || '/' || id END AS apply_url,
+  CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN title || chr(10) || location ELSE location END AS body FROM lens WHERE id % 5 <> 0"""))
+def a08_details(spark, d):
+    df = lens(spark, d)
+    item = "named_struct('id', cast(id as string), 'name', if(id % 5 = 0, ' ', title), 'location', named_struct('city', location), 'company', named_struct('identifier', platform))"
+    section = lambda c, said: F.struct(F.when(said, F.concat(F.lit("<p>"), c, F.lit("</p>"))).otherwise("").alias("text"))
+    sections = F.struct(section(F.col("title"), F.col("id") % 3 == 1).alias("jobDescription"), section(F.col("location"), F.col("id") % 3 > 0).alias("additionalInformation"))
+    page = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://own/"), "id")).alias("postingUrl"), F.struct(sections.alias("sections")).alias("jobAd"))
+    listed = payloads.normalise(landed(df, "smartrecruiters", "content", item), "smartrecruiters")
+    return payloads.enrich_details(listed, payloads.section_details(df.select("company", F.to_json(page).alias("body")))).select("job_id", "apply_url", "body")
+
+
 @query("a15_html_cards", r"SELECT page_id, count(*) AS n, min(t) AS least FROM (SELECT page_id, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<p>([^<]*)</p>', 1)), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) GROUP BY page_id")
 def a15(spark, d):
     return html.extract_cards(read(spark, d, "pages").select("page_id", "html"), "html", r"<p>[^<]*</p>", {"t": r"<p>([^<]*)</p>"}).groupBy("page_id").agg(F.count("*").alias("n"), F.min("t").alias("least"))
@@ -398,6 +412,15 @@ def d19(spark, d):
 BAND = "CASE WHEN {0} >= 90 THEN 90 WHEN {0} >= 75 THEN 75 WHEN {0} >= 60 THEN 60 WHEN {0} >= 46 THEN 46 ELSE 0 END"
 
 
+@query("d20_flag_report", duck("""
+SELECT 'is_usa' AS flag, count(*) FILTER (is_usa) AS before, count(*) FILTER (is_usa AND id % 3 <> 0) AS after, count(*) FILTER (is_usa AND id % 3 = 0) AS lost, CAST(0 AS BIGINT) AS gained FROM lens
+UNION ALL SELECT 'is_senior', count(*) FILTER (is_senior), count(*) FILTER (is_entry), count(*) FILTER (is_senior AND NOT is_entry), count(*) FILTER (is_entry AND NOT is_senior) FROM lens"""))
+def d20_flags(spark, d):
+    df = lens(spark, d)
+    after = df.select("id", (F.col("is_usa") & (F.col("id") % 3 != 0)).alias("is_usa"), F.col("is_entry").alias("is_senior"))
+    return lifecycle.flag_report(df.select("id", "is_usa", "is_senior"), after, "id", ["is_usa", "is_senior"])
+
+
 @query("d20_rescore_report", duck(f"SELECT CAST(band AS INT) AS band, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after FROM (SELECT {BAND.format('match_score')} AS band, 1 AS a, 0 AS b FROM lens UNION ALL SELECT {BAND.format('new_grad_fit')}, 0, 1 FROM lens) GROUP BY 1"))
 def d20(spark, d):
     df = lens(spark, d)
@@ -846,12 +869,22 @@ def j03(spark, d):
     return audits.diagnose(lens(spark, d))
 
 
-@query("j04_audit_catalog", "SELECT 'has slug' AS \"check\", count(*) AS n, count(*) FILTER (s_suppkey % 4 = 0) AS violations, false AS ok FROM supplier UNION ALL SELECT 'slug in url', count(*) FILTER (s_suppkey % 4 <> 0), count(*) FILTER (s_suppkey % 4 = 1), false FROM supplier UNION ALL SELECT 'known company', count(*), 0, true FROM supplier")
+J04_SQL = """
+SELECT 'has slug' AS "check", count(*) FILTER (s_suppkey % 7 <> 0) AS n, count(*) FILTER (s_suppkey % 7 <> 0 AND s_suppkey % 4 = 0) AS violations FROM supplier
+UNION ALL SELECT 'own board', count(*) FILTER (s_suppkey % 7 <> 0 AND s_suppkey % 4 <> 0), count(*) FILTER (s_suppkey % 7 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 9 = 0) FROM supplier
+UNION ALL SELECT 'slug agrees with url', count(*) FILTER (s_suppkey % 7 <> 0 AND s_suppkey % 4 <> 0), count(*) FILTER (s_suppkey % 7 <> 0 AND s_suppkey % 4 = 1) FROM supplier
+UNION ALL SELECT 'classified', count(*), count(*) FILTER (s_suppkey % 11 = 0) FROM supplier"""
+
+
+@query("j04_audit_catalog", f'SELECT "check", n, violations, violations = 0 AS ok FROM ({J04_SQL})')
 def j04(spark, d):
+    k = F.col("s_suppkey")
     s = read(spark, d, "supplier").withColumn("company", F.col("s_name"))
-    slug = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("board"), F.col("s_suppkey").cast("string")))
-    url = F.when(F.col("s_suppkey") % 4 == 1, "https://x/none").otherwise(F.concat(F.lit("https://x/"), slug))
-    return audits.audit_catalog(s.select("company", url.alias("url"), slug.alias("slug")), s)
+    slug = F.when(k % 4 != 0, F.concat(F.lit("Board"), k.cast("string")))
+    url = F.when(k % 4 == 1, "https://x/none").when(k % 4 == 2, F.concat(F.lit("https://x/board"), k.cast("string"), F.lit(".com/jobs"))).otherwise(F.concat(F.lit("https://x/"), slug, F.lit("-us")))
+    catalog = s.select("company", F.lit("Lever").alias("platform"), url.alias("url"), slug.alias("slug"), (k % 7 != 0).alias("enabled"))
+    foreign = s.where(k % 9 == 0).select(F.lit("lever").alias("platform"), F.concat(F.lit("board"), k.cast("string")).alias("slug"))
+    return audits.audit_catalog(catalog, s.where(k % 11 != 0), foreign)
 
 
 @query("j05_reconcile", duck("SELECT count(*) AS total, count(*) FILTER (WHERE company NOT LIKE '%7') AS summed, count(*) FILTER (WHERE company LIKE '%7') = 0 AS ok FROM lens"))
