@@ -13,7 +13,8 @@ def watchlist_hits(watchlists: DataFrame, postings: DataFrame, most: int = 5_000
     """watchlists(watch_id, role_category, state, priority, min_score, usa_only, since) x postings; null filters match all.
 
     Further filters where watchlists has them: level (equal), company, remote, keyword (each held in any case; a keyword by
-    title, company or category) and include_senior (false hides senior postings).
+    title, company or category), include_senior (false hides senior postings) and role_flags (names of boolean columns of
+    postings that have to be true; other names are ignored).
 
     A theta join with the searches on the broadcast side, in blocks of about `most` searches, so a broadcast is bounded.
     """
@@ -38,6 +39,11 @@ def _hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
         ok = ok & (F.col("w.level").isNull() | F.col("w.level").eqNullSafe(F.col("p.level")))
     if "include_senior" in watchlists.columns:
         ok = ok & (F.coalesce("w.include_senior", F.lit(True)) | ~F.col("p.is_senior"))
+    if "role_flags" in watchlists.columns:
+        asked = F.coalesce("w.role_flags", F.array().cast("array<string>"))
+        for c, kind in postings.dtypes:
+            if kind == "boolean":
+                ok = ok & (~F.array_contains(asked, c) | F.coalesce(F.col(f"p.{c}"), F.lit(False)))
     ok = ok & (F.col("p.new_grad_fit") >= F.coalesce("w.min_score", F.lit(0))) & (~F.coalesce("w.usa_only", F.lit(False)) | F.col("p.is_usa"))
     return p.join(w, ok).select("w.watch_id", "p.id", "p.title", "p.company", "p.first_seen", (F.col("p.first_seen") >= F.col("w.since")).alias("is_new"))
 

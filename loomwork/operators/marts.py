@@ -33,6 +33,35 @@ def dashboard(df: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def inventory(df: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """The status counts of all stored postings in one pass, and what the latest of runs(started_at, jobs_found) scanned.
+
+    Counts of browseable postings (`total_active` to `strong_new_grad`) are over active ones in the country or of unknown
+    place that are no software roles; from `total_in_db` on, the funnel from everything stored down to these. Null flags
+    are false; without a run `scanned_last_run` is null.
+    """
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = lambda x: F.col("active_status") == x
+    nowhere = F.coalesce("location_confidence", F.lit(0.0)) == 0.0
+    active, senior, entry, friendly = status("active"), is_("is_senior"), is_("is_entry"), is_("friendly")
+    view = active & (is_("is_usa") | nowhere) & ~is_("is_software")
+    dated = F.coalesce("posted_date", "first_seen")
+    counts = {
+        "total_active": view, "new_24h": view & (dated >= as_of - F.make_dt_interval(F.lit(1))), "entry_level": view & (entry | friendly) & ~senior, "strict_entry": view & entry & ~senior,
+        "candidate_friendly": view & friendly & ~entry & ~senior, "usa_count": active & is_("is_usa"), "remote_count": view & (F.lower("remote_status") == "remote"),
+        "senior_filtered": view & senior, "high_score": view & (F.col("new_grad_fit") >= 70), "strong_new_grad": view & (F.col("new_grad_fit") >= 75),
+        "total_in_db": F.lit(True), "active_all": active, "non_usa_filtered": active & ~is_("is_usa") & ~nowhere, "software_filtered": active & is_("is_software"),
+        "saved": status("saved"), "applied": status("applied"),
+    }
+    last = runs.agg(F.max_by("jobs_found", "started_at").cast("long").alias("scanned_last_run"))
+    return df.agg(*[F.count_if(c).alias(k) for k, c in counts.items()]).crossJoin(last)  # a row each
+
+
+def company_confidence(df: DataFrame) -> DataFrame:
+    """Per company the mean of its postings' data_quality_score, without zeros and nulls, rounded half to even; 0 where there is none."""
+    return df.groupBy("company").agg(F.coalesce(F.bround(F.avg(F.when(F.col("data_quality_score") != 0, F.col("data_quality_score"))), 0), F.lit(0)).cast("long").alias("parser_confidence"))
+
+
 def company_stats(df: DataFrame, as_of: Column) -> DataFrame:
     today = F.col("first_seen") >= as_of - F.make_dt_interval(F.lit(1))
     return df.groupBy("company").agg(F.count("*").alias("total"), F.count_if("is_usa").alias("usa"), F.count_if("is_entry").alias("entry"), F.count_if(F.col("match_score") > 0).alias("relevant"), F.count_if(F.col("is_usa") & ~F.col("is_senior")).alias("viewable"), F.count_if(today).alias("new_today"), F.avg("match_score").alias("avg_score"))
@@ -46,10 +75,10 @@ def company_tallies(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def company_entries(catalog: DataFrame, tallies: DataFrame, health: DataFrame) -> DataFrame:
-    """Catalog with tallies and health; status: quarantined, error, stalled, ok, idle."""
+    """Catalog with tallies (with parser_confidence too, if they have it) and health; status: quarantined, error, stalled, ok, idle."""
     j = catalog.join(tallies, "company", "left").join(health, "company", "left")
     status = F.when(F.coalesce("quarantined", F.lit(False)), "quarantined").when(F.coalesce("error_count", F.lit(0)) > 2, "error").when(F.coalesce("stalled", F.lit(False)), "stalled").when(F.coalesce("total", F.lit(0)) > 0, "ok").otherwise("idle")
-    return j.select(*[F.col(c) for c in catalog.columns], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "usa", "viewable")], status.alias("status"))
+    return j.select(*[F.col(c) for c in catalog.columns], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "usa", "viewable", "parser_confidence") if c in tallies.columns], status.alias("status"))
 
 
 def corpus_counts(df: DataFrame) -> DataFrame:

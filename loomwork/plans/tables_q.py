@@ -642,6 +642,28 @@ def g02(spark, d):
     return marts.dashboard(lens(spark, d).withColumn("role_category", kind), clock())
 
 
+G02_SQL = f"""
+, s AS (SELECT *, CASE id % 7 WHEN 0 THEN 'saved' WHEN 1 THEN 'applied' WHEN 2 THEN 'removed' ELSE 'active' END AS status, CASE WHEN id % 4 = 0 THEN 0.0 ELSE 0.9 END AS conf, id % 6 = 0 AS friendly, role_category = 'PROMO' AS software FROM lens),
+v AS (SELECT *, status = 'active' AND (is_usa OR conf = 0) AND NOT software AS view FROM s)
+SELECT count(*) FILTER (view) AS total_active, count(*) FILTER (view AND coalesce(posted_date, first_seen) >= {CLOCK} - INTERVAL '25' DAY) AS new_24h, count(*) FILTER (view AND (is_entry OR friendly) AND NOT is_senior) AS entry_level,
+  count(*) FILTER (view AND is_entry AND NOT is_senior) AS strict_entry, count(*) FILTER (view AND friendly AND NOT is_entry AND NOT is_senior) AS candidate_friendly, count(*) FILTER (status = 'active' AND is_usa) AS usa_count,
+  count(*) FILTER (view AND id % 9 < 2) AS remote_count, count(*) FILTER (view AND is_senior) AS senior_filtered, count(*) FILTER (view AND new_grad_fit >= 70) AS high_score, count(*) FILTER (view AND new_grad_fit >= 75) AS strong_new_grad,
+  count(*) AS total_in_db, count(*) FILTER (status = 'active') AS active_all, count(*) FILTER (status = 'active' AND NOT is_usa AND conf <> 0) AS non_usa_filtered, count(*) FILTER (status = 'active' AND software) AS software_filtered,
+  count(*) FILTER (status = 'saved') AS saved, count(*) FILTER (status = 'applied') AS applied,
+  (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)) AS scanned_last_run
+FROM v"""
+
+
+@query("g02_inventory", duck(G02_SQL))
+def g02_inventory(spark, d):
+    i = F.col("id")
+    status = F.when(i % 7 == 0, "saved").when(i % 7 == 1, "applied").when(i % 7 == 2, "removed").otherwise("active")
+    remote = F.when(i % 9 == 0, "Remote").when(i % 9 == 1, "remote").when(i % 9 == 2, "Not remote")
+    df = lens(spark, d).withColumns({"active_status": status, "location_confidence": F.when(i % 4 != 0, 0.9), "friendly": F.when(i % 6 == 0, F.lit(True)), "is_software": F.col("role_category") == "PROMO", "remote_status": remote})
+    days = read(spark, d, "orders").groupBy(F.col("o_orderdate").alias("started_at")).agg(F.sum("o_orderkey").alias("jobs_found"))
+    return marts.inventory(df, days, clock() - F.make_dt_interval(F.lit(24)))  # no posting is from the last day
+
+
 @query("g03_company_stats", duck(f"SELECT company, count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (is_entry) AS entry, count(*) FILTER (match_score > 0) AS relevant, count(*) FILTER (is_usa AND NOT is_senior) AS viewable, count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY) AS new_today, avg(match_score) AS avg_score FROM lens GROUP BY 1"))
 def g03(spark, d):
     return marts.company_stats(lens(spark, d), clock())
@@ -659,11 +681,12 @@ def g04(spark, d):
     return tallies(spark, d)
 
 
-@query("g05_company_entries", duck(f", t AS ({TALLY}) SELECT s_name AS company, coalesce(total, 0) AS total, coalesce(usa, 0) AS usa, coalesce(viewable, 0) AS viewable, CASE WHEN s_suppkey % 9 = 8 THEN 'quarantined' WHEN s_suppkey % 9 > 2 THEN 'error' WHEN s_suppkey % 5 = 0 THEN 'stalled' WHEN total > 0 THEN 'ok' ELSE 'idle' END AS status FROM supplier LEFT JOIN t ON company = s_name"))
+@query("g05_company_entries", duck(f", t AS ({TALLY}), q AS (SELECT company AS c, avg(id % 90) FILTER (id % 90 <> 0) AS q FROM lens GROUP BY 1) SELECT s_name AS company, CAST(coalesce(round_even(q, 0), 0) AS BIGINT) AS parser_confidence, coalesce(total, 0) AS total, coalesce(usa, 0) AS usa, coalesce(viewable, 0) AS viewable, CASE WHEN s_suppkey % 9 = 8 THEN 'quarantined' WHEN s_suppkey % 9 > 2 THEN 'error' WHEN s_suppkey % 5 = 0 THEN 'stalled' WHEN total > 0 THEN 'ok' ELSE 'idle' END AS status FROM supplier LEFT JOIN t ON company = s_name LEFT JOIN q ON c = s_name"))
 def g05(spark, d):
     s = read(spark, d, "supplier")
     health = s.select(F.col("s_name").alias("company"), (F.col("s_suppkey") % 9).alias("error_count"), (F.col("s_suppkey") % 9 == 8).alias("quarantined"), (F.col("s_suppkey") % 5 == 0).alias("stalled"))
-    return marts.company_entries(s.select(F.col("s_name").alias("company")), tallies(spark, d), health)
+    confidence = marts.company_confidence(lens(spark, d).withColumn("data_quality_score", F.col("id") % 90))
+    return marts.company_entries(s.select(F.col("s_name").alias("company")), tallies(spark, d).join(confidence, "company"), health)
 
 
 @query("g06_corpus_counts", duck("SELECT count(*) AS total, count(DISTINCT coalesce(CASE WHEN id % 2 = 0 THEN title END, CAST(id AS VARCHAR))) AS unique_visible FROM lens"))
@@ -808,7 +831,7 @@ def g07(spark, d):
 def watchlists(spark, d):
     kinds = F.array(*[F.lit(x) for x in ("LARGE", "MEDIUM", "SMALL", "ECONOMY", "PROMO", "STANDARD")])
     k = F.col("s_suppkey")
-    return read(spark, d, "supplier").select(k.alias("watch_id"), F.when(k % 2 == 0, F.element_at(kinds, (k % 6 + 1).cast("int"))).alias("role_category"), F.when(k % 3 == 0, F.lit("ASIA")).alias("state"), F.when(k % 5 == 0, F.lit("S")).alias("priority"), (k % 100).cast("int").alias("min_score"), (k % 7 == 0).alias("usa_only"), F.expr("TIMESTAMP '2024-01-01 12:00:00'").alias("since"), F.when(k % 11 == 1, "R#00000000").alias("company"), F.when(k % 13 == 2, "SRC1").alias("remote"), F.when(k % 17 == 3, "Ring").alias("keyword"), F.when(k % 19 == 4, "en").alias("level"), (k % 4 != 1).alias("include_senior"))
+    return read(spark, d, "supplier").select(k.alias("watch_id"), F.when(k % 2 == 0, F.element_at(kinds, (k % 6 + 1).cast("int"))).alias("role_category"), F.when(k % 3 == 0, F.lit("ASIA")).alias("state"), F.when(k % 5 == 0, F.lit("S")).alias("priority"), (k % 100).cast("int").alias("min_score"), (k % 7 == 0).alias("usa_only"), F.expr("TIMESTAMP '2024-01-01 12:00:00'").alias("since"), F.when(k % 11 == 1, "R#00000000").alias("company"), F.when(k % 13 == 2, "SRC1").alias("remote"), F.when(k % 17 == 3, "Ring").alias("keyword"), F.when(k % 19 == 4, "en").alias("level"), (k % 4 != 1).alias("include_senior"), F.when(k % 23 == 5, F.array(F.lit("is_entry"), F.lit("no_such_flag"))).alias("role_flags"))
 
 
 def searched_postings(spark, d):
@@ -819,7 +842,7 @@ W_SQL = """
 , w AS (SELECT s_suppkey AS watch_id, CASE WHEN s_suppkey % 2 = 0 THEN ['LARGE', 'MEDIUM', 'SMALL', 'ECONOMY', 'PROMO', 'STANDARD'][s_suppkey % 6 + 1] END AS c, CASE WHEN s_suppkey % 3 = 0 THEN 'ASIA' END AS s, CASE WHEN s_suppkey % 5 = 0 THEN 'S' END AS p, s_suppkey % 100 AS m, s_suppkey % 7 = 0 AS usa, s_suppkey AS k FROM supplier),
 h AS (SELECT w.watch_id, l.*, l.first_seen >= TIMESTAMP '2024-01-01 12:00:00' AS is_new FROM w JOIN lens l ON (c IS NULL OR c = role_category) AND (s IS NULL OR s = state) AND (p IS NULL OR p = priority) AND new_grad_fit >= m AND (NOT usa OR is_usa)
   AND (k % 11 <> 1 OR contains(lower(company), 'r#00000000')) AND (k % 13 <> 2 OR contains(lower(platform), 'src1')) AND (k % 17 <> 3 OR contains(lower(title || ' ' || company || ' ' || role_category), 'ring'))
-  AND (k % 19 <> 4 OR coalesce(lang = 'en', false)) AND (k % 4 <> 1 OR NOT is_senior)),
+  AND (k % 19 <> 4 OR coalesce(lang = 'en', false)) AND (k % 4 <> 1 OR NOT is_senior) AND (k % 23 <> 5 OR is_entry)),
 n AS (SELECT w.watch_id, count(h.id) AS total, count(h.id) FILTER (is_new) AS new FROM w LEFT JOIN h ON h.watch_id = w.watch_id GROUP BY 1)
 """
 
