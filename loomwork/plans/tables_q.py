@@ -109,6 +109,13 @@ def a19(spark, d):
     return read(spark, d, "pages").select("page_id", html.extract_detail(F.col("html")).alias("x")).select("page_id", "x.title", F.coalesce("x.body", F.lit("")).alias("body"))
 
 
+@query("a20_page_locations", duck("SELECT id, CASE WHEN id % 4 = 3 THEN 'Placentia ' ELSE '' END || location AS unlabelled, location || ', ' || state AS trimmed FROM lens"))
+def a20_page(spark, d):
+    df = posed(lens(spark, d), label=["place", "Location: ", "placeLocation ", "Placentia "])
+    markup = F.concat(F.lit(" , <b>"), "location", F.lit("</b>,\n <i>"), "state", F.lit("</i> ,"))
+    return df.select("id", places.unlabelled_location(F.concat("label", "location")).alias("unlabelled"), F.regexp_replace(places.trimmed_location(markup), " ,", ",").alias("trimmed"))
+
+
 @query("a20_locations", duck("SELECT id, 'Irvine, CA, United States' AS icims, 'Nation, ' || state AS shouting FROM lens"))
 def a20(spark, d):
     df = lens(spark, d)

@@ -210,3 +210,10 @@ def test_rare_matches_of_similar_postings(spark):
     for x in ranking.similar(df).orderBy("id", "n").collect():
         got.setdefault(x.id, []).append((x.other, x.score))
     assert got == want
+
+
+def test_page_labels_and_ends_leave_a_location(spark):
+    for given, want in (("placeMountain View", "Mountain View"), ("Location: Austin", "Austin"), ("Placentia, CA", "Placentia, CA"), ("place", ""), (None, "")):
+        assert one(spark, places.unlabelled_location(F.lit(given).cast("string"))) == want, given
+    assert one(spark, places.trimmed_location(F.lit(" <b>Oslo</b> , "))) == "Oslo"
+    assert one(spark, places.trimmed_location(F.lit(None).cast("string"))) == ""
