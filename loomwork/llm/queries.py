@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near_duplicates, packing, quality, token_counts, token_files, toxicity, urls
+from . import chat, decontaminate, language, lexical, near_duplicates, packing, quality, repair, token_counts, token_files, toxicity, urls
 
 RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
 
@@ -74,6 +74,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_token_files, op3_packing, op4_token_counts, op5_toxicity, op6_chat, op7_quality, op8_near_duplicates, op9_url_filter, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_language, op2_token_files, op3_packing, op4_token_counts, op5_toxicity, op6_chat, op7_quality, op8_near_duplicates, op9_url_filter, op10_decontamination, op11_lexical_search, op12_conversation_repair, pipeline)}
 
 
 OP6_SQL = r"""
@@ -168,6 +176,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) A
 FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), p AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY r, t
+), f AS (
+  SELECT t, CAST(floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t
+), m AS (
+  SELECT r, doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, g WHERE len(w) > 0
+), s AS (
+  SELECT item_id, r, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS k, doc_id, score FROM s JOIN m USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM k WHERE k <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_chat": OP6_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL}
