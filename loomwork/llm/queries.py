@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lexical, near_duplicates, packing, quality, repair, token_counts, token_files, toxicity, urls
+from . import chat, decontaminate, language, lexical, near_duplicates, packing, quality, repair, templates, token_counts, token_files, toxicity, urls
 
 RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
 
@@ -82,6 +82,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(_read(spark, sf_dir, "conversations")))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(_read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_token_files, op3_packing, op4_token_counts, op5_toxicity, op6_chat, op7_quality, op8_near_duplicates, op9_url_filter, op10_decontamination, op11_lexical_search, op12_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_language, op2_token_files, op3_packing, op4_token_counts, op5_toxicity, op6_chat, op7_quality, op8_near_duplicates, op9_url_filter, op10_decontamination, op11_lexical_search, op12_conversation_repair, op13_main_text, pipeline)}
 
 
 OP6_SQL = r"""
@@ -198,5 +202,83 @@ SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM k WHERE k <= 10
 """
 
 
+def _op12_sql() -> str:
+    """Viterbi over turns as a recursive query; a state is (cost, audit, repaired turns), null where it cannot be reached."""
+
+    def to(state: str, cost: str, letter: str, out: str = "") -> str:
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o{out}}} END"
+
+    def least(*of: str) -> str:
+        return f"list_min(list_filter([{', '.join(of)}], lambda x: x IS NOT NULL))"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN NOT doomed AND ini = '{initial}' THEN {to(state, 'cut', 'K', ' || chr(10) || role || chr(58) || text')} END"
+
+    def given(state: str, role: str) -> str:
+        return f"CASE WHEN NOT doomed THEN {to(state, '(2 + cut)', 'R', f" || chr(10) || '{role}:' || text")} END"
+
+    def put(state: str, role: str) -> str:
+        return to(state, "2", "I", f" || chr(10) || '{role}:'")
+
+    u = least("u", put("e", "user"), put("s", "user"), put("a", "user"))
+    with_u = "SELECT conv, i, e, s, {u} AS u, a FROM ({of})"
+    with_a = "SELECT conv, i, e, s, u, {a} AS a FROM ({of})"
+
+    def grown(of: str) -> str:
+        return with_a.format(a=least("a", put("u", "assistant")), of=with_u.format(u=u, of=of))
+
+    after = f"""SELECT v.conv, t.i, {to("e", "3", "D")} AS e, {least(to("s", "3", "D"), kept("e", "s"))} AS s,
+      {least(to("u", "3", "D"), kept("e", "u"), kept("s", "u"), kept("a", "u"), given("e", "user"), given("s", "user"), given("a", "user"))} AS u,
+      {least(to("a", "3", "D"), kept("u", "a"), given("u", "assistant"))} AS a
+      FROM v JOIN t ON t.conv = v.conv AND t.i = v.i + 1"""
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR))"
+    begin = f"SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 'o': ''}} AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR)) AS e, {none} AS s, {none} AS u, {none} AS a FROM x"
+    return rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS tab FROM range(256) r(n)
+), x AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS k
+  FROM conversations, tab
+), y AS (
+  SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM x WHERE k <> 0
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM y
+), t AS (
+  SELECT *, left(role, 1) AS ini, bare = '' AS blank, bare <> '' AND nth > 1 AS dup, bare = '' OR nth > 1 AS doomed,
+    CASE WHEN bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS bad FROM z
+), v AS (
+  {grown(begin)}
+  UNION ALL
+  {grown(after)}
+), f AS (
+  SELECT conv, {least("e", "a")} AS f FROM v QUALIFY i = max(i) OVER (PARTITION BY conv)
+), n AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, sum(cut) AS truncated,
+    count(*) FILTER (WHERE bad) AS illegal FROM t GROUP BY conv
+)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(f.f.c AS BIGINT) AS cost, f.f.a AS audit, sha256(substr(f.f.o, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM x) d JOIN f USING (conv) LEFT JOIN n USING (conv)
+"""
+
+
+OP13_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a
+), c AS (
+  SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL}
+    return {"op6_chat": OP6_SQL, "op7_quality": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op10_decontamination": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_main_text": OP13_SQL}

@@ -32,7 +32,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_says_the_same(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{TINY}/{t}.parquet')")
     got = queries.queries()[name](spark, TINY)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
