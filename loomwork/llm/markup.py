@@ -12,7 +12,7 @@ import xxhash
 #: Comments, tags and declarations. Quotes count only after an equals sign; what is never closed reaches to the end.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d{3,}")
 
 # fixed values: element kinds of the HTML standard
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +41,7 @@ IMPLIED = {
 class Element:
     name: str
     parent: int  # number of the element around it, -1 for the root
-    label: str  # name, id and classes, with any digits as one sign
+    label: str  # name, id, classes and role, long numbers in them as one sign
     path: int  # hash of the labels from the root
     attributes: dict = field(default_factory=dict)
 
