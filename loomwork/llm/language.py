@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_np as B
-from .shared import sampled
 
 WINDOW, HIDDEN, LANES = 128, 8, 2048
 HELD_OUT = (4, 2)
@@ -197,20 +197,31 @@ def _fold(doc_id, modulus: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 600, windows_per_row: int = 3, max_langs: int = 100, passes: int = 14, held_out: tuple[int, int] = HELD_OUT) -> Network | None:
+def _below(wanted: int, total: int) -> int:
+    """The bound below which about `wanted` of `total` different 64-bit hashes lie."""
+    return (1 << 63) if wanted >= total else int(Fraction(wanted, total) * (1 << 64)) - (1 << 63)
+
+
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = 600, all_rows: int = 12_000, windows_per_row: int = 3, most_langs: int = 10_000, passes: int = 14, held_out: tuple[int, int] = HELD_OUT) -> Network | None:
     """Fits the network to text and non-null lang of the rows outside the held-out fold; None where there are none.
 
-    It sees at most about `rows_per_lang` rows of each language, chosen by a hash of doc_id, and `windows_per_row` windows
-    of each. It learns the `max_langs` languages with the most rows (a column with more values than that is not clean).
+    It learns every language there is. Of each it sees at most about `rows_per_lang` different texts, and of all together
+    about `all_rows` (at least one of each), chosen by a hash of the text, so rows that repeat one count once; of each
+    text `windows_per_row` windows. A column of more than `most_langs` values holds no languages: that is an error.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     d = d.where("lang is not null and text is not null and doc_id is not null").where(_fold("doc_id", held_out[0]) != held_out[1])
-    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not counts:
+    key = F.xxhash64(F.lit("lang"), "text")
+    found = d.groupBy("lang").agg(F.approx_count_distinct(key, 0.03).alias("texts"), F.min(key).alias("least")).limit(most_langs + 1).collect()
+    if len(found) > most_langs:
+        raise ValueError(f"{lang} has more than {most_langs} different values, which no column of languages has")
+    if not found:
         return None
-    key = F.xxhash64("doc_id", F.lit("lang"))
-    shares = [(k, sampled(key, round(1.2 * rows_per_lang) + 1, n)) for k, n in sorted(counts.items())]
-    some = d.where(reduce(lambda a, b: a | b, [(F.col("lang") == k) & hit for k, hit in shares]))
+    rows_per_lang = max(1, min(rows_per_lang, all_rows // len(found)))
+    # the share of the 64-bit hashes that gives a language its rows, and at least its text with the least hash
+    below = {r.lang: max(r.least + 1, _below(round(1.2 * rows_per_lang) + 1, r.texts)) if r.texts else r.least + 1 for r in found}
+    limits = docs.sparkSession.createDataFrame([(k, Decimal(v)) for k, v in below.items()], "lang string, below decimal(20,0)")
+    some = d.join(F.broadcast(limits), "lang").where(key.cast("decimal(20,0)") < F.col("below")).groupBy("lang", key.alias("key")).agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,7 +235,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
     got = some.select("lang", "text").mapInArrow(cut, "lang string, part binary").toArrow()  # bounded by the parameters
-    langs = sorted(counts)
+    langs = sorted(below)
     order = sorted(range(got.num_rows), key=lambda i: (got["lang"][i].as_py(), got["part"][i].as_py()))
     x, y, size, taken = [], [], [], dict.fromkeys(langs, 0)
     r = np.random.default_rng(3)
