@@ -27,6 +27,8 @@ BLOCK = 1 << 16
 BIN = 1 / 1024
 #: Up to so many labels are broadcast to the texts; beyond, all texts are scored and their scores meet the labels.
 BROADCAST_LABELS = 1_000_000
+#: So many languages are told apart by their words; more are dealt into so many groups.
+MOST_LANGS = 32
 
 
 def words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -229,8 +231,15 @@ def _cut(lo: np.ndarray, hi: np.ndarray, ones: np.ndarray, zeros: np.ndarray) ->
     return float((least[i] + largest[i - 1]) / 2)
 
 
-def _word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, words of each table row and language) over all rows of docs(lang, text) with a language."""
+def _word_counts(docs: DataFrame, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray]:
+    """(languages, words of each table row and language) over all rows of docs(lang, text) with a language.
+
+    Where there are more than `most_langs` languages, they are dealt by hash into so many groups, each of which counts as
+    one language: the driver holds table rows times at most `most_langs` numbers.
+    """
+    docs = docs.where("lang is not null")
+    if docs.select("lang").distinct().limit(most_langs + 1).count() > most_langs:
+        docs = docs.withColumn("lang", F.concat(F.lit("group "), F.pmod(F.xxhash64("lang"), F.lit(most_langs)).cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -253,7 +262,7 @@ def _word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for lang in list(found):
             yield out(lang)
 
-    got = docs.where("lang is not null").select("lang", "text").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(got["lang"].unique().to_pylist())
     counts = np.zeros((BUCKETS, max(1, len(names))))
     if names:
