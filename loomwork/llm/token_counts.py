@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sampled
-
 PRE_TOKEN = re.compile(" [^ ]+")
 ODD = re.compile(" +[^ ]*")
 _models: dict[str, object] = {}
@@ -61,33 +59,19 @@ class Counts(dict):
         return sum(map(self.__getitem__, words))
 
 
-def frequent_pre_tokens(texts: DataFrame, path: str, most: int, sample_rows: int, rows: int) -> dict[str, int]:
-    """Token counts of up to `most` frequent pre-tokens of about `sample_rows` rows, chosen by a hash of the text.
+def frequent_pre_tokens(texts: DataFrame, path: str, most: int, sample_rows: int, sample_bytes: int) -> dict[str, int]:
+    """Token counts of up to `most` frequent pre-tokens of the first `sample_rows` rows of at most `sample_bytes` of text each.
 
-    Only speed depends on this sample: what it lacks goes to tier two. Each task sends its own most frequent ones.
+    Only speed depends on them: what they lack goes to tier two. Taken from the front, they cost a part of one file.
     """
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update((" " + t).split(" ") if t else ())
-            if len(n) > 16 * most:
-                n = Counter(dict(heapq.nlargest(4 * most, n.items(), key=lambda x: x[1])))
-        best = heapq.nlargest(most, ((c, w) for w, c in n.items() if c > 1 and 0 < len(w) <= 32))
-        m = model(path)
-        yield pa.RecordBatch.from_arrays([pa.array([" " + w for _, w in best], pa.string()), pa.array([c for c, _ in best], pa.int64()), pa.array([len(x) for x in m.encode([w for _, w in best])], pa.int32())], ["w", "c", "n"])
-
-    # the filter runs in every task of the scan; only the few rows that pass move
-    some = texts.where(sampled(F.xxhash64("doc_id", "text"), sample_rows, rows)).select("text").repartition(8)
-    got: Counter = Counter()
-    size: dict[str, int] = {}
-    for r in some.mapInArrow(top, "w string, c long, n int").toLocalIterator():  # at most 8 tasks x most rows
-        got[r.w] += r.c
-        size[r.w] = r.n
-    return {w: size[w] for w, _ in heapq.nlargest(most, got.items(), key=lambda x: (x[1], x[0]))}
-
-
-def token_counts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 4096, frequent: int = 8192, sample_rows: int = 2000) -> DataFrame:
+    n: Counter = Counter()
+    for r in texts.where(F.octet_length("text") <= sample_bytes).select("text").take(sample_rows):
+        n.update((" " + r.text).split(" ") if r.text else ())
+    words = [w for w, c in heapq.nlargest(most, n.items(), key=lambda x: (x[1], x[0])) if c > 1 and 0 < len(w) <= 32]
+    return {" " + w: len(x) for w, x in zip(words, model(path).encode(words), strict=True)} if words else {}
+
+
+def token_counts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 4096, frequent: int = 8192, sample_rows: int = 1000, sample_bytes: int = 16384) -> DataFrame:
     """Tokens of each whole text, as the sentencepiece model encodes it without begin, end or added tokens.
 
     Returns a row per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit). Null and empty texts have
@@ -95,7 +79,7 @@ def token_counts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
     other columns are ignored. Nothing is shuffled; the broadcast table has at most `frequent` entries.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    table = d.sparkSession.sparkContext.broadcast(frequent_pre_tokens(d, model_path, frequent, sample_rows, d.count()))
+    table = d.sparkSession.sparkContext.broadcast(frequent_pre_tokens(d, model_path, frequent, sample_rows, sample_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(model_path, table.value)
