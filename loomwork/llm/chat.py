@@ -8,7 +8,7 @@ of `\ # < : ~` and line end (in roles) or `\ # <` (in texts), so the second rend
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, MARK = "### ", "</turn>", "~1"
@@ -35,23 +35,17 @@ def render(role: Column, text: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Array of (role, text, escaped, start, length) of the turns of a formatted conversation; start and length of the text as it stands there, in code points from 1."""
+    """Array of (role, text, escaped) of the turns of a formatted conversation, in time linear in its length."""
     parts = F.split(formatted, OPEN, -1)
-    sized = F.aggregate(
-        F.slice(parts, 2, F.size(parts)),
-        F.expr("named_struct('at', 1, 'turns', cast(array() as array<struct<part:string,at:int>>))"),
-        lambda acc, p: F.struct((acc["at"] + len(OPEN) + F.length(p)).cast("int").alias("at"), F.concat(acc["turns"], F.array(F.struct(p.alias("part"), (acc["at"] + len(OPEN)).cast("int").alias("at")))).alias("turns")),
-        lambda acc: acc["turns"],
-    )
 
     def turn(p: Column) -> Column:
-        head = F.substring_index(p["part"], ": ", 1)
+        head = F.substring_index(p, ": ", 1)
         escaped = head.endswith(MARK)
-        body = F.substring_index(F.substr(p["part"], F.length(head) + 3), CLOSE, 1)
+        body = F.substring_index(F.substr(p, F.length(head) + 3), CLOSE, 1)
         role = F.when(escaped, _decode(F.substr(head, F.lit(1), F.length(head) - len(MARK)), ROLE_ESCAPES)).otherwise(head)
-        return F.struct(role.alias("role"), F.when(escaped, _decode(body, TEXT_ESCAPES)).otherwise(body).alias("text"), escaped.alias("escaped"), (p["at"] + F.length(head) + 2).cast("int").alias("start"), F.length(body).alias("length"))
+        return F.struct(role.alias("role"), F.when(escaped, _decode(body, TEXT_ESCAPES)).otherwise(body).alias("text"), escaped.alias("escaped"))
 
-    return F.transform(sized, turn)
+    return F.transform(F.slice(parts, 2, F.size(parts)), turn)
 
 
 def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -67,12 +61,18 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     back = parse(F.col("plain"))
     rows = rows.withColumn("back", back)
     # a lone turn, followed by the opening of another one, must give back itself
-    same = (F.size("back") == 1) & (F.col("back")[0]["role"] == F.col("t.role")) & (F.col("back")[0]["text"] == F.col("t.text")) & ~F.col("back")[0]["escaped"] & (F.length("plain") == F.col("back")[0]["start"] - 1 + F.col("back")[0]["length"] + len(CLOSE) + 1)
+    same = (F.size("back") == 1) & (F.col("back")[0]["role"] == F.col("t.role")) & (F.col("back")[0]["text"] == F.col("t.text")) & ~F.col("back")[0]["escaped"]
     rows = rows.select("conv_id", "t", F.when(same, F.col("plain")).otherwise(render(F.col("t.role"), F.col("t.text"), True)).alias("out"), (~same).cast("long").alias("esc"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("t.turn", "t.role", "t.text", "out"))).alias("s"), F.sum("esc").alias("n_escaped"))
-    convs = convs.select("conv_id", F.array_join(F.col("s.out"), "").alias("formatted"), F.col("s.role").alias("roles"), F.col("s.text").alias("texts"), "n_escaped")
+    # where each turn begins: what stands before it, summed in order (partitioned like the grouping that follows)
+    before = Window.partitionBy("conv_id").orderBy(F.col("t.turn").asc_nulls_first(), "t.role", "t.text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("out").cast("long")).over(before), F.lit(0)))
+    length = F.when(F.col("esc") == 1, F.length(_encode(F.col("t.text"), TEXT_ESCAPES))).otherwise(F.length("t.text"))
+    start = F.col("at") + F.length("out") - length - len(CLOSE)
+    rows = rows.withColumn("span", F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), (F.col("esc") == 1).alias("escaped")))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("t.turn", "t.role", "t.text", "at", "out", "span"))).alias("s"), F.sum("esc").alias("n_escaped"))
+    convs = convs.select("conv_id", F.array_join(F.col("s.out"), "").alias("formatted"), F.col("s.role").alias("roles"), F.col("s.text").alias("texts"), F.col("s.span").alias("spans"), "n_escaped")
     convs = convs.withColumn("parsed", parse(F.col("formatted")))
-    spans = F.transform(F.filter("parsed", lambda p: p["role"] == loss_role), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["escaped"].alias("escaped")))
+    spans = F.filter("spans", lambda s, i: F.get("parsed", i)["role"] == loss_role)
     return convs.select("conv_id", "formatted", spans.alias("loss_spans"), "n_escaped", ((F.col("parsed.role") == F.col("roles")) & (F.col("parsed.text") == F.col("texts"))).alias("round_trip"))
 
 
