@@ -203,19 +203,49 @@ def _blocks(members: DataFrame, key: str, most: int) -> DataFrame:
     return out.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "size").repartition(F.col(key), F.col("lo"), F.col("hi")).sortWithinPartitions(key, "lo", "hi", "rep")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, broadcast_ids: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Classes of documents whose sets of `n`-word shingles have a Jaccard similarity of `threshold` or more, joined transitively.
 
-    Returns a row per document id: doc_id, class_id (least doc_id of the class), n_links (other documents that reach the
-    threshold with it, equal texts included). A pair at 0.8 escapes all 32 bands of 4 with a probability of 5e-8 and the
-    pruning with about `tolerance`; every link returned is verified on the full sets.
-    Null, empty and wordless texts are classes of their own without links; texts of fewer than n words are one shingle;
-    rows with a null id are left out; rows that repeat an id count once (the one with the least text).
+    Returns a row per row: doc_id, class_id (least doc_id of the class), n_links (other rows that reach the threshold with
+    it, equal texts included). A pair at 0.8 escapes all 32 bands of 4 with a probability of 5e-8 and the pruning with
+    about `tolerance`; every link returned is verified on the full sets. For the options see `_classes`.
+    Null, empty and wordless texts are classes of their own without links; texts of fewer than n words are one shingle.
+    Rows with a null id, or that repeat an id, are rows like any other, each compared by its own text; a null id is no
+    least one, and a class of such rows alone has a null class_id. Such tables are written once more, with a key a row.
     """
     folder = shared_dir(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    if not d.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
-        d = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+    keyed, own = _keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), folder)
+    found = _classes(keyed, folder, **options)
+    if own:
+        return found.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"), "n_links")
+    rows = stored(found.join(keyed.select("key", "doc_id"), "key"), folder, "rows")
+    least = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "class_key").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, of each class of near duplicates one: that with the least doc_id, null ids last."""
+    folder = shared_dir(docs.sparkSession)
+    keyed, own = _keyed(docs.select("*", F.col(doc_id).cast("long").alias("_near_id"), F.col(text).alias("_near_text")), folder, "_near_id", "_near_key")
+    found = _classes(keyed.select(F.col("_near_key").alias("key"), F.col("_near_text").alias("text")), folder, **options)
+    if own:
+        gone = found.where("class_key <> key")
+    else:
+        rows = stored(found.join(keyed.select(F.col("_near_key").alias("key"), F.col("_near_id").alias("id")), "key"), folder, "rows")
+        first = rows.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("first")).select("class_key", F.col("first.key").alias("first"))
+        gone = rows.join(first, "class_key").where("key <> first")
+    return keyed.join(gone.select(F.col("key").alias("_near_key")), "_near_key", "left_anti").select(docs.columns)
+
+
+def _keyed(docs: DataFrame, folder: str, doc_id: str = "doc_id", key: str = "key") -> tuple[DataFrame, bool]:
+    """docs with a different long for each row: the id where all are there and differ, else a number, in a table written for it."""
+    plain = docs.groupBy(doc_id).count().where(f"{doc_id} is null or count > 1").limit(1).isEmpty()
+    return (docs.withColumn(key, F.col(doc_id)), True) if plain else (stored(docs.withColumn(key, F.monotonically_increasing_id()), folder, "keyed"), False)
+
+
+def _classes(docs: DataFrame, folder: str, *, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, broadcast_ids: int = 500_000) -> DataFrame:
+    """(key, class_key, n_links) of docs(key, text); a class goes by its least key."""
+    d = docs.select(F.col("key").alias("doc_id"), "text")
     least = least_matches(threshold, tolerance)
     signed = stored(d.mapInArrow(lambda it: _sign(it, n), "doc_id long, set_key binary, sig binary"), folder, "signed")
     # equal sets: one representative with its number of copies
@@ -241,4 +271,4 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     per_rep = links.groupBy("rep").agg(F.sum("links").alias("links")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     per_set = sets.join(per_rep, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = signed.select("doc_id", "set_key").join(per_set, "set_key", "left")
-    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select(F.col("doc_id").alias("key"), F.coalesce("class_id", "doc_id").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
