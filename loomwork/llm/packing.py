@@ -106,13 +106,14 @@ def pack(parts: DataFrame, *, capacity: int = 1024, max_docs: int = 1024, max_at
     return parts.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups).mapInArrow(fit, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, group_rows: int = 8192, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Packs the documents into as few sequences of at most `capacity` tokens as best-fit finds, about `group_rows` documents to a group.
+def packed(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, group_rows: int = 8192, group_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Packs the documents into as few sequences of at most `capacity` tokens as best-fit finds, at most about `group_rows` documents and `group_bytes` of text to a group.
 
     Returns a row per piece: doc_id, piece (from 0), start, length, ids_crc32, sequence_id, offset (gapless from 0).
     Null and empty texts are one piece of end_id alone; repeated rows and null ids are packed as they are; an empty
     table gives no rows; other columns are ignored. Only piece numbers are shuffled, never ids or texts. Other capacities
     (max_docs, max_attention) go to `pack`; a document that alone exceeds one of them is an error.
     """
-    n = docs.count()
-    return pack(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, doc_id=doc_id, text=text), capacity=capacity, groups=max(1, round(n / group_rows)), **options)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()
+    groups = max(1, round(n / group_rows), -(-size // group_bytes))
+    return pack(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, doc_id=doc_id, text=text), capacity=capacity, groups=groups, **options)
