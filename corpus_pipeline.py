@@ -39,11 +39,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id stays.
 
-    Null, empty and wordless texts are no one's duplicates and stay, as do rows with a null id; rows that repeat an id
-    are one document, compared by its least text, and stay or go together.
+    Null, empty and wordless texts are no one's duplicates and stay. Rows that repeat an id are compared each by its own
+    text; of a class with null ids one row stays too, one with an id if there is any.
     """
-    classes = near_duplicates.near_duplicates(docs)
-    return docs.join(classes.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return near_duplicates.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
