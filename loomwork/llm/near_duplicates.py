@@ -36,12 +36,13 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: lower-cased runs of letters, digits and non-ASCII characters; 1 to n - 1 words are one shingle, none gives none."""
     import pyarrow.compute as pc
 
-    for _, data, offsets in B.text_slices(pc.utf8_lower(texts)):
-        a, e, first = B.spans(data, offsets, B.WORD)
-        h = B.hashes(data, a, e)
-        for i in range(len(first) - 1):
-            w = h[first[i] : first[i + 1]]
-            yield np.unique(B.windows(w, min(n, len(w)))) if len(w) else w
+    for at in range(0, len(texts), 256):  # a few rows at a time: a lower-cased copy of a whole batch would stay in the worker
+        for _, data, offsets in B.text_slices(pc.utf8_lower(texts.slice(at, 256))):
+            a, e, first = B.spans(data, offsets, B.WORD)
+            h = B.hashes(data, a, e)
+            for i in range(len(first) - 1):
+                w = h[first[i] : first[i + 1]]
+                yield np.unique(B.windows(w, min(n, len(w)))) if len(w) else w
 
 
 def signature(s: np.ndarray) -> np.ndarray:
