@@ -22,13 +22,14 @@ WORDS, WORDS_PY = r"[a-z0-9]+|\+\+|[#&]|[\p{L}\p{N}&&[^a-z0-9]]+", r"[a-z0-9]+|\
 
 @dataclass(frozen=True)
 class When:
-    """Phrases that count only if one of `after` (`before`, `next`) stands after them (before, right after), and none of `unless_after`, `unless_before`."""
+    """Phrases that count only if one of `after` (`before`) stands after (before) them, and none of `unless_after`, `unless_before`, nor `unless_next` right after."""
 
     phrases: tuple[str, ...]
     after: tuple[str, ...] = ()
     before: tuple[str, ...] = ()
     unless_after: tuple[str, ...] = ()
     unless_before: tuple[str, ...] = ()
+    unless_next: tuple[str, ...] = ()
 
 
 def each(*patterns: str) -> tuple[str, ...]:
@@ -78,6 +79,8 @@ def met(x: Column, vocabulary: Iterable[str | When]) -> Column:
             after = F.slice(words, h["at"] + h["n"] + 1, F.size(words))
             before = F.slice(words, 1, h["at"])
             out = h["p"].isin(*plain([e]))
+            if e.unless_next:
+                out = out & ~F.coalesce(F.get(words, h["at"] + h["n"]).isin(*e.unless_next), F.lit(False))
             for part, these, wanted in ((after, e.after, True), (before, e.before, True), (after, e.unless_after, False), (before, e.unless_before, False)):
                 if these:
                     out = out & (stands(part, these) if wanted else ~stands(part, these))
@@ -94,6 +97,6 @@ def met(x: Column, vocabulary: Iterable[str | When]) -> Column:
 
 
 def counted(found: Column, phrases: Iterable[str]) -> Column:
-    """How many different phrases of a vocabulary are among the distinct phrases found."""
+    """How many different phrases of a vocabulary are among those found; one with and without a last s is one."""
     these = plain(phrases)
-    return F.size(F.filter(found, lambda p: p.isin(*these)))
+    return F.size(F.array_distinct(F.transform(F.filter(found, lambda p: p.isin(*these)), lambda p: F.rtrim(p, F.lit("s")))))

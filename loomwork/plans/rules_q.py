@@ -202,11 +202,14 @@ def c10(spark, d):
 
 # text, skills
 SKILLED = [
-    ("Knows ETAP and SKM, arc-flash studies, the National Electrical Code", ["NEC", "Arc Flash", "ETAP", "SKM"]),
-    ("Siemens TIA Portal, PROFINET, PLCs and C++; no c", ["TIA Portal", "PROFINET", "PLC", "C++"]),
-    ("Grounding, load flow, PSS/E, DNP3, IEC 61850 relay settings", ["IEC 61850", "Load Flow", "Grounding", "PSS/E", "DNP3", "Protective Relays"]),
-    ("A spicy pythonic javascript", []),
-    ("python, sql & Java with OPC-UA", ["OPC UA", "Python", "Java", "SQL"]),
+    ("Knows ETAP and SKM, arc-flash studies, the National Electrical Code", ["NEC / NFPA 70", "Arc Flash Analysis", "ETAP", "SKM PowerTools"]),
+    ("Siemens TIA Portal, PROFINET, PLC panels and C++", ["PLC Programming", "TIA Portal / STEP 7", "Profibus / Profinet", "C++"]),
+    ("Grounding, load-flow, PSS/E, DNP3, IEC 61850 relay settings", ["IEC 61850", "Load Flow", "Relay Settings", "Grounding Design", "PSS/E", "DNP3"]),
+    ("A spicy pythonic javascript, connected semiconductor groups", []),
+    ("python, sql & Java with OPC-UA", ["OPC UA", "Python", "SQL"]),
+    ("Firmware in C, not in C# or C++; P&IDs and an Op-Amp", ["P&IDs", "Analog Circuits", "C++", "C"]),
+    ("NFPA 70E and nfpa70, MIL STD 461, isa-18.2, UL 508A", ["NEC / NFPA 70", "NFPA 70E", "MIL-STD-461", "UL 508A", "ISA-5.1 / ISA-88 / ISA-95"]),
+    ("802.11 radios, CAN bus, RS-485, SEL-421, transformer design at 13.8 kV", ["Magnetics Design", "SEL AcSELerator", "RS-485 / RS-232", "CAN", "Wi-Fi / Bluetooth", "Transformers"]),
 ]
 
 
@@ -228,7 +231,7 @@ def c24(spark, d):
 USERS = "SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY conv_id"
 #: Profiles as written; name, degree, field, grad_date, years, projects, all_skills, licences.
 PROFILES = [
-    ("Jordan Lee\nB.S. Electrical Engineering, May 2025\n2 years of experience, EIT\nProjects\n• Arc flash study of a plant in ETAP\n- Modbus logger in Python\nshort\nALL IN CAPITALS\nEducation\nSkills: AutoCAD, MATLAB\n", "Jordan Lee", "BS", "ELECTRICAL ENGINEERING", "May 2025", 2.0, "Arc flash study of a plant in ETAP|Modbus logger in Python", "Arc Flash,AutoCAD,ETAP,MATLAB,Modbus,Python", "EIT / FE"),
+    ("Jordan Lee\nB.S. Electrical Engineering, May 2025\n2 years of experience, EIT\nProjects\n• Arc flash study of a plant in ETAP\n- Modbus logger in Python\nshort\nALL IN CAPITALS\nEducation\nSkills: AutoCAD, MATLAB\n", "Jordan Lee", "BS", "ELECTRICAL ENGINEERING", "May 2025", 2.0, "Arc flash study of a plant in ETAP|Modbus logger in Python", "Arc Flash Analysis,AutoCAD,ETAP,MATLAB,Modbus,Python", "EIT / FE"),
     ("Maria Garcia\nPh.D. in Power Engineering, 2023\n10+ years experience, professional engineer\nPSCAD, IEC 61850, DNP3\n", "Maria Garcia", "PhD", "POWER ENGINEERING", "2023", 10.0, "", "DNP3,IEC 61850,PSCAD", "PE"),
     ("12345\nLooking for work\nMaster student, mechatronics, graduating December 2026\nKey Projects:\n* Robot arm with CAN bus and C++\nAwards\n", "Looking for work", "MS", "MECHATRONICS", "December 2026", 0.0, "Robot arm with CAN bus and C++", "C++,CAN", ""),
 ]
