@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import low, once
+from .classify import best_category, low, once
 from .phrases import When, cut, each, hits, met, plain, words_of
-from .titles import BODIES, category_of
+from .titles import BODIES
 
 
 def dictionary(text: str) -> dict[str, tuple[str, ...]]:
@@ -94,6 +94,8 @@ PROJECT_HEADERS = ("projects", "project", "project experience", "academic projec
 END_HEADERS = ("experience", "work experience", "education", "skills", "certifications", "publications", "awards", "employment")
 GENERAL = "Electrical Engineering (general)"
 BULLETS = " -*•●▪"
+#: What a profile is about, by substrings: plurals are in their singulars.
+FOCUS = tuple((k, tuple(dict.fromkeys(p for p in map(cut, v) if not (p.endswith("s") and p[:-1] in v)))) for k, v in BODIES)
 
 
 def phrases(*dictionaries: dict) -> list[str]:
@@ -193,5 +195,5 @@ def parse_profile(text: Column, families=FAMILIES) -> Column:
         return F.struct(*[v.alias(k) for k, v in own.items()], *rest, F.coalesce(F.get(named(x, DEGREES), F.lit(0)), F.lit("")).alias("degree"))
 
     s = once(found_in(text, phrases(*families.values(), LICENCES, DEGREES)), skilled)
-    focus = F.coalesce(category_of(text, BODIES, 2), F.lit(GENERAL))
+    focus = F.coalesce(best_category(F.array_join(words_of(text), " "), FOCUS, 2, whole=False), F.lit(GENERAL))
     return once(s, lambda s: F.struct(F.coalesce(F.get(_person(text), F.lit(0)), F.lit("")).alias("name"), s["degree"].alias("degree"), field.alias("field"), grad.alias("grad_date"), years.alias("years"), own_projects.alias("projects"), s.alias("skills"), focus.alias("role_focus")))

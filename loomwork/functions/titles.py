@@ -281,11 +281,6 @@ def title_category(title: Column, rules: TitleRules = RULES) -> Column:
     return once(once(words_of(title), lambda w: F.struct(w.alias("words"), hits(w, phrases).alias("hits"))), lambda x: _category(x, rules))
 
 
-def category_of(text: Column, vocabulary=BODIES, least: int = 2) -> Column:
-    """The label of which a text has most phrases; null below `least`."""
-    return once(_found(text, plain(p for _, v in vocabulary for p in v)), lambda found: best_found(found, vocabulary, least))
-
-
 def best_found(found: Column, vocabulary, least: int) -> Column:
     """The label of which most phrases are among those found, the earlier one on a tie; null below `least`."""
     rows = F.array(*[F.struct(counted(found, v).alias("hits"), F.lit(-i).alias("ord"), F.lit(k).alias("label")) for i, (k, v) in enumerate(vocabulary)])

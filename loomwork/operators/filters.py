@@ -44,7 +44,7 @@ def _low(c: str) -> Column:
 # fixed value: the signs that count as blanks where whole words are searched
 SIGNS = ",.;:()/[]{}-|\n\r\t\"'*•·"
 #: Where a search looks: substrings of short fields (arrays joined), whole words of long ones. Columns that a table lacks are left out by naming others.
-SHORT, LONG = ("title", "company", "role_category", "experience_level", "state", "location", "platform", "keywords"), ("body", "snippet")
+SHORT, LONG = ("title", "norm_title", "company", "keywords", "role_category", "experience_level", "state", "location", "platform"), ("body", "full_text", "snippet")
 
 
 def keyword(q: str, short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG, mode: str = "strict") -> Column:
@@ -62,7 +62,8 @@ def keyword(q: str, short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG
     return out
 
 
-def predicate(f: Filters, as_of: Column, mode: str = "strict") -> Column:
+def predicate(f: Filters, as_of: Column, mode: str = "strict", short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG) -> Column:
+    """All of a search as one condition; `short` and `long` are the fields that its keyword looks in."""
     same = (lambda c, v: _low(c) == v.lower()) if mode == "strict" else (lambda c, v: F.contains(_low(c), F.lit(v.lower())))
     out = []
     if f.status:
@@ -86,7 +87,7 @@ def predicate(f: Filters, as_of: Column, mode: str = "strict") -> Column:
     if f.posted_within_hours:
         out.append(F.coalesce("posted_date", "first_seen") >= as_of - F.make_dt_interval(F.lit(0), F.lit(f.posted_within_hours)))
     if f.keyword:
-        out.append(keyword(f.keyword, mode=mode))
+        out.append(keyword(f.keyword, short, long, mode))
     out += [F.contains(F.lower(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), ", ")), F.lit(s.lower())) | F.contains(_low("snippet"), F.lit(s.lower())) for s in f.skills]
     if f.view:
         out.append({"entry_level": F.col("is_entry"), "best": F.col("new_grad_fit") >= 65, "all_usa": F.col("is_usa"), "adjacent": F.col("role_category").isin("Adjacent / Backup")}[f.view])
@@ -107,8 +108,11 @@ def tracked(df: DataFrame) -> DataFrame:
 
 
 def directory_filter(df: DataFrame, q: str = "", sector: str | None = None, hiring: bool | None = None) -> DataFrame:
-    out = df.where(F.contains(_low("company"), F.lit(q.lower())) | F.contains(_low("sector"), F.lit(q.lower()))) if q else df
-    out = out.where(F.col("sector") == sector) if sector else out
+    """Companies whose name, sector or headquarters (where there is such a column) hold q, of one sector (a company without one is in "Other")."""
+    q = q.strip().lower()
+    places = [c for c in ("company", "sector", "hq") if c in df.columns]
+    out = df.where(reduce(lambda a, b: a | b, [F.contains(_low(c), F.lit(q)) for c in places])) if q else df
+    out = out.where(F.coalesce(F.when(F.col("sector") != "", F.col("sector")), F.lit("Other")) == sector) if sector else out
     return out if hiring is None else out.where((F.col("viewable") > 0) == hiring)
 
 

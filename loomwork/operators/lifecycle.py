@@ -184,6 +184,15 @@ def configured_only(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return df.join(catalog.select("company").distinct(), "company", "left_semi")
 
 
+def of_companies(df: DataFrame, directory: DataFrame, ids: str) -> DataFrame:
+    """Rows of the companies whose ids a comma-separated list names; a list that names no known company is no filter. directory(company_id, company) has a row per company."""
+    wanted = [int(x) for x in map(str.strip, ids.split(",")) if x.isdigit()]
+    known = directory.where(F.col("company_id").isin(*wanted)).select("company").distinct() if wanted else None
+    if known is None or known.limit(1).isEmpty():
+        return df
+    return df.join(known, "company", "left_semi")
+
+
 def retire_stale(live: DataFrame, as_of: Column, days: int = 21) -> tuple[DataFrame, DataFrame]:
     """(still live, retired): rows unseen for more than `days`, removed now."""
     old = F.col("last_seen") < as_of - F.make_dt_interval(F.lit(days))

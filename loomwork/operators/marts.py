@@ -93,7 +93,7 @@ def skill_gaps(matches: DataFrame, min_match: int = 45, n: int = 15) -> DataFram
 
 
 def skill_gaps_simple(df: DataFrame, known: DataFrame, n: int = 12) -> DataFrame:
-    return df.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).join(F.broadcast(known), "skill", "left_anti").orderBy(F.desc("n"), "skill").limit(n)
+    return df.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).join(known, "skill", "left_anti").orderBy(F.desc("n"), "skill").limit(n)
 
 
 def pipeline_health(runs: DataFrame, cadence: DataFrame, as_of: Column) -> DataFrame:
@@ -107,6 +107,17 @@ def pipeline_health(runs: DataFrame, cadence: DataFrame, as_of: Column) -> DataF
     return j.select("engine", "last_good", state.alias("status")).withColumn("overall", worst)
 
 
+def client_health(health: DataFrame, generated: Column, as_of: Column, fresh_hours: int = 12) -> DataFrame:
+    """(overall, working, engines, corpus_age_hours) of pipeline_health's rows, as a reader of the corpus sees it.
+
+    All engines well is ok; some well, or a corpus younger than `fresh_hours`, is stale: something still gets through.
+    """
+    age = F.round((F.unix_timestamp(as_of) - F.unix_timestamp(generated)) / 3600, 1)
+    sums = health.agg(F.count_if(F.col("status") == "ok").alias("working"), F.count("*").alias("engines"))
+    overall = F.when(F.col("working") == F.col("engines"), "ok").when((F.col("working") > 0) | F.coalesce(age <= fresh_hours, F.lit(False)), "stale").otherwise("down")
+    return sums.select(overall.alias("overall"), "working", "engines", age.alias("corpus_age_hours"))
+
+
 def attention(health: DataFrame) -> DataFrame:
     """health rows that want a look, with kind and place: quarantined or stalled ones first, then those with errors; the worst first. A row per company at most."""
     kind = F.when(F.col("quarantined") | F.col("stalled"), "attention").when(F.col("error_count") > 0, "erroring")
@@ -119,11 +130,16 @@ def sector_summary(entries: DataFrame) -> DataFrame:
 
 
 def board_yield(df: DataFrame, samples: int = 6) -> DataFrame:
-    """Per company: listed, kept in the US, undecided (column maybe), counts by category, and the first titles."""
-    by = df.groupBy("company", "role_category").agg(F.count("*").alias("n"), F.count_if("is_usa").alias("us"), F.count_if("maybe").alias("m"))
-    cats = by.groupBy("company").agg(F.sum("n").alias("listed"), F.sum("us").alias("us_keep"), F.sum("m").alias("maybe"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role_category", "n")))).alias("categories"))
-    first = df.select("company", "title").distinct().withColumn("_r", F.row_number().over(W.partitionBy("company").orderBy("title"))).where(F.col("_r") <= samples).groupBy("company").agg(F.array_sort(F.collect_list("title")).alias("samples"))
-    return cats.join(first, "company")
+    """Per company of df(company, title, role_category, is_usa, relevant, maybe): listed, keep (relevant), us_keep (of these in
+    the country), maybe (undecided and not relevant), counts of the kept ones by category, and their first titles."""
+    keep = F.coalesce("relevant", F.lit(False))
+    us, maybe = keep & F.coalesce("is_usa", F.lit(False)), ~keep & F.coalesce("maybe", F.lit(False))
+    by = df.groupBy("company", "role_category").agg(F.count("*").alias("n"), F.count_if(keep).alias("k"), F.count_if(us).alias("us"), F.count_if(maybe).alias("m"))
+    kept = F.filter(F.collect_list(F.struct("role_category", F.col("k").alias("n"))), lambda x: (x["n"] > 0) & x["role_category"].isNotNull())
+    cats = by.groupBy("company").agg(F.sum("n").alias("listed"), F.sum("k").alias("keep"), F.sum("us").alias("us_keep"), F.sum("m").alias("maybe"), F.map_from_entries(F.array_sort(kept)).alias("categories"))
+    first = df.where(keep).select("company", "title").distinct().withColumn("_r", F.row_number().over(W.partitionBy("company").orderBy("title"))).where(F.col("_r") <= samples)
+    first = first.groupBy("company").agg(F.array_sort(F.collect_list("title")).alias("samples"))
+    return cats.join(first, "company", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def run_totals(outcomes: DataFrame) -> DataFrame:

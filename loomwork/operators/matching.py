@@ -133,6 +133,32 @@ def weighted_matches(profiles: DataFrame, postings: DataFrame, tools: tuple[str,
     return every.unionByName(pairs.select(F.col("_c").alias("weight"), *out)).unionByName(_scores(bare, tools).select((-F.col("_c")).alias("weight"), *out))
 
 
+def totals(profiles: DataFrame, postings: DataFrame, measures: dict[str, Column], tools: tuple[str, ...] = (), scored: tuple[str, ...] = SCORED, broadcast_rows: int = 10_000) -> DataFrame:
+    """(profile_id, n, measures) over all pairs of a profile and a posting: n pairs, and the sum of each measure (a Column of scores).
+
+    All postings are summed once for each kind of profile as if nothing were shared; pairs that share a skill then count
+    with their own scores, against those. Nothing meets but what shares a skill.
+    """
+    like = postings.withColumn("skills", F.coalesce("skills", no_skills())).groupBy(*scored).agg(F.count("*").alias("_c"), F.min("id").alias("id"))
+    kinds = _kinds(profiles)
+    sums = [F.sum(F.col("_c") * m.cast("long")).cast("long").alias(k) for k, m in measures.items()]
+    base = _unshared(kinds.select("focus", "_new").distinct(), like, tools, broadcast_rows).groupBy(F.col("focus").alias("_focus"), F.col("_new").alias("_as_new")).agg(F.sum("_c").cast("long").alias("n"), *sums)
+    pairs = match(profiles, like, tools, broadcast_rows)
+    bare = _scores(pairs.select("id", *scored, "_c", "profile_id", "focus", "years").withColumns({"own": no_skills(), "projects": no_projects(), "matched": no_skills()}), tools)
+    less = [(-F.col("_c") * m.cast("long")).alias(k) for k, m in measures.items()]
+    more = [(F.col("_c") * m.cast("long")).alias(k) for k, m in measures.items()]
+    change = pairs.select("profile_id", *more).unionByName(bare.select("profile_id", *less)).groupBy("profile_id").agg(*[F.sum(k).alias(f"_{k}") for k in measures])
+    out = kinds.join(base, F.col("focus").eqNullSafe(F.col("_focus")) & (F.col("_new") == F.col("_as_new"))).join(change, "profile_id", "left")
+    return out.select("profile_id", "n", *[(F.col(k) + F.coalesce(f"_{k}", F.lit(0))).alias(k) for k in measures])
+
+
+def backed(projects: Column, signals: Column, matched: Column, most: int = 4) -> Column:
+    """(name, backs) of a profile's projects(name, skills, signals) that speak for a posting: its signals that they touch, then what they use of the first eight matched skills, six in all. The first `most` of them."""
+    first = F.slice(matched, 1, 8)
+    backs = lambda p: F.slice(F.array_union(F.array_intersect(signals, p["signals"]), F.array_intersect(first, p["skills"])), 1, 6)
+    return F.slice(F.filter(F.transform(projects, lambda p: F.struct(p["name"].alias("name"), backs(p).alias("backs"))), lambda b: F.size(b["backs"]) > 0), 1, most)
+
+
 def triage(missing: DataFrame, equivalences: DataFrame, strengths: DataFrame) -> DataFrame:
     """missing(profile_id, id, skill) -> tier: Safe to Add (a project shows it), Reword Only (an equal skill is known), Learn First (its area is known), Do Not Add.
 
@@ -149,6 +175,21 @@ def triage(missing: DataFrame, equivalences: DataFrame, strengths: DataFrame) ->
     return missing.join(judged, ["profile_id", "skill"]).select("profile_id", "id", "skill", "tier")
 
 
+def triage_all(profiles: DataFrame, postings: DataFrame, equivalences: DataFrame, strengths: DataFrame) -> DataFrame:
+    """(profile_id, skill, n, tier) of every skill that a profile lacks: in how many of all postings it is asked for, and its tier.
+
+    A skill that a profile lacks is lacking in each posting with it, so postings are counted by skill, and the few
+    skills meet the profiles by equi-joins alone: with each a list of what it lacks.
+    """
+    asked = postings.select("id", F.explode(F.array_distinct("skills")).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    # the vocabulary in pieces, each with a number that every profile takes in turn
+    parts = asked.groupBy(F.pmod(F.xxhash64("skill"), F.lit(64)).alias("_part")).agg(F.collect_list(F.struct("skill", "n")).alias("_asked"))
+    own = profiles.select("profile_id", F.coalesce("skills", no_skills()).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")).alias("_part"))
+    lacks = own.join(parts, "_part").select("profile_id", F.explode(F.filter("_asked", lambda a: ~F.array_contains("own", a["skill"]))).alias("a"))
+    missing = lacks.select("profile_id", F.col("a.n").alias("id"), F.col("a.skill").alias("skill"))
+    return triage(missing, equivalences, strengths).select("profile_id", "skill", F.col("id").alias("n"), "tier")
+
+
 def why(m: DataFrame) -> DataFrame:
     lines = F.array_compact(F.array(F.when(F.size("matched") > 0, F.concat(F.lit("Shares "), F.array_join(F.slice("matched", 1, 4), ", "))), F.when(F.size("backing") > 0, F.concat(F.lit("Backed by "), F.array_join(F.slice("backing", 1, 2), ", "))), F.when(F.col("domain_score") >= 85, F.lit("Close to your field")), F.when(F.col("level_fit") >= 75, F.lit("Fits your level"))))
     return m.withColumn("why", lines)

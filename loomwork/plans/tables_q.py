@@ -469,9 +469,9 @@ SAYS = "coalesce(body, '') || CASE WHEN id % 9 = 0 THEN ' (C++)' WHEN id % 9 = 1
 
 def searched(token, whole=True):
     """DuckDB: a token in some field of the lens."""
-    short = ("title", "company", "role_category", "CASE WHEN is_senior THEN 'Senior' WHEN is_entry THEN 'Entry Level' ELSE 'Mid' END", "state", "location", "platform", "array_to_string(skills[1:3], ' ')")
+    short = ("title", "'n' || CAST(id % 13 AS VARCHAR) || 'orm'", "company", "role_category", "CASE WHEN is_senior THEN 'Senior' WHEN is_entry THEN 'Entry Level' ELSE 'Mid' END", "state", "location", "platform", "array_to_string(skills[1:3], ' ')")
     hits = [f"contains(lower({c}), '{token}')" for c in short]
-    for c in (SAYS, "substr(coalesce(body, ''), 1, 300)"):
+    for c in (SAYS, "CASE WHEN id % 17 = 0 THEN 'whole posting: deep-term' ELSE '' END", "substr(coalesce(body, ''), 1, 300)"):
         hits.append(f"contains(' ' || regexp_replace(lower({c}), '[,.;:()/\\[\\]{{}}|\\n\\r\\t\"''*•·-]', ' ', 'g') || ' ', ' {token} ')" if whole else f"contains(lower({c}), '{token}')")
     return "(" + " OR ".join(hits) + ")"
 
@@ -479,7 +479,7 @@ def searched(token, whole=True):
 def filtered(name, f, where, mode="strict"):
     @query(name, duck(f"SELECT id FROM skilled WHERE {where}"))
     def run(spark, d):
-        df = with_skills(lens(spark, d)).withColumns({"status": F.when(F.col("id") % 6 == 5, "removed").otherwise("active"), "keywords": F.slice("skills", 1, 3), "snippet": F.substring(F.coalesce("body", F.lit("")), 1, 300), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
+        df = with_skills(lens(spark, d)).withColumns({"status": F.when(F.col("id") % 6 == 5, "removed").otherwise("active"), "keywords": F.slice("skills", 1, 3), "norm_title": F.concat(F.lit("n"), (F.col("id") % 13).cast("string"), F.lit("orm")), "full_text": F.when(F.col("id") % 17 == 0, "whole posting: deep-term"), "snippet": F.substring(F.coalesce("body", F.lit("")), 1, 300), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
         df = df.withColumns({"body": F.concat(F.coalesce("body", F.lit("")), F.when(F.col("id") % 9 == 0, " (C++)").when(F.col("id") % 9 == 1, " c++x").otherwise("")), "role_category": F.when(F.lit(f.hide_software) & (F.col("role_category") == "PROMO"), "Software / Compiler").otherwise(F.col("role_category"))})
         return df.where(filters.predicate(f, clock(), mode)).select("id")
 
@@ -506,6 +506,7 @@ for _name, _f, _where, *_mode in (
     ("e14_posted_within", Q(posted_within_hours=24 * 33, include_senior=True), f"coalesce(posted_date, first_seen) >= {CLOCK} - INTERVAL '33' DAY"),
     ("e15_keyword", Q(keyword="ring the"), f"{searched('ring')} AND {searched('the')}"),
     ("e15_keyword_signs", Q(keyword="c++"), searched("c++")),
+    ("e15_keyword_fields", Q(keyword="n5orm deep"), f"{searched('n5orm')} AND {searched('deep')}"),
     ("e15_keyword_contains", Q(keyword="rin"), searched("rin", False), "contains"),
     ("e16_skills", Q(skills=("the", "with"), include_senior=True), " AND ".join(f"(list_contains(skills[1:3], '{k}') OR contains(lower(substr(coalesce(body, ''), 1, 300)), '{k}'))" for k in ("the", "with"))),
     ("e17_view_best", Q(view="best", include_senior=True), "new_grad_fit >= 65"),
@@ -734,10 +735,16 @@ def g11(spark, d):
     return marts.sector_summary(marts.company_entries(s, tallies(spark, d), none))
 
 
-@query("g12_board_yield", duck("SELECT company, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(us) AS BIGINT) AS us_keep, CAST(sum(m) AS BIGINT) AS maybe, string_agg(role_category || '=' || n, ',' ORDER BY role_category) AS categories FROM (SELECT company, role_category, count(*) AS n, count(*) FILTER (is_usa) AS us, count(*) FILTER (NOT is_entry AND NOT is_senior) AS m FROM lens GROUP BY ALL) GROUP BY company"))
+@query("g12_board_yield", duck("""
+, b AS (SELECT company, title, role_category, is_usa, is_entry AS k, NOT is_entry AND NOT is_senior AS m FROM lens)
+SELECT company, CAST(sum(n) AS BIGINT) AS listed, CAST(sum(k) AS BIGINT) AS keep, CAST(sum(us) AS BIGINT) AS us_keep, CAST(sum(m) AS BIGINT) AS maybe, coalesce(string_agg(role_category || '=' || k, ',' ORDER BY role_category) FILTER (k > 0), '') AS categories,
+  coalesce(array_to_string(any_value(t)[1:6], '|'), '') AS samples
+FROM (SELECT company, role_category, count(*) AS n, count(*) FILTER (k) AS k, count(*) FILTER (k AND is_usa) AS us, count(*) FILTER (m) AS m FROM b GROUP BY ALL)
+LEFT JOIN (SELECT company, list_sort(list(DISTINCT title)) AS t FROM b WHERE k GROUP BY 1) s USING (company) GROUP BY company"""))
 def g12(spark, d):
-    m = marts.board_yield(lens(spark, d).withColumn("maybe", ~F.col("is_entry") & ~F.col("is_senior")))
-    return m.select("company", "listed", "us_keep", "maybe", F.array_join(F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("categories"))
+    m = marts.board_yield(lens(spark, d).withColumns({"relevant": F.col("is_entry"), "maybe": ~F.col("is_senior")}))
+    kept = F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return m.select("company", "listed", "keep", "us_keep", "maybe", F.array_join(kept, ",").alias("categories"), F.array_join("samples", "|").alias("samples"))
 
 
 @query("g13_run_totals", "SELECT CAST(ts AS DATE) AS run, count(DISTINCT user_id) AS companies, count(*) AS found, count(*) FILTER (event_type = 'signup') AS new, count(*) FILTER (event_type = 'purchase') AS removed, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
@@ -787,9 +794,12 @@ def best(spark, d):
     return matching.top_matches(profiles(spark, d), with_skills(lens(spark, d)), tools=TOOLS)
 
 
-@query("h01_h08_match", duck(H_SQL + "SELECT profile_id, count(*) AS n, CAST(sum(sk) AS BIGINT) AS skills_score, CAST(sum(pj) AS BIGINT) AS project_score, CAST(sum(dm) AS BIGINT) AS domain_score, CAST(sum(tl) AS BIGINT) AS tool_score, CAST(sum(resume_match) AS BIGINT) AS resume_match, CAST(sum(priority_x100) AS BIGINT) AS priority, count(*) FILTER (priority_x100 >= 7200) AS high, count(*) FILTER (priority_x100 BETWEEN 5200 AND 7199) AS medium, CAST(sum(defensibility) AS BIGINT) AS defensibility FROM r GROUP BY 1"))
+@query("h01_h08_match", duck(ALL_SQL + "SELECT profile_id, count(*) AS n, CAST(sum(sk) AS BIGINT) AS skills_score, CAST(sum(pj) AS BIGINT) AS project_score, CAST(sum(dm) AS BIGINT) AS domain_score, CAST(sum(tl) AS BIGINT) AS tool_score, CAST(sum(resume_match) AS BIGINT) AS resume_match, CAST(sum(priority_x100) AS BIGINT) AS priority, count(*) FILTER (priority_x100 >= 7200) AS high, count(*) FILTER (priority_x100 BETWEEN 5200 AND 7199) AS medium, CAST(sum(defensibility) AS BIGINT) AS defensibility FROM r GROUP BY 1"))
 def h01(spark, d):
-    return matched(spark, d).groupBy("profile_id").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in ("skills_score", "project_score", "domain_score", "tool_score", "resume_match")], F.sum("priority_x100").cast("long").alias("priority"), F.count_if(F.col("apply_priority") == "High").alias("high"), F.count_if(F.col("apply_priority") == "Medium").alias("medium"), F.sum("defensibility").cast("long").alias("defensibility"))
+    """All postings for every profile."""
+    high = {"high": F.col("apply_priority") == "High", "medium": F.col("apply_priority") == "Medium"}
+    measures = {c: F.col(c) for c in ("skills_score", "project_score", "domain_score", "tool_score", "resume_match")} | {"priority": F.col("priority_x100")} | {k: v.cast("int") for k, v in high.items()} | {"defensibility": F.col("defensibility")}
+    return matching.totals(profiles(spark, d), with_skills(lens(spark, d)).drop("body"), measures, tools=TOOLS)
 
 
 TOP_SQL = ALL_SQL + ", b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY resume_match DESC, priority_x100 DESC, id) AS place FROM r) WHERE place <= 5)"
@@ -883,9 +893,26 @@ def i05(spark, d):
 # J: audits
 
 
-@query("j01_audit_filters", duck(f"SELECT c AS \"check\", n, v AS violations, v = 0 AS ok FROM (SELECT 'entry is not senior' AS c, count(*) FILTER (is_entry) AS n, count(*) FILTER (is_entry AND is_senior) AS v FROM lens UNION ALL SELECT 'day within week', count(*) FILTER (first_seen >= {CLOCK} - INTERVAL '1' DAY), 0 FROM lens UNION ALL SELECT 'best fits', count(*) FILTER (new_grad_fit >= 65), 0 FROM lens UNION ALL SELECT 'score in range', count(*), count(*) FILTER (NOT match_score BETWEEN 0 AND 100) FROM lens UNION ALL SELECT 'usa has state', count(*) FILTER (is_usa), count(*) FILTER (is_usa AND state <> 'AMERICA') FROM lens UNION ALL SELECT 'posted before seen', count(posted_date), count(*) FILTER (posted_date > first_seen) FROM lens)"))
+J01_CHECKS = [(f"level {x}", "lvl = '%s'" % x, "false") for x in audits.LEVELS] + [
+    ("no senior by default", "NOT is_senior", "false"), ("country", "is_usa", "false"), ("country or unknown place", "is_usa OR id % 5 = 0", "false"),
+    *[(f"posted within {h}", f"eff >= {CLOCK} - INTERVAL '{h}' HOUR", "false") for h in (24, 168, 720, 2160)], ("least fit 75", "new_grad_fit >= 75", "false"), ("remote", "platform LIKE '%src1%'", "false"),
+    ("state", "state = 'ASIA'", "false"), ("category", "role_category = 'LARGE'", "false"), ("company", "company = 'Supplier#000000001'", "false"), ("keyword", "contains(lower(title), 'ring') OR regexp_matches(lower(coalesce(body, '')), '(^|[ ,.;:()/\\[\\]{}|\\n\\r\\t\"''*•·-])ring($|[ ,.;:()/\\[\\]{}|\\n\\r\\t\"''*•·-])')", "false"),
+    *[(f"posted within {a} in posted within {b}", f"eff >= {CLOCK} - INTERVAL '{a}' HOUR", "false") for a, b in ((24, 168), (168, 720), (720, 2160))],
+    ("new grads are no entry level", "lvl IN ('New Grad', 'Entry Level')", "false"), ("seniors if wanted", "is_senior", "false"),
+]
+J01_SQL = ", p AS (SELECT *, CASE WHEN is_senior THEN 'Senior' WHEN is_entry AND id % 2 = 0 THEN 'New Grad' WHEN is_entry THEN 'Entry Level' ELSE 'Mid-Level' END AS lvl, coalesce(posted_date, first_seen) AS eff FROM lens) " + " UNION ALL ".join(
+    f"SELECT '{k}' AS \"check\", count(*) FILTER ({n}) AS n, count(*) FILTER ({v}) AS violations, true AS ok FROM p" for k, n, v in J01_CHECKS)
+
+
+def audited(spark, d):
+    level = F.when(F.col("is_senior"), "Senior").when(F.col("is_entry") & (F.col("id") % 2 == 0), "New Grad").when(F.col("is_entry"), "Entry Level").otherwise("Mid-Level")
+    return lens(spark, d).withColumns({"experience_level": level, "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "remote_status": F.col("platform"), "norm_title": F.lower("title"), "keywords": F.expr("cast(array() as array<string>)"), "snippet": F.lit(""), "full_text": F.lit("")})
+
+
+@query("j01_audit_filters", duck(J01_SQL))
 def j01(spark, d):
-    return audits.audit_filters(lens(spark, d), clock())
+    """The searches are run, and their rows looked at by conditions of the audit's own."""
+    return audits.audit_filters(audited(spark, d), clock(), state="asia", role="large", company="Supplier#000000001", remote="src1", word="ring")
 
 
 @query("j02_audit_stale", duck("SELECT 'match_score' AS \"column\", count(*) FILTER (id % 4 = 0 AND match_score <> 0) AS mismatches FROM lens UNION ALL SELECT 'is_entry', 0 FROM lens GROUP BY 1"))
@@ -894,9 +921,9 @@ def j02(spark, d):
     return audits.audit_stale(df.withColumn("match_score", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("match_score"))), df, "id", ["match_score", "is_entry"])
 
 
-@query("j03_diagnose", duck("SELECT count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (posted_date IS NULL) AS undated, count(*) FILTER (is_senior AND new_grad_fit >= 60) AS senior_leaks, count(*) FILTER (new_grad_fit < 60) AS low_fit FROM lens"))
+@query("j03_diagnose", duck("SELECT count(*) AS total, count(*) FILTER (is_usa) AS usa, count(*) FILTER (posted_date IS NULL) AS undated, count(*) FILTER (is_senior AND new_grad_fit >= 60) AS senior_leaks, count(*) FILTER (new_grad_fit < 60) AS low_fit, count(*) FILTER (id % 5 < 2) AS unplaced, count(*) FILTER (is_senior) AS senior, count(*) FILTER (role_category = 'PROMO') AS software FROM lens"))
 def j03(spark, d):
-    return audits.diagnose(lens(spark, d))
+    return audits.diagnose(lens(spark, d).withColumns({"confidence": F.when(F.col("id") % 5 == 0, 0.0).when(F.col("id") % 5 > 1, 0.9), "is_software": F.col("role_category") == "PROMO"}))
 
 
 J04_SQL = """
