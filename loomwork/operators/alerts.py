@@ -9,41 +9,103 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def watchlist_hits(watchlists: DataFrame, postings: DataFrame, most: int = 5_000) -> DataFrame:
+EQUAL = ("role_category", "state", "priority", "level")
+#: Searched texts, and the columns of postings that they are searched in.
+HELD = {"company": ("company",), "remote": ("remote_status",), "keyword": ("title", "company", "role_category")}
+LEVELS = 31  # of a score's intervals: whole numbers below 2 ** 31
+
+
+def _code(kind: str, value: Column | str) -> Column:
+    return F.xxhash64(F.lit(kind), value if isinstance(value, Column) else F.lit(value))
+
+
+def _interval(level: Column, at: Column) -> Column:
+    """Scores from at * 2 ** level up to the next one of that level."""
+    return F.xxhash64(F.lit("score"), level.cast("int"), at.cast("long"))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+
+
+def _coded(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: _code(kind, v))
+
+
+def _held_text(fields: tuple[str, ...]) -> Column:
+    return F.array_join(F.transform(F.array(*[F.col(f) for f in fields]), lambda x: F.lower(F.coalesce(x, F.lit("")))), "\x1f")
+
+
+def posting_atoms(postings: DataFrame, columns: list[str]) -> Column:
+    """What a posting satisfies of what a search can ask for, each as a hash: nothing at all, its values, its true flags, the intervals that its score lies in, and the runs of up to three characters in what is searched."""
+    out = [F.array(_code("all", ""))]
+    out += [F.array(F.when(F.col(c).isNotNull(), _code(c, F.col(c)))) for c in EQUAL if c in columns]
+    flags = [c for c, kind in postings.dtypes if kind == "boolean"]
+    out.append(F.array(*[F.when(F.col(c), _code("flag", c)) for c in flags], F.when(~F.col("is_senior"), _code("junior", "")) if "is_senior" in flags else F.lit(None).cast("long")))
+    score = F.col("new_grad_fit").cast("long")
+    out.append(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.when(score >= 0, _interval(i, F.floor(score / F.pow(F.lit(2), i))))))
+    for kind, fields in HELD.items():
+        if kind in columns:
+            out += [_coded(kind, _grams(_held_text(fields), n)) for n in (1, 2, 3)]
+    return F.array_compact(F.array_distinct(F.concat(*out)))
+
+
+def search_atoms(watchlists: DataFrame) -> Column:
+    """What a search asks for, as an array of alternatives: each an array of hashes of which a posting that it finds has just one."""
+    one = lambda ok, code: F.when(ok, F.array(code))
+    out = [F.array(_code("all", ""))]
+    out += [one(F.col(c).isNotNull(), _code(c, F.col(c))) for c in EQUAL if c in watchlists.columns]
+    out.append(one(F.coalesce("usa_only", F.lit(False)), _code("flag", "is_usa")))
+    if "include_senior" in watchlists.columns:
+        out.append(one(~F.coalesce("include_senior", F.lit(True)), _code("junior", "")))
+    # scores from the least one up: the right siblings on the way from it to the top, and itself
+    least = F.col("min_score").cast("long")
+    up = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 2)), lambda i: F.struct(i.alias("i"), F.floor(least / F.pow(F.lit(2), i)).alias("at")))
+    right = F.transform(F.filter(up, lambda x: F.pmod(x["at"], F.lit(2)) == 0), lambda x: _interval(x["i"], x["at"] + 1))
+    out.append(F.when(least > 0, F.concat(F.array(_interval(F.lit(0), least)), right)))
+    for kind in HELD:
+        if kind in watchlists.columns:
+            text = F.lower(kind)
+            out.append(one(F.length(text) > 0, _code(kind, F.left(text, F.lit(3)))))
+            out.append(one(F.length(text) > 3, _code(kind, F.right(text, F.lit(3)))))
+    return F.array_compact(F.array(*out))
+
+
+def watchlist_hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
     """watchlists(watch_id, role_category, state, priority, min_score, usa_only, since) x postings; null filters match all.
 
     Further filters where watchlists has them: level (equal), company, remote, keyword (each held in any case; a keyword by
     title, company or category), include_senior (false hides senior postings) and role_flags (names of boolean columns of
     postings that have to be true; other names are ignored).
 
-    A theta join with the searches on the broadcast side, in blocks of about `most` searches, so a broadcast is bounded.
+    A predicate index: searches are cut into conditions that postings either have or not. Of each search the one that
+    fewest postings have is its way in: postings meet it there, in an equi-join, and the rest is looked at on the rows
+    that come. A search that asks for nothing is met by all, as its result is.
     """
-    blocks = -(-watchlists.count() // most)
-    if blocks > 1:
-        parts = [watchlists.where(F.pmod(F.xxhash64("watch_id"), F.lit(blocks)) == k) for k in range(blocks)]
-        return reduce(DataFrame.unionByName, [_hits(x, postings) for x in parts])
-    return _hits(watchlists, postings)
-
-
-def _hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
-    w, p = F.broadcast(watchlists).alias("w"), postings.alias("p")
-    ok = F.lit(True)
-    for c in ("role_category", "state", "priority"):
-        ok = ok & (F.col(f"w.{c}").isNull() | (F.col(f"w.{c}") == F.col(f"p.{c}")))
-    held = {"company": ("company",), "remote": ("remote_status",), "keyword": ("title", "company", "role_category")}
-    for c, fields in held.items():
+    asked = watchlists.withColumn("_groups", search_atoms(watchlists))
+    had = postings.select("*", F.explode(posting_atoms(postings, watchlists.columns)).alias("_atom"))
+    ways = asked.select("watch_id", F.posexplode("_groups").alias("_g", "_atoms")).select("watch_id", "_g", F.explode("_atoms").alias("_atom"))
+    common = had.select("_atom").join(ways.select("_atom").distinct(), "_atom", "left_semi").groupBy("_atom").agg(F.count("*").alias("_n"))
+    cost = ways.join(common, "_atom", "left").groupBy("watch_id", "_g").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    best = cost.groupBy("watch_id").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    access = ways.join(best, ["watch_id", "_g"]).join(watchlists, "watch_id").drop("_g")
+    w, p = access.alias("w"), had.alias("p")
+    ok = F.col("w._atom") == F.col("p._atom")
+    for c in EQUAL:
+        if c in watchlists.columns:
+            ok = ok & (F.col(f"w.{c}").isNull() | (F.col(f"w.{c}") == F.col(f"p.{c}")))
+    for c, fields in HELD.items():
         if c in watchlists.columns:
             hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(f"p.{f}"), F.lit(""))), F.lower(f"w.{c}")) for f in fields])
             ok = ok & (F.col(f"w.{c}").isNull() | hit)
-    if "level" in watchlists.columns:
-        ok = ok & (F.col("w.level").isNull() | F.col("w.level").eqNullSafe(F.col("p.level")))
     if "include_senior" in watchlists.columns:
         ok = ok & (F.coalesce("w.include_senior", F.lit(True)) | ~F.col("p.is_senior"))
     if "role_flags" in watchlists.columns:
-        asked = F.coalesce("w.role_flags", F.array().cast("array<string>"))
+        wanted = F.coalesce("w.role_flags", F.array().cast("array<string>"))
         for c, kind in postings.dtypes:
             if kind == "boolean":
-                ok = ok & (~F.array_contains(asked, c) | F.coalesce(F.col(f"p.{c}"), F.lit(False)))
+                ok = ok & (~F.array_contains(wanted, c) | F.coalesce(F.col(f"p.{c}"), F.lit(False)))
     ok = ok & (F.col("p.new_grad_fit") >= F.coalesce("w.min_score", F.lit(0))) & (~F.coalesce("w.usa_only", F.lit(False)) | F.col("p.is_usa"))
     return p.join(w, ok).select("w.watch_id", "p.id", "p.title", "p.company", "p.first_seen", (F.col("p.first_seen") >= F.col("w.since")).alias("is_new"))
 

@@ -126,3 +126,30 @@ def test_totals_are_those_of_all_pairs(spark):
     full = matching._owners(p).crossJoin(q.withColumn("skills", F.coalesce("skills", matching.no_skills()))).withColumn("matched", F.array_intersect("skills", "own"))
     want = {r.profile_id: (r.n, r.m, r.d) for r in matching._scores(full, ("a", "b")).groupBy("profile_id").agg(F.count("*").alias("n"), F.sum("resume_match").alias("m"), F.sum("defensibility").alias("d")).collect()}
     assert got == want and matching.totals(p.limit(0), q, measures).count() == 0
+
+
+def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
+    from loomwork.operators import alerts
+
+    rng = random.Random(8)
+    pick = lambda *xs: rng.choice(xs)
+    at = dt.datetime(2024, 1, 1)
+    posts = [(i, pick("Grid Engineer", "Relay engineer", None, "ab"), pick("Acme", "Beta Co", None), pick("Power", "RF", None), pick("CA", "NY"), pick("S", "B"), pick("Senior", None), pick("Remote", "Onsite"), rng.randint(0, 100), rng.random() < 0.5, rng.random() < 0.3, at + dt.timedelta(days=i % 5)) for i in range(60)]
+    df = spark.createDataFrame(posts, "id int, title string, company string, role_category string, state string, priority string, level string, remote_status string, new_grad_fit int, is_usa boolean, is_senior boolean, first_seen timestamp")
+    few = [(i, pick("Power", None), pick("CA", None), pick("S", None), pick(None, 0, 1, 40, 64, 99, 200), pick(True, False, None), at + dt.timedelta(days=2), pick("Senior", None, None), pick("acme", "", None), pick("remote", "x", None, None), pick("grid", "E", "la", "power", None, "GRID ENGINEER"), pick(False, True, None), pick(["is_usa"], ["other"], None)) for i in range(400)]
+    schema = "watch_id int, role_category string, state string, priority string, min_score int, usa_only boolean, since timestamp, level string, company string, remote string, keyword string, include_senior boolean, role_flags array<string>"
+
+    def finds(w, p):
+        _, cat, state, tier, least, usa, _, level, company, remote, word, senior, flags = w
+        low = lambda x: (x or "").lower()
+        return ((cat is None or cat == p[3]) and (state is None or state == p[4]) and (tier is None or tier == p[5]) and p[8] >= (least or 0) and (not usa or p[9]) and (level is None or level == p[6]) and (company is None or company.lower() in low(p[2]))
+            and (remote is None or remote.lower() in low(p[7])) and (word is None or any(word.lower() in low(x) for x in (p[1], p[2], p[3]))) and (senior is not False or not p[10]) and (not flags or "is_usa" not in flags or p[9]))
+
+    got = {r.watch_id: (r.total, r.new) for r in alerts.watchlist_counts(spark.createDataFrame(few, schema), df).collect()}
+    assert got == {w[0]: (sum(finds(w, p) for p in posts), sum(finds(w, p) and p[11] >= w[6] for p in posts)) for w in few}
+    many = spark.range(100_000).selectExpr("cast(id as int) as watch_id", "if(id % 3 = 0, 'Power', null) as role_category", "'CA' as state", "cast(null as string) as priority", "cast(id % 101 as int) as min_score", "id % 2 = 0 as usa_only", "timestamp'2024-01-03' as since")
+    hits = alerts.watchlist_hits(many, df)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = sum(1 for i in range(100_000) for p in posts if p[4] == "CA" and (i % 3 or p[3] == "Power") and p[8] >= i % 101 and (i % 2 or p[9]))
+    assert hits.count() == want
