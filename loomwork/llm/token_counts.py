@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 PRE_TOKEN = re.compile(" [^ ]+")
 ODD = re.compile(" +[^ ]*")
 _models: dict[str, object] = {}
+_counts: dict[str, Counts] = {}
 
 
 def model(path: str):
@@ -59,6 +60,13 @@ class Counts(dict):
         return sum(map(self.__getitem__, words))
 
 
+def worker_counts(path: str, frequent: dict[str, int]) -> Counts:
+    """The counts of this worker process, which its tasks share; another table of frequent pre-tokens begins anew."""
+    if path not in _counts or _counts[path].frequent != frequent:
+        _counts[path] = Counts(path, frequent)
+    return _counts[path]
+
+
 def frequent_pre_tokens(texts: DataFrame, path: str, most: int, sample_rows: int, sample_bytes: int) -> dict[str, int]:
     """Token counts of up to `most` frequent pre-tokens of the first `sample_rows` rows of at most `sample_bytes` of text each.
 
@@ -82,7 +90,7 @@ def token_counts(docs: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
     table = d.sparkSession.sparkContext.broadcast(frequent_pre_tokens(d, model_path, frequent, sample_rows, sample_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(model_path, table.value)
+        counts = worker_counts(model_path, table.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([counts.of(t) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
