@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.classify import once
+
 
 EQUAL = ("role_category", "state", "priority", "level")
 #: Searched texts, and the columns of postings that they are searched in.
@@ -26,7 +28,8 @@ def _interval(level: Column, at: Column) -> Column:
 
 def _grams(text: Column, n: int) -> Column:
     """Distinct runs of n characters."""
-    return F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+    run = lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(once(text, run))
 
 
 def _coded(kind: str, values: Column) -> Column:

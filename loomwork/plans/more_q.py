@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import places as P
 from ..functions import skills as S
-from ..operators import filters, lifecycle, marts, matching
+from ..operators import filters, lifecycle, marts, matching, search_index
 from ..sources import corpus
 from ..streaming import ingest
 from .lens import SKILLS, duck, lens, read, with_skills
 from .posed import expected, pick
 from .registry import query
+from .tables_q import searched
 
 CITIZEN, CLEARED, PERSON, EXPORT, STATE, VISA = (k for _, k, _ in C.RISKS)
 #: What a posting says, and the tier and terms that it then has.
@@ -97,6 +98,25 @@ def g09_client(spark, d):
     return out.where("engines > 0")
 
 
+def indexed(spark, d, keyword="", skills=()):
+    from .tables_q import searchable
+
+    home = corpus.scratch(spark)
+    search_index.build(searchable(spark, d), home)
+    return search_index.search(spark, home, keyword, skills)
+
+
+@query("e15_indexed", duck(f"SELECT id FROM skilled WHERE {searched('ring')} AND {searched('the')} AND {searched('n5orm')}"))
+def e15_indexed(spark, d):
+    """By the inverted index: words of the long fields, substrings of the short ones."""
+    return indexed(spark, d, "ring the N5orm")
+
+
+@query("e16_indexed", duck("SELECT id FROM skilled WHERE " + " AND ".join(f"(contains(array_to_string(skills[1:3], ', '), '{k}') OR contains(lower(substr(coalesce(body, ''), 1, 300)), '{k}'))" for k in ("the", "with"))))
+def e16_indexed(spark, d):
+    return indexed(spark, d, skills=("The", "with"))
+
+
 AREAS = {"first area": ("the", "der"), "second area": ("les", "con")}
 
 

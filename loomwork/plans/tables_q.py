@@ -476,11 +476,17 @@ def searched(token, whole=True):
     return "(" + " OR ".join(hits) + ")"
 
 
+def searchable(spark, d):
+    """The lens with all that searches look at."""
+    df = with_skills(lens(spark, d)).withColumns({"status": F.when(F.col("id") % 6 == 5, "removed").otherwise("active"), "keywords": F.slice("skills", 1, 3), "norm_title": F.concat(F.lit("n"), (F.col("id") % 13).cast("string"), F.lit("orm")), "full_text": F.when(F.col("id") % 17 == 0, "whole posting: deep-term"), "snippet": F.substring(F.coalesce("body", F.lit("")), 1, 300), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
+    return df.withColumn("body", F.concat(F.coalesce("body", F.lit("")), F.when(F.col("id") % 9 == 0, " (C++)").when(F.col("id") % 9 == 1, " c++x").otherwise("")))
+
+
 def filtered(name, f, where, mode="strict"):
     @query(name, duck(f"SELECT id FROM skilled WHERE {where}"))
     def run(spark, d):
-        df = with_skills(lens(spark, d)).withColumns({"status": F.when(F.col("id") % 6 == 5, "removed").otherwise("active"), "keywords": F.slice("skills", 1, 3), "norm_title": F.concat(F.lit("n"), (F.col("id") % 13).cast("string"), F.lit("orm")), "full_text": F.when(F.col("id") % 17 == 0, "whole posting: deep-term"), "snippet": F.substring(F.coalesce("body", F.lit("")), 1, 300), "confidence": F.when(F.col("id") % 5 == 0, 0.0).otherwise(0.9), "experience_level": F.when(F.col("is_senior"), "Senior").when(F.col("is_entry"), "Entry Level").otherwise("Mid"), "remote_status": F.col("platform"), "role_flags": F.create_map(F.lower("role_category"), F.lit(True)), "sponsors_h1b": F.when(F.col("id") % 3 < 2, F.col("id") % 3 == 0)})
-        df = df.withColumns({"body": F.concat(F.coalesce("body", F.lit("")), F.when(F.col("id") % 9 == 0, " (C++)").when(F.col("id") % 9 == 1, " c++x").otherwise("")), "role_category": F.when(F.lit(f.hide_software) & (F.col("role_category") == "PROMO"), "Software / Compiler").otherwise(F.col("role_category"))})
+        df = searchable(spark, d)
+        df = df.withColumn("role_category", F.when(F.lit(f.hide_software) & (F.col("role_category") == "PROMO"), "Software / Compiler").otherwise(F.col("role_category")))
         return df.where(filters.predicate(f, clock(), mode)).select("id")
 
 

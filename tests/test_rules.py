@@ -153,3 +153,24 @@ def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = sum(1 for i in range(100_000) for p in posts if p[4] == "CA" and (i % 3 or p[3] == "Power") and p[8] >= i % 101 and (i % 2 or p[9]))
     assert hits.count() == want
+
+
+def test_the_inverted_index_finds_what_the_scan_finds(spark, tmp_path):
+    from loomwork.operators import search_index
+
+    rng = random.Random(12)
+    words = ["Grid", "C++", "power-flow", "relay,", "intel", "intelligence", "(UVM)", "AXI/AHB", "é", "a"]
+    say = lambda n: " ".join(rng.choices(words, k=n)) or None
+    rows = [(i if i else None, say(2), None, say(1), rng.sample(words, 2) if i % 3 else None, "Power", None, "CA", "Erie", "lever", say(rng.randint(0, 6)), say(3), say(2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, title string, norm_title string, company string, keywords array<string>, role_category string, experience_level string, state string, location string, platform string, body string, full_text string, snippet string").withColumn("is_senior", F.lit(False))
+    path = f"file://{tmp_path}"
+    search_index.build(df, path)
+    at = F.expr("TIMESTAMP '2024-01-01'")
+    for keyword, skills_ in (("grid", ()), ("INTEL", ()), ("c++ uvm", ()), ("power flow", ()), ("power-flow", ()), ("ahb a", ()), ("é", ()), ("telli", ()), ("grid nowhere", ()), ("", ("relay", "C++")), ("intel", ("intelligence",)), ("er", ("el",))):
+        f = filters.Filters(keyword=keyword or None, skills=skills_, include_senior=True)
+        want = sorted((r.id or -1) for r in df.where(filters.predicate(f, at)).select("id").collect())
+        assert sorted((r.id or -1) for r in search_index.search(spark, path, keyword, skills_).collect()) == want, (keyword, skills_)
+    plan = search_index.search(spark, path, "grid")._jdf.queryExecution().toString()
+    assert plan.count("PartitionFilters: [isnotnull(kind") >= 2 and "kind#" in plan and "In(term" in plan or "EqualTo(term" in plan
+    assert search_index.search(spark, path) is None
+    search_index.build(df.limit(0), f"{path}/none")
