@@ -64,10 +64,27 @@ def normalise(raw: DataFrame, platform: str, as_of: Column | None = None) -> Dat
 
 
 def normalise_payloads(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """All platforms, each by a static filter; unknown ones as generic."""
-    known = [k for k in SPECS if k != "generic"]
-    parts = [normalise(raw.where(F.col("platform") == k), k, as_of) for k in known] + [normalise(raw.where(~F.coalesce(F.col("platform").isin(*known), F.lit(False))), "generic")]
-    return reduce(DataFrame.unionByName, parts)
+    """Payloads of all platforms in one scan, each read by the specification of its own; unknown ones as generic.
+
+    Platforms whose ids come again are read once more, by themselves, as their rows have to meet.
+    """
+    fields = ("job_id", "job_title", "location", "apply_url", "posted_date", "age", "body")
+
+    def items(k: str) -> Column:
+        s = SPECS[k]
+        values = ", ".join(f"'{f}', cast({getattr(s, f) or 'null'} as {'timestamp' if f == 'posted_date' else 'string'})" for f in fields)
+        return F.expr(f"transform(filter(from_json(body, '{s.schema}').{s.path}, j -> coalesce({s.where}, false)), j -> named_struct({values}))")
+
+    plain = [k for k, s in SPECS.items() if not s.once and k != "generic"]
+    once = [k for k, s in SPECS.items() if s.once]
+    of = F.col("platform")
+    read = F.when(of.isin(*once), F.lit(None))
+    for k in plain:
+        read = read.when(of == k, items(k))
+    rows = raw.select("company", "platform", F.explode(read.otherwise(items("generic"))).alias("j"))
+    posted = F.col("j.posted_date") if as_of is None else F.when(F.col("j.age").isNull(), F.col("j.posted_date")).otherwise(relative_date(F.col("j.age"), as_of))
+    out = rows.select("company", "platform", "j.job_id", "j.job_title", "j.location", "j.apply_url", posted.alias("posted_date"), strip_tags(F.col("j.body")).alias("body"))
+    return reduce(DataFrame.unionByName, [normalise(raw.where(of == k), k, as_of) for k in once], out)
 
 
 SECTIONS = ("jobDescription", "qualifications", "additionalInformation")
