@@ -174,3 +174,18 @@ def test_the_inverted_index_finds_what_the_scan_finds(spark, tmp_path):
     assert plan.count("PartitionFilters: [isnotnull(kind") >= 2 and "kind#" in plan and "In(term" in plan or "EqualTo(term" in plan
     assert search_index.search(spark, path) is None
     search_index.build(df.limit(0), f"{path}/none")
+
+
+def test_character_references_decode_as_the_standard_says(spark):
+    import html
+    from html.entities import html5
+
+    from loomwork.functions.entities import unescape
+
+    rng = random.Random(3)
+    texts = [f"a&{k}b" for k in html5] + [f"&{k}" for k in html5] + [f"&#{n};x&#x{n:x}y&#X{n:X};" for n in (*range(0, 180), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF, 0x110000, 10**9, 10**30)]
+    texts += ["", "&", "&&amp;&", "&;", "&#;", "&#x;", "&#xg", "&amp;lt;", "&notit;", "&notin;", "&copyright &ampere; & amp;", "&" + "x" * 40 + ";", "&é;", "&#00000000000065;", None]
+    texts += ["".join(rng.choices(["&", "amp", ";", "#", "x", "41", "lt", " ", "not", "in", "é", "<"], k=rng.randint(1, 12))) for _ in range(400)]
+    got = values(spark, texts, unescape(F.col("text")))
+    wrong = [(t, g) for t, g in zip(texts, got, strict=True) if g != (None if t is None else html.unescape(t))]
+    assert not wrong, wrong[:10]
