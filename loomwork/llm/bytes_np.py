@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow as pa
 #: Fixed values of the hashes; any change alters every stored fingerprint.
 POLY = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -26,6 +27,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives the memory it held back to the system when it ends, so workers that wait hold little."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit over all output bits."""
     h = h ^ (h >> np.uint64(30))

@@ -171,7 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             found = _columns(index.rows(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *found, *[b.column(names.index(c)) for c in more]], ["doc_id", *[f.name for f in FOUND], *more])
 
-    return d.mapInArrow(mark, T.StructType([d.schema["doc_id"], *FOUND, *[d.schema[c] for c in more]]))
+    return d.mapInArrow(B.tidy(mark), T.StructType([d.schema["doc_id"], *FOUND, *[d.schema[c] for c in more]]))
 
 
 def _columns(rows: Iterator[tuple]) -> list[pa.Array]:

@@ -276,4 +276,4 @@ def identify(docs: DataFrame, net: Network | None, *, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(np.where(letters, top, 0.0)), *([b.column(3)] if "text" in keep else []), *b.columns[4:]], ["doc_id", "held_out", "lang_pred", "score", *(["text"] if "text" in keep else []), *[f"_{c}" for c in names]])
 
     kinds = [f"doc_id {d.schema['doc_id'].dataType.simpleString()}", "held_out boolean", "lang_pred string", "score double", *(["text string"] if "text" in keep else []), *[f"`_{c}` {d.schema[f'_{c}'].dataType.simpleString()}" for c in names]]
-    return d.mapInArrow(score, ", ".join(kinds))
+    return d.mapInArrow(B.tidy(score), ", ".join(kinds))

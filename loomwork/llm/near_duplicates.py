@@ -248,7 +248,7 @@ def _classes(docs: DataFrame, folder: str, *, n: int = 5, threshold: float = 0.8
     """(key, class_key, n_links) of docs(key, text); a class goes by its least key."""
     d = docs.select(F.col("key").alias("doc_id"), "text")
     least = least_matches(threshold, tolerance)
-    signed = stored(d.mapInArrow(lambda it: _sign(it, n), "doc_id long, set_key binary, sig binary"), folder, "signed")
+    signed = stored(d.mapInArrow(B.tidy(lambda it: _sign(it, n)), "doc_id long, set_key binary, sig binary"), folder, "signed")
     # equal sets: one representative with its number of copies
     sets = stored(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), folder, "sets")
     reps = stored(signed.withColumnRenamed("doc_id", "rep").join(sets.select("rep", "copies"), "rep").select("rep", "copies", "sig"), folder, "reps")
@@ -258,16 +258,16 @@ def _classes(docs: DataFrame, folder: str, *, n: int = 5, threshold: float = 0.8
     members = bucket.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("s2")).where("size > 1")
     chosen = stored(members.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), folder, "buckets")
     met = bucket.join(chosen, "bucket").join(reps.select("rep", "sig"), "rep")
-    pruned = _blocks(met, "bucket", BLOCK_BUCKET).select("bucket", "rep", "sig", "blk", "lo", "hi").mapInArrow(lambda it: _prune(it, least), "a long, b long")
+    pruned = _blocks(met, "bucket", BLOCK_BUCKET).select("bucket", "rep", "sig", "blk", "lo", "hi").mapInArrow(B.tidy(lambda it: _prune(it, least)), "a long, b long")
     found = stored(connected_components(pruned, folder), folder, "candidates")
     # exact comparison within the components
     size = found.groupBy("component").agg(F.count("*").alias("size"))
     ids = found.select(F.col("node").alias("doc_id"), "component")
     ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     texts = d.join(ids, "doc_id").withColumnRenamed("doc_id", "rep").join(reps, "rep")
-    full = texts.select("component", "rep", "copies", "sig", "text").mapInArrow(lambda it: _reshingle(it, n), "component long, rep long, copies long, sig binary, shingles binary").join(size, "component")
+    full = texts.select("component", "rep", "copies", "sig", "text").mapInArrow(B.tidy(lambda it: _reshingle(it, n)), "component long, rep long, copies long, sig binary, shingles binary").join(size, "component")
     columns = ["component", "rep", "copies", "sig", "shingles", "blk", "lo", "hi"]
-    links = stored(_blocks(full, "component", BLOCK_VERIFY).select(columns).mapInArrow(lambda it: _verify(it, threshold, least), "rep long, links long, root long"), folder, "links")
+    links = stored(_blocks(full, "component", BLOCK_VERIFY).select(columns).mapInArrow(B.tidy(lambda it: _verify(it, threshold, least)), "rep long, links long, root long"), folder, "links")
     final = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), folder)
     per_rep = links.groupBy("rep").agg(F.sum("links").alias("links")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     per_set = sets.join(per_rep, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -262,7 +262,7 @@ def _word_counts(docs: DataFrame, most_langs: int = MOST_LANGS) -> tuple[list[st
         for lang in list(found):
             yield out(lang)
 
-    got = docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("lang", "text").mapInArrow(B.tidy(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(got["lang"].unique().to_pylist())
     counts = np.zeros((BUCKETS, max(1, len(names))))
     if names:
@@ -283,9 +283,9 @@ def _score_groups(docs: DataFrame, labels: DataFrame, fitted: DataFrame, n_label
 
     kind = f"guess int, logit float, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     if n_labels <= BROADCAST_LABELS:
-        scored = docs.join(F.broadcast(labels), "doc_id").select("text", "doc_id", "y").mapInArrow(run, f"{kind}, y int")
+        scored = docs.join(F.broadcast(labels), "doc_id").select("text", "doc_id", "y").mapInArrow(B.tidy(run), f"{kind}, y int")
     else:
-        scored = docs.select("text", "doc_id").mapInArrow(run, kind).join(labels, "doc_id")
+        scored = docs.select("text", "doc_id").mapInArrow(B.tidy(run), kind).join(labels, "doc_id")
     scored = scored.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "doc_id", "left")
     groups = scored.groupBy(F.col("fitted").isNull().alias("own"), "guess", F.floor(F.col("logit").cast("double") / BIN).alias("bin"))
     return groups.agg(F.min("logit").alias("lo"), F.max("logit").alias("hi"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")).drop("bin").toArrow()
@@ -360,4 +360,4 @@ def score(docs: DataFrame, model: Classifier, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), *([b.column(2)] if "text" in keep else []), *b.columns[3:]], ["doc_id", "held_out", "score", "predicted", *(["text"] if "text" in keep else []), *[f"_{c}" for c in names]])
 
     kinds = [f"doc_id {d.schema['doc_id'].dataType.simpleString()}", "held_out boolean", "score double", "predicted int", *(["text string"] if "text" in keep else []), *[f"`_{c}` {d.schema[f'_{c}'].dataType.simpleString()}" for c in names]]
-    return d.mapInArrow(run, ", ".join(kinds))
+    return d.mapInArrow(B.tidy(run), ", ".join(kinds))
