@@ -44,7 +44,7 @@ TEXT, INNER, FRAME = 0, 1, 2  # kinds of tokens: text, an element, an element th
 ASIDE = set("nav aside footer form dialog menu select button datalist object audio video canvas svg math head search".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ASIDE_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments reply replies respond disqus nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending widget widgets pagination pager skip toolbar search masthead topbar".split()
+    "ad ads adv advert adverts advertisement advertising aside discussion discussions sponsor sponsored promo promotion banner sidebar comment comments reply replies respond disqus nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending widget widgets pagination pager skip toolbar search masthead topbar".split()
 )
 MAIN_NAMES = set("article post entry story content main maincontent articlebody".split())
 FRAMES = set(" body div section main article td center table tbody tr form blockquote html".split(" "))
