@@ -131,6 +131,35 @@ def removal_history(log: DataFrame, key: str, at: str, hit: Column, threshold: i
     return streaks(log, key, at, hit).withColumn("status", F.when(F.col("streak") == 0, "active").when(F.col("streak") >= threshold, "removed").otherwise("possibly_removed"))
 
 
+def streak_parts(log: DataFrame, key: str, at: str, part: Column, hits: dict[str, Column]) -> DataFrame:
+    """(key, part, and for each name whether the part has a hit and how many rows follow the last one): what a part of a log adds to its streaks.
+
+    A part is a bounded stretch of time, such as a month. It is read once; later runs merge its row with those of newer
+    parts, so history is not sorted again. A null hit is none.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), *[F.coalesce(h, F.lit(False)).alias(k) for k, h in hits.items()])))
+    g = log.groupBy(key, part.alias("part")).agg(F.reverse(rows).alias("_r"))
+
+    def state(k: str) -> Column:
+        back = F.array_position(F.col("_r")[k], True).cast("int")
+        return F.struct((back > 0).alias("hit"), F.when(back > 0, back - 1).otherwise(F.size("_r")).alias("trail")).alias(k)
+
+    return g.select(key, "part", *[state(k) for k in hits])
+
+
+def merged_streaks(parts: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, names): the streaks now, from streak_parts of any parts that together are the log, in whatever order they came."""
+    g = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", *names))).alias("_p"))
+    fold = lambda k: F.aggregate("_p", F.lit(0), lambda acc, p: F.when(p[k]["hit"], 0).otherwise(acc) + p[k]["trail"]).alias(k)
+    return g.select(key, *[fold(k) for k in names])
+
+
+def health_of_parts(parts: DataFrame, quarantine: int = 8, stall: int = 12) -> DataFrame:
+    """company_health from the streak parts `ok` and `found`, without a window over the log."""
+    s = merged_streaks(parts, "company", ["ok", "found"])
+    return s.select("company", F.col("ok").alias("error_count"), F.col("found").alias("empty_streak"), (F.col("ok") >= quarantine).alias("quarantined"), (F.col("found") >= stall).alias("stalled"))
+
+
 def company_health(outcomes: DataFrame, quarantine: int = 8, stall: int = 12) -> DataFrame:
     """outcomes(company, run, ok, empty) -> errors and empty streak now: errors count since the last success, empties since the last find."""
     a = streaks(outcomes, "company", "run", F.col("ok")).withColumnRenamed("streak", "error_count")

@@ -321,6 +321,15 @@ def d05(spark, d):
     return lifecycle.company_health(outcomes(spark, d))
 
 
+@query("d05_merged_health", HEALTH + " SELECT company, CAST(e AS INT) AS error_count, CAST(z AS INT) AS empty_streak, e >= 8 AS quarantined, z >= 12 AS stalled FROM h")
+def d05_merged(spark, d):
+    """The same from parts of a week each, of which the newer ones come to the older ones."""
+    o, week = outcomes(spark, d), F.date_trunc("week", "run")
+    hits = {"ok": F.col("ok"), "found": F.col("ok") & ~F.col("empty")}
+    old, new = (lifecycle.streak_parts(o.where(x), "company", "run", week, hits) for x in ("run < '2024-01-15'", "run >= '2024-01-15'"))
+    return lifecycle.health_of_parts(new.unionByName(old))
+
+
 @query("d17_publishable", f"WITH o AS ({OUTCOMES}) SELECT run, count(*) AS planned, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE ok) > 0 AS publish FROM o GROUP BY run")
 def d17(spark, d):
     return lifecycle.publishable(outcomes(spark, d))

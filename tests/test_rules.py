@@ -189,3 +189,16 @@ def test_character_references_decode_as_the_standard_says(spark):
     got = values(spark, texts, unescape(F.col("text")))
     wrong = [(t, g) for t, g in zip(texts, got, strict=True) if g != (None if t is None else html.unescape(t))]
     assert not wrong, wrong[:10]
+
+
+def test_streaks_merge_from_parts_in_any_order(spark):
+    from loomwork.operators import lifecycle
+
+    rng = random.Random(9)
+    log = spark.createDataFrame([(c, i, rng.choice([True, False, False, None])) for c in "abcde" for i in range(rng.randint(1, 40))], "k string, at int, ok boolean")
+    hit = F.coalesce("ok", F.lit(False))
+    want = {r.k: r.x for r in lifecycle.streaks(log, "k", "at", hit).groupBy("k").agg(F.max_by("streak", "at").alias("x")).collect()}
+    parts = lifecycle.streak_parts(log, "k", "at", F.floor(F.col("at") / 7), {"ok": F.col("ok")})
+    out = lifecycle.merged_streaks(parts.orderBy(F.desc("part")), "k", ["ok"])
+    assert {r.k: r.ok for r in out.collect()} == want
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
