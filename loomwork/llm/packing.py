@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytes_np as B
 from .token_ids import WITH_SPACES, cached
 
 OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -73,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return d.mapInArrow(B.tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(parts: DataFrame, *, capacity: int = 1024, max_docs: int = 1024, max_attention: float | None = None, weights: tuple = (1.0, 0.001, 0.001), score: str = "norm", groups: int = 1) -> DataFrame:

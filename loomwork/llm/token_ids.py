@@ -55,7 +55,7 @@ class WordCache(dict):
     look-up a letter.
     """
 
-    def __init__(self, path: str, cut: re.Pattern, most: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, cut: re.Pattern, most: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
