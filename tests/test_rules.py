@@ -128,6 +128,16 @@ def test_totals_are_those_of_all_pairs(spark):
     assert got == want and matching.totals(p.limit(0), q, measures).count() == 0
 
 
+def test_kinds_of_profiles_meet_kinds_of_postings(spark):
+    """Profiles and postings that differ only in ids, names of projects and fits make one pair of kinds, however many they are."""
+    p = spark.range(200).selectExpr("id as profile_id", "array('a', 'b') as skills", "array(struct(cast(id as string) as name, array('a') as skills)) as projects", "'LARGE' as focus", "cast(id % 6 as double) as years")
+    q = spark.range(300).selectExpr("id", "array('a', 'c') as skills", "'LARGE' as role_category", "cast(id % 50 as int) as new_grad_fit", "cast(50 - id % 50 as int) as experienced_fit", "'low' as eligibility_risk")
+    m = matching._Meeting(p, matching._classes(q, matching.SCORED, F.count("*").alias("_c")), (), matching.PARTS, 10)
+    assert m.met.count() == 1 and m.outlooks(m.met).count() == 2 * 50
+    best = {r.profile_id: (r.id, r.backing, r.place) for r in matching.top_matches(p, q, 1).collect()}
+    assert best == {i: (49 if i % 6 < 3 else 0, [str(i)], 1) for i in range(200)}
+
+
 def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
     from loomwork.operators import alerts
 
