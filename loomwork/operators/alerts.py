@@ -102,6 +102,74 @@ def watchlist_hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
         if c in watchlists.columns:
             hit = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(f"p.{f}"), F.lit(""))), F.lower(f"w.{c}")) for f in fields])
             ok = ok & (F.col(f"w.{c}").isNull() | hit)
+    ok = ok & _flags_hold(watchlists, postings)
+    return p.join(w, ok).select("w.watch_id", "p.id", "p.title", "p.company", "p.first_seen", (F.col("p.first_seen") >= F.col("w.since")).alias("is_new"))
+
+
+def _with_held(postings: DataFrame, watchlists: DataFrame, kind: str) -> DataFrame:
+    """postings with `_kind`: the texts that searches ask for and that its fields hold. Different values of the fields meet different texts by a text's first three characters."""
+    fields = F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in HELD[kind]])
+    asked = watchlists.select(F.lower(kind).alias("_t")).where("length(_t) > 0").distinct().withColumn("_run", F.left("_t", F.lit(3)))
+    values = postings.select(fields.alias("_v")).distinct()
+    runs = values.select("_v", F.explode(F.array_distinct(F.flatten(F.transform("_v", lambda t: F.concat(*[_grams(t, n) for n in (1, 2, 3)]))))).alias("_run"))
+    held = runs.join(asked, "_run").where(F.exists("_v", lambda t: F.contains(t, F.col("_t")))).groupBy("_v").agg(F.array_sort(F.collect_set("_t")).alias(f"_{kind}"))
+    return postings.withColumn("_v", fields).join(held, "_v", "left").drop("_v").withColumn(f"_{kind}", F.coalesce(f"_{kind}", F.array().cast("array<string>")))
+
+
+def posting_classes(watchlists: DataFrame, postings: DataFrame, moments: int = 64) -> DataFrame:
+    """Postings that no search tells apart: all that searches ask for, `_n` of them, and the newest as (first_seen, id, title, company).
+
+    Of the searched texts a class has those that it holds. A posting's time counts by how many of the searches' times it
+    has reached, or, if these are more than `moments`, as it is.
+    """
+    held = [k for k in HELD if k in watchlists.columns]
+    for kind in held:
+        postings = _with_held(postings, watchlists, kind)
+    since = [r.at for r in watchlists.select(F.unix_micros(F.col("since").cast("timestamp")).alias("at")).where("at is not null").distinct().limit(moments + 1).collect()]
+    if len(since) > moments:
+        seen = F.col("first_seen")
+    else:
+        reached = F.greatest(F.lit(None).cast("timestamp"), *[F.when(F.col("first_seen") >= F.timestamp_micros(F.lit(t)), F.timestamp_micros(F.lit(t))) for t in since]) if since else F.lit(None).cast("timestamp")
+        seen = F.coalesce(reached, F.when(F.col("first_seen").isNotNull(), F.expr("TIMESTAMP '0001-01-01'")))
+    keys = [c for c in EQUAL if c in watchlists.columns] + [c for c, t in postings.dtypes if t == "boolean"] + ["new_grad_fit", *[f"_{k}" for k in held]]
+    newest = F.struct("first_seen", "id", "title", "company")
+    return postings.withColumn("_seen", seen).groupBy("_seen", *keys).agg(F.count("*").alias("_n"), F.max(newest).alias("_newest"))
+
+
+def class_hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
+    """(_search, is_new, _n, _newest): each different search with the classes of postings that it finds, as `watchlist_hits` finds postings, through the same index."""
+    filters = [c for c in watchlists.columns if c != "watch_id"]
+    kinds = watchlists.select(*filters).distinct().withColumn("_search", _search(watchlists))
+    classes = posting_classes(watchlists, postings)
+    held = [k for k in HELD if k in watchlists.columns]
+    plain = classes.drop(*[f"_{k}" for k in held])
+    own = posting_atoms(plain, [c for c in watchlists.columns if c not in HELD])
+    atoms = F.concat(own, *[_coded(f"held {k}", F.col(f"_{k}")) for k in held])
+    had = classes.withColumn("_cls", F.xxhash64(F.struct(*[c for c in classes.columns if c != "_newest"]))).select("*", atoms.alias("_atoms"))
+    groups = search_atoms(kinds.drop(*held))
+    for k in held:
+        groups = F.concat(groups, F.when(F.length(k) > 0, F.array(F.array(_code(f"held {k}", F.lower(k))))).otherwise(F.array().cast("array<array<bigint>>")))
+    ways = kinds.select("_search", F.posexplode(groups).alias("_g", "_any")).select("_search", "_g", F.explode("_any").alias("_atom"))
+    common = had.select(F.explode("_atoms").alias("_atom")).groupBy("_atom").agg(F.count("*").alias("_n"))
+    cost = ways.join(common, "_atom", "left").groupBy("_search", "_g").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    best = cost.groupBy("_search").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    w = ways.join(best, ["_search", "_g"]).drop("_g").join(kinds, "_search").alias("w")
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = had.withColumn("_atom", F.explode("_atoms")).drop("_atoms").repartition(parts, "_cls").alias("p")
+    ok = F.col("w._atom") == F.col("p._atom")
+    for c in EQUAL:
+        if c in watchlists.columns:
+            ok = ok & (F.col(f"w.{c}").isNull() | (F.col(f"w.{c}") == F.col(f"p.{c}")))
+    for k in held:
+        ok = ok & ((F.coalesce(F.length(f"w.{k}"), F.lit(0)) == 0) | F.array_contains(f"p._{k}", F.lower(f"w.{k}")))
+    ok = ok & _flags_hold(watchlists, postings)
+    is_new = (F.col("p._seen") >= F.col("w.since")).alias("is_new")
+    return p.join(w, ok).select("w._search", is_new, "p._n", "p._newest")
+
+
+def _flags_hold(watchlists: DataFrame, postings: DataFrame) -> Column:
+    """Conditions on seniority, flags and the score, of searches w and postings p."""
+    ok = (F.col("p.new_grad_fit") >= F.coalesce("w.min_score", F.lit(0))) & (~F.coalesce("w.usa_only", F.lit(False)) | F.col("p.is_usa"))
     if "include_senior" in watchlists.columns:
         ok = ok & (F.coalesce("w.include_senior", F.lit(True)) | ~F.col("p.is_senior"))
     if "role_flags" in watchlists.columns:
@@ -109,13 +177,22 @@ def watchlist_hits(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
         for c, kind in postings.dtypes:
             if kind == "boolean":
                 ok = ok & (~F.array_contains(wanted, c) | F.coalesce(F.col(f"p.{c}"), F.lit(False)))
-    ok = ok & (F.col("p.new_grad_fit") >= F.coalesce("w.min_score", F.lit(0))) & (~F.coalesce("w.usa_only", F.lit(False)) | F.col("p.is_usa"))
-    return p.join(w, ok).select("w.watch_id", "p.id", "p.title", "p.company", "p.first_seen", (F.col("p.first_seen") >= F.col("w.since")).alias("is_new"))
+    return ok
+
+
+def _search(watchlists: DataFrame) -> Column:
+    """All that a search asks for, as a key; its time in full."""
+    return F.to_json(F.struct(*[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c == "since" else F.col(c) for c in watchlists.columns if c != "watch_id"]))
+
+
+def _searches(watchlists: DataFrame) -> DataFrame:
+    return watchlists.select("watch_id", _search(watchlists).alias("_search"))
 
 
 def watchlist_counts(watchlists: DataFrame, postings: DataFrame) -> DataFrame:
-    n = watchlist_hits(watchlists, postings).groupBy("watch_id").agg(F.count("*").alias("total"), F.count_if("is_new").alias("new"))
-    return watchlists.select("watch_id").join(n, "watch_id", "left").fillna(0, ["total", "new"])
+    """Counted for different searches over classes of postings (see class_hits), so the work is not that of the hits."""
+    n = class_hits(watchlists, postings).groupBy("_search").agg(F.sum("_n").alias("total"), F.sum(F.when(F.col("is_new"), F.col("_n"))).alias("new"))
+    return _searches(watchlists).join(n, "_search", "left").select("watch_id", "total", "new").fillna(0, ["total", "new"])
 
 
 def watchlist_delta(counts: DataFrame, last: DataFrame) -> DataFrame:
@@ -124,8 +201,8 @@ def watchlist_delta(counts: DataFrame, last: DataFrame) -> DataFrame:
 
 def watchlist_alerts(watchlists: DataFrame, postings: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(alerts with the newest hit, watchlists with the checkpoint moved)."""
-    hits = watchlist_hits(watchlists, postings).where("is_new")
-    alerts = hits.groupBy("watch_id").agg(F.count("*").alias("new"), F.max_by(F.struct("title", "company"), F.struct("first_seen", "id")).alias("x")).select("watch_id", "new", F.format_string("%d new, latest: %s at %s", F.col("new"), F.col("x.title"), F.col("x.company")).alias("message"))
+    hits = class_hits(watchlists, postings).where("is_new").groupBy("_search").agg(F.sum("_n").alias("new"), F.max("_newest").alias("x"))
+    alerts = _searches(watchlists).join(hits, "_search").select("watch_id", "new", F.format_string("%d new, latest: %s at %s", F.col("new"), F.col("x.title"), F.col("x.company")).alias("message"))
     return alerts, watchlists.withColumn("since", as_of)
 
 

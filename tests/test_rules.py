@@ -183,6 +183,20 @@ def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
     assert hits.count() == want
 
 
+def test_searches_meet_classes_of_postings(spark):
+    """Postings that no search tells apart are one class; times a microsecond apart are different searches."""
+    from loomwork.operators import alerts
+
+    df = spark.range(400).selectExpr("id", "concat('Job ', id) as title", "'Acme' as company", "'Power' as role_category", "'CA' as state", "'S' as priority", "50 as new_grad_fit", "true as is_usa", "timestamp_micros(1704067200000000 + id) as first_seen")
+    w = spark.range(3).selectExpr("id as watch_id", "'Power' as role_category", "cast(null as string) as state", "cast(null as string) as priority", "10 as min_score", "true as usa_only", "timestamp_micros(1704067200000000 + id) as since", "'job 39' as keyword")
+    assert alerts.posting_classes(w.drop("keyword"), df).count() == 3
+    assert sorted(map(tuple, alerts.watchlist_counts(w, df).collect())) == [(i, 11, 11) for i in range(3)]
+    assert sorted(map(tuple, alerts.watchlist_counts(w.drop("keyword"), df).collect())) == [(i, 400, 400 - i) for i in range(3)]
+    got = alerts.watchlist_alerts(w, df, F.current_timestamp())[0].collect()
+    assert sorted(map(tuple, got)) == [(i, 11, "11 new, latest: Job 399 at Acme") for i in range(3)]
+    assert sorted(map(tuple, alerts.class_hits(w, df.limit(0)).collect())) == []
+
+
 def test_the_inverted_index_finds_what_the_scan_finds(spark, tmp_path):
     from loomwork.operators import search_index
 
