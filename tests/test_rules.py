@@ -156,6 +156,20 @@ def test_own_texts_of_postings_leave_posed_cases_alone(spark, monkeypatch):
             assert sorted(map(tuple, registry.QUERIES[name](spark, home).collect())) == want, name
 
 
+def test_triage_of_lists_is_that_of_pairs(spark):
+    rng = random.Random(9)
+    some = lambda n: rng.sample("abcde", rng.randint(0, n)) if rng.random() < 0.9 else None
+    p = spark.createDataFrame([(i, some(3), [("x", some(1))] if i % 3 else None, "LARGE", 1.0) for i in range(30)], "profile_id int, skills array<string>, projects array<struct<name:string,skills:array<string>>>, focus string, years double")
+    q = spark.createDataFrame([(i, some(4), "LARGE", 1, 1, "low") for i in range(90)], "id int, skills array<string>, role_category string, new_grad_fit int, experienced_fit int, eligibility_risk string")
+    same = spark.createDataFrame([("a", ["b"], ["c", "d"]), ("e", [], ["a"])], "skill string, equal array<string>, area array<string>")
+    known = p.select("profile_id", F.explode("skills").alias("skill"), F.lit(False).alias("in_project")).unionByName(p.where("profile_id % 4 = 0").select("profile_id", F.lit("c").alias("skill"), F.lit(True).alias("in_project")))
+    want = matching.triage(matching.match(p, q).select("profile_id", "id", F.explode("missing").alias("skill")), same, known)
+    got = matching.triage_matches(p, q, same, known, size=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(_rows") < plan.index("Exchange")  # written out after the last shuffle
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1000
+
+
 def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
     from loomwork.operators import alerts
 
