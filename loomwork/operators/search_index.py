@@ -22,6 +22,10 @@ SKILLED = ("keywords", "snippet")
 BETWEEN = "\x1f"
 
 
+def _tag(kind: str):
+    return lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term"))
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -46,16 +50,15 @@ def _joined(chars: Column, n: int) -> Column:
     return F.array_compact(own)
 
 
-def build(df: DataFrame, path: str, short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG, files: int = 4) -> None:
-    """Writes the index of df(id, fields); a null field is empty, a null id is found like any other."""
+def build(df: DataFrame, path: str, short: tuple[str, ...] = SHORT, long: tuple[str, ...] = LONG, files: int = 4, kinds: str = "wsk") -> None:
+    """Writes the index of df(id, fields); a null field is empty, a null id is found like any other. `kinds`: searches by keywords alone need w and s, searches by skills alone k."""
     words = F.array_distinct(F.split(F.translate(_text(long), SIGNS + BETWEEN, " " * (len(SIGNS) + 1)), " "))
-    rows = df.select("id", F.explode(F.concat(
-        F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.lit("w").alias("kind"), w.alias("term"))),
-        F.transform(_runs(_text(short)), lambda w: F.struct(F.lit("s").alias("kind"), w.alias("term"))),
-        F.transform(_runs(_text(SKILLED)), lambda w: F.struct(F.lit("k").alias("kind"), w.alias("term"))),
-    )).alias("t")).select("id", "t.kind", "t.term")
-    rows = rows.withColumn("bucket", _bucket(F.col("term")))
-    rows.repartition(F.col("kind"), F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("kind", "bucket", "term").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/terms")
+    terms = {"w": lambda: F.filter(words, lambda w: w != ""), "s": lambda: _runs(_text(short)), "k": lambda: _runs(_text(SKILLED))}
+    tagged = [F.transform(terms[kind](), _tag(kind)) for kind in kinds]
+    rows = df.select("id", F.explode(F.concat(*tagged)).alias("t")).select("id", "t.kind", "t.term")
+    # the bucket is worked out on either side of the shuffle and not carried
+    dealt = rows.repartition(F.col("kind"), _bucket(F.col("term")), F.pmod(F.xxhash64("id"), F.lit(files))).withColumn("bucket", _bucket(F.col("term")))
+    dealt.sortWithinPartitions("kind", "bucket", "term").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/terms")
     texts = df.select("id", _text(short).alias("s"), _text(SKILLED).alias("k"), F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     texts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/texts")
 

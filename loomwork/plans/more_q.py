@@ -102,7 +102,7 @@ def indexed(spark, d, keyword="", skills=()):
     from .tables_q import searchable
 
     home = corpus.scratch(spark)
-    search_index.build(searchable(spark, d), home)
+    search_index.build(searchable(spark, d), home, kinds=("ws" if keyword else "") + ("k" if skills else ""))
     return search_index.search(spark, home, keyword, skills)
 
 
