@@ -170,6 +170,39 @@ def test_triage_of_lists_is_that_of_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1000
 
 
+def test_triage_reads_its_tables_once_and_gathers_one_list_at_a_time(spark):
+    rng, read = random.Random(4), {k: spark.sparkContext.accumulator(0) for k in ("profiles", "postings")}
+
+    def counted(which):
+        def f(x):
+            read[which].add(1)
+            return x
+
+        return F.udf(f, "array<string>")
+
+    some = lambda n: rng.sample("abcde", rng.randint(0, n)) if rng.random() < 0.9 else None
+    p = spark.createDataFrame([(i if i else None, some(3), None, "LARGE", 1.0) for i in range(20)], "profile_id int, skills array<string>, projects array<struct<name:string,skills:array<string>>>, focus string, years double")
+    q = spark.createDataFrame([(i % 40 or None, some(4), "LARGE", 1, 1, "low") for i in range(60)], "id int, skills array<string>, role_category string, new_grad_fit int, experienced_fit int, eligibility_risk string")
+    same = spark.createDataFrame([("a", ["b"], ["c", "d"])], "skill string, equal array<string>, area array<string>")
+    known = p.select("profile_id", F.explode("skills").alias("skill"), F.lit(False).alias("in_project")).localCheckpoint()
+    want = matching.triage(matching.match(p, q).select("profile_id", "id", F.explode("missing").alias("skill")), same, known)
+    got = matching.triage_matches(p.withColumn("skills", counted("profiles")("skills")), q.withColumn("skills", counted("postings")("skills")), same, known, size=7)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    read["profiles"].value = read["postings"].value = 0
+    rows = got.collect()
+    assert sorted(map(tuple, rows), key=key) == sorted(map(tuple, want.collect()), key=key) and any(r.id is None for r in rows)
+    assert read["postings"].value == q.count()
+    # profiles of a counted number are read once more to count their kinds, when the plan is made
+    assert read["profiles"].value == p.where("profile_id is not null").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = matching.triage_matches(p, q, same, known, size=7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    code = {name: star for star, name in re.findall(r"(\*\(\d+\) )?Generate explode\((?:transform\()?(profile_id|id)#", plan)}
+    assert len(code) == 2 and code["id"] != code["profile_id"]  # else all rows of a pair of lists are held before the first goes on
+
+
 def test_a_hundred_thousand_searches_meet_postings_without_a_nested_loop(spark):
     from loomwork.operators import alerts
 
